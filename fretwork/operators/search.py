@@ -4,12 +4,14 @@ A request gives optional texts (category, skill_level, use_case, brand), price b
 price, and gets its best ``k`` products in stock. Products are ordered by distance to the target price,
 else by the rank of the request's candidate list, else cheapest first.
 
-Requests with candidates join the catalogue by product id. All others go through a *price ladder*, so
+Requests with candidates join the catalogue by product id. All others go through *price ladders*, so
 that neither a cross join nor a scan of all products per request is needed:
 
 1. Text filters are matched once against the distinct facet values, through an equi-join on short grams.
-2. For every combination of filters in use, products are grouped into cells of equal facet values. A cell
-   keeps the first ``k`` ids per price (no other product can win) and numbers its prices: the ladder.
+   Products are grouped into cells of equal facet values, and each distinct combination of filter texts
+   selects its cells by equality.
+2. The ladder of a filter combination has one rung per price with the first ``k`` product ids there (no
+   other product can win). The rungs are numbered by price.
 3. The bounds and the target of a request become ladder positions. Its winners lie on at most ``k`` rungs
    on each side of the target, or on the first ``k`` rungs from its lower bound; these are equi-joined.
 """
@@ -31,6 +33,7 @@ RESULT_COLUMNS = [
 ]
 GRAM = 3
 MARKS = ["_below", "_up_to", "_target"]
+LOWEST = -(1 << 60)
 
 
 def normalize_requests(requests: DataFrame) -> DataFrame:
@@ -108,51 +111,47 @@ def first_ids(facets: DataFrame, k: int) -> DataFrame:
 
 
 def price_points(reduced: DataFrame, masks: DataFrame, k: int) -> DataFrame:
-    """Cells of the masks in use: one row per cell and price with the first ``k`` product ids.
+    """Products of the cells of all masks in use, at most ``k`` per cell and price.
 
     There are at most 16 masks, so that side is always small enough to broadcast.
     """
     all_masks = F.sequence(F.lit(0), F.lit((1 << len(TEXT_FILTERS)) - 1))
     repeated = reduced.withColumn("_mask", F.explode(all_masks)).join(F.broadcast(masks), "_mask", "left_semi")
     cells = repeated.select(cell_key().alias("_cell"), "_cents", "product_id")
-    kept = top_k(cells, ["_cell", "_cents"], [F.col("product_id").asc_nulls_last()], k, "_rn")
-    return kept.groupBy("_cell", "_cents").agg(F.sort_array(F.collect_list("product_id")).alias("_ids"))
+    return top_k(cells, ["_cell", "_cents"], [F.col("product_id").asc_nulls_last()], k, "_rn").drop("_rn")
 
 
-def matching_cells(questions: DataFrame, reduced: DataFrame, points: DataFrame) -> DataFrame:
+def matching_cells(questions: DataFrame, reduced: DataFrame) -> DataFrame:
     """The cells that each distinct combination of filter texts selects."""
-    filters = questions.select("_mask", *TEXT_FILTERS).distinct()
-    found = filters
+    found = questions.select("_filter", "_mask", *TEXT_FILTERS).distinct()
     for name in TEXT_FILTERS:
         patterns = questions.select(F.col(name).alias("pattern")).distinct()
         hits = contains_matches(patterns, facet_values(reduced, name))
         found = found.join(hits.select(F.col("pattern").alias(name), F.col("value").alias(f"_{name}")), name)
-    cells = found.select("_mask", *TEXT_FILTERS, cell_key().alias("_cell"))
-    return cells.join(points.select("_cell").distinct(), "_cell", "left_semi")
+    return found.select("_filter", cell_key().alias("_cell"))
 
 
-def ladder_bounds(questions: DataFrame) -> DataFrame:
+def filter_rungs(cells: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    """One row per filter combination and price, with the first ``k`` product ids of all its cells."""
+    rows = cells.join(points, "_cell").select("_filter", "_cents", "product_id")
+    kept = top_k(rows, ["_filter", "_cents"], [F.col("product_id").asc_nulls_last()], k, "_rn")
+    return kept.groupBy("_filter", "_cents").agg(F.sort_array(F.collect_list("product_id")).alias("_ids"))
+
+
+def ladder_bounds() -> list[Column]:
     """Bounds and target as "up to this many cents" values.
 
     A product without a price stands on the last rung, and only a request without price bounds gets there.
     """
     cents = {p: F.col(p) * 100 for p in PRICE_FILTERS}
-    below_min = F.coalesce(F.ceil(cents["min_price"]).cast("bigint") - 1, F.lit(-1))
+    below_min = F.coalesce(F.ceil(cents["min_price"]).cast("bigint") - 1, F.lit(LOWEST))
     no_bounds = F.col("min_price").isNull() & F.col("max_price").isNull()
     up_to = F.coalesce(
         F.floor(cents["max_price"]).cast("bigint"),
         F.when(no_bounds, F.lit(NO_PRICE)).otherwise(F.lit(NO_PRICE - 1)),
     )
     target = F.floor(cents["target_price"]).cast("bigint")
-    return questions.select(
-        "question",
-        "_mask",
-        *TEXT_FILTERS,
-        "target_price",
-        F.greatest(below_min, F.lit(-1)).alias("_below"),
-        F.greatest(up_to, F.lit(-1)).alias("_up_to"),
-        F.when(target.isNotNull(), F.greatest(target, F.lit(-1))).alias("_target"),
-    )
+    return [below_min.alias("_below"), up_to.alias("_up_to"), target.alias("_target")]
 
 
 def wanted_rungs(k: int) -> Column:
@@ -171,34 +170,37 @@ def ladder_search(catalog: DataFrame, requests: DataFrame, k: int) -> DataFrame:
 
     Equal requests are answered once. Tables that later steps read several times are written out first.
     """
-    parts = [F.col(c).cast("string") for c in TEXT_FILTERS + PRICE_FILTERS]
-    asked = requests.withColumn("question", F.to_json(F.array(*parts)))
-    distinct = asked.select("question", *TEXT_FILTERS, *PRICE_FILTERS).distinct()
-    questions = materialize(distinct.withColumn("_mask", filter_mask()), "search_questions")
+    texts = [F.col(c) for c in TEXT_FILTERS]
+    prices = [F.col(c).cast("string") for c in PRICE_FILTERS]
+    asked = requests.withColumn("question", F.to_json(F.array(*texts, *prices)))
+    questions = materialize(
+        asked.select("question", *TEXT_FILTERS, *PRICE_FILTERS)
+        .distinct()
+        .select("*", F.to_json(F.array(*texts)).alias("_filter"), filter_mask().alias("_mask"), *ladder_bounds()),
+        "search_questions",
+    )
     reduced = materialize(first_ids(in_stock_facets(catalog), k), "search_products")
-    points = materialize(price_points(reduced, questions.select("_mask").distinct(), k), "search_points")
-    selected = matching_cells(questions, reduced, points)
-    placed = materialize(ladder_bounds(questions).join(selected, ["_mask", *TEXT_FILTERS]), "search_cells")
-
-    # Number the prices of each cell, and find how many of them lie at or below each bound.
-    marks = placed.select("_cell", F.explode(F.array(*MARKS)).alias("_cents")).where(F.col("_cents").isNotNull())
-    lookups = marks.distinct().select("*", F.lit(0).alias("_is_rung"), F.lit(None).alias("_ids"))
-    rungs = points.select("_cell", "_cents", F.lit(1).alias("_is_rung"), "_ids")
+    points = price_points(reduced, questions.select("_mask").distinct(), k)
+    rungs = filter_rungs(matching_cells(questions, reduced), points, k).withColumn("_is_rung", F.lit(1))
+
+    # Number the prices of each ladder, and find how many of them lie at or below each bound.
+    marks = questions.select("_filter", F.explode(F.array(*MARKS)).alias("_cents")).where(F.col("_cents").isNotNull())
+    lookups = marks.distinct().select("*", F.lit(None).alias("_ids"), F.lit(0).alias("_is_rung"))
+    both = rungs.unionByName(lookups)
     numbered = materialize(
-        running_total(
-            rungs.unionByName(lookups), ["_cell"], "_cents", "_is_rung", "_rung", ties=[F.col("_is_rung").desc()]
-        ),
-        "search_ladder",
+        running_total(both, ["_filter"], "_cents", "_is_rung", "_rung", ties=[F.col("_is_rung").desc()]),
+        "search_ladders",
     )
     positions = numbered.where("_is_rung = 0")
-    ladder = numbered.where("_is_rung = 1").select("_cell", "_rung", F.col("_cents").alias("_price"), "_ids")
+    ladder = numbered.where("_is_rung = 1").select("_filter", "_rung", F.col("_cents").alias("_price"), "_ids")
 
+    placed = questions
     for mark in MARKS:
-        at = positions.select("_cell", F.col("_cents").alias(mark), F.col("_rung").alias(f"_rung{mark}"))
-        placed = placed.join(at, ["_cell", mark], "left")
-    steps = placed.select("question", "target_price", "_cell", F.explode(wanted_rungs(k)).alias("_rung"))
+        at = positions.select("_filter", F.col("_cents").alias(mark), F.col("_rung").alias(f"_rung{mark}"))
+        placed = placed.join(at, ["_filter", mark], "left")
+    steps = placed.select("question", "target_price", "_filter", F.explode(wanted_rungs(k)).alias("_rung"))
     distance = F.abs(F.col("_price") - F.col("target_price") * 100)
-    candidates = steps.join(ladder, ["_cell", "_rung"]).select(
+    candidates = steps.join(ladder, ["_filter", "_rung"]).select(
         "question",
         F.explode("_ids").alias("product_id"),
         F.when(F.col("_price") != NO_PRICE, F.coalesce(distance, F.col("_price"))).cast("decimal(24,4)").alias("_order"),
