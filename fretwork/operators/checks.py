@@ -63,7 +63,7 @@ def product_verdicts(turns: DataFrame, rules: DataFrame, products: DataFrame) ->
         .withColumnRenamed("category", "wanted_category")
         .join(known, TURN)
         .groupBy("rule_id")
-        .agg(F.bool_or(good).alias("_passed"))
+        .agg(F.bool_or(good).alias("passed"))
     )
 
 
@@ -76,7 +76,7 @@ def evaluate(turns: DataFrame, rules: DataFrame, products: DataFrame) -> DataFra
     judged = rules.join(turns, TURN, "left").select(
         "rule_id", *TURN, "check", text_verdict().alias("_text"), text_detail().alias("detail")
     )
-    by_products = product_verdicts(turns, rules, products)
+    by_products = product_verdicts(turns, rules, products).withColumnRenamed("passed", "_passed")
     outcome = F.coalesce("_text", "_passed", F.lit(False))
     return judged.join(by_products, "rule_id", "left").select("rule_id", *TURN, "check", outcome.alias("passed"), "detail")
 
