@@ -83,16 +83,24 @@ def phrase_array(phrases: Sequence[str]) -> Column:
     return F.array(*[F.lit(p) for p in phrases]).cast("array<string>")
 
 
+def _select_phrases(text: Column, phrases: Column, present: bool) -> Column:
+    """The one-element array binds the lower-case text to a variable, so it is made once, not per phrase."""
+    lowered = F.array(F.lower(F.coalesce(text, F.lit(""))))
+
+    def chosen(body: Column) -> Column:
+        return F.filter(phrases, lambda p: F.contains(body, F.lower(p)) == F.lit(present))
+
+    return F.element_at(F.transform(lowered, chosen), 1)
+
+
 def found_phrases(text: Column, phrases: Column) -> Column:
     """Phrases of the array that occur in the text (case-insensitive), in array order."""
-    lowered = F.lower(F.coalesce(text, F.lit("")))
-    return F.filter(phrases, lambda p: F.contains(lowered, F.lower(p)))
+    return _select_phrases(text, phrases, True)
 
 
 def missing_phrases(text: Column, phrases: Column) -> Column:
     """Phrases of the array that do not occur in the text, in array order."""
-    lowered = F.lower(F.coalesce(text, F.lit("")))
-    return F.filter(phrases, lambda p: ~F.contains(lowered, F.lower(p)))
+    return _select_phrases(text, phrases, False)
 
 
 def asks_for_human(text: Column, phrases: Sequence[str] = ESCALATION_PHRASES, whole_words: bool = False) -> Column:
@@ -100,7 +108,6 @@ def asks_for_human(text: Column, phrases: Sequence[str] = ESCALATION_PHRASES, wh
 
     Plain substrings by default, so "rep" also matches "repair"; ``whole_words`` matches at word bounds.
     """
-    lowered = F.lower(F.coalesce(text, F.lit("")))
     if whole_words:
-        return lowered.rlike(r"\b(" + "|".join(phrases) + r")\b")
-    return F.exists(phrase_array(phrases), lambda p: F.contains(lowered, p))
+        return F.lower(F.coalesce(text, F.lit(""))).rlike(r"\b(" + "|".join(phrases) + r")\b")
+    return F.size(found_phrases(text, phrase_array(phrases))) > 0

@@ -49,11 +49,11 @@ def normalize_requests(requests: DataFrame) -> DataFrame:
 
 
 def contains_matches(patterns: DataFrame, values: DataFrame) -> DataFrame:
-    """Pairs (pattern, value) where the text of the value contains the pattern, ignoring case.
+    """Rows (field, pattern, value) where the text of a value contains the pattern, ignoring case.
 
-    ``patterns``: distinct lower-case texts; ``values``: value, text. A pattern is looked up by its first
-    ``GRAM`` characters among all grams of the values and then checked in full. The empty pattern
-    stands for "no filter" and pairs with the empty value.
+    ``patterns``: field and distinct lower-case pattern; ``values``: field, value, text. A pattern is looked up
+    by its first ``GRAM`` characters among all grams of the values and then checked in full. The empty
+    pattern stands for "no filter" and pairs with the empty value.
     """
     text = F.lower("text")
 
@@ -61,11 +61,11 @@ def contains_matches(patterns: DataFrame, values: DataFrame) -> DataFrame:
         return F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: text.substr(i, F.lit(n)))
 
     grams = F.array_distinct(F.concat(*[grams_of(n) for n in range(1, GRAM + 1)]))
-    by_gram = values.select("value", text.alias("_text"), F.explode(grams).alias("_gram"))
-    asked = patterns.where("pattern <> ''").select("pattern", F.substring("pattern", 1, GRAM).alias("_gram"))
-    hits = asked.join(by_gram, "_gram").where(F.contains("_text", F.col("pattern"))).select("pattern", "value")
-    blank = patterns.where("pattern = ''").select("pattern", F.lit("").alias("value"))
-    return hits.unionByName(blank).distinct()
+    by_gram = values.select("field", "value", text.alias("_text"), F.explode(grams).alias("_gram"))
+    asked = patterns.where("pattern <> ''").select("field", "pattern", F.substring("pattern", 1, GRAM).alias("_gram"))
+    hits = asked.join(by_gram, ["field", "_gram"]).where(F.contains("_text", F.col("pattern")))
+    blank = patterns.where("pattern = ''").select("field", "pattern", F.lit("").alias("value"))
+    return hits.select("field", "pattern", "value").unionByName(blank).distinct()
 
 
 def in_stock_facets(catalog: DataFrame) -> DataFrame:
@@ -80,13 +80,20 @@ def in_stock_facets(catalog: DataFrame) -> DataFrame:
     )
 
 
-def facet_values(facets: DataFrame, name: str) -> DataFrame:
-    """Distinct values of one facet with the texts that a filter may match."""
-    value = F.col(f"_{name}")
-    if name != "category":
-        return facets.select(value.alias("value"), value.alias("text")).distinct()
-    pairs = facets.select(value.alias("value"), "category", "subcategory").distinct()
-    return pairs.select("value", F.explode(F.array("category", "subcategory")).alias("text"))
+def facet_values(reduced: DataFrame) -> DataFrame:
+    """Distinct values of all facets with the texts that a filter may match: field, value, text."""
+    texts = [("category", "category"), ("category", "subcategory"), *[(f, f"_{f}") for f in TEXT_FILTERS[1:]]]
+    entries = [
+        F.struct(F.lit(f).alias("field"), F.col(f"_{f}").alias("value"), F.coalesce(F.col(t), F.lit("")).alias("text"))
+        for f, t in texts
+    ]
+    return reduced.select(F.explode(F.array(*entries)).alias("e")).select("e.*").distinct()
+
+
+def filter_patterns(questions: DataFrame) -> DataFrame:
+    """Distinct filter texts of all questions: field, pattern."""
+    entries = [F.struct(F.lit(f).alias("field"), F.col(f).alias("pattern")) for f in TEXT_FILTERS]
+    return questions.select(F.explode(F.array(*entries)).alias("e")).select("e.*").distinct()
 
 
 def filter_mask() -> Column:
@@ -124,10 +131,10 @@ def price_points(reduced: DataFrame, masks: DataFrame, k: int) -> DataFrame:
 def matching_cells(questions: DataFrame, reduced: DataFrame) -> DataFrame:
     """The cells that each distinct combination of filter texts selects."""
     found = questions.select("_filter", "_mask", *TEXT_FILTERS).distinct()
+    hits = materialize(contains_matches(filter_patterns(questions), facet_values(reduced)), "search_matches")
     for name in TEXT_FILTERS:
-        patterns = questions.select(F.col(name).alias("pattern")).distinct()
-        hits = contains_matches(patterns, facet_values(reduced, name))
-        found = found.join(hits.select(F.col("pattern").alias(name), F.col("value").alias(f"_{name}")), name)
+        of_field = hits.where(F.col("field") == name)
+        found = found.join(of_field.select(F.col("pattern").alias(name), F.col("value").alias(f"_{name}")), name)
     return found.select("_filter", cell_key().alias("_cell"))
 
 
@@ -181,7 +188,8 @@ def ladder_search(catalog: DataFrame, requests: DataFrame, k: int) -> DataFrame:
     )
     reduced = materialize(first_ids(in_stock_facets(catalog), k), "search_products")
     points = price_points(reduced, questions.select("_mask").distinct(), k)
-    rungs = filter_rungs(matching_cells(questions, reduced), points, k).withColumn("_is_rung", F.lit(1))
+    rungs = materialize(filter_rungs(matching_cells(questions, reduced), points, k), "search_rungs")
+    rungs = rungs.withColumn("_is_rung", F.lit(1))
 
     # Number the prices of each ladder, and find how many of them lie at or below each bound.
     marks = questions.select("_filter", F.explode(F.array(*MARKS)).alias("_cents")).where(F.col("_cents").isNotNull())

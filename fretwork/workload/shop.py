@@ -1,6 +1,6 @@
 """The given tables seen as a shop: raw products, customers, order lines, handoffs, chat calls.
 
-Every frame has the layout of the raw file or app table of the same name, and ``CTE`` holds the same
+Every frame has the columns of the raw file or app table of the same name, and ``CTE`` holds the same
 derivation as SQL. No rows are left out: each given row becomes one row here.
 """
 
@@ -35,11 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def product_key(key: Column) -> Column:
-    return F.format_string("P%012d", key)
+    return F.concat(F.lit("P"), F.lpad(key.cast("string"), 12, "0"))
 
 
 def customer_key(key: Column) -> Column:
-    return F.format_string("C%012d", key)
+    return F.concat(F.lit("C"), F.lpad(key.cast("string"), 12, "0"))
 
 
 def pick(values: list[str], number: Column) -> Column:
@@ -81,7 +81,7 @@ def raw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@mail.example")).alias("email"),
         pick(SKILL_LEVELS, nation).alias("skill_level"),
         F.lower("c_mktsegment").alias("primary_instrument"),
-        nation.cast("string").alias("years_playing"),
+        nation.alias("years_playing"),
         pick(USE_CASES, nation).alias("use_case"),
         budget.alias("budget_range"),
         F.date_add(F.lit("2024-01-01").cast("date"), nation).cast("string").alias("created_at"),
@@ -96,9 +96,9 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("O"), F.col("l_orderkey").cast("string")).alias("order_id"),
         customer_key(F.col("o_custkey")).alias("customer_id"),
         product_key(F.col("l_partkey")).alias("product_id"),
-        F.col("l_quantity").cast("int").cast("string").alias("quantity"),
-        F.col("l_extendedprice").cast("decimal(10,2)").cast("string").alias("unit_price"),
-        F.col("o_orderdate").cast("date").cast("string").alias("order_date"),
+        F.col("l_quantity").cast("int").alias("quantity"),
+        F.col("l_extendedprice").cast("decimal(10,2)").alias("unit_price"),
+        F.col("o_orderdate").cast("date").alias("order_date"),
         F.when(F.col("l_returnflag") == "R", F.lit("returned")).otherwise(F.lit("completed")).alias("status"),
     )
 
@@ -112,7 +112,7 @@ def raw_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(back.alias("units"))
         .select(
             product_key(F.col("l_partkey")).alias("product_id"),
-            F.floor(F.col("units") / 25).cast("string").alias("quantity"),
+            F.floor(F.col("units") / 25).alias("quantity"),
         )
     )
 
