@@ -11,6 +11,11 @@ from pyspark import cloudpickle
 # Tasks carry this code along, so executors need no installed copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Similarities held in memory at one time.
+MAX_CELLS = 4_000_000
+# Copies of a vector must tie exactly, so that the id decides, whatever block they are multiplied in.
+DIGITS = 12
+
 
 def unit_rows(vectors) -> np.ndarray:
     """Unit vectors as rows; a zero vector becomes NaN and is similar to nothing."""
@@ -27,21 +32,34 @@ class Best:
         self.ids: list[np.ndarray] = [np.empty(0, dtype=object)] * len(query_ids)
         self.sims: list[np.ndarray] = [np.empty(0)] * len(query_ids)
 
-    def add(self, item_ids: np.ndarray, sims: np.ndarray) -> None:
-        """``sims``: one row per query, one column per item; NaN marks pairs out of the race."""
-        for q in range(sims.shape[0]):
-            row = sims[q]
-            keep = np.flatnonzero(~np.isnan(row))
-            if len(self.sims[q]) == self.k:
-                keep = keep[row[keep] >= self.sims[q][-1]]
-            if len(keep) > self.k:
-                floor = np.partition(row[keep], len(keep) - self.k)[len(keep) - self.k]
-                keep = keep[row[keep] >= floor]
-            if len(keep):
-                ids = np.concatenate([self.ids[q], item_ids[keep]])
-                values = np.concatenate([self.sims[q], row[keep]])
-                order = np.lexsort((ids, -values))[: self.k]
-                self.ids[q], self.sims[q] = ids[order], values[order]
+    def add(self, queries: np.ndarray, item_ids: np.ndarray, items: np.ndarray, query_codes=None, item_codes=None) -> None:
+        """Score unit rows against each other, a slice of the queries at a time.
+
+        With codes, only pairs that share a code in some table are in the race.
+        """
+        step = max(1, MAX_CELLS // max(1, len(items)))
+        for start in range(0, len(queries), step):
+            sims = np.round(queries[start : start + step] @ items.T, DIGITS)
+            if query_codes is not None:
+                shared = np.zeros(sims.shape, dtype=bool)
+                for t in range(item_codes.shape[1]):
+                    shared |= query_codes[start : start + step, t][:, None] == item_codes[:, t][None, :]
+                sims[~shared] = np.nan
+            for i, row in enumerate(sims):
+                self._merge(start + i, item_ids, row)
+
+    def _merge(self, q: int, item_ids: np.ndarray, row: np.ndarray) -> None:
+        keep = np.flatnonzero(~np.isnan(row))
+        if len(self.sims[q]) == self.k:
+            keep = keep[row[keep] >= self.sims[q][-1]]
+        if len(keep) > self.k:
+            floor = np.partition(row[keep], len(keep) - self.k)[len(keep) - self.k]
+            keep = keep[row[keep] >= floor]
+        if len(keep):
+            ids = np.concatenate([self.ids[q], item_ids[keep]])
+            values = np.concatenate([self.sims[q], row[keep]])
+            order = np.lexsort((ids, -values))[: self.k]
+            self.ids[q], self.sims[q] = ids[order], values[order]
 
     def frame(self) -> pd.DataFrame:
         counts = [len(s) for s in self.sims]

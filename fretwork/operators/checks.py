@@ -52,19 +52,14 @@ def product_verdicts(turns: DataFrame, rules: DataFrame, products: DataFrame) ->
     """
     listed = turns.select(*TURN, F.explode(F.array_distinct("rec_ids")).alias("product_id"))
     known = listed.join(products.select("product_id", "category", "subcategory", "price"), "product_id")
-    wanted = F.col("wanted_category")
-    matches = F.coalesce(contains_ci(F.col("category"), wanted), F.lit(False)) | F.coalesce(
-        contains_ci(F.col("subcategory"), wanted), F.lit(False)
-    )
-    in_range = F.col("price").cast("double").between(F.col("lo"), F.col("hi"))
-    good = F.when(F.col("check") == "recommended_category", matches).otherwise(F.coalesce(in_range, F.lit(False)))
-    return (
-        rules.where(F.col("check").isin(PRODUCT_CHECKS))
-        .withColumnRenamed("category", "wanted_category")
-        .join(known, TURN)
-        .groupBy("rule_id")
-        .agg(F.bool_or(good).alias("passed"))
+    categories = known.select(*TURN, F.explode(F.array("category", "subcategory")).alias("_text")).distinct()
+    prices = known.select(*TURN, F.col("price").cast("double").alias("_price")).distinct()
+    by_category = rules.where(F.col("check") == PRODUCT_CHECKS[0]).join(categories, TURN)
+    by_price = rules.where(F.col("check") == PRODUCT_CHECKS[1]).join(prices, TURN)
+    outcomes = by_category.select("rule_id", contains_ci(F.col("_text"), F.col("category")).alias("_good")).unionAll(
+        by_price.select("rule_id", F.col("_price").between(F.col("lo"), F.col("hi")).alias("_good"))
     )
+    return outcomes.groupBy("rule_id").agg(F.bool_or(F.coalesce("_good", F.lit(False))).alias("passed"))
 
 
 def evaluate(turns: DataFrame, rules: DataFrame, products: DataFrame) -> DataFrame:

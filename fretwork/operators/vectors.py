@@ -17,10 +17,9 @@ from fretwork.functions.blocks import Best, hash_codes, hash_planes, unit_rows
 from fretwork.functions.ranking import top_k
 from fretwork.schemas import VECTOR_METADATA
 
-# Queries up to this size travel to the tasks as one broadcast block.
+# Queries up to this size (as doubles) travel to the tasks as one broadcast block. Beyond it, both sides are
+# cut into blocks of about half this size.
 MAX_BLOCK_BYTES = 64 * 1024 * 1024
-# Beyond it, both sides are cut into blocks of about this many rows.
-BLOCK_ROWS = 20_000
 HITS = "query_id {id}, item_id {id2}, similarity double"
 
 
@@ -55,7 +54,7 @@ def cosine_top_k(index: DataFrame, queries: DataFrame, k: int = 20, max_bytes: i
     broadcast and the index is only streamed through. A larger one is worked off in block pairs.
     """
     if not fits_in_block(queries, max_bytes):
-        return _final(_block_pairs(index, queries, k), k)
+        return _final(_block_pairs(index, queries, k, max_bytes // 2), k)
     rows = queries.select("query_id", "embedding").toPandas()
     if rows.empty:
         return _final(index.sparkSession.createDataFrame([], _hit_schema(index, queries)), k)
@@ -68,19 +67,23 @@ def cosine_top_k(index: DataFrame, queries: DataFrame, k: int = 20, max_bytes: i
         best = Best(query_ids, k)
         for batch in batches:
             if len(batch):
-                best.add(batch["item_id"].to_numpy(dtype=object), matrix @ unit_rows(batch["embedding"]).T)
+                best.add(matrix, batch["item_id"].to_numpy(dtype=object), unit_rows(batch["embedding"]))
         yield best.frame()
 
     return _final(index.select("item_id", "embedding").mapInPandas(search, _hit_schema(index, queries)), k)
 
 
-def _block_pairs(index: DataFrame, queries: DataFrame, k: int, rows: int = BLOCK_ROWS) -> DataFrame:
-    """Best ``k`` items of every index block for every query, one task per pair of blocks.
+def _n_blocks(vectors: DataFrame, block_bytes: int) -> int:
+    size = vectors.agg(F.sum(F.size("embedding").cast("bigint") * 8)).first()[0] or 0
+    return max(1, -(-size // block_bytes))
 
-    Block numbers are digests of the unique ids, so blocks stay near ``rows`` whatever the data looks like.
+
+def _block_pairs(index: DataFrame, queries: DataFrame, k: int, block_bytes: int) -> DataFrame:
+    """Best ``k`` items of every index block for every query, one group per pair of blocks.
+
+    Block numbers are digests of the unique ids, so blocks stay near their size whatever the data looks like.
     """
-    n_items = max(1, -(-index.count() // rows))
-    n_queries = max(1, -(-queries.count() // rows))
+    n_items, n_queries = _n_blocks(index, block_bytes), _n_blocks(queries, block_bytes)
     items = index.select(
         "item_id",
         "embedding",
@@ -98,7 +101,7 @@ def _block_pairs(index: DataFrame, queries: DataFrame, k: int, rows: int = BLOCK
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "item_id": [], "similarity": []})
         best = Best(right["query_id"].to_numpy(dtype=object), k)
-        best.add(left["item_id"].to_numpy(dtype=object), unit_rows(right["embedding"]) @ unit_rows(left["embedding"]).T)
+        best.add(unit_rows(right["embedding"]), left["item_id"].to_numpy(dtype=object), unit_rows(left["embedding"]))
         return best.frame()
 
     keys = ["item_block", "query_block"]
@@ -140,14 +143,9 @@ def approximate_top_k(
         query_ids, units, codes = block.value
         best = Best(query_ids, k)
         for batch in batches:
-            if not len(batch):
-                continue
-            sims = units @ unit_rows(batch["embedding"]).T
-            item_codes = np.vstack(batch["codes"])
-            shared = np.zeros(sims.shape, dtype=bool)
-            for t in range(item_codes.shape[1]):
-                shared |= codes[:, t][:, None] == item_codes[:, t][None, :]
-            best.add(batch["item_id"].to_numpy(dtype=object), np.where(shared, sims, np.nan))
+            if len(batch):
+                ids = batch["item_id"].to_numpy(dtype=object)
+                best.add(units, ids, unit_rows(batch["embedding"]), codes, np.vstack(batch["codes"]))
         yield best.frame()
 
     near = coded.where(F.arrays_overlap("codes", asked)).select("item_id", "embedding", "codes")

@@ -9,6 +9,9 @@ from fretwork.functions.jsonio import canonical_json
 from fretwork.functions.money import price_tier
 from fretwork.functions.ranking import first_per_key
 
+# Longest list of bought products kept in a customer row.
+LIST_LIMIT = 100_000
+
 
 def dim_products(products: DataFrame) -> DataFrame:
     """One row per (name, price), the lowest id wins; adds the price tier and the list of skill levels."""
@@ -35,6 +38,23 @@ def customer_products(orders: DataFrame) -> DataFrame:
     return orders.select("customer_id", "product_id").distinct()
 
 
+def product_lists(bought: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
+    """Sorted list of bought products per customer; NULL where it would have more than ``limit`` entries.
+
+    Such a customer (a reseller, a shared account) would not fit one row; the bridge table holds all of
+    their products. A NULL product id stays a member of the list.
+    """
+    sizes = bought.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_n"))
+    oversized = sizes.where(F.col("_n") > limit).select("customer_id")
+    lists = (
+        bought.join(oversized, "customer_id", "left_anti")
+        .groupBy("customer_id")
+        .agg(F.sort_array(F.collect_list(F.struct("product_id"))).alias("_products"))
+        .select("customer_id", F.transform("_products", lambda p: p["product_id"]).alias("purchased_product_ids"))
+    )
+    return lists.unionByName(oversized.withColumn("purchased_product_ids", F.lit(None).cast("array<string>")))
+
+
 def customer_stats(orders: DataFrame) -> DataFrame:
     """Order totals per customer.
 
@@ -52,22 +72,17 @@ def customer_stats(orders: DataFrame) -> DataFrame:
     )
 
 
-def dim_customers(customers: DataFrame, orders: DataFrame) -> DataFrame:
+def dim_customers(customers: DataFrame, orders: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
     """Customers with order totals and the sorted list of bought products.
 
-    The list is built from the bridge table, so it is bounded by the catalogue, not by the number of
-    order lines; joins should read ``customer_products`` instead of the list. A NULL product id stays a member.
+    Joins should read ``customer_products`` instead of the list.
     """
-    bought = (
-        customer_products(orders)
-        .groupBy("customer_id")
-        .agg(F.sort_array(F.collect_list(F.struct("product_id"))).alias("_products"))
-        .select("customer_id", F.transform("_products", lambda p: p["product_id"]).alias("purchased_product_ids"))
-    )
+    lists = product_lists(customer_products(orders), list_limit)
     no_products = F.array().cast("array<string>")
+    bought = F.when(F.col("total_orders").isNull(), no_products).otherwise(F.col("purchased_product_ids"))
     return (
         customers.join(customer_stats(orders), "customer_id", "left")
-        .join(bought, "customer_id", "left")
+        .join(lists, "customer_id", "left")
         .select(
             "customer_id",
             "full_name",
@@ -82,7 +97,7 @@ def dim_customers(customers: DataFrame, orders: DataFrame) -> DataFrame:
             F.coalesce(F.col("lifetime_value").cast("double"), F.lit(0.0)).alias("lifetime_value"),
             "last_order_date",
             "first_order_date",
-            F.coalesce("purchased_product_ids", no_products).alias("purchased_product_ids"),
+            bought.alias("purchased_product_ids"),
         )
     )
 

@@ -27,22 +27,25 @@ def read_transcripts(table: DataFrame) -> DataFrame:
     return latest(table, ["session_id", "page_no"], ["updated_at", "batch_id"]).drop("batch_id")
 
 
-def stream_lifecycle(stream: DataFrame, path: str, checkpoint: str) -> None:
+def stream_lifecycle(stream: DataFrame, path: str, checkpoint: str, full_every: int = 50) -> None:
     """Fold lifecycle events into the state table at ``path``, one folder of changed handoffs per batch.
 
     A batch reads the state that earlier batches left for the handoffs it touches and writes their new
-    state under its own number, replacing what a lost attempt of the same batch may have left. Events of
-    one batch count in event order; an event that arrives in a later batch than a move it should have
+    state under its own number, replacing what a lost attempt of the same batch may have left. Every
+    ``full_every`` batches the whole state is written, so that a batch never reads further back than that. Events
+    of one batch count in event order; an event that arrives in a later batch than a move it should have
     preceded no longer undoes that move.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        full = batch_id % full_every == 0
         state = None
         if batch_id > 0:
-            before = spark.read.parquet(path).where(F.col("batch_id") < batch_id)
-            touched = batch.select("handoff_id").distinct()
-            state = latest(before.join(touched, "handoff_id", "left_semi"), ["handoff_id"], ["batch_id"])
+            oldest = (batch_id - 1) // full_every * full_every
+            before = batch.sparkSession.read.parquet(path).where(F.col("batch_id").between(oldest, batch_id - 1))
+            if not full:
+                before = before.join(batch.select("handoff_id").distinct(), "handoff_id", "left_semi")
+            state = latest(before, ["handoff_id"], ["batch_id"])
         fold_lifecycle(batch, state).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     run_available(stream.writeStream.foreachBatch(write), checkpoint)
