@@ -128,6 +128,19 @@ _NEAREST = f"""queries AS (
 _TEXT = """concat_ws('. ', product_name, brand || ' ' || subcategory, description, 'Skill level: ' || skill_level,
              'Use case: ' || use_case, 'Category: ' || category)"""
 
+
+
+def _weights_sql(buckets: int) -> str:
+    return f"""{shop.with_sql("stg_products")},
+  words AS (SELECT product_id, unnest(string_split_regex(lower({_TEXT}), '[^\\p{{L}}\\p{{N}}]+')) AS word FROM stg_products),
+  counts AS (SELECT product_id, CAST('0x' || substr(md5(word), 1, 7) AS BIGINT) % {buckets} AS bucket, count(*) AS tf
+             FROM words WHERE word <> '' GROUP BY ALL),
+  idf AS (SELECT bucket, ln(((SELECT count(*) FROM stg_products) + 1.0) / (count(*) + 1.0)) + 1.0 AS idf
+          FROM counts GROUP BY bucket),
+  raw AS (SELECT product_id, bucket, tf * idf AS w FROM counts JOIN idf USING (bucket)),
+  weights AS (SELECT product_id AS item_id, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY product_id)) AS weight FROM raw)"""
+
+
 ORACLE = {
     "cosine_top20": f"WITH {_NEAREST} SELECT query_id, nth AS rank, item_id, round(s, 6) AS similarity FROM nearest",
     "similar_products": f"""
@@ -148,14 +161,17 @@ ORACLE = {
         AND (r.skill_level IS NULL OR contains(p.skill_level, r.skill_level)) QUALIFY rank <= 3""",
     "embedding_text": shop.with_sql("dim_products")
     + f" SELECT product_id, {_TEXT} AS text, CAST(price AS DOUBLE) AS price, 'product' AS type FROM dim_products",
-    "text_vectors_tfidf": shop.with_sql("stg_products")
-    + f""", words AS (SELECT product_id, unnest(string_split_regex(lower({_TEXT}), '[^\\p{{L}}\\p{{N}}]+')) AS word FROM stg_products),
-      counts AS (SELECT product_id, CAST('0x' || substr(md5(word), 1, 7) AS BIGINT) % 1024 AS bucket, count(*) AS tf
-                 FROM words WHERE word <> '' GROUP BY ALL),
-      idf AS (SELECT bucket, ln(((SELECT count(*) FROM stg_products) + 1.0) / (count(*) + 1.0)) + 1.0 AS idf
-              FROM counts GROUP BY bucket),
-      raw AS (SELECT product_id, bucket, tf * idf AS w FROM counts JOIN idf USING (bucket))
-      SELECT product_id AS item_id, bucket, round(w / sqrt(sum(w * w) OVER (PARTITION BY product_id)), 6) AS weight FROM raw""",
+    "text_vectors_tfidf": _weights_sql(1024) + " SELECT item_id, bucket, round(weight, 6) AS weight FROM weights",
+    "text_search": _weights_sql(128)
+    + f""", items AS (SELECT item_id, bucket, CAST(CAST(weight AS FLOAT) AS DOUBLE) AS w FROM weights),
+      asked AS (SELECT brand, bucket, CAST(CAST(avg(weight) AS FLOAT) AS DOUBLE) AS w
+                FROM weights JOIN stg_products ON product_id = item_id GROUP BY ALL),
+      item_norm AS (SELECT item_id, sqrt(sum(w * w)) AS n FROM items GROUP BY 1),
+      asked_norm AS (SELECT brand, sqrt(sum(w * w)) AS n FROM asked GROUP BY 1),
+      dots AS (SELECT brand, item_id, sum(a.w * i.w) AS d FROM asked a JOIN items i USING (bucket) GROUP BY ALL)
+      SELECT brand AS query_id, item_id, round(d / (a.n * i.n), 6) AS similarity,
+             row_number() OVER (PARTITION BY brand ORDER BY round(d / (a.n * i.n), 12) DESC, item_id) AS rank
+      FROM dots JOIN asked_norm a USING (brand) JOIN item_norm i USING (item_id) QUALIFY rank <= {K}""",
 }
 ORACLE["similar_products"] = (
     "SELECT query_id, rank, item_id, round(s, 6) AS similarity FROM (" + ORACLE["similar_products"] + ")"
