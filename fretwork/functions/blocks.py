@@ -62,12 +62,12 @@ class Best:
             self.ids[q], self.sims[q] = ids[order], values[order]
 
     def frame(self) -> pd.DataFrame:
-        counts = [len(s) for s in self.sims]
+        none = np.empty(0)
         return pd.DataFrame(
             {
-                "query_id": np.repeat(self.query_ids, counts),
-                "item_id": np.concatenate(self.ids) if counts else [],
-                "similarity": np.concatenate(self.sims) if counts else [],
+                "query_id": pd.Series(np.repeat(self.query_ids, [len(s) for s in self.sims]), dtype=object),
+                "item_id": pd.Series(np.concatenate([none, *self.ids]), dtype=object),
+                "similarity": np.concatenate([none, *self.sims]),
             }
         )
 

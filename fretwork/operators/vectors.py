@@ -98,10 +98,9 @@ def _block_pairs(index: DataFrame, queries: DataFrame, k: int, block_bytes: int)
     )
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "item_id": [], "similarity": []})
         best = Best(right["query_id"].to_numpy(dtype=object), k)
-        best.add(unit_rows(right["embedding"]), left["item_id"].to_numpy(dtype=object), unit_rows(left["embedding"]))
+        if len(left) and len(right):
+            best.add(unit_rows(right["embedding"]), left["item_id"].to_numpy(dtype=object), unit_rows(left["embedding"]))
         return best.frame()
 
     keys = ["item_block", "query_block"]
