@@ -9,14 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
-SETTINGS = {
+# Settings that a running session can take. A hot join key is split even where that costs one more shuffle,
+# and sessions of a hot key are merged in each task before the shuffle.
+SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.ui.enabled": "false",
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
+SETTINGS = {**SQL_SETTINGS, "spark.ui.enabled": "false"}
+
+
+def apply_settings(spark: SparkSession) -> None:
+    """Bring a session that was made elsewhere to the settings above."""
+    for key, value in SQL_SETTINGS.items():
+        spark.conf.set(key, value)
 
 
 def build_session(
