@@ -38,6 +38,7 @@ def stream_lifecycle(stream: DataFrame, path: str, checkpoint: str, full_every:
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # read once per kind of move
         full = batch_id % full_every == 0
         state = None
         if batch_id > 0:
@@ -47,6 +48,7 @@ def stream_lifecycle(stream: DataFrame, path: str, checkpoint: str, full_every:
                 before = before.join(batch.select("handoff_id").distinct(), "handoff_id", "left_semi")
             state = latest(before, ["handoff_id"], ["batch_id"])
         fold_lifecycle(batch, state).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch.unpersist()
 
     run_available(stream.writeStream.foreachBatch(write), checkpoint)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Skill levels and use cases of the catalogue.
+# Skill levels, instruments and use cases of the shop.
 SKILL_LEVELS = [
     "beginner",
     "beginner-intermediate",
@@ -18,6 +18,7 @@ SKILL_LEVELS = [
     "advanced",
     "beginner-advanced",
 ]
+INSTRUMENTS = ["guitar", "drums", "keys", "vocals"]
 USE_CASES = ["practice", "live performance", "studio recording", "home studio"]
 
 HANDOFF_PRIORITY = {
@@ -150,22 +151,20 @@ def priority() -> Column:
 
 
 def agent_handoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The app's queue table: one row per order, joined to its customer."""
-    orders = table(spark, sf_dir, "orders")
-    customers = raw_customers(spark, sf_dir).withColumnRenamed("customer_id", "_customer")
+    """The app's queue table: one row per order."""
     statuses = [F.lit(x) for item in HANDOFF_STATUS.items() for x in item]
     status = F.element_at(F.create_map(*statuses), F.col("o_orderstatus"))
-    claimed = F.when(F.col("o_orderstatus") != "O", F.concat(F.lit("Engineer "), (F.col("o_custkey") % 7).cast("string")))
-    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    key, cust, total = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_totalprice")
+    claimed = F.when(F.col("o_orderstatus") != "O", F.concat(F.lit("Engineer "), (cust % 7).cast("string")))
     ids = F.concat(F.lit('["'), product_key(cust), F.lit('","'), product_key(F.floor(key / 10)), F.lit('"]'))
-    return orders.join(customers, customer_key(cust) == F.col("_customer"), "left").select(
+    return table(spark, sf_dir, "orders").select(
         F.concat(F.lit("H"), key.cast("string")).alias("handoff_id"),
         F.concat(F.lit("S"), cust.cast("string")).alias("session_id"),
-        F.col("last_name").alias("customer_name"),
-        "skill_level",
-        "primary_instrument",
-        "use_case",
-        "budget_range",
+        F.when(cust % 10 != 0, F.concat(F.lit("Customer "), cust.cast("string"))).alias("customer_name"),
+        pick(SKILL_LEVELS, cust).alias("skill_level"),
+        pick(INSTRUMENTS, cust).alias("primary_instrument"),
+        pick(USE_CASES, cust).alias("use_case"),
+        F.when(total < 100000, "0-500").when(total < 300000, "500-2000").otherwise("2000+").alias("budget_range"),
         F.when(F.col("o_orderpriority") == "5-LOW", F.lit("")).otherwise(F.lit("old amp")).alias("existing_gear"),
         F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.lit("not json")).otherwise(ids).alias(
             "recommended_products"
@@ -241,7 +240,12 @@ CTE = {
   FROM lineitem GROUP BY l_partkey)""",
     "agent_handoffs": f"""agent_handoffs AS (
   SELECT 'H' || CAST(o_orderkey AS VARCHAR) AS handoff_id, 'S' || CAST(o_custkey AS VARCHAR) AS session_id,
-         c.last_name AS customer_name, c.skill_level, c.primary_instrument, c.use_case, c.budget_range,
+         CASE WHEN o_custkey % 10 <> 0 THEN 'Customer ' || CAST(o_custkey AS VARCHAR) END AS customer_name,
+         {_sql_list(SKILL_LEVELS)}[o_custkey % 6 + 1] AS skill_level,
+         {_sql_list(INSTRUMENTS)}[o_custkey % 4 + 1] AS primary_instrument,
+         {_sql_list(USE_CASES)}[o_custkey % 4 + 1] AS use_case,
+         CASE WHEN o_totalprice < 100000 THEN '0-500' WHEN o_totalprice < 300000 THEN '500-2000' ELSE '2000+'
+         END AS budget_range,
          CASE WHEN o_orderpriority = '5-LOW' THEN '' ELSE 'old amp' END AS existing_gear,
          CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'not json'
               ELSE '["' || {sql_product_key("o_custkey")} || '","' || {sql_product_key("o_orderkey // 10")} || '"]'
@@ -252,13 +256,12 @@ CTE = {
          CASE WHEN o_orderstatus <> 'O' THEN 'Engineer ' || CAST(o_custkey % 7 AS VARCHAR) END AS claimed_by,
          CASE WHEN o_orderstatus <> 'O' THEN o_orderdate END AS claimed_at,
          o_orderdate AS created_at
-  FROM orders LEFT JOIN raw_customers c ON {sql_customer_key("o_custkey")} = c.customer_id)""",
+  FROM orders)""",
 }
 
 _NEEDS = {
     "stg_products": ["raw_products"],
     "dim_products": ["raw_products", "stg_products"],
-    "agent_handoffs": ["raw_customers"],
 }
 
 
