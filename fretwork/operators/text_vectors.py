@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fretwork.session import materialize
+
 
 def embedding_text() -> Column:
     """The parts of a product in reading order, joined by ". "; blank parts are left out."""
@@ -19,34 +21,44 @@ def embedding_text() -> Column:
     return F.array_join(F.filter(parts, lambda p: F.coalesce(F.trim(p), F.lit("")) != ""), ". ")
 
 
+def term_counts(texts: DataFrame, buckets: int) -> DataFrame:
+    """Words per item and hash bucket: item_id, bucket, tf."""
+    words = texts.select("item_id", F.explode(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+")).alias("word"))
+    digest = F.conv(F.substring(F.md5("word"), 1, 7), 16, 10).cast("bigint")
+    hashed = words.where("word <> ''").select("item_id", (digest % buckets).alias("bucket"))
+    return hashed.groupBy("item_id", "bucket").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def term_weights(texts: DataFrame, buckets: int = 1024) -> DataFrame:
     """Unit-length tf-idf vectors in long form: item_id, bucket, weight.
 
-    ``texts``: item_id, text. Words are hashed into ``buckets`` positions. All steps are aggregations with
-    a map-side part: a frequent word costs one partial row per task, and the document counts join
-    as a table of at most ``buckets`` rows.
+    ``texts``: item_id, text. Words are hashed into ``buckets`` positions, so an item has at most that many rows. All
+    steps are aggregations with a map-side part: a frequent word costs one partial row per task. The
+    document counts join as a table of at most ``buckets`` rows.
     """
-    words = texts.select("item_id", F.explode(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+")).alias("word")).where("word <> ''")
-    digest = F.conv(F.substring(F.md5("word"), 1, 7), 16, 10).cast("bigint")
-    counts = (
-        words.select("item_id", (digest % buckets).alias("bucket"))
-        .groupBy("item_id", "bucket")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    counts = materialize(term_counts(texts, buckets), "term_counts")
     n_items = texts.count()
     per_bucket = counts.groupBy("bucket").agg(F.count(F.lit(1)).alias("df"))
     idf = per_bucket.select("bucket", (F.log(F.lit(n_items + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
-    raw = counts.join(F.broadcast(idf), "bucket").select("item_id", "bucket", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = raw.groupBy("item_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, "item_id").select("item_id", "bucket", (F.col("w") / F.col("norm")).alias("weight"))
+    raw = counts.join(F.broadcast(idf), "bucket").withColumn("_w", F.col("tf") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("item_id")))
+    return raw.select("item_id", "bucket", (F.col("_w") / norm).alias("weight"))
 
 
 def dense_vectors(weights: DataFrame, buckets: int = 1024) -> DataFrame:
-    """The same vectors as arrays (item_id, embedding); a group holds at most ``buckets`` rows."""
-    entries = F.map_from_entries(F.collect_list(F.struct("bucket", F.col("weight").cast("float"))))
-    packed = weights.groupBy("item_id").agg(entries.alias("m"))
-    positions = F.sequence(F.lit(0), F.lit(buckets - 1)).cast("array<bigint>")
+    """The same vectors as arrays (item_id, embedding); a group holds at most ``buckets`` rows.
+
+    Each entry is preceded by the zeros since the entry before it.
+    """
+    entries = F.sort_array(F.collect_list(F.struct("bucket", F.col("weight").cast("float").alias("weight"))))
+    packed = weights.groupBy("item_id").agg(entries.alias("e"))
     zero = F.lit(0.0).cast("float")
-    return packed.select(
-        "item_id", F.transform(positions, lambda i: F.coalesce(F.try_element_at("m", i), zero)).alias("embedding")
-    )
+
+    def run(entry: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.try_element_at(F.col("e"), i)["bucket"]).otherwise(F.lit(-1))
+        gap = (entry["bucket"] - before - 1).cast("int")
+        return F.concat(F.array_repeat(zero, gap), F.array(entry["weight"]))
+
+    rest = (F.lit(buckets - 1) - F.element_at("e", -1)["bucket"]).cast("int")
+    filled = F.flatten(F.transform("e", run))
+    return packed.select("item_id", F.concat(filled, F.array_repeat(zero, rest)).alias("embedding"))

@@ -53,9 +53,11 @@ def cosine_top_k(index: DataFrame, queries: DataFrame, k: int = 20, max_bytes: i
     ``index``: item_id, embedding; ``queries``: query_id, embedding. A query set of proven small size is
     broadcast and the index is only streamed through. A larger one is worked off in block pairs.
     """
-    if not fits_in_block(queries, max_bytes):
-        return _final(_block_pairs(index, queries, k, max_bytes // 2), k)
-    rows = queries.select("query_id", "embedding").toPandas()
+    asked = queries.select("query_id", "embedding").persist()
+    if not fits_in_block(asked, max_bytes):
+        return _final(_block_pairs(index, asked, k, max_bytes // 2), k)
+    rows = asked.toPandas()
+    asked.unpersist()
     if rows.empty:
         return _final(index.sparkSession.createDataFrame([], _hit_schema(index, queries)), k)
     block = index.sparkSession.sparkContext.broadcast(
