@@ -42,6 +42,11 @@ def optional_contains(text: Column, *cols: Column) -> Column:
     return is_blank(text) | hit
 
 
+def levels_overlap(levels: Column, wanted: Column) -> Column:
+    """True when a list of skill levels and a wanted range ("beginner-advanced") share a level."""
+    return F.arrays_overlap(levels, F.split(wanted, "\\-"))
+
+
 def or_default(col: Column, default: str) -> Column:
     """Display value: NULL and the empty string become ``default``."""
     return F.when(is_blank(col), F.lit(default)).otherwise(col)

@@ -34,12 +34,12 @@ def create_staging_views(raw: dict[str, DataFrame]) -> None:
         view.createOrReplaceTempView(f"stg_{name}")
 
 
-def build(spark: SparkSession, data_dir: str, out_dir: str, replace: bool = True) -> DataFrame:
+def build(spark: SparkSession, data_dir: str, out_dir: str, replace: bool = True, multi_line: bool = True) -> DataFrame:
     """Load the raw files and write the marts and the quarantine tables; returns the load audit.
 
     ``replace=False`` leaves marts that are already there untouched.
     """
-    audit = load_raw(spark, data_dir, out_dir)
+    audit = load_raw(spark, data_dir, out_dir, multi_line=multi_line)
     raw = raw_tables(spark, out_dir)
     mode = "overwrite" if replace else "ignore"
     for name, df in mart_frames(raw).items():

@@ -21,9 +21,12 @@ CASTS = {
 JSON_COLUMNS = {"se_handoffs": ["customer_snapshot", "recommended_products"]}
 
 
-def read_csv(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A raw file (or a folder of its parts) as text columns; quotes inside a cell are doubled."""
-    return spark.read.schema(RAW[name]).csv(path, header=True, quote='"', escape='"', multiLine=True)
+def read_csv(spark: SparkSession, path: str, name: str, multi_line: bool = True) -> DataFrame:
+    """A raw file (or a folder of its parts) as text columns; quotes inside a cell are doubled.
+
+    ``multi_line=False`` lets Spark split a large file, for files without line breaks inside a cell.
+    """
+    return spark.read.schema(RAW[name]).csv(path, header=True, quote='"', escape='"', multiLine=multi_line)
 
 
 def write_csv(df: DataFrame, path: str, name: str) -> None:
@@ -49,7 +52,9 @@ def rejected_rows(raw: DataFrame, name: str) -> DataFrame:
     return raw.withColumn("rejected_column", reject_reason(name)).where(F.col("rejected_column").isNotNull())
 
 
-def load_raw(spark: SparkSession, data_dir: str, out_dir: str, names: list[str] | None = None) -> DataFrame:
+def load_raw(
+    spark: SparkSession, data_dir: str, out_dir: str, names: list[str] | None = None, multi_line: bool = True
+) -> DataFrame:
     """Load every declared file into ``raw_<name>`` tables; returns (table_name, row_count).
 
     The counts are observed while the rows are written: no second pass over the data.
@@ -57,7 +62,7 @@ def load_raw(spark: SparkSession, data_dir: str, out_dir: str, names: list[str]
     counts = []
     for name in sorted(names or RAW):
         seen = Observation(f"load_{name}")
-        rows = read_csv(spark, f"{data_dir}/{name}.csv", name).observe(seen, F.count(F.lit(1)).alias("n"))
+        rows = read_csv(spark, f"{data_dir}/{name}.csv", name, multi_line).observe(seen, F.count(F.lit(1)).alias("n"))
         rows.write.mode("overwrite").parquet(f"{out_dir}/raw_{name}")
         counts.append((f"raw_{name}", int(seen.get["n"])))
     return spark.createDataFrame(counts, "table_name string, row_count bigint")

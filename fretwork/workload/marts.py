@@ -6,8 +6,12 @@ from pyspark.sql import functions as F
 
 from fretwork.functions.jsonio import customer_snapshot, id_list
 from fretwork.functions.money import price_tier
-from fretwork.plans import marts, staging
+from fretwork.functions.text import levels_overlap
+from fretwork.plans import marts, staging, warehouse
+from fretwork.schemas import RAW
+from fretwork.session import scratch_dir
 from fretwork.sources.catalog import generate_catalog
+from fretwork.sources.raw_files import read_csv, write_csv
 from fretwork.workload import shop
 
 TABLES = [
@@ -59,6 +63,33 @@ def skill_array(spark, sf_dir):
     )
 
 
+def skill_overlap(spark, sf_dir):
+    """Products of each skill range that suit an intermediate or advanced player."""
+    suits = levels_overlap(F.col("skill_levels_array"), F.lit("intermediate-advanced"))
+    products = _dim_products(spark, sf_dir)
+    return products.groupBy("skill_level").agg(F.count(F.lit(1)).alias("n_products"), F.count_if(suits).alias("n_suitable"))
+
+
+def csv_round_trip(spark, sf_dir):
+    """Raw products written as CSV with a header and read back under the declared schema."""
+    path = scratch_dir(spark, "products_csv")
+    write_csv(shop.raw_products(spark, sf_dir), path, "products")
+    rows = read_csv(spark, path, "products")
+    return rows.withColumn("manufacturer_url", F.coalesce("manufacturer_url", F.lit("")))
+
+
+def warehouse_build(spark, sf_dir):
+    """All raw files written as CSV, loaded, staged and built to marts: rows per table."""
+    data, out = scratch_dir(spark, "raw"), scratch_dir(spark, "warehouse")
+    for name in RAW:
+        write_csv(getattr(shop, f"raw_{name}")(spark, sf_dir), f"{data}/{name}.csv", name)
+    audit = warehouse.build(spark, data, out, multi_line=False)
+    for name in warehouse.MARTS:
+        rows = warehouse.read_mart(spark, out, name).agg(F.count(F.lit(1)).alias("row_count"))
+        audit = audit.unionByName(rows.select(F.lit(name).alias("table_name"), "row_count"))
+    return audit
+
+
 def price_tiers(spark, sf_dir):
     price = F.col("o_totalprice").cast("decimal(12,2)")
     bounds = [(50000, "budget"), (150000, "entry"), (400000, "mid-range")]
@@ -145,6 +176,9 @@ QUERIES = {
     "stg_orders_typed": stg_orders_typed,
     "dim_products_dedup": dim_products_dedup,
     "skill_array": skill_array,
+    "skill_overlap": skill_overlap,
+    "csv_round_trip": csv_round_trip,
+    "warehouse_build": warehouse_build,
     "price_tiers": price_tiers,
     "dim_customers_mart": dim_customers_mart,
     "returned_order_stats": returned_order_stats,
@@ -194,6 +228,18 @@ ORACLE = {
     "skill_array": shop.with_sql("dim_products")
     + """ SELECT product_id, len(skill_levels_array) AS n_levels,
                  array_to_string(skill_levels_array, '|') AS levels FROM dim_products""",
+    "skill_overlap": shop.with_sql("dim_products")
+    + """ SELECT skill_level, count(*) AS n_products, count(*) FILTER (
+             list_contains(skill_levels_array, 'intermediate') OR list_contains(skill_levels_array, 'advanced')) AS n_suitable
+          FROM dim_products GROUP BY skill_level""",
+    "csv_round_trip": shop.with_sql("raw_products") + " SELECT * FROM raw_products",
+    "warehouse_build": shop.with_sql("dim_products")
+    + """ SELECT * FROM (VALUES ('raw_products', (SELECT count(*) FROM part)), ('raw_customers', (SELECT count(*) FROM customer)),
+             ('raw_orders', (SELECT count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))),
+             ('raw_inventory', (SELECT count(DISTINCT l_partkey) FROM lineitem)),
+             ('raw_se_handoffs', (SELECT count(*) FROM orders)), ('dim_products', (SELECT count(*) FROM dim_products)),
+             ('dim_customers', (SELECT count(*) FROM customer)), ('fct_recommendations', (SELECT count(*) FROM orders)),
+             ('inventory', (SELECT count(DISTINCT l_partkey) FROM lineitem))) t(table_name, row_count)""",
     "price_tiers": """
       SELECT CASE WHEN p < 50000 THEN 'budget' WHEN p < 150000 THEN 'entry' WHEN p < 400000 THEN 'mid-range'
                   ELSE 'premium' END AS price_tier, count(*) AS n_orders, CAST(sum(p) AS DOUBLE) AS total

@@ -8,6 +8,7 @@ from fretwork.operators import text_vectors, vectors
 from fretwork.operators.search import catalog_search
 from fretwork.plans import marts, staging
 from fretwork.session import materialize
+from fretwork.sources.keyed import upsert
 from fretwork.workload import search, shop
 
 DIMENSION = 64
@@ -70,6 +71,20 @@ def search_hybrid(spark, sf_dir):
     return search._result(catalog_search(search.catalog_mart(spark, sf_dir), requests, nearest))
 
 
+def vector_upsert(spark, sf_dir):
+    """The index after half of the labels were embedded anew: one row per item, the new vector where there is one."""
+    rows = shop.table(spark, sf_dir, "embeddings")
+    old = rows.select(shop.product_key(F.col("vec_id")).alias("item_id"), "embedding", F.lit(1).alias("version"))
+    anew = rows.where("label >= 5").select(
+        shop.product_key(F.col("vec_id")).alias("item_id"),
+        F.transform("embedding", lambda x: -x).alias("embedding"),
+        F.lit(2).alias("version"),
+    )
+    index = upsert(upsert(old, anew, ["item_id"], ["version"]), anew, ["item_id"], ["version"])
+    first = F.element_at("embedding", 1).cast("double")
+    return index.select("item_id", "version", F.round(first, 6).alias("first"), F.size("embedding").cast("bigint").alias("n"))
+
+
 def embedding_text(spark, sf_dir):
     products = marts.dim_products(staging.stg_products(shop.raw_products(spark, sf_dir)))
     meta = vectors.vector_metadata()
@@ -109,6 +124,7 @@ QUERIES = {
     "similar_products": similar_products,
     "ann_recall": ann_recall,
     "search_hybrid": search_hybrid,
+    "vector_upsert": vector_upsert,
     "embedding_text": embedding_text,
     "text_vectors_tfidf": text_vectors_tfidf,
     "text_search": text_search,
@@ -159,6 +175,10 @@ ORACLE = {
       FROM requests r JOIN nearest n ON n.query_id = r.request_id JOIN dim_products p ON p.product_id = n.item_id
       WHERE p.in_stock AND p.price >= r.min_price
         AND (r.skill_level IS NULL OR contains(p.skill_level, r.skill_level)) QUALIFY rank <= 3""",
+    "vector_upsert": f"""
+      SELECT {shop.sql_product_key("vec_id")} AS item_id, CASE WHEN label >= 5 THEN 2 ELSE 1 END AS version,
+             round(CAST(CASE WHEN label >= 5 THEN -embedding[1] ELSE embedding[1] END AS DOUBLE), 6) AS first,
+             len(embedding) AS n FROM embeddings""",
     "embedding_text": shop.with_sql("dim_products")
     + f" SELECT product_id, {_TEXT} AS text, CAST(price AS DOUBLE) AS price, 'product' AS type FROM dim_products",
     "text_vectors_tfidf": _weights_sql(1024) + " SELECT item_id, bucket, round(weight, 6) AS weight FROM weights",
