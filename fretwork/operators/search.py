@@ -48,22 +48,28 @@ def normalize_requests(requests: DataFrame) -> DataFrame:
     return requests.select("request_id", *texts, *prices)
 
 
+def grams_of(text: Column, n: int) -> Column:
+    """All runs of ``n`` characters; a text without that many gives itself cut short."""
+    last = F.greatest(F.length(text) - (n - 1), F.lit(1))
+    return F.transform(F.sequence(F.lit(1), last), lambda i: text.substr(i, F.lit(n)))
+
+
 def contains_matches(patterns: DataFrame, values: DataFrame) -> DataFrame:
     """Rows (field, pattern, value) where the text of a value contains the pattern, ignoring case.
 
     ``patterns``: field and distinct lower-case pattern; ``values``: field, value, text. A pattern is looked up
-    by its first ``GRAM`` characters among all grams of the values and then checked in full. The empty
-    pattern stands for "no filter" and pairs with the empty value.
+    by that of its grams which the fewest values have, and then checked in full; patterns that all start
+    alike do not meet all values that way. The empty pattern stands for "no filter" and pairs with the
+    empty value.
     """
     text = F.lower("text")
-
-    def grams_of(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: text.substr(i, F.lit(n)))
-
-    grams = F.array_distinct(F.concat(*[grams_of(n) for n in range(1, GRAM + 1)]))
-    by_gram = values.select("field", "value", text.alias("_text"), F.explode(grams).alias("_gram"))
-    asked = patterns.where("pattern <> ''").select("field", "pattern", F.substring("pattern", 1, GRAM).alias("_gram"))
-    hits = asked.join(by_gram, ["field", "_gram"]).where(F.contains("_text", F.col("pattern")))
+    every = F.array_distinct(F.concat(*[grams_of(text, n) for n in range(1, GRAM + 1)]))
+    by_gram = values.select("field", "value", text.alias("_text"), F.explode(every).alias("_gram"))
+    spread = by_gram.groupBy("field", "_gram").agg(F.count(F.lit(1)).alias("_n"))
+    asked = patterns.where("pattern <> ''").select("field", "pattern", F.explode(grams_of(F.col("pattern"), GRAM)).alias("_gram"))
+    rarest = F.min(F.struct(F.coalesce("_n", F.lit(0)), "_gram"))["_gram"].alias("_gram")
+    keyed = asked.join(spread, ["field", "_gram"], "left").groupBy("field", "pattern").agg(rarest)
+    hits = keyed.join(by_gram, ["field", "_gram"]).where(F.contains("_text", F.col("pattern")))
     blank = patterns.where("pattern = ''").select("field", "pattern", F.lit("").alias("value"))
     return hits.select("field", "pattern", "value").unionByName(blank).distinct()
 

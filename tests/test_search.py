@@ -8,7 +8,7 @@ from decimal import Decimal
 import pytest
 
 from fretwork.operators.browse import browse, product_details, products_by_ids
-from fretwork.operators.search import catalog_search
+from fretwork.operators.search import catalog_search, contains_matches
 
 CATALOG = (
     "product_id string, product_name string, brand string, category string, subcategory string, price decimal(10,2),"
@@ -140,3 +140,12 @@ def test_lookups(spark):
     stock = spark.createDataFrame([("P0001", 4)], "product_id string, quantity int")
     cards = products_by_ids(catalog, stock, lists).orderBy("position").collect()
     assert [(c.list_id, c.product_id, c.quantity) for c in cards] == [(1, "P0002", None), (1, "P0001", 4)]
+
+
+def test_contains_matches_with_many_like_patterns(spark):
+    texts = [f"Brand#{i}" for i in range(60)] + ["", "a", "Ab", "abc ABC"]
+    patterns = [f"brand#{i}" for i in range(0, 70, 3)] + ["", "a", "b", "ab", "bc a", "#5", "nd#5", "zzz", "abc abcd"]
+    values = spark.createDataFrame([("f", t, t) for t in texts] + [("g", "x", "brand#1")], "field string, value string, text string")
+    asked = spark.createDataFrame([("f", p) for p in patterns], "field string, pattern string")
+    got = {(r.pattern, r.value) for r in contains_matches(asked, values).collect()}
+    assert got == {(p, t) for p in patterns for t in texts if p and p in t.lower()} | {("", "")}
