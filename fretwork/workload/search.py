@@ -83,7 +83,7 @@ CANDIDATES_SQL = """, candidates AS (
 
 
 def _result(hits):
-    return hits.withColumn("price", F.col("price").cast("double"))
+    return hits.withColumns({"rank": F.col("rank").cast("bigint"), "price": F.col("price").cast("double")})
 
 
 def search_target_price(spark, sf_dir):
@@ -139,7 +139,7 @@ def browse_by_category(spark, sf_dir):
     hits = browsing.browse(
         catalog_mart(spark, sf_dir), inventory_mart(spark, sf_dir), browse_requests(spark, sf_dir), hidden_text="widget"
     )
-    return hits.withColumn("price", F.col("price").cast("double"))
+    return _result(hits)
 
 
 def product_details_lookup(spark, sf_dir):

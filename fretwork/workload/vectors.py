@@ -32,7 +32,8 @@ def queries(spark, sf_dir):
 
 
 def _rounded(hits):
-    return hits.select("query_id", "rank", "item_id", F.round("similarity", 6).alias("similarity"))
+    rank = F.col("rank").cast("bigint").alias("rank")
+    return hits.select("query_id", rank, "item_id", F.round("similarity", 6).alias("similarity"))
 
 
 def cosine_top20(spark, sf_dir):
