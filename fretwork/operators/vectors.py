@@ -125,20 +125,30 @@ def with_hash_codes(index: DataFrame, dimension: int, tables: int = 16, bits: in
 
 
 def approximate_top_k(
-    coded: DataFrame, queries: DataFrame, dimension: int, k: int = 20, tables: int = 16, bits: int = 4, seed: int = 7
+    coded: DataFrame,
+    queries: DataFrame,
+    dimension: int,
+    k: int = 20,
+    tables: int = 16,
+    bits: int = 4,
+    seed: int = 7,
+    max_bytes: int = MAX_BLOCK_BYTES,
 ) -> DataFrame:
     """Nearest items among those that share a hash code with the query in at least one table.
 
-    Only rows with some asked code leave the scan; they are scored exactly. ``queries`` must be of bounded size.
+    Only rows with some asked code leave the scan; they are scored exactly. Queries beyond one block of
+    proven size ask for nearly every code, so they get the exact search in block pairs instead.
     """
-    if not fits_in_block(queries):
-        raise ValueError("too many queries for one block: split them and search in turn")
-    rows = queries.select("query_id", "embedding").toPandas()
+    asked = queries.select("query_id", "embedding").persist()
+    if not fits_in_block(asked, max_bytes):
+        return cosine_top_k(coded, asked, k, max_bytes)
+    rows = asked.toPandas()
+    asked.unpersist()
     planes = hash_planes(dimension, tables, bits, seed)
     matrix = unit_rows(rows["embedding"])
     query_codes = hash_codes(matrix, planes, tables, bits)
     block = coded.sparkSession.sparkContext.broadcast((rows["query_id"].to_numpy(dtype=object), matrix, query_codes))
-    asked = F.array(*[F.lit(int(c)) for c in np.unique(query_codes)])
+    wanted = F.array(*[F.lit(int(c)) for c in np.unique(query_codes)])
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         query_ids, units, codes = block.value
@@ -149,7 +159,7 @@ def approximate_top_k(
                 best.add(units, ids, unit_rows(batch["embedding"]), codes, np.vstack(batch["codes"]))
         yield best.frame()
 
-    near = coded.where(F.arrays_overlap("codes", asked)).select("item_id", "embedding", "codes")
+    near = coded.where(F.arrays_overlap("codes", wanted)).select("item_id", "embedding", "codes")
     return _final(near.mapInPandas(search, _hit_schema(coded, queries)), k)
 
 

@@ -68,6 +68,8 @@ def test_hash_index_finds_identical_vectors_and_scores_exactly(spark, tmp_path):
     vectors.with_hash_codes(index, 8).write.partitionBy("cell").parquet(str(tmp_path / "index"))
     hits = vectors.approximate_top_k(spark.read.parquet(str(tmp_path / "index")), queries, 8, 5)
     assert lists(hits)[3] == [f"P{i:04d}" for i in range(100, 105)]
+    many = vectors.approximate_top_k(spark.read.parquet(str(tmp_path / "index")), queries, 8, 5, max_bytes=500)
+    assert lists(many) == brute(items, asked, 5)
     exact = {(r.query_id, r.item_id): r.similarity for r in vectors.cosine_top_k(index, queries, 300).collect()}
     assert all(exact[r.query_id, r.item_id] == pytest.approx(r.similarity, abs=1e-9) for r in hits.collect())
 
