@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fretwork.session import apply_settings
@@ -49,10 +52,41 @@ def same_row(left: DataFrame, right: DataFrame, *names: str) -> Column:
     return condition
 
 
-def without(docs: DataFrame, decided: DataFrame, text: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose (doc_id, row key) is not among ``decided`` (doc_id, _row); columns unchanged."""
-    keyed = docs.withColumn("_row", row_key(text))
-    return keyed.join(decided, same_row(keyed, decided, "doc_id", "_row"), "left_anti").drop("_row")
+def without(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id and row key are not in ``decided`` (doc_id, _row); columns unchanged."""
+    return docs.join(decided, _is_row(docs, decided), "left_anti")
+
+
+def _is_row(docs: DataFrame, keys: DataFrame) -> Column:
+    return docs["doc_id"].eqNullSafe(keys["doc_id"]) & (F.xxhash64(docs["text"]) == keys["_row"])
+
+
+def numbered(docs: DataFrame, repeated: DataFrame, number: str) -> DataFrame:
+    """``docs`` with a column that counts the rows of one doc_id and text from 1.
+
+    Only the rows named in ``repeated`` (doc_id, _row), those that stand more than once, are gathered for that.
+    """
+    lone = without(docs, repeated).withColumn(number, F.lit(1))
+    again = docs.join(repeated, _is_row(docs, repeated), "left_semi")
+    order = Window.partitionBy("doc_id", row_key()).orderBy(F.to_json(F.struct(*[F.col(c) for c in docs.columns if c != "text"])))
+    return lone.unionByName(again.withColumn(number, F.row_number().over(order)))
+
+
+def map_text(rows: DataFrame, made: str, compute: Callable[[list], list]) -> DataFrame:
+    """``rows`` with new columns ``made`` (DDL) in place of text; ``compute`` takes a list of texts, returns one array each.
+
+    The other columns pass as they are, also nulls and long integers.
+    """
+    kept = [c for c in rows.columns if c != "text"]
+    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema] + [made])
+    names = kept + [part.split()[0] for part in made.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = compute(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *map(pa.array, new)], names)
+
+    return rows.mapInArrow(run, ddl)
 
 
 def lower_ascii(column: Column) -> Column:
@@ -124,3 +158,20 @@ def word_hashes(texts, block: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     if not counts:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(hashes), np.concatenate(counts)
+
+
+def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 1024) -> int | None:
+    """The ``k``-th largest value of a long column, by counting in ever finer bins: no sort, at most ``bins`` counts here."""
+    low, high = rows.agg(F.min(column), F.max(column)).first()
+    if low is None:
+        return None
+    while low < high:
+        width = (high - low) // bins + 1
+        bin_of = F.expr(f"({column} - ({low}L)) div {width}L").alias("bin")
+        counts = rows.where(F.col(column).between(low, high)).groupBy(bin_of).agg(F.count(F.lit(1)).alias("n")).collect()
+        for at, n in sorted(((r["bin"], r["n"]) for r in counts), reverse=True):
+            if k <= n or at == min(r["bin"] for r in counts):
+                low, high = low + at * width, min(high, low + (at + 1) * width - 1)
+                break
+            k -= n
+    return low

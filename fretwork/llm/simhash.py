@@ -23,10 +23,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fretwork.llm.common import partitions, prepare, row_key, same_row, table, without
+from fretwork.llm.common import map_text, numbered, partitions, prepare, row_key, table, without
 from fretwork.llm.components import connected
 from fretwork.session import materialize
 
@@ -61,13 +61,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, _row, fp) per row of ``docs``; fp holds the 64 bits as a signed long."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            codes = np.array([fingerprint(t, shingle) for t in frame.pop("text")], np.uint64)
-            yield frame.assign(fp=codes.view(np.int64))
+    def codes(texts: list) -> list:
+        return [np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)]
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("_row"), "text")
-    return rows.mapInPandas(run, "doc_id long, _row long, fp long")
+    return map_text(rows, "fp long", codes)
 
 
 def block_masks(radius: int) -> list[int]:
@@ -211,15 +209,9 @@ def one_per_group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS)
     best = keys["doc_id"].eqNullSafe(keys["best.doc_id"]) & keys["_row"].eqNullSafe(keys["best._row"])
     same = keys.select("doc_id", "_row", best.alias("stays")).groupBy("doc_id", "_row", "stays").agg(F.count(F.lit(1)).alias("rows"))
     same = materialize(same, "simhash-decisions")
-    # A kept row that stands more than once in the table is taken out with the others, and put back once.
-    kept = without(docs, same.where("not stays or rows > 1").select("doc_id", "_row"))
-    keyed = docs.withColumn("_row", row_key())
-    again = same.where("stays and rows > 1").select("doc_id", "_row")
-    repeated = keyed.join(again, same_row(keyed, again, "doc_id", "_row"), "left_semi")
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    once = Window.partitionBy("doc_id", "_row").orderBy(*[F.col(c) for c in others] or [F.lit(0)])
-    back = repeated.withColumn("_n", F.row_number().over(once)).where("_n = 1")
-    return kept.unionByName(back.select(*docs.columns))
+    kept = without(docs, same.where("not stays").select("doc_id", "_row"))
+    repeated = same.where("stays and rows > 1").select("doc_id", "_row")
+    return numbered(kept, repeated, "__copy").where("__copy = 1").drop("__copy")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
