@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
-from fretwork.llm import simhash
+from fretwork.llm import decontamination, html_text, language, lines, mixing, neighbours, quality, sharding, simhash, token_files
 
 QUERIES = {
+    "op1_language_mixture": language.query,
+    "op2_line_dedup": lines.query,
+    "op3_ring_shards": sharding.query,
+    "op4_token_files": token_files.query,
+    "op5_quality_resampling": quality.query,
+    "op6_page_text": html_text.query,
+    "op7_source_mixture": mixing.query,
+    "op8_benchmark_overlap": decontamination.query,
+    "op9_nearest_vectors": neighbours.query,
     "op10_simhash_groups": simhash.query,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op2_line_dedup": lines.SQL,
+    "op7_source_mixture": mixing.SQL,
+    "op8_benchmark_overlap": decontamination.SQL,
+}
