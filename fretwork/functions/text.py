@@ -42,9 +42,22 @@ def optional_contains(text: Column, *cols: Column) -> Column:
     return is_blank(text) | hit
 
 
+# The skill levels in ascending order.
+LEVELS = ["beginner", "intermediate", "advanced"]
+
+
+def _level_range(levels: Column) -> tuple[Column, Column]:
+    """Lowest and highest position that a range names; NULL where it names no known level."""
+    known = F.array(*[F.lit(x) for x in LEVELS])
+    places = F.filter(F.transform(F.split(F.lower(levels), "\\-"), lambda x: F.array_position(known, F.trim(x))), lambda p: p > 0)
+    return F.array_min(places), F.array_max(places)
+
+
 def levels_overlap(levels: Column, wanted: Column) -> Column:
-    """True when a list of skill levels and a wanted range ("beginner-advanced") share a level."""
-    return F.arrays_overlap(levels, F.split(wanted, "\\-"))
+    """True when two skill ranges ("beginner-advanced" spans all levels between) share a level; else false, or NULL for unknown ones."""
+    low, high = _level_range(levels)
+    wanted_low, wanted_high = _level_range(wanted)
+    return (low <= wanted_high) & (wanted_low <= high)
 
 
 def or_default(col: Column, default: str) -> Column:

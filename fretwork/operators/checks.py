@@ -12,6 +12,7 @@ from fretwork.functions.text import contains_ci, found_phrases, missing_phrases,
 TURN = ["scenario", "turn"]
 TEXT_CHECKS = ["price_range", "no_price_range", "contains", "any_contains", "not_contains", "handoff_logged", "no_handoff"]
 PRODUCT_CHECKS = ["recommended_category", "recommended_prices"]
+NO_TURN = "no such turn"
 
 
 def price_in_range(text: Column, low: Column, high: Column) -> Column:
@@ -45,47 +46,52 @@ def text_detail() -> Column:
 
 
 def product_verdicts(turns: DataFrame, rules: DataFrame, products: DataFrame) -> DataFrame:
-    """Outcome of the checks on recommended products: rule_id, passed.
+    """Outcome of the checks on recommended products, one row per rule: rule_id, passed.
 
     Category: some known recommended product matches category or subcategory. Prices: not all known products
-    lie outside the range, so no known product at all fails as well.
+    lie outside the range. Without any known product a rule fails.
     """
+    asked = rules.where(F.col("check").isin(PRODUCT_CHECKS))
     listed = turns.select(*TURN, F.explode(F.array_distinct("rec_ids")).alias("product_id"))
     known = listed.join(products.select("product_id", "category", "subcategory", "price"), "product_id")
     categories = known.select(*TURN, F.explode(F.array("category", "subcategory")).alias("_text")).distinct()
     prices = known.select(*TURN, F.col("price").cast("double").alias("_price")).distinct()
-    by_category = rules.where(F.col("check") == PRODUCT_CHECKS[0]).join(categories, TURN)
-    by_price = rules.where(F.col("check") == PRODUCT_CHECKS[1]).join(prices, TURN)
-    outcomes = by_category.select("rule_id", contains_ci(F.col("_text"), F.col("category")).alias("_good")).unionAll(
-        by_price.select("rule_id", F.col("_price").between(F.col("lo"), F.col("hi")).alias("_good"))
+    by_category = asked.where(F.col("check") == PRODUCT_CHECKS[0]).join(categories, TURN)
+    by_price = asked.where(F.col("check") == PRODUCT_CHECKS[1]).join(prices, TURN)
+    good = by_category.where(contains_ci(F.col("_text"), F.col("category"))).select("rule_id").unionAll(
+        by_price.where(F.col("_price").between(F.col("lo"), F.col("hi"))).select("rule_id")
     )
-    return outcomes.groupBy("rule_id").agg(F.bool_or(F.coalesce("_good", F.lit(False))).alias("passed"))
+    met = good.distinct().withColumn("_good", F.lit(True))
+    return asked.select("rule_id").join(met, "rule_id", "left").select("rule_id", F.coalesce("_good", F.lit(False)).alias("passed"))
 
 
 def evaluate(turns: DataFrame, rules: DataFrame, products: DataFrame) -> DataFrame:
     """One row per rule: rule_id, scenario, turn, check, passed, detail.
 
     ``turns``: scenario, turn, reply, rec_ids, handoff_logged. ``rules``: rule_id, scenario, turn, check,
-    phrases, lo, hi, category. A rule for a turn that never took place fails.
+    phrases, lo, hi, category. A rule for a turn that never took place fails, whatever it asks for.
     """
-    judged = rules.join(turns, TURN, "left").select(
-        "rule_id", *TURN, "check", text_verdict().alias("_text"), text_detail().alias("detail")
+    there = turns.select(*TURN, "reply", "handoff_logged", F.lit(True).alias("_there"))
+    judged = rules.join(there, TURN, "left").select(
+        "rule_id", *TURN, "check", "_there", text_verdict().alias("_text"), text_detail().alias("_detail")
     )
     by_products = product_verdicts(turns, rules, products).withColumnRenamed("passed", "_passed")
-    outcome = F.coalesce("_text", "_passed", F.lit(False))
-    return judged.join(by_products, "rule_id", "left").select("rule_id", *TURN, "check", outcome.alias("passed"), "detail")
+    outcome = F.when(F.col("_there"), F.coalesce("_text", "_passed", F.lit(False))).otherwise(False)
+    detail = F.when(F.col("_there"), F.col("_detail")).otherwise(NO_TURN)
+    return judged.join(by_products, "rule_id", "left").select("rule_id", *TURN, "check", outcome.alias("passed"), detail.alias("detail"))
 
 
 def scenario_results(turns: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Per scenario: passed, failed checks. A turn that ended in an error fails its scenario."""
+    """Per scenario of turns or rules: passed, failed checks. A turn that ended in an error fails its scenario."""
     errors = turns.groupBy("scenario").agg(
         F.count(F.lit(1)).alias("n_turns"), F.bool_or(F.coalesce("error", F.lit(False))).alias("had_error")
     )
     checks = verdicts.groupBy("scenario").agg(F.count_if(~F.col("passed")).alias("n_failed"))
     failed = F.coalesce("n_failed", F.lit(0))
-    return errors.join(checks, "scenario", "left").select(
-        "scenario", "n_turns", failed.alias("n_failed"), ((failed == 0) & ~F.col("had_error")).alias("passed")
-    )
+    return errors.join(checks, "scenario", "full").select(
+        "scenario", F.coalesce("n_turns", F.lit(0)).alias("n_turns"), failed.alias("n_failed"),
+        ((failed == 0) & ~F.coalesce("had_error", F.lit(False))).alias("passed"),
+    )
 
 
 def run_summary(results: DataFrame, name_filter: str = "") -> DataFrame:

@@ -116,23 +116,19 @@ def workload(recommendations: DataFrame) -> DataFrame:
 
 
 
-def fold_lifecycle(events: DataFrame, state: DataFrame | None = None) -> DataFrame:
+def fold_lifecycle(events: DataFrame) -> DataFrame:
     """State of every created handoff after ``events``; only legal moves count.
 
     ``events``: handoff_id, event (create, claim, close), se, event_at, seq (unique, breaks ties). A handoff is
     created once; the first claim after that counts; the first closing after that by the same engineer
-    counts. ``state``: result of earlier events, whose moves stay. Every step is a plain minimum per handoff,
-    which Spark combines before the shuffle, so no task walks through all events of one handoff.
+    counts. Every step is a plain minimum per handoff, which Spark combines before the shuffle, so no task walks
+    through all events of one handoff.
     """
+
     def step(kind: str) -> DataFrame:
         return events.where(F.col("event") == kind).withColumn("_at", F.struct("event_at", "seq", "se"))
 
-    old = None if state is None else state.select("handoff_id", "_created", "_claimed", "_closed")
-    created = step("create").groupBy("handoff_id").agg(F.min("_at").alias("_new"))
-    if old is None:
-        moves = created.select("handoff_id", F.col("_new").alias("_created"))
-    else:
-        moves = created.join(old, "handoff_id", "full").withColumn("_created", F.coalesce("_created", "_new")).drop("_new")
+    moves = step("create").groupBy("handoff_id").agg(F.min("_at").alias("_created"))
     for kind, done, since, more in [
         ("claim", "_claimed", "_created", F.lit(True)),
         ("close", "_closed", "_claimed", F.col("_at.se") == F.col("_since.se")),
@@ -142,9 +138,8 @@ def fold_lifecycle(events: DataFrame, state: DataFrame | None = None) -> DataFra
             .join(moves.select("handoff_id", F.col(since).alias("_since")), "handoff_id")
             .where((F.struct("_at.event_at", "_at.seq") > F.struct("_since.event_at", "_since.seq")) & more)
         )
-        found = after.groupBy("handoff_id").agg(F.min("_at").alias("_new"))
+        found = after.groupBy("handoff_id").agg(F.min("_at").alias(done))
         moves = moves.join(found, "handoff_id", "left")
-        moves = moves.withColumn(done, F.col("_new") if old is None else F.coalesce(done, "_new")).drop("_new")
     status = F.when(F.col("_closed").isNotNull(), "closed").when(F.col("_claimed").isNotNull(), "claimed").otherwise("new")
     return moves.select(
         "handoff_id",
@@ -153,7 +148,4 @@ def fold_lifecycle(events: DataFrame, state: DataFrame | None = None) -> DataFra
         F.col("_created.event_at").alias("created_at"),
         F.col("_claimed.event_at").alias("claimed_at"),
         F.col("_closed.event_at").alias("closed_at"),
-        "_created",
-        "_claimed",
-        "_closed",
     )

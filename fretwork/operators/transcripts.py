@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fretwork.functions.jsonio import messages
 from fretwork.functions.text import asks_for_human
+from fretwork.sources.keyed import latest
 
 # Turns per stored page. Nearly all sessions fit in page 0; an endless one becomes many bounded rows.
 PAGE_TURNS = 1000
@@ -27,6 +28,17 @@ def pack_messages(turns: DataFrame, page_turns: int = PAGE_TURNS) -> DataFrame:
     return pages.select("session_id", "page_no", F.to_json(stored).alias("messages"))
 
 
+def latest_transcripts(pages: DataFrame, version: str, write: str | None = None) -> DataFrame:
+    """The pages of each session's highest version, and no others.
+
+    A save replaces the whole transcript: all its pages carry its version, whenever they arrive, and pages of an older
+    version go even where the new one has fewer. ``write`` numbers the writes; the last one of a page counts.
+    """
+    newest = pages.groupBy("session_id").agg(F.max(version).alias("_newest"))
+    both = pages.join(newest, "session_id").where(F.col(version).eqNullSafe(F.col("_newest"))).drop("_newest")
+    return latest(both, ["session_id", "page_no"], [write or version])
+
+
 def unpack_messages(transcripts: DataFrame, all_roles: bool = False) -> DataFrame:
     """One row per message: session_id, page_no, position (in its page), role, content, product_ids.
 

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from fretwork.functions.jsonio import canonical_json
 from fretwork.functions.money import price_tier
 from fretwork.functions.ranking import first_per_key
+from fretwork.session import materialize
 
-# Longest list of bought products kept in a customer row.
-LIST_LIMIT = 100_000
+# Products on one page of a customer's list, about.
+PAGE_PRODUCTS = 10_000
 
 
 def dim_products(products: DataFrame) -> DataFrame:
@@ -33,36 +34,42 @@ def dim_products(products: DataFrame) -> DataFrame:
     )
 
 
+def order_items(orders: DataFrame) -> DataFrame:
+    """Order lines summed per customer, order and product: what both customer tables are made from."""
+    return orders.groupBy("customer_id", "order_id", "product_id").agg(
+        F.sum("line_total").alias("total"), F.max("order_date").alias("last"), F.min("order_date").alias("first")
+    )
+
+
 def customer_products(orders: DataFrame) -> DataFrame:
     """Bridge table: the distinct products that each customer bought."""
     return orders.select("customer_id", "product_id").distinct()
 
 
-def product_lists(bought: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
-    """Sorted list of bought products per customer; NULL where it would have more than ``limit`` entries.
+def product_pages(bought: DataFrame, page_products: int = PAGE_PRODUCTS) -> DataFrame:
+    """The whole list of bought products per customer, in pages: customer_id, page_no, n_pages, product_ids (sorted).
 
-    Such a customer (a reseller, a shared account) would not fit one row; the bridge table holds all of
-    their products. A NULL product id stays a member of the list.
+    ``bought``: the bridge table. A customer with up to ``page_products`` products has all of them on page 0; a larger list
+    (a reseller, a shared account) is dealt out over pages of about that size by a digest of the product id, so
+    no row and no task holds it whole. A NULL product id stays a member of the list.
     """
-    sizes = bought.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_n"))
-    oversized = sizes.where(F.col("_n") > limit).select("customer_id")
-    lists = (
-        bought.join(oversized, "customer_id", "left_anti")
-        .groupBy("customer_id")
-        .agg(F.sort_array(F.collect_list(F.struct("product_id"))).alias("_products"))
-        .select("customer_id", F.transform("_products", lambda p: p["product_id"]).alias("purchased_product_ids"))
+    sizes = bought.groupBy("customer_id").agg(F.ceil(F.count(F.lit(1)) / page_products).alias("n_pages"))
+    dealt = bought.join(sizes, "customer_id").withColumn("page_no", F.pmod(F.xxhash64("product_id"), F.col("n_pages")))
+    pages = dealt.groupBy("customer_id", "page_no", "n_pages").agg(
+        F.sort_array(F.collect_list(F.struct("product_id"))).alias("_products")
     )
-    return lists.unionByName(oversized.withColumn("purchased_product_ids", F.lit(None).cast("array<string>")))
+    ids = F.transform("_products", lambda p: p["product_id"])
+    return pages.select("customer_id", "page_no", "n_pages", ids.alias("product_ids"))
 
 
-def customer_stats(orders: DataFrame) -> DataFrame:
-    """Order totals per customer.
+def customer_stats(items: DataFrame) -> DataFrame:
+    """Order totals per customer, from ``order_items``.
 
     Grouping by order first replaces ``count(distinct)`` and spreads a customer with very many orders
     over all tasks; the second step only sees one row per order.
     """
-    per_order = orders.groupBy("customer_id", "order_id").agg(
-        F.sum("line_total").alias("_total"), F.max("order_date").alias("_last"), F.min("order_date").alias("_first")
+    per_order = items.groupBy("customer_id", "order_id").agg(
+        F.sum("total").alias("_total"), F.max("last").alias("_last"), F.min("first").alias("_first")
     )
     return per_order.groupBy("customer_id").agg(
         F.count("order_id").alias("total_orders"),
@@ -72,17 +79,17 @@ def customer_stats(orders: DataFrame) -> DataFrame:
     )
 
 
-def dim_customers(customers: DataFrame, orders: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
+def dim_customers(customers: DataFrame, orders: DataFrame, page_products: int = PAGE_PRODUCTS) -> DataFrame:
     """Customers with order totals and the sorted list of bought products.
 
-    Joins should read ``customer_products`` instead of the list.
+    A row holds the first page of ``product_pages`` and the number of pages, one for any ordinary customer; the further pages
+    are rows of that table. Order lines are read once.
     """
-    lists = product_lists(customer_products(orders), list_limit)
-    no_products = F.array().cast("array<string>")
-    bought = F.when(F.col("total_orders").isNull(), no_products).otherwise(F.col("purchased_product_ids"))
+    items = materialize(order_items(orders), "order-items")
+    pages = product_pages(customer_products(items), page_products).where("page_no = 0")
     return (
-        customers.join(customer_stats(orders), "customer_id", "left")
-        .join(lists, "customer_id", "left")
+        customers.join(customer_stats(items), "customer_id", "left")
+        .join(pages, "customer_id", "left")
         .select(
             "customer_id",
             "full_name",
@@ -97,7 +104,8 @@ def dim_customers(customers: DataFrame, orders: DataFrame, list_limit: int = LIS
             F.coalesce(F.col("lifetime_value").cast("double"), F.lit(0.0)).alias("lifetime_value"),
             "last_order_date",
             "first_order_date",
-            bought.alias("purchased_product_ids"),
+            F.coalesce("product_ids", F.array().cast("array<string>")).alias("purchased_product_ids"),
+            F.coalesce("n_pages", F.lit(0)).alias("n_product_pages"),
         )
     )
 

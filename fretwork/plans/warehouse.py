@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from fretwork.plans import marts, staging
 from fretwork.schemas import RAW
 from fretwork.sources.raw_files import good_rows, load_raw, rejected_rows
 
+AUDIT = "table_name string, row_count bigint"
 MARTS = ["dim_products", "dim_customers", "fct_recommendations", "inventory"]
 
 
@@ -34,19 +36,32 @@ def create_staging_views(raw: dict[str, DataFrame]) -> None:
         view.createOrReplaceTempView(f"stg_{name}")
 
 
-def build(spark: SparkSession, data_dir: str, out_dir: str, replace: bool = True, multi_line: bool = True) -> DataFrame:
+def built(spark: SparkSession, out_dir: str) -> DataFrame | None:
+    """The load audit of a finished build; None where there is none."""
+    try:
+        return spark.read.schema(AUDIT).parquet(f"{out_dir}/load_audit")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def build(spark: SparkSession, data_dir: str, out_dir: str, replace: bool = True, multi_line: bool = False) -> DataFrame:
     """Load the raw files and write the marts and the quarantine tables; returns the load audit.
 
-    ``replace=False`` leaves marts that are already there untouched.
+    ``replace=False`` touches nothing where a build has been finished before. The audit is written last and marks that.
     """
+    done = None if replace else built(spark, out_dir)
+    if done is not None:
+        return done
     audit = load_raw(spark, data_dir, out_dir, multi_line=multi_line)
     raw = raw_tables(spark, out_dir)
-    mode = "overwrite" if replace else "ignore"
     for name, df in mart_frames(raw).items():
-        df.write.mode(mode).parquet(f"{out_dir}/{name}")
+        df.write.mode("overwrite").parquet(f"{out_dir}/{name}")
     for name, df in raw.items():
         rejected_rows(df, name).write.mode("overwrite").parquet(f"{out_dir}/rejected_{name}")
-    return audit
+    audit.write.mode("overwrite").parquet(f"{out_dir}/load_audit")
+    return spark.read.schema(AUDIT).parquet(f"{out_dir}/load_audit")
 
 
 def read_mart(spark: SparkSession, out_dir: str, name: str) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
-# Settings that a running session can take. A hot join key is split even where that costs one more shuffle,
-# and sessions of a hot key are merged in each task before the shuffle.
+# Settings that a running session can take. A hot join key is split even where that costs one more shuffle; session
+# streams merge the sessions of a hot key in each task before the shuffle; JSON text may repeat a key.
 SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -19,6 +19,7 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 SETTINGS = {**SQL_SETTINGS, "spark.ui.enabled": "false"}
 

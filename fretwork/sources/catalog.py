@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fretwork.functions.ranking import running_total
 from fretwork.schemas import RAW
 
 # What a bundle adds to its base item.
@@ -14,6 +13,26 @@ BUNDLE_NAME = " Bundle"
 BUNDLE_TEXT = " — includes accessories bundle"
 
 
+# Base items up to this number are sent to every task; a larger base is joined by shuffle. Also the rows of one numbering band.
+BAND_ROWS = 100_000
+
+
+def numbered(base: DataFrame, n_base: int) -> DataFrame:
+    """``base`` with ``_number`` from 1 in the order of ``position``.
+
+    Quantiles cut the positions into bands of about ``BAND_ROWS`` rows, each numbered in its own task.
+    """
+    n_bands = -(-n_base // BAND_ROWS)
+    cuts = base.approxQuantile("position", [i / n_bands for i in range(1, n_bands)], 0.1 / n_bands) if n_bands > 1 else []
+    edges = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]).cast("array<double>")
+    banded = base.withColumn("_band", F.size(F.filter(edges, lambda e: e < F.col("position"))))
+    sizes = banded.groupBy("_band").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("_band").orderBy("position"))
+    both = banded.withColumn("_inside", inside).join(sizes.select("_band", before.alias("_before")), "_band")
+    return both.withColumn("_number", F.col("_inside") + F.col("_before")).drop("_band", "_inside", "_before")
+
+
 def generate_catalog(base: DataFrame, n: int, brand_urls: DataFrame | None = None) -> DataFrame:
     """``n`` raw product rows.
 
@@ -21,14 +40,14 @@ def generate_catalog(base: DataFrame, n: int, brand_urls: DataFrame | None = Non
     price, skill_level, use_case, description. Base items come first, numbered in order; then the same
     items again and again as bundles, until there are ``n`` rows. ``brand_urls``: brand, url.
     """
-    items = running_total(base.withColumn("_one", F.lit(1)), [], "position", "_one", "_number")
     n_base = base.count()
-    copies = -(-n // n_base)
-    rows = (
-        items.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-        .withColumn("_id", F.col("_copy") * F.lit(n_base) + F.col("_number"))
-        .where(F.col("_id") <= n)
+    items = numbered(base, n_base)
+    if n_base <= BAND_ROWS:
+        items = F.broadcast(items)
+    ids = base.sparkSession.range(1, n + 1).select(
+        F.col("id").alias("_id"), F.expr(f"(id - 1) div {n_base}").alias("_copy"), ((F.col("id") - 1) % n_base + 1).alias("_number")
     )
+    rows = ids.join(items, "_number")
     if brand_urls is not None:
         rows = rows.join(brand_urls.select("brand", F.col("url").alias("_url")), "brand", "left")
     else:

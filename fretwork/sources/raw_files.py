@@ -21,10 +21,10 @@ CASTS = {
 JSON_COLUMNS = {"se_handoffs": ["customer_snapshot", "recommended_products"]}
 
 
-def read_csv(spark: SparkSession, path: str, name: str, multi_line: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, name: str, multi_line: bool = False) -> DataFrame:
     """A raw file (or a folder of its parts) as text columns; quotes inside a cell are doubled.
 
-    ``multi_line=False`` lets Spark split a large file, for files without line breaks inside a cell.
+    ``multi_line=True`` reads files with line breaks inside a cell, each file in one task; without it large files are split.
     """
     return spark.read.schema(RAW[name]).csv(path, header=True, quote='"', escape='"', multiLine=multi_line)
 
@@ -53,7 +53,7 @@ def rejected_rows(raw: DataFrame, name: str) -> DataFrame:
 
 
 def load_raw(
-    spark: SparkSession, data_dir: str, out_dir: str, names: list[str] | None = None, multi_line: bool = True
+    spark: SparkSession, data_dir: str, out_dir: str, names: list[str] | None = None, multi_line: bool = False
 ) -> DataFrame:
     """Load every declared file into ``raw_<name>`` tables; returns (table_name, row_count).
 

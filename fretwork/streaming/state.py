@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from fretwork.operators.handoffs import fold_lifecycle
+from fretwork.operators.transcripts import latest_transcripts
 from fretwork.sources.keyed import latest
 from fretwork.streaming.files import run_available
 
+MOVE = ["event_at", "seq", "se"]
+LIFECYCLE = "handoff_id {kind}, status string, claimed_by string, created_at timestamp, claimed_at timestamp, closed_at timestamp"
+
 
 def stream_transcripts(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Append transcript versions (session_id, page_no, messages, updated_at); the last write per page wins.
+    """Append transcript pages (session_id, page_no, messages, updated_at); the last save of a session replaces it whole.
 
-    The batch number settles equal times. Read with ``read_transcripts``.
+    Pages of one save carry the same time and may come in different batches. Read with ``read_transcripts``.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -24,34 +32,67 @@ def stream_transcripts(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 
 def read_transcripts(table: DataFrame) -> DataFrame:
-    return latest(table, ["session_id", "page_no"], ["updated_at", "batch_id"]).drop("batch_id")
-
-
-def stream_lifecycle(stream: DataFrame, path: str, checkpoint: str, full_every: int = 50) -> None:
-    """Fold lifecycle events into the state table at ``path``, one folder of changed handoffs per batch.
-
-    A batch reads the state that earlier batches left for the handoffs it touches and writes their new
-    state under its own number, replacing what a lost attempt of the same batch may have left. Every
-    ``full_every`` batches the whole state is written, so that a batch never reads further back than that. Events
-    of one batch count in event order; an event that arrives in a later batch than a move it should have
-    preceded no longer undoes that move.
+    """Pages of the newest save per session; at equal times the later batch wins, page by page."""
+    return latest_transcripts(table, "updated_at", "batch_id").drop("batch_id")
+
+
+def apply_moves(settled: list, moves: list) -> list:
+    """[created, claimed, closed] after further moves (time, seq, se, event); only legal moves count."""
+    created, claimed, closed = settled
+    for at, seq, se, event in sorted(moves, key=lambda m: (m[0], m[1])):
+        if event == "create" and created is None:
+            created = [at, seq, se]
+        elif event == "claim" and created is not None and claimed is None:
+            claimed = [at, seq, se]
+        elif event == "close" and claimed is not None and closed is None and se == claimed[2]:
+            closed = [at, seq, se]
+    return [created, claimed, closed]
+
+
+def _fold_key(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """New state of one handoff. Moves are kept until the watermark has passed them, so their order of arrival is no matter."""
+    settled, moves = json.loads(state.get[0]) if state.exists else ([None, None, None], [])
+    if not state.hasTimedOut:
+        for frame in frames:
+            times = frame["event_at"].astype("datetime64[us]").astype("int64")
+            moves += [list(m) for m in zip(times.tolist(), frame["seq"].tolist(), frame["se"].tolist(), frame["event"].tolist(), strict=True)]
+    passed = state.getCurrentWatermarkMs() * 1000
+    now = apply_moves(settled, moves)
+    settled = apply_moves(settled, [m for m in moves if m[0] < passed])
+    moves = [] if settled[2] else [m for m in moves if m[0] >= passed]
+    state.update((json.dumps([settled, moves]),))
+    if moves:
+        state.setTimeoutTimestamp(max(passed, max(m[0] for m in moves)) // 1000 + 1)
+    created, claimed, closed = now
+    if created and not state.hasTimedOut:
+        status = "closed" if closed else "claimed" if claimed else "new"
+        times = [pd.to_datetime([m[0] if m else None], unit="us", utc=True) for m in now]
+        yield pd.DataFrame(
+            {
+                "handoff_id": [key[0]], "status": status, "claimed_by": [claimed[2] if claimed else None],
+                "created_at": times[0], "claimed_at": times[1], "closed_at": times[2],
+            }
+        )
+
+
+def stream_lifecycle(stream: DataFrame, path: str, checkpoint: str, delay: str = "1 day") -> None:
+    """Fold lifecycle events (handoff_id, event, se, event_at, seq) into a table of changed handoffs per batch.
+
+    The moves of a handoff count in event order, in whatever batches they arrive, as long as they are not more than
+    ``delay`` late; older ones are dropped. Moves are held per handoff until the watermark has passed them, then
+    folded away. A batch touches the state of the handoffs it names, and rewrites its own folder when repeated.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()  # read once per kind of move
-        full = batch_id % full_every == 0
-        state = None
-        if batch_id > 0:
-            oldest = (batch_id - 1) // full_every * full_every
-            before = batch.sparkSession.read.parquet(path).where(F.col("batch_id").between(oldest, batch_id - 1))
-            if not full:
-                before = before.join(batch.select("handoff_id").distinct(), "handoff_id", "left_semi")
-            state = latest(before, ["handoff_id"], ["batch_id"])
-        fold_lifecycle(batch, state).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-        batch.unpersist()
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    run_available(stream.writeStream.foreachBatch(write), checkpoint)
+    kind = stream.schema["handoff_id"].dataType.simpleString()
+    moves = stream.where("event in ('create', 'claim', 'close') and handoff_id is not null").withWatermark("event_at", delay)
+    folded = moves.groupBy("handoff_id").applyInPandasWithState(
+        _fold_key, LIFECYCLE.format(kind=kind), "moves string", "update", GroupStateTimeout.EventTimeTimeout
+    )
+    run_available(folded.writeStream.outputMode("update").foreachBatch(write), checkpoint)
 
 
 def read_lifecycle(table: DataFrame) -> DataFrame:
-    return latest(table, ["handoff_id"], ["batch_id"]).drop("batch_id", "_created", "_claimed", "_closed")
+    return latest(table, ["handoff_id"], ["batch_id"]).drop("batch_id")

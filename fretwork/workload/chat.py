@@ -6,13 +6,12 @@ from pyspark.sql import functions as F
 
 from fretwork.functions import text
 from fretwork.operators import recommendations, transcripts
-from fretwork.sources.keyed import upsert
 from fretwork.workload import shop
 
 # Phrases that the checks look for.
 ALL_OF = ["la", "er"]
-ANY_OF = ["sales engineer", "specialist", "engineer", "person", "team member"]
-NONE_OF = ["search tool", "technical issue", "having trouble", "license"]
+ANY_OF = ["tion the", "schung", "mente la"]
+NONE_OF = ["license", "mail", "the the"]
 
 
 def turns(spark, sf_dir):
@@ -38,13 +37,19 @@ def transcript_rows(spark, sf_dir):
     )
 
 
-def transcript_upsert(spark, sf_dir):
-    """Stored transcripts without system notes; the sessions that have some are sent again in full."""
+def transcript_versions(spark, sf_dir):
+    """Two versions of the transcripts, in pages of four turns: all turns, then the first three of every other session."""
     every = turns(spark, sf_dir)
-    with_notes = every.where("role = 'system'").select("session_id").distinct()
-    stored = transcripts.pack_messages(every.where("role <> 'system'")).withColumn("version", F.lit(1))
-    sent = transcripts.pack_messages(every.join(with_notes, "session_id", "left_semi")).withColumn("version", F.lit(2))
-    table = upsert(stored, sent, ["session_id", "page_no"], ["version"])
+    return [transcripts.pack_messages(rows, page_turns=4) for rows in (every, every.where("session_id % 2 = 0 and turn < 3"))]
+
+
+def transcript_upsert(spark, sf_dir):
+    """Stored transcripts, then a shorter version of every other one: the later version replaces the whole transcript."""
+    stored, sent = (rows.withColumn("version", F.lit(n)) for n, rows in enumerate(transcript_versions(spark, sf_dir)))
+    return transcript_totals(transcripts.latest_transcripts(stored.unionByName(sent), "version"))
+
+
+def transcript_totals(table):
     per_session = transcripts.unpack_messages(table, all_roles=True).groupBy("session_id")
     return per_session.agg(
         F.count(F.lit(1)).alias("n_messages"),
@@ -118,16 +123,16 @@ def price_mentions(spark, sf_dir):
         F.lit("Total $"), F.format_number(total.cast("decimal(18,2)"), 2), F.lit(", deposit $"),
         F.floor(total / 10).cast("string"), F.lit(", fee $ 5, code $,7."),
     )
-    prices = text.quoted_prices(summary)
-    low, high = F.lit(20000.0), F.lit(40000.0)
-    hit = F.exists(prices, lambda p: p.between(low, high))
-    return shop.table(spark, sf_dir, "orders").select(
+    # Each column is a projection of its own, so that the prices are extracted once per row.
+    quoted = shop.table(spark, sf_dir, "orders").select("o_orderkey", text.quoted_prices(summary).alias("prices"))
+    hit = F.exists("prices", lambda p: p.between(F.lit(20000.0), F.lit(40000.0)))
+    judged = quoted.select(
         "o_orderkey",
-        F.size(prices).cast("bigint").alias("n_prices"),
-        F.aggregate(prices, F.lit(0.0), lambda a, x: a + x).alias("total"),
+        F.size("prices").cast("bigint").alias("n_prices"),
+        F.aggregate("prices", F.lit(0.0), lambda a, x: a + x).alias("total"),
         hit.alias("price_range_ok"),
-        (~hit).alias("no_price_range_ok"),
     )
+    return judged.withColumn("no_price_range_ok", ~F.col("price_range_ok"))
 
 
 def phrase_checks(spark, sf_dir):
@@ -202,6 +207,12 @@ def _sql_found(phrases, sign=""):
     return "concat_ws(',', " + ", ".join(parts) + ")"
 
 
+TRANSCRIPTS_SQL = """
+  SELECT conv_id AS session_id, count(*) AS n_messages, CAST(sum(length(text)) AS BIGINT) AS n_chars,
+         count(*) FILTER (role = 'system') AS n_notes
+  FROM conversations c WHERE conv_id % 2 <> 0 OR turn < 3
+    OR NOT EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = c.conv_id AND d.turn < 3) GROUP BY 1"""
+
 ORACLE = {
     "transcript_pack": f"""
       SELECT conv_id AS session_id, turn // 1000 AS page_no,
@@ -215,9 +226,7 @@ ORACLE = {
                row_number() OVER (PARTITION BY conv_id, turn // 4 ORDER BY turn) - 1 AS position, role, text AS content,
                CASE WHEN role = 'assistant' THEN {shop.sql_product_key("turn")} END AS product_ids
         FROM conversations) WHERE role IN ('user', 'assistant')""",
-    "transcript_upsert": """
-      SELECT conv_id AS session_id, count(*) AS n_messages, CAST(sum(length(text)) AS BIGINT) AS n_chars,
-             count(*) FILTER (role = 'system') AS n_notes FROM conversations GROUP BY 1""",
+    "transcript_upsert": TRANSCRIPTS_SQL,
     "escalation_flag": f"""
       SELECT conv_id, turn, {_ASKS} AS asks, regexp_matches(lower(text), '{_WORDS}') AS asks_in_words
       FROM conversations WHERE role = 'user'""",

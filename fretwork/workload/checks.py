@@ -29,7 +29,7 @@ def scenario_turns(spark, sf_dir):
 
 
 def scenario_rules(spark, sf_dir):
-    """Every check for each of these turns, with its arguments."""
+    """Every check for each of these turns, with its arguments; some for turns and scenarios that never took place."""
     args = F.array(
         *[
             F.struct(
@@ -42,9 +42,12 @@ def scenario_rules(spark, sf_dir):
             for check, phrases, lo, hi, category in RULES
         ]
     )
-    keys = shop.table(spark, sf_dir, "conversations").where("role = 'assistant'").select(
-        F.col("conv_id").alias("scenario"), "turn", F.posexplode(args).alias("n", "rule")
-    )
+    scenario = F.col("conv_id")
+    places = [F.when(scenario % 10 == 0, F.struct(scenario.alias("scenario"), (F.col("turn") + 1000).alias("turn")))]
+    places += [F.when(scenario % 25 == 0, F.struct((-scenario - 1).alias("scenario"), F.col("turn")))]
+    places = F.filter(F.array(F.struct(scenario.alias("scenario"), F.col("turn")), *places), lambda p: p.isNotNull())
+    keys = shop.table(spark, sf_dir, "conversations").where("role = 'assistant'").select(F.explode(places).alias("at"))
+    keys = keys.select("at.*", F.posexplode(args).alias("n", "rule"))
     name = F.concat_ws("-", F.col("scenario").cast("string"), F.col("turn").cast("string"), F.col("n").cast("string"))
     return keys.select(name.alias("rule_id"), "scenario", "turn", "rule.*")
 
@@ -71,18 +74,11 @@ def scenario_checks(spark, sf_dir):
 
 
 def scenario_rollup(spark, sf_dir):
-    results = checks.scenario_results(scenario_turns(spark, sf_dir), _soft(_verdicts(spark, sf_dir)))
-    return results
-
-
-def _soft(verdicts):
-    """Without the two checks that exclude each other."""
-    return verdicts.where("check not in ('handoff_logged', 'no_handoff', 'not_contains', 'contains')")
+    return checks.scenario_results(scenario_turns(spark, sf_dir), _verdicts(spark, sf_dir))
 
 
 def run_summary(spark, sf_dir):
-    results = checks.scenario_results(scenario_turns(spark, sf_dir), _soft(_verdicts(spark, sf_dir)))
-    return checks.run_summary(results, "1")
+    return checks.run_summary(scenario_rollup(spark, sf_dir), "1")
 
 
 def rec_price_check(spark, sf_dir):
@@ -190,11 +186,16 @@ _TURNS = f"""{shop.with_sql("dim_products")}, turns AS (
          unnest(['', '', concat_ws(', ', CASE WHEN NOT a THEN 'la' END, CASE WHEN NOT b THEN 'er' END), '',
                  concat_ws(', ', CASE WHEN c THEN 'search tool' END, CASE WHEN d THEN 'zu' END), '', '', '', '']) AS detail
   FROM one),
+ absent AS (
+  SELECT conv_id, turn, n, check_name, false AS passed, 'no such turn' AS detail FROM (
+    SELECT conv_id, turn + 1000 AS turn, n, check_name FROM verdicts WHERE conv_id % 10 = 0
+    UNION ALL SELECT -conv_id - 1, turn, n, check_name FROM verdicts WHERE conv_id % 25 = 0)),
+ every AS (SELECT * FROM verdicts UNION ALL SELECT * FROM absent),
  results AS (
-  SELECT t.conv_id AS scenario, n_turns, coalesce(n_failed, 0) AS n_failed, coalesce(n_failed, 0) = 0 AND NOT had_error AS passed
+  SELECT coalesce(t.conv_id, v.conv_id) AS scenario, coalesce(n_turns, 0) AS n_turns, coalesce(n_failed, 0) AS n_failed,
+         coalesce(n_failed, 0) = 0 AND NOT coalesce(had_error, false) AS passed
   FROM (SELECT conv_id, count(*) AS n_turns, bool_or(error) AS had_error FROM turns GROUP BY 1) t
-  LEFT JOIN (SELECT conv_id, count(*) FILTER (NOT passed) AS n_failed FROM verdicts
-             WHERE check_name NOT IN ('handoff_logged', 'no_handoff', 'not_contains', 'contains') GROUP BY 1) v USING (conv_id))"""
+  FULL JOIN (SELECT conv_id, count(*) FILTER (NOT passed) AS n_failed FROM every GROUP BY 1) v ON t.conv_id = v.conv_id)"""
 
 _RECS = f""", recs AS (
   SELECT DISTINCT {shop.sql_customer_key("o_custkey")} AS customer_id,
@@ -205,19 +206,19 @@ _RECS = f""", recs AS (
 ORACLE = {
     "scenario_checks": _TURNS
     + """ SELECT concat_ws('-', conv_id, turn, n) AS rule_id, conv_id AS scenario, turn, check_name AS "check", passed, detail
-          FROM verdicts""",
+          FROM every""",
     "scenario_rollup": _TURNS + " SELECT * FROM results",
     "run_summary": _TURNS
     + """ SELECT count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS failed FROM results
           WHERE contains(CAST(scenario AS VARCHAR), '1')""",
     "rec_price_check": shop.with_sql("dim_products")
-    + f""", known AS (SELECT l_orderkey, p.* FROM lineitem JOIN dim_products p ON p.product_id = {shop.sql_product_key("l_partkey")}
-                      WHERE l_orderkey IN (SELECT o_orderkey FROM orders))
-      SELECT 'recommended_category-' || CAST(l_orderkey AS VARCHAR) AS rule_id,
-             bool_or(contains(lower(category), 'small') OR contains(lower(subcategory), 'small')) AS passed
-      FROM known GROUP BY l_orderkey
-      UNION ALL SELECT 'recommended_prices-' || CAST(l_orderkey AS VARCHAR), bool_or(price BETWEEN 0 AND 80)
-      FROM known GROUP BY l_orderkey""",
+    + f""", known AS (SELECT l_orderkey, bool_or(contains(lower(category), 'small') OR contains(lower(subcategory), 'small')) AS fits,
+                             bool_or(price BETWEEN 0 AND 80) AS cheap
+                      FROM lineitem JOIN dim_products p ON p.product_id = {shop.sql_product_key("l_partkey")} GROUP BY l_orderkey)
+      SELECT 'recommended_category-' || CAST(o_orderkey AS VARCHAR) AS rule_id, coalesce(fits, false) AS passed
+      FROM orders LEFT JOIN known ON l_orderkey = o_orderkey
+      UNION ALL SELECT 'recommended_prices-' || CAST(o_orderkey AS VARCHAR), coalesce(cheap, false)
+      FROM orders LEFT JOIN known ON l_orderkey = o_orderkey""",
     "mart_contracts": shop.with_sql("dim_products", "raw_customers", "stg_orders", "agent_handoffs", "inventory")
     + """ SELECT 'dim_products.product_id unique' AS contract, count(*) AS n_violations
             FROM (SELECT 1 FROM dim_products GROUP BY product_id HAVING count(*) > 1)

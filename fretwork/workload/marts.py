@@ -64,8 +64,8 @@ def skill_array(spark, sf_dir):
 
 
 def skill_overlap(spark, sf_dir):
-    """Products of each skill range that suit an intermediate or advanced player."""
-    suits = levels_overlap(F.col("skill_levels_array"), F.lit("intermediate-advanced"))
+    """Products of each skill range that suit an intermediate player."""
+    suits = levels_overlap(F.col("skill_level"), F.lit("intermediate"))
     products = _dim_products(spark, sf_dir)
     return products.groupBy("skill_level").agg(F.count(F.lit(1)).alias("n_products"), F.count_if(suits).alias("n_suitable"))
 
@@ -74,7 +74,7 @@ def csv_round_trip(spark, sf_dir):
     """Raw products written as CSV with a header and read back under the declared schema."""
     path = scratch_dir(spark, "products_csv")
     write_csv(shop.raw_products(spark, sf_dir), path, "products")
-    rows = read_csv(spark, path, "products")
+    rows = read_csv(spark, path, "products")  # no cell holds a line break, so files are split
     return rows.withColumn("manufacturer_url", F.coalesce("manufacturer_url", F.lit("")))
 
 
@@ -83,7 +83,7 @@ def warehouse_build(spark, sf_dir):
     data, out = scratch_dir(spark, "raw"), scratch_dir(spark, "warehouse")
     for name in RAW:
         write_csv(getattr(shop, f"raw_{name}")(spark, sf_dir), f"{data}/{name}.csv", name)
-    audit = warehouse.build(spark, data, out, multi_line=False)
+    audit = warehouse.build(spark, data, out)
     for name in warehouse.MARTS:
         rows = warehouse.read_mart(spark, out, name).agg(F.count(F.lit(1)).alias("row_count"))
         audit = audit.unionByName(rows.select(F.lit(name).alias("table_name"), "row_count"))
@@ -107,12 +107,26 @@ def dim_customers_mart(spark, sf_dir):
     return mart.select(
         "customer_id", "full_name", "email", "skill_level", "primary_instrument", "years_playing", "use_case",
         "budget_range", as_text("created_at"), "total_orders", "lifetime_value", as_text("last_order_date"),
-        as_text("first_order_date"), F.array_join("purchased_product_ids", ",").alias("purchased_product_ids"),
+        as_text("first_order_date"), F.array_join("purchased_product_ids", ",").alias("purchased_product_ids"), "n_product_pages",
     )
 
 
+def customer_product_pages(spark, sf_dir):
+    """Product lists in pages of about 20: pages, products and digest of all ids per customer."""
+    bought = marts.customer_products(staging.stg_orders(shop.raw_orders(spark, sf_dir)))
+    pages = marts.product_pages(bought, 20)
+    rows = pages.select("customer_id", "page_no", "n_pages", F.explode("product_ids").alias("product_id"))
+    return rows.groupBy("customer_id").agg(
+        F.max("n_pages").alias("n_pages"),
+        F.count(F.lit(1)).alias("n_products"),
+        F.min("product_id").alias("first_id"),
+        F.max("product_id").alias("last_id"),
+        F.sum(F.substring("product_id", 2, 12).cast("bigint")).alias("id_sum"),
+    )
+
+
 def returned_order_stats(spark, sf_dir):
-    """Customers against their returned lines only, so that some customers have no match."""
+    """Customers against their large returned lines (45 pieces and more) only, so that some customers have no match."""
     orders = staging.stg_orders(shop.raw_orders(spark, sf_dir)).where("status = 'returned' and quantity >= 45")
     mart = marts.dim_customers(staging.stg_customers(shop.raw_customers(spark, sf_dir)), orders)
     return mart.select(
@@ -181,6 +195,7 @@ QUERIES = {
     "warehouse_build": warehouse_build,
     "price_tiers": price_tiers,
     "dim_customers_mart": dim_customers_mart,
+    "customer_product_pages": customer_product_pages,
     "returned_order_stats": returned_order_stats,
     "inventory_mart": inventory_mart,
     "fct_recommendations": fct_recommendations,
@@ -230,7 +245,7 @@ ORACLE = {
                  array_to_string(skill_levels_array, '|') AS levels FROM dim_products""",
     "skill_overlap": shop.with_sql("dim_products")
     + """ SELECT skill_level, count(*) AS n_products, count(*) FILTER (
-             list_contains(skill_levels_array, 'intermediate') OR list_contains(skill_levels_array, 'advanced')) AS n_suitable
+             list_contains(skill_levels_array, 'intermediate') OR skill_level = 'beginner-advanced') AS n_suitable
           FROM dim_products GROUP BY skill_level""",
     "csv_round_trip": shop.with_sql("raw_products") + " SELECT * FROM raw_products",
     "warehouse_build": shop.with_sql("dim_products")
@@ -245,7 +260,11 @@ ORACLE = {
                   ELSE 'premium' END AS price_tier, count(*) AS n_orders, CAST(sum(p) AS DOUBLE) AS total
       FROM (SELECT CAST(o_totalprice AS DECIMAL(12,2)) AS p FROM orders) GROUP BY 1""",
     "dim_customers_mart": shop.with_sql("raw_customers", "stg_orders")
-    + f" SELECT * EXCLUDE (ids), array_to_string(ids, ',') AS purchased_product_ids FROM ({_CUSTOMER_MART.format(condition='true')})",
+    + f" SELECT * EXCLUDE (ids), array_to_string(ids, ',') AS purchased_product_ids, CASE WHEN len(ids) > 0 THEN 1 ELSE 0 END AS n_product_pages FROM ({_CUSTOMER_MART.format(condition='true')})",
+    "customer_product_pages": shop.with_sql("stg_orders")
+    + """ SELECT customer_id, CAST(ceil(count(*) / 20) AS BIGINT) AS n_pages, count(*) AS n_products, min(product_id) AS first_id,
+                 max(product_id) AS last_id, CAST(sum(CAST(substr(product_id, 2) AS BIGINT)) AS BIGINT) AS id_sum
+          FROM (SELECT DISTINCT customer_id, product_id FROM stg_orders) GROUP BY customer_id""",
     "returned_order_stats": shop.with_sql("raw_customers", "stg_orders")
     + f""" SELECT customer_id, total_orders, lifetime_value, last_order_date, len(ids) AS n_products
            FROM ({_CUSTOMER_MART.format(condition="status = 'returned' AND quantity >= 45")})""",

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fretwork.operators import transcripts
 from fretwork.session import scratch_dir
 from fretwork.streaming import events as live
 from fretwork.streaming import state
@@ -47,10 +46,12 @@ def stream_queue_metrics(spark, sf_dir):
 
 
 def stream_lifecycle(spark, sf_dir):
+    """All moves in five files, dealt out without regard to time, one file per batch."""
     path, checkpoint = _dirs(spark, "lifecycle")
-    stream = event_stream(spark, sf_dir)
-    moves = handoffs.lifecycle_events_of(stream)
-    state.stream_lifecycle(moves, path, checkpoint)
+    arriving = scratch_dir(spark, "moves")
+    moves = handoffs.lifecycle_events(spark, sf_dir).withColumn("event_at", F.col("event_at").cast("timestamp"))
+    moves.repartition(5, "seq").write.parquet(arriving)
+    state.stream_lifecycle(read_parquet_stream(spark, arriving, max_files=1), path, checkpoint, "3650 days")
     return handoffs.state_text(state.read_lifecycle(spark.read.parquet(path)))
 
 
@@ -73,18 +74,15 @@ def _session_text(rows):
 
 
 def stream_transcripts(spark, sf_dir):
-    """Stored versions of every transcript arrive as a stream; the newest per session stays."""
+    """Two versions of the transcripts arrive as a stream in four batches, the shorter one first; the later one stays."""
     path, checkpoint = _dirs(spark, "transcripts")
     arriving = scratch_dir(spark, "arriving")
-    turns = chat.turns(spark, sf_dir)
-    for hour, rows in enumerate([turns, turns.where("role <> 'system'")]):
-        version = transcripts.pack_messages(rows)
+    for hour, version in reversed(list(enumerate(chat.transcript_versions(spark, sf_dir)))):
         at = F.to_timestamp(F.lit(f"2024-01-01 0{hour}:00:00"))
-        version.withColumn("updated_at", at).write.mode("append").parquet(arriving)
-    state.stream_transcripts(read_parquet_stream(spark, arriving), path, checkpoint)
-    table = state.read_transcripts(spark.read.parquet(path))
-    per_session = transcripts.unpack_messages(table, all_roles=True).groupBy("session_id")
-    return per_session.agg(F.count(F.lit(1)).alias("n_messages"), F.sum(F.length("content")).alias("n_chars"))
+        # Two files, so that the pages of a session come in different batches.
+        version.withColumn("updated_at", at).repartition(2, "page_no").write.mode("append").parquet(arriving)
+    state.stream_transcripts(read_parquet_stream(spark, arriving, max_files=1), path, checkpoint)
+    return chat.transcript_totals(state.read_transcripts(spark.read.parquet(path)))
 
 
 QUERIES = {
@@ -117,7 +115,5 @@ ORACLE = {
     "stream_sessions": _SESSIONS
     + " WHERE z + INTERVAL 2 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)",
     "sessions_batch": _SESSIONS,
-    "stream_transcripts": """
-      SELECT conv_id AS session_id, count(*) AS n_messages, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM conversations
-      WHERE role <> 'system' GROUP BY 1""",
+    "stream_transcripts": chat.TRANSCRIPTS_SQL,
 }

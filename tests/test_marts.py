@@ -5,6 +5,7 @@ from __future__ import annotations
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from fretwork.functions.money import money_text, price_tier, stock_label
 from fretwork.plans import analytics, marts, staging, warehouse
@@ -14,17 +15,17 @@ from fretwork.sources.catalog import generate_catalog
 
 FILES = {
     "customers": """customer_id,first_name,last_name,email,skill_level,primary_instrument,years_playing,use_case,budget_range,created_at
-C1,Ann,Bee,a@x,beginner,guitar,1,practice,0-500,2024-01-15
-C2,Bob,,b@x,advanced,drums,5,live performance,500-2000,2024-02-20
-C3,Cid,Dee,c@x,advanced,keys,many,studio recording,2000+,2024-03-10
+C1,Ann,Bee,a@x,beginner,guitar,1,practice,0-500,2022-07-03
+C2,Bob,,b@x,advanced,drums,5,live performance,500-2000,2022-08-09
+C3,Cid,Dee,c@x,advanced,keys,many,studio recording,2000+,2022-09-30
 """,
     "inventory": "product_id,quantity\nP0001,0\nP0002,7\n",
     "orders": """order_id,customer_id,product_id,quantity,unit_price,order_date,status
-O1,C1,P004,1,199.99,2024-01-20,completed
-O2,C1,P605,2,6.99,2024-01-21,completed
-O2,C1,P605,1,6.99,2024-01-21,completed
-O3,C1,,1,1.00,2023-12-31,completed
-O4,C9,P1,1,1.00,2024-13-31,completed
+O1,C1,K11,1,140.25,2022-11-05,completed
+O2,C1,K27,2,8.40,2022-11-17,completed
+O2,C1,K27,1,8.40,2022-11-17,completed
+O3,C1,,1,1.00,2022-10-01,completed
+O4,C9,K1,1,1.00,2022-13-31,completed
 """,
     "products": '''product_id,name,brand,category,subcategory,price,description,skill_level,use_case,in_stock,manufacturer_url
 P0003,Axe,B,Guitar,Electric Guitar,10.00,"long, with ""quotes""",beginner,practice,true,
@@ -34,8 +35,8 @@ P0004,Kit,B,Drums,Drum Kit,cheap,bad price,beginner,practice,true,
 P0005,Kit,B,Drums,Drum Kit,1500,top,beginner,practice,true,
 ''',
     "se_handoffs": '''handoff_id,session_id,customer_snapshot,recommended_products,conversation_summary,priority,created_at,assigned_se
-H1,S1,"{""name"": ""Ann"", ""budget"":  300}","[""P004"", ""P605""]","first, long",medium,2024-01-14,Sarah
-H2,S2,"{broken","[]",x,high,2024-02-18,Mike
+H1,S1,"{""name"": ""Ann"", ""budget"":  275, ""budget"":  310}","[""K11"", ""K27""]","first, long",medium,2022-12-02,Vera
+H2,S2,"{broken","[]",x,high,2022-12-08,Otto
 ''',
 }
 
@@ -66,9 +67,9 @@ def test_customers_with_and_without_orders(spark, built):
     rows = {r.customer_id: r for r in warehouse.read_mart(spark, built[0], "dim_customers").collect()}
     assert sorted(rows) == ["C1", "C2"]
     one, two = rows["C1"], rows["C2"]
-    assert (one.total_orders, one.lifetime_value) == (3, 221.96)
-    assert one.purchased_product_ids == [None, "P004", "P605"]
-    assert (str(one.first_order_date), str(one.last_order_date)) == ("2023-12-31", "2024-01-21")
+    assert (one.total_orders, one.lifetime_value) == (3, 166.45)
+    assert one.purchased_product_ids == [None, "K11", "K27"]
+    assert (str(one.first_order_date), str(one.last_order_date)) == ("2022-10-01", "2022-11-17")
     assert two.full_name is None and (two.total_orders, two.lifetime_value) == (0, 0.0)
     assert two.purchased_product_ids == [] and two.last_order_date is None
 
@@ -86,37 +87,43 @@ def test_bad_rows_go_to_quarantine(spark, built):
 
 def test_recommendations_hold_compact_json(spark, built):
     (row,) = warehouse.read_mart(spark, built[0], "fct_recommendations").collect()
-    assert row.customer_snapshot == '{"name":"Ann","budget":300}'
-    assert row.recommended_products == '["P004","P605"]'
-    assert str(row.created_at) == "2024-01-14 00:00:00"
+    assert row.customer_snapshot == '{"name":"Ann","budget":275,"budget":310}'
+    assert row.recommended_products == '["K11","K27"]'
+    assert str(row.created_at) == "2022-12-02 00:00:00"
 
 
 def test_second_build_changes_nothing_and_keeps_marts_on_request(spark, built, tmp_path):
     before = sorted(map(str, warehouse.read_mart(spark, built[0], "dim_products").collect()))
     for name, text in FILES.items():
         (tmp_path / f"{name}.csv").write_text(text if name != "products" else text.splitlines()[0] + "\n")
-    warehouse.build(spark, str(tmp_path), built[0], replace=False)
+    raw = sorted(map(str, spark.read.parquet(f"{built[0]}/raw_products").collect()))
+    audit = warehouse.build(spark, str(tmp_path), built[0], replace=False)
+    assert {r.table_name: r.row_count for r in audit.collect()} == built[1]
+    assert sorted(map(str, spark.read.parquet(f"{built[0]}/raw_products").collect())) == raw
     assert sorted(map(str, warehouse.read_mart(spark, built[0], "dim_products").collect())) == before
 
 
 def test_staging_views(spark, built):
     warehouse.create_staging_views(warehouse.raw_tables(spark, built[0]))
-    assert spark.sql("select sum(line_total) from stg_orders").first()[0] == Decimal("221.96")
+    assert spark.sql("select sum(line_total) from stg_orders").first()[0] == Decimal("166.45")
 
 
 def test_csv_round_trip(spark, tmp_path):
     row = ("P1", 'say "hi", ok', "B\nC", "", None, "1.50", "back\\slash", "b-a", "u", "true", "")
     df = spark.createDataFrame([row], RAW["products"])
     raw_files.write_csv(df, str(tmp_path / "out"), "products")
-    (got,) = raw_files.read_csv(spark, str(tmp_path / "out"), "products").collect()
+    (got,) = raw_files.read_csv(spark, str(tmp_path / "out"), "products", multi_line=True).collect()
     assert [x or None for x in got] == [x or None for x in row]
 
 
-def test_oversized_product_lists_stay_in_the_bridge(spark):
-    orders = spark.createDataFrame([("C1", "A"), ("C1", "B"), ("C1", "B"), ("C2", "B")], "customer_id string, product_id string")
-    bridge = marts.customer_products(orders)
-    lists = {r.customer_id: r.purchased_product_ids for r in marts.product_lists(bridge, limit=1).collect()}
-    assert lists == {"C1": None, "C2": ["B"]} and bridge.count() == 3
+def test_pages_of_product_lists_hold_the_whole_bridge(spark):
+    rows = [("C1", f"P{i % 70}") for i in range(200)] + [("C2", "B"), ("C2", None), ("C3", "x"), (None, "y")]
+    bridge = marts.customer_products(spark.createDataFrame(rows, "customer_id string, product_id string").where("customer_id is not null"))
+    pages = marts.product_pages(bridge, page_products=5).collect()
+    got = {(r.customer_id, p) for r in pages for p in r.product_ids}
+    assert got == {r for r in rows if r[0]} and sum(len(r.product_ids) for r in pages) == len(got)
+    assert {r.n_pages for r in pages if r.customer_id == "C1"} == {14} and max(len(r.product_ids) for r in pages) < 20
+    assert {(r.customer_id, r.page_no, tuple(r.product_ids)) for r in pages if r.customer_id != "C1"} == {("C2", 0, (None, "B")), ("C3", 0, ("x",))}
 
 
 def base_items(spark, n):
@@ -171,3 +178,16 @@ def test_conversion_and_ownership(spark):
         ("C2", "2024-01-01 00:00:00"): None,
     }
     assert [r.customer_id for r in analytics.not_owned(recs, orders).collect()] == ["C2"]
+
+
+def test_generator_has_no_upper_size(spark):
+    rows = generate_catalog(base_items(spark, 2), 6_000_000_000).limit(3).collect()
+    assert [r.product_id for r in rows] == ["P0001", "P0002", "P0003"] and rows[2].name.endswith(" Bundle")
+
+
+def test_generator_numbers_a_base_in_bands(spark, monkeypatch):
+    from fretwork.sources import catalog
+
+    monkeypatch.setattr(catalog, "BAND_ROWS", 9)
+    rows = generate_catalog(base_items(spark, 100).repartition(5), 150).orderBy(F.length("product_id"), "product_id").collect()
+    assert [int(r.name.split()[1][1:]) for r in rows] == [i % 100 for i in range(150)]

@@ -83,17 +83,29 @@ def test_fold_equals_a_walk_through_all_moves(spark):
 
 
 def test_lifecycle_stream_over_many_batches(spark, tmp_path):
+    """Moves in random order over the batches give the state of all moves in event order."""
     source, path = str(tmp_path / "in"), str(tmp_path / "table")
-    moves = sorted(random_moves(2, 350), key=lambda m: (m[3], m[4]))
-    want = {}
+    moves = random_moves(2, 250)
+    random.Random(5).shuffle(moves)
     spark.createDataFrame([], MOVES).write.parquet(source)
-    for i in range(7):
-        part = moves[i * 50 : (i + 1) * 50]
-        want = walk(part, want)
-        spark.createDataFrame(part, MOVES).coalesce(1).write.mode("append").parquet(source)
-        state.stream_lifecycle(read_parquet_stream(spark, source), path, str(tmp_path / "checkpoint"), full_every=3)
+    for i in range(5):
+        spark.createDataFrame(moves[i * 50 : (i + 1) * 50], MOVES).coalesce(1).write.mode("append").parquet(source)
+        state.stream_lifecycle(read_parquet_stream(spark, source), path, str(tmp_path / "checkpoint"))
     got = {r.handoff_id: (r.status, r.claimed_by) for r in state.read_lifecycle(spark.read.parquet(path)).collect()}
-    assert got == want
+    assert got == walk(moves)
+
+
+def test_lifecycle_settles_what_the_watermark_has_passed(spark, tmp_path):
+    """A claim before its create counts; a move that is too late does not."""
+    source, path = str(tmp_path / "in"), str(tmp_path / "table")
+    hours = [[(1, "claim", "A", 2), (2, "create", "A", 1)], [(1, "create", "B", 1), (3, "create", "A", 90)], [(2, "claim", "A", 3), (3, "claim", "B", 91)], [(3, "close", "B", 92)]]
+    spark.createDataFrame([], MOVES).write.parquet(source)
+    for i, rows in enumerate(hours):
+        rows = [(k, e, se, START + dt.timedelta(hours=h), 10 * i + n) for n, (k, e, se, h) in enumerate(rows)]
+        spark.createDataFrame(rows, MOVES).coalesce(1).write.mode("append").parquet(source)
+        state.stream_lifecycle(read_parquet_stream(spark, source), path, str(tmp_path / "checkpoint"), "10 hours")
+    got = {r.handoff_id: (r.status, r.claimed_by) for r in state.read_lifecycle(spark.read.parquet(path)).collect()}
+    assert got == {1: ("claimed", "A"), 2: ("new", None), 3: ("closed", "B")}
 
 
 def test_transcript_stream_keeps_the_last_write(spark, tmp_path):
@@ -106,6 +118,17 @@ def test_transcript_stream_keeps_the_last_write(spark, tmp_path):
     assert got == {"s": "new", "t": "t2"}
 
 
+def test_a_shorter_transcript_replaces_the_longer_one(spark, tmp_path):
+    """Pages of both versions come mixed over two batches; nothing of the older version stays."""
+    source, path, checkpoint = str(tmp_path / "in"), str(tmp_path / "table"), str(tmp_path / "checkpoint")
+    schema = "session_id string, page_no bigint, messages string, updated_at timestamp"
+    late = START + dt.timedelta(1)
+    for rows in [[("s", 0, "new 0", late), ("s", 2, "old 2", START)], [("s", 1, "new 1", late), ("s", 0, "old 0", START), ("s", 1, "old 1", START)]]:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        state.stream_transcripts(read_parquet_stream(spark, source), path, checkpoint)
+    assert sorted(r.messages for r in state.read_transcripts(spark.read.parquet(path)).collect()) == ["new 0", "new 1"]
+
+
 def test_metrics_stream_updates_windows(spark, tmp_path):
     source, path, checkpoint = str(tmp_path / "in"), str(tmp_path / "table"), str(tmp_path / "checkpoint")
     schema = "ts timestamp, status string, priority string"
