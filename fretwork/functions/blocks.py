@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
 
 import numpy as np
@@ -32,19 +33,11 @@ class Best:
         self.ids: list[np.ndarray] = [np.empty(0, dtype=object)] * len(query_ids)
         self.sims: list[np.ndarray] = [np.empty(0)] * len(query_ids)
 
-    def add(self, queries: np.ndarray, item_ids: np.ndarray, items: np.ndarray, query_codes=None, item_codes=None) -> None:
-        """Score unit rows against each other, a slice of the queries at a time.
-
-        With codes, only pairs that share a code in some table are in the race.
-        """
+    def add(self, queries: np.ndarray, item_ids: np.ndarray, items: np.ndarray) -> None:
+        """Score unit rows against each other, a slice of the queries at a time."""
         step = max(1, MAX_CELLS // max(1, len(items)))
         for start in range(0, len(queries), step):
             sims = np.round(queries[start : start + step] @ items.T, DIGITS)
-            if query_codes is not None:
-                shared = np.zeros(sims.shape, dtype=bool)
-                for t in range(item_codes.shape[1]):
-                    shared |= query_codes[start : start + step, t][:, None] == item_codes[:, t][None, :]
-                sims[~shared] = np.nan
             for i, row in enumerate(sims):
                 self._merge(start + i, item_ids, row)
 
@@ -72,11 +65,20 @@ class Best:
         )
 
 
-def hash_planes(dimension: int, tables: int, bits: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((tables * bits, dimension))
+def pair_similarities(one, two) -> np.ndarray:
+    """Cosine of each pair of vectors."""
+    if not len(one):
+        return np.zeros(0)
+    return np.round((unit_rows(one) * unit_rows(two)).sum(axis=1), DIGITS)
+
+
+def hash_planes(dimension: int, tables: int, bits: int) -> np.ndarray:
+    """Normals of all planes, from digests of plane and component, so that any system can make them."""
+    digests = [hashlib.md5(f"{plane}:{i}".encode()).hexdigest()[:8] for plane in range(tables * bits) for i in range(dimension)]
+    return (np.array([int(d, 16) for d in digests], dtype=np.float64) / 2**31 - 1).reshape(tables * bits, dimension)
 
 
 def hash_codes(unit: np.ndarray, planes: np.ndarray, tables: int, bits: int) -> np.ndarray:
     """Code of each vector in each table; codes of different tables never coincide."""
     signs = (np.nan_to_num(unit) @ planes.T >= 0).reshape(len(unit), tables, bits)
-    return (signs * (1 << np.arange(bits))).sum(axis=2) + np.arange(tables) * (1 << bits)
+    return (signs * (1 << np.arange(bits))).sum(axis=2) + (np.arange(tables) << bits)

@@ -1,7 +1,8 @@
 """Vector retrieval: exact cosine top-k, an approximate index, candidate lists for hybrid search.
 
-Pairs of query and vector are never emitted. A task multiplies its vectors with a block of queries and
-keeps the best ``k`` per query, so only (tasks x queries x k) rows reach the final ranking.
+The exact search compares every query with every vector. A task multiplies its vectors with a block of queries and keeps
+the best ``k`` per query, of which only those leave it that reach the query's k-th similarity in a sample of the index. The
+approximate search scores the pairs that share a hash code, and no others. Rows without id or vector take no part.
 """
 
 from __future__ import annotations
@@ -13,10 +14,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fretwork.functions.blocks import Best, hash_codes, hash_planes, unit_rows
+from fretwork.functions.blocks import Best, hash_codes, hash_planes, pair_similarities, unit_rows
 from fretwork.functions.ranking import top_k
 from fretwork.schemas import VECTOR_METADATA
 
+# Rows of the index, about, from which the lower bounds of the exact search are taken.
+SAMPLE_ROWS = 20_000
 # Queries up to this size (as doubles) travel to the tasks as one broadcast block. Beyond it, both sides are
 # cut into blocks of about half this size.
 MAX_BLOCK_BYTES = 64 * 1024 * 1024
@@ -47,32 +50,44 @@ def fits_in_block(queries: DataFrame, max_bytes: int = MAX_BLOCK_BYTES) -> bool:
     return size <= max_bytes
 
 
+def _usable(vectors: DataFrame, key: str) -> DataFrame:
+    return vectors.select(key, "embedding").where(F.col(key).isNotNull() & F.col("embedding").isNotNull())
+
+
 def cosine_top_k(index: DataFrame, queries: DataFrame, k: int = 20, max_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
     """Exact nearest items per query: query_id, rank, item_id, similarity.
 
     ``index``: item_id, embedding; ``queries``: query_id, embedding. A query set of proven small size is
-    broadcast and the index is only streamed through. A larger one is worked off in block pairs.
+    broadcast and the index is only streamed through. A larger one is worked off in block pairs, with the same result.
     """
-    asked = queries.select("query_id", "embedding").persist()
+    items, asked = _usable(index, "item_id"), _usable(queries, "query_id")
     if not fits_in_block(asked, max_bytes):
-        return _final(_block_pairs(index, asked, k, max_bytes // 2), k)
+        return _final(_block_pairs(items, asked, k, max_bytes // 2), k)
     rows = asked.toPandas()
-    asked.unpersist()
+    schema = _hit_schema(index, queries)
     if rows.empty:
-        return _final(index.sparkSession.createDataFrame([], _hit_schema(index, queries)), k)
-    block = index.sparkSession.sparkContext.broadcast(
-        (rows["query_id"].to_numpy(dtype=object), unit_rows(rows["embedding"]))
-    )
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, matrix = block.value
-        best = Best(query_ids, k)
-        for batch in batches:
-            if len(batch):
-                best.add(matrix, batch["item_id"].to_numpy(dtype=object), unit_rows(batch["embedding"]))
-        yield best.frame()
-
-    return _final(index.select("item_id", "embedding").mapInPandas(search, _hit_schema(index, queries)), k)
+        return _final(index.sparkSession.createDataFrame([], schema), k)
+    context = index.sparkSession.sparkContext
+    block = context.broadcast((rows["query_id"].to_numpy(dtype=object), unit_rows(rows["embedding"])))
+
+    def search(least: dict):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            query_ids, matrix = block.value
+            best = Best(query_ids, k)
+            for batch in batches:
+                if len(batch):
+                    best.add(matrix, batch["item_id"].to_numpy(dtype=object), unit_rows(batch["embedding"]))
+            found = best.frame()
+            bounds = found["query_id"].map(least.value if least else {}).astype("float64").fillna(-2.0)
+            yield found[found["similarity"] >= bounds]
+
+        return run
+
+    share = max(1, items.count() // SAMPLE_ROWS)
+    sample = items.where(F.pmod(F.xxhash64("item_id"), F.lit(share)) == 0)
+    kth = _final(sample.mapInPandas(search(None), schema), k).where(F.col("rank") == k)
+    least = {r.query_id: r.similarity for r in kth.select("query_id", "similarity").collect()}
+    return _final(items.mapInPandas(search(context.broadcast(least)), schema), k)
 
 
 def _n_blocks(vectors: DataFrame, block_bytes: int) -> int:
@@ -109,58 +124,45 @@ def _block_pairs(index: DataFrame, queries: DataFrame, k: int, block_bytes: int)
     return items.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(search, _hit_schema(index, queries))
 
 
-def with_hash_codes(index: DataFrame, dimension: int, tables: int = 16, bits: int = 4, seed: int = 7) -> DataFrame:
-    """Index with ``codes``: which side of ``bits`` random planes a vector lies on, for each table.
+def with_hash_codes(vectors: DataFrame, dimension: int, tables: int = 16, bits: int = 8) -> DataFrame:
+    """``vectors`` with ``codes``: per table, on which side of ``bits`` planes a vector lies, and the table's number.
 
-    Write the result partitioned by ``cell`` (the code of the first table) to let a search skip files.
+    Store an index with its codes to search it again and again.
     """
-    planes = hash_planes(dimension, tables, bits, seed)
+    planes = hash_planes(dimension, tables, bits)
+
+    @F.pandas_udf("array<bigint>")
+    def codes(column: pd.Series) -> pd.Series:
+        return pd.Series(list(hash_codes(unit_rows(column), planes, tables, bits)))
 
-    @F.pandas_udf("array<int>")
-    def codes(vectors: pd.Series) -> pd.Series:
-        return pd.Series(list(hash_codes(unit_rows(vectors), planes, tables, bits).astype(np.int32)))
+    return vectors.where("embedding is not null").withColumn("codes", codes("embedding"))
 
-    coded = index.withColumn("codes", codes("embedding"))
-    return coded.withColumn("cell", F.element_at("codes", 1))
+
+def shared_code_pairs(coded_index: DataFrame, coded_queries: DataFrame) -> DataFrame:
+    """(query_id, item_id): the pairs that share a code in some table, each once. A hot code is split by the skew handling."""
+    items = coded_index.where("item_id is not null").select("item_id", F.explode("codes").alias("code"))
+    asked = coded_queries.where("query_id is not null").select("query_id", F.explode("codes").alias("code"))
+    return items.join(asked, "code").select("query_id", "item_id").distinct()
 
 
 def approximate_top_k(
-    coded: DataFrame,
-    queries: DataFrame,
-    dimension: int,
-    k: int = 20,
-    tables: int = 16,
-    bits: int = 4,
-    seed: int = 7,
-    max_bytes: int = MAX_BLOCK_BYTES,
+    coded: DataFrame, queries: DataFrame, dimension: int, k: int = 20, tables: int = 16, bits: int = 8
 ) -> DataFrame:
-    """Nearest items among those that share a hash code with the query in at least one table.
+    """Nearest items among those that share a hash code with the query: query_id, rank, item_id, similarity.
 
-    Only rows with some asked code leave the scan; they are scored exactly. Queries beyond one block of
-    proven size ask for nearly every code, so they get the exact search in block pairs instead.
+    ``coded``: index with codes. An equi-join finds the pairs, only they are scored, exactly; that is all the work there is,
+    for queries of any number. More bits mean fewer pairs, more tables more of the true neighbours.
     """
-    asked = queries.select("query_id", "embedding").persist()
-    if not fits_in_block(asked, max_bytes):
-        return cosine_top_k(coded, asked, k, max_bytes)
-    rows = asked.toPandas()
-    asked.unpersist()
-    planes = hash_planes(dimension, tables, bits, seed)
-    matrix = unit_rows(rows["embedding"])
-    query_codes = hash_codes(matrix, planes, tables, bits)
-    block = coded.sparkSession.sparkContext.broadcast((rows["query_id"].to_numpy(dtype=object), matrix, query_codes))
-    wanted = F.array(*[F.lit(int(c)) for c in np.unique(query_codes)])
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, units, codes = block.value
-        best = Best(query_ids, k)
-        for batch in batches:
-            if len(batch):
-                ids = batch["item_id"].to_numpy(dtype=object)
-                best.add(units, ids, unit_rows(batch["embedding"]), codes, np.vstack(batch["codes"]))
-        yield best.frame()
-
-    near = coded.where(F.arrays_overlap("codes", wanted)).select("item_id", "embedding", "codes")
-    return _final(near.mapInPandas(search, _hit_schema(coded, queries)), k)
+    asked = with_hash_codes(_usable(queries, "query_id"), dimension, tables, bits)
+    pairs = shared_code_pairs(coded, asked)
+
+    @F.pandas_udf("double")
+    def similarity(one: pd.Series, two: pd.Series) -> pd.Series:
+        return pd.Series(pair_similarities(one, two))
+
+    both = pairs.join(_usable(coded, "item_id"), "item_id").join(asked.select("query_id", F.col("embedding").alias("_asked")), "query_id")
+    scored = both.select("query_id", "item_id", similarity("_asked", "embedding").alias("similarity"))
+    return _final(scored.where(~F.isnan("similarity")), k)
 
 
 def as_candidates(hits: DataFrame) -> DataFrame:

@@ -13,6 +13,9 @@ from fretwork.workload import search, shop
 
 DIMENSION = 64
 K = 20
+# Hash tables and bits of the approximate searches.
+TABLES, BITS = 16, 6
+TEXT_TABLES, TEXT_BITS = 12, 14
 
 
 def index(spark, sf_dir):
@@ -41,19 +44,31 @@ def cosine_top20(spark, sf_dir):
 
 
 def similar_products(spark, sf_dir):
-    """The five nearest products of every product."""
+    """The five nearest products of every product, among those that share a hash code."""
     asked = index(spark, sf_dir).withColumnRenamed("item_id", "query_id")
-    return _rounded(vectors.cosine_top_k(index(spark, sf_dir), asked, 5))
+    coded = vectors.with_hash_codes(index(spark, sf_dir), DIMENSION, TABLES, BITS)
+    return _rounded(vectors.approximate_top_k(coded, asked, DIMENSION, 5, TABLES, BITS))
+
+
+def similar_texts(spark, sf_dir):
+    """The five products with the most similar texts, among those that share a hash code of their text vectors."""
+    products = staging.stg_products(shop.raw_products(spark, sf_dir))
+    texts = products.select(F.col("product_id").alias("item_id"), text_vectors.embedding_text().alias("text"))
+    dense = materialize(text_vectors.dense_vectors(text_vectors.term_weights(texts, 128), 128), "text-vectors")
+    coded = vectors.with_hash_codes(dense, 128, TEXT_TABLES, TEXT_BITS)
+    return _rounded(vectors.approximate_top_k(coded, dense.withColumnRenamed("item_id", "query_id"), 128, 5, TEXT_TABLES, TEXT_BITS))
 
 
 def ann_recall(spark, sf_dir):
-    """Share of the exact top 20 that the hash index finds, per query."""
+    """Per label query: of the exact top 20, how many the hash index finds, and how many pairs it scores."""
     asked = materialize(queries(spark, sf_dir), "queries")
     exact = vectors.cosine_top_k(index(spark, sf_dir), asked, K)
-    coded = vectors.with_hash_codes(index(spark, sf_dir), DIMENSION)
-    found = vectors.approximate_top_k(coded, asked, DIMENSION, K).select("query_id", "item_id", F.lit(1).alias("hit"))
-    both = exact.join(found, ["query_id", "item_id"], "left")
-    return both.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_exact"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    coded = materialize(vectors.with_hash_codes(index(spark, sf_dir), DIMENSION, TABLES, BITS), "coded")
+    pairs = vectors.shared_code_pairs(coded, vectors.with_hash_codes(asked, DIMENSION, TABLES, BITS))
+    scored = pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_scored"))
+    both = exact.join(pairs.withColumn("hit", F.lit(1)), ["query_id", "item_id"], "left")
+    found = both.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_exact"), F.count("hit").alias("n_found"))
+    return found.join(scored, "query_id", "left").select("query_id", "n_exact", "n_found", F.coalesce("n_scored", F.lit(0)).alias("n_scored"))
 
 
 def search_hybrid(spark, sf_dir):
@@ -123,6 +138,7 @@ def text_search(spark, sf_dir):
 QUERIES = {
     "cosine_top20": cosine_top20,
     "similar_products": similar_products,
+    "similar_texts": similar_texts,
     "ann_recall": ann_recall,
     "search_hybrid": search_hybrid,
     "vector_upsert": vector_upsert,
@@ -158,13 +174,38 @@ def _weights_sql(buckets: int) -> str:
   weights AS (SELECT product_id AS item_id, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY product_id)) AS weight FROM raw)"""
 
 
+def _codes_sql(source: str, dimension: int, tables: int, bits: int) -> str:
+    """codes (id, code) of the vectors v in ``source``."""
+    return f"""planes AS (
+        SELECT p, list(CAST(CAST('0x' || substr(md5(CAST(p AS VARCHAR) || ':' || CAST(i AS VARCHAR)), 1, 8) AS BIGINT) AS DOUBLE)
+                       / 2147483648 - 1 ORDER BY i) AS plane FROM range({tables * bits}) a(p), range({dimension}) b(i) GROUP BY p),
+      codes AS (
+        SELECT id, CAST(sum(CASE WHEN list_dot_product(v, plane) >= 0 THEN 1 << (p % {bits}) ELSE 0 END) AS BIGINT) + ((p // {bits}) << {bits}) AS code
+        FROM {source}, planes GROUP BY id, p // {bits})"""
+
+
+_SIMILAR = """pairs AS (SELECT DISTINCT a.id AS query_id, b.id AS item_id FROM codes a JOIN codes b USING (code)),
+      scored AS (SELECT query_id, item_id, list_cosine_similarity(q.v, i.v) AS s
+                 FROM pairs JOIN items q ON q.id = query_id JOIN items i ON i.id = item_id)
+      SELECT query_id, item_id, round(s, 6) AS similarity,
+             row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, item_id) AS rank
+      FROM scored WHERE NOT isnan(s) QUALIFY rank <= 5"""
+
 ORACLE = {
     "cosine_top20": f"WITH {_NEAREST} SELECT query_id, nth AS rank, item_id, round(s, 6) AS similarity FROM nearest",
     "similar_products": f"""
-      SELECT {shop.sql_product_key("a.vec_id")} AS query_id, {shop.sql_product_key("b.vec_id")} AS item_id,
-             list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s,
-             row_number() OVER (PARTITION BY a.vec_id ORDER BY s DESC, b.vec_id) AS rank
-      FROM embeddings a, embeddings b QUALIFY rank <= 5""",
+      WITH items AS (SELECT {shop.sql_product_key("vec_id")} AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+           {_codes_sql("items", DIMENSION, TABLES, BITS)}, {_SIMILAR}""",
+    "ann_recall": f"""
+      WITH {_NEAREST}, vectors AS (
+        SELECT {shop.sql_product_key("vec_id")} AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+        UNION ALL SELECT CAST(label AS VARCHAR), q FROM queries),
+      {_codes_sql("vectors", DIMENSION, TABLES, BITS)},
+      pairs AS (SELECT DISTINCT CAST(a.id AS BIGINT) AS query_id, b.id AS item_id
+                FROM codes a JOIN codes b USING (code) WHERE a.id NOT LIKE 'P%' AND b.id LIKE 'P%')
+      SELECT n.query_id, count(*) AS n_exact, count(p.item_id) AS n_found,
+             (SELECT count(*) FROM pairs s WHERE s.query_id = n.query_id) AS n_scored
+      FROM nearest n LEFT JOIN pairs p ON p.query_id = n.query_id AND p.item_id = n.item_id GROUP BY n.query_id""",
     "search_hybrid": shop.with_sql("dim_products")
     + f""", {_NEAREST}, requests AS (
       SELECT DISTINCT CAST(label AS BIGINT) AS request_id, CASE WHEN label % 2 = 1 THEN 'intermediate' END AS skill_level,
@@ -194,6 +235,10 @@ ORACLE = {
              row_number() OVER (PARTITION BY brand ORDER BY round(d / (a.n * i.n), 12) DESC, item_id) AS rank
       FROM dots JOIN asked_norm a USING (brand) JOIN item_norm i USING (item_id) QUALIFY rank <= {K}""",
 }
-ORACLE["similar_products"] = (
-    "SELECT query_id, rank, item_id, round(s, 6) AS similarity FROM (" + ORACLE["similar_products"] + ")"
+ORACLE["similar_texts"] = (
+    _weights_sql(128)
+    + f""", places AS (SELECT item_id, b AS bucket FROM (SELECT DISTINCT item_id FROM weights), range(128) r(b)),
+      cells AS (SELECT item_id, bucket, coalesce(CAST(CAST(weight AS FLOAT) AS DOUBLE), 0) AS w FROM places LEFT JOIN weights USING (item_id, bucket)),
+      items AS (SELECT item_id AS id, list(w ORDER BY bucket) AS v FROM cells GROUP BY 1),
+      {_codes_sql("items", 128, TEXT_TABLES, TEXT_BITS)}, {_SIMILAR}"""
 )

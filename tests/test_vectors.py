@@ -62,18 +62,44 @@ def test_wrong_dimension_fails(spark):
         vectors.check_dimension(index, "embedding", 2).collect()
 
 
-def test_hash_index_finds_identical_vectors_and_scores_exactly(spark, tmp_path):
+def test_hash_index_finds_copies_and_scores_exactly(spark, tmp_path):
     items, asked = data()
     index, queries = frames(spark, items, asked)
-    vectors.with_hash_codes(index, 8).write.partitionBy("cell").parquet(str(tmp_path / "index"))
-    hits = vectors.approximate_top_k(spark.read.parquet(str(tmp_path / "index")), queries, 8, 5)
+    vectors.with_hash_codes(index, 8, 4, 6).write.parquet(str(tmp_path / "index"))
+    coded = spark.read.parquet(str(tmp_path / "index"))
+    hits = vectors.approximate_top_k(coded, queries, 8, 5, 4, 6)
     assert lists(hits)[3] == [f"P{i:04d}" for i in range(100, 105)]
-    many = vectors.approximate_top_k(spark.read.parquet(str(tmp_path / "index")), queries, 8, 5, max_bytes=500)
-    assert lists(many) == brute(items, asked, 5)
     exact = {(r.query_id, r.item_id): r.similarity for r in vectors.cosine_top_k(index, queries, 300).collect()}
     assert all(exact[r.query_id, r.item_id] == pytest.approx(r.similarity, abs=1e-9) for r in hits.collect())
 
 
+def test_hash_index_scores_few_pairs_at_high_recall(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((60, 16))
+    items = np.repeat(centres, 20, axis=0) + 0.25 * rng.standard_normal((1200, 16))
+    asked = centres[:30] + 0.25 * rng.standard_normal((30, 16))
+    index, queries = frames(spark, items.astype(np.float32), asked.astype(np.float32))
+    coded = vectors.with_hash_codes(index, 16, 12, 8)
+    got, want = lists(vectors.approximate_top_k(coded, queries, 16, 10, 12, 8)), lists(vectors.cosine_top_k(index, queries, 10))
+    assert sum(len(set(got.get(q, [])) & set(want[q])) for q in want) >= 0.8 * 300
+    assert vectors.shared_code_pairs(coded, vectors.with_hash_codes(queries, 16, 12, 8)).count() < 0.2 * 30 * 1200
+
+
+def test_rows_without_id_or_vector_take_no_part(spark):
+    index = spark.createDataFrame([("a", [1.0, 0.0]), (None, [1.0, 0.0]), ("b", None), ("c", [0.0, 1.0])], INDEX)
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (None, [1.0, 0.0]), (2, None)], QUERIES)
+    for max_bytes in (1 << 20, 4):
+        assert lists(vectors.cosine_top_k(index, queries, 5, max_bytes)) == {1: ["a", "c"]}
+    assert lists(vectors.approximate_top_k(vectors.with_hash_codes(index, 2, 4, 1), queries, 2, 1, 4, 1)) == {1: ["a"]}
+
+
+def test_lower_bounds_from_a_sample_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SAMPLE_ROWS", 40)
+    items, asked = data()
+    index, queries = frames(spark, items, asked)
+    assert lists(vectors.cosine_top_k(index, queries, 7)) == brute(items, asked, 7)
+
+
 def test_candidates_keep_the_best_rank(spark):
     hits = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "a"), (1, 4, None)], "query_id int, rank int, item_id string")
     got = {(r.request_id, r.product_id, r.candidate_rank) for r in vectors.as_candidates(hits).collect()}
