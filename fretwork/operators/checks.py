@@ -123,23 +123,45 @@ def contract_report(violations: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, counts)
 
 
+def key_and_values(df: DataFrame, keys: list[str], accepted: dict[str, list[str]], names: list[str]) -> DataFrame:
+    """Contracts of one table in one pass: unique ``keys``, then the accepted values of each column; ``names`` in that order."""
+    bad = {c: F.count_if(F.col(c).isNull() | ~F.col(c).isin(allowed)).alias(f"_{c}") for c, allowed in accepted.items()}
+    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *bad.values())
+    sums = per_key.agg(F.count_if(F.col("_n") > 1).alias("_keys"), *[F.coalesce(F.sum(f"_{c}"), F.lit(0)).alias(f"_{c}") for c in accepted])
+    return _as_report(sums, dict(zip(names, ["_keys", *[f"_{c}" for c in accepted]], strict=True)))
+
+
+def references(df: DataFrame, parents: dict[str, tuple[DataFrame, str]], names: list[str]) -> DataFrame:
+    """Orphans of several reference columns of one table, from one pass that counts its distinct combinations."""
+    rows = df.groupBy(*parents).agg(F.count(F.lit(1)).alias("_n"))
+    for column, (parent, key) in parents.items():
+        known = parent.select(F.col(key).alias(column)).distinct().withColumn(f"_{column}", F.lit(True))
+        rows = rows.join(known, column, "left")
+    missing = {c: F.coalesce(F.sum(F.when(F.col(c).isNotNull() & F.col(f"_{c}").isNull(), F.col("_n"))), F.lit(0)).alias(f"_{c}") for c in parents}
+    return _as_report(rows.agg(*missing.values()), dict(zip(names, [f"_{c}" for c in parents], strict=True)))
+
+
+def _as_report(sums: DataFrame, columns: dict[str, str]) -> DataFrame:
+    rows = F.array(*[F.struct(F.lit(name).alias("contract"), F.col(c).alias("n_violations")) for name, c in columns.items()])
+    return sums.select(F.explode(rows).alias("r")).select("r.*")
+
+
 def mart_contracts(
     products: DataFrame, customers: DataFrame, orders: DataFrame, handoffs: DataFrame, stock: DataFrame
 ) -> DataFrame:
-    """Keys, accepted values and references of the marts."""
-    return contract_report(
-        {
-            "dim_products.product_id unique": duplicate_keys(products, ["product_id"]),
-            "dim_products.name_price unique": duplicate_keys(products, ["product_name", "price"]),
-            "dim_products.price_tier accepted": unexpected_values(
-                products, "price_tier", ["budget", "entry", "mid-range", "premium"]
-            ),
-            "dim_customers.customer_id unique": duplicate_keys(customers, ["customer_id"]),
-            "stg_orders.customer_id known": orphans(orders, "customer_id", customers, "customer_id"),
-            "stg_orders.product_id known": orphans(orders, "product_id", products, "product_id"),
-            "agent_handoffs.handoff_id unique": duplicate_keys(handoffs, ["handoff_id"]),
-            "agent_handoffs.status accepted": unexpected_values(handoffs, "status", ["new", "claimed", "closed"]),
-            "agent_handoffs.priority accepted": unexpected_values(handoffs, "priority", ["high", "medium", "low"]),
-            "inventory.product_id known": orphans(stock, "product_id", products, "product_id"),
-        }
-    )
+    """Keys, accepted values and references of the marts, each table read once per kind of contract."""
+    tiers = {"price_tier": ["budget", "entry", "mid-range", "premium"]}
+    states = {"status": ["new", "claimed", "closed"], "priority": ["high", "medium", "low"]}
+    parents = {"customer_id": (customers, "customer_id"), "product_id": (products, "product_id")}
+    parts = [
+        key_and_values(products, ["product_id"], tiers, ["dim_products.product_id unique", "dim_products.price_tier accepted"]),
+        key_and_values(products, ["product_name", "price"], {}, ["dim_products.name_price unique"]),
+        key_and_values(customers, ["customer_id"], {}, ["dim_customers.customer_id unique"]),
+        references(orders, parents, ["stg_orders.customer_id known", "stg_orders.product_id known"]),
+        key_and_values(
+            handoffs, ["handoff_id"], states,
+            ["agent_handoffs.handoff_id unique", "agent_handoffs.status accepted", "agent_handoffs.priority accepted"],
+        ),
+        references(stock, {"product_id": (products, "product_id")}, ["inventory.product_id known"]),
+    ]
+    return reduce(DataFrame.unionAll, parts)

@@ -9,7 +9,7 @@ that neither a cross join nor a scan of all products per request is needed:
 
 1. Text filters are matched once against the distinct facet values, through an equi-join on short grams.
    Products are grouped into cells of equal facet values, and each distinct combination of filter texts
-   selects its cells by equality.
+   selects its cells among those that exist, through its most selective text.
 2. The ladder of a filter combination has one rung per price with the first ``k`` product ids there (no
    other product can win). The rungs are numbered by price.
 3. The bounds and the target of a request become ladder positions. Its winners lie on at most ``k`` rungs
@@ -18,7 +18,7 @@ that neither a cross join nor a scan of all products per request is needed:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fretwork.functions.money import NO_PRICE, price_cents
@@ -134,14 +134,49 @@ def price_points(reduced: DataFrame, masks: DataFrame, k: int) -> DataFrame:
     return top_k(cells, ["_cell", "_cents"], [F.col("product_id").asc_nulls_last()], k, "_rn").drop("_rn")
 
 
+def existing_cells(reduced: DataFrame, masks: DataFrame) -> DataFrame:
+    """Every combination of facet values that some product has, under each mask in use: _mask, _cell and the values."""
+    values = [
+        F.when(F.col("_mask").bitwiseAND(1 << i) != 0, F.col(f"_{f}")).otherwise(F.lit("")).alias(f"_{f}")
+        for i, f in enumerate(TEXT_FILTERS)
+    ]
+    facets = reduced.select(*[f"_{f}" for f in TEXT_FILTERS]).distinct()
+    all_masks = F.sequence(F.lit(0), F.lit((1 << len(TEXT_FILTERS)) - 1))
+    repeated = facets.withColumn("_mask", F.explode(all_masks)).join(F.broadcast(masks), "_mask", "left_semi")
+    return repeated.select("_mask", *values).distinct().withColumn("_cell", cell_key())
+
+
 def matching_cells(questions: DataFrame, reduced: DataFrame) -> DataFrame:
-    """The cells that each distinct combination of filter texts selects."""
-    found = questions.select("_filter", "_mask", *TEXT_FILTERS).distinct()
-    hits = materialize(contains_matches(filter_patterns(questions), facet_values(reduced)), "search_matches")
+    """The existing cells that each distinct combination of filter texts selects.
+
+    Of the filters in use the one whose values stand in the fewest cells leads to the cells; the other filters are then checked
+    on those. So the work follows the cells that exist, not the product of the facets' values.
+    """
+    wanted = questions.select("_filter", "_mask", *TEXT_FILTERS).distinct()
+    hits = materialize(contains_matches(filter_patterns(questions), facet_values(reduced)).where("pattern <> ''"), "search_matches")
+    cells = materialize(existing_cells(reduced, questions.select("_mask").distinct()), "search_cells")
+    entry = F.explode(F.filter(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_{f}").alias("value")) for f in TEXT_FILTERS]), lambda e: e["value"] != ""))
+    by_value = cells.select("_mask", "_cell", *[f"_{f}" for f in TEXT_FILTERS], entry.alias("_e")).select("*", "_e.field", "_e.value").drop("_e")
+    sizes = by_value.groupBy("_mask", "field", "value").agg(F.count(F.lit(1)).alias("_n"))
+    weights = hits.join(sizes, ["field", "value"]).groupBy("_mask", "field", "pattern").agg(F.sum("_n").alias("_n"))
+
+    used = F.filter(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("pattern")) for f in TEXT_FILTERS]), lambda e: e["pattern"] != "")
+    asked = wanted.select("_filter", "_mask", F.explode(used).alias("_u")).select("_filter", "_mask", "_u.*")
+    weighed = asked.join(weights, ["_mask", "field", "pattern"], "left")
+    fewest = F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "field", "pattern"))
+    lead = weighed.groupBy("_filter", "_mask").agg(fewest.alias("_l")).select("_filter", "_mask", "_l.field", "_l.pattern")
+    found = lead.join(hits, ["field", "pattern"]).join(by_value, ["_mask", "field", "value"])
+    found = found.select("_filter", "_cell", *[f"_{f}" for f in TEXT_FILTERS]).join(wanted.select("_filter", *TEXT_FILTERS), "_filter")
     for name in TEXT_FILTERS:
-        of_field = hits.where(F.col("field") == name)
-        found = found.join(of_field.select(F.col("pattern").alias(name), F.col("value").alias(f"_{name}")), name)
-    return found.select("_filter", cell_key().alias("_cell"))
+        fits = hits.where(F.col("field") == name).select(F.col("pattern").alias(name), F.col("value").alias(f"_{name}"))
+        # A filter that is not used has '' on both sides.
+        found = found.join(fits.unionByName(_blank(hits.sparkSession, name)), [name, f"_{name}"], "left_semi")
+    free = wanted.where("_mask = 0").join(cells.where("_mask = 0").select("_mask", "_cell"), "_mask")
+    return found.select("_filter", "_cell").unionByName(free.select("_filter", "_cell"))
+
+
+def _blank(spark: SparkSession, name: str) -> DataFrame:
+    return spark.createDataFrame([("", "")], f"{name} string, _{name} string")
 
 
 def filter_rungs(cells: DataFrame, points: DataFrame, k: int) -> DataFrame:
@@ -258,7 +293,8 @@ def catalog_search(catalog: DataFrame, requests: DataFrame, candidates: DataFram
         winners = ladder_search(catalog, asked, k)
     else:
         listed = candidates.select("request_id").distinct()
-        winners = candidate_search(catalog, asked, candidates, k).unionByName(
-            ladder_search(catalog, asked.join(listed, "request_id", "left_anti"), k)
-        )
+        winners = candidate_search(catalog, asked, candidates, k)
+        rest = asked.join(listed, "request_id", "left_anti")
+        if not rest.isEmpty():
+            winners = winners.unionByName(ladder_search(catalog, rest, k))
     return winners.join(catalog.select(*RESULT_COLUMNS), "product_id").select("request_id", "rank", *RESULT_COLUMNS)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fretwork.operators.handoffs import queue_counts
@@ -39,12 +39,30 @@ def stream_queue_metrics(stream: DataFrame, time: str, window: str, delay: str,
 
 
 def sessions(events: DataFrame, key: str, time: str, gap: str, delay: str) -> DataFrame:
-    """Conversation sessions: events of one key that follow each other within ``gap``."""
-    rows = events.withWatermark(time, delay) if events.isStreaming else events
-    grouped = rows.groupBy(key, F.session_window(time, gap).alias("w")).agg(
+    """Conversation sessions: events of one key that follow each other within ``gap``.
+
+    On a table the sessions of each key and day are made first, so that the events of a hot key spread over its days; then
+    those that run over midnight are put together, from one row per piece.
+    """
+    if events.isStreaming:
+        return _windows(events.withWatermark(time, delay), [key], time, gap)
+    pieces = _windows(events.withColumn("_day", F.to_date(time)), [key, "_day"], time, gap)
+    order = Window.partitionBy(key).orderBy("session_start")
+    starts = F.coalesce((F.col("session_start") >= F.lag("session_end").over(order)).cast("int"), F.lit(1))
+    numbered = pieces.withColumn("_first", starts).withColumn("_session", F.sum("_first").over(order))
+    return numbered.groupBy(key, "_session").agg(
+        F.min("session_start").alias("session_start"), F.max("session_end").alias("session_end"),
+        F.sum("n_events").alias("n_events"), F.max("last_event").alias("last_event"),
+    ).drop("_session")
+
+
+def _windows(rows: DataFrame, keys: list[str], time: str, gap: str) -> DataFrame:
+    grouped = rows.groupBy(*keys, F.session_window(time, gap).alias("w")).agg(
         F.count(F.lit(1)).alias("n_events"), F.max(time).alias("last_event")
     )
-    return grouped.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n_events", "last_event")
+    return grouped.select(
+        keys[0], F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n_events", "last_event"
+    )
 
 
 def stream_sessions(

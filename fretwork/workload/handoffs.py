@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
+from fretwork.functions.ranking import running_total
 from fretwork.operators import handoffs, transcripts
 from fretwork.plans import marts
+from fretwork.schemas import AGENT_HANDOFFS
+from fretwork.session import scratch_dir
+from fretwork.sources import keyed
 from fretwork.sources.keyed import upsert
 from fretwork.workload import chat, shop
 
@@ -16,10 +22,9 @@ def as_time(name: str):
     return F.date_format(name, TIME).alias(name)
 
 
-def handoff_append(spark, sf_dir):
-    """One new handoff per customer; the ids are digests, the same on every run."""
+def handoff_requests(spark, sf_dir):
     customers = shop.raw_customers(spark, sf_dir)
-    requests = customers.select(
+    return customers.select(
         F.col("customer_id").alias("request_key"),
         F.col("last_name").alias("customer_name"),
         "skill_level",
@@ -30,13 +35,35 @@ def handoff_append(spark, sf_dir):
         F.concat(F.lit("Wants "), "primary_instrument").alias("conversation_summary"),
         F.when(F.col("budget_range") == "2000+", "high").alias("priority"),
     )
+
+
+def handoff_table(spark, sf_dir):
+    """A table created where absent, twice, then appended to, twice with the same requests: each stands once, made just now."""
+    path = scratch_dir(spark, "handoffs")
+    before = F.lit(datetime.datetime.now(datetime.timezone.utc)).cast("timestamp")
+    for _ in range(2):
+        keyed.create_if_absent(spark, path, AGENT_HANDOFFS)
+        keyed.append(handoffs.new_handoffs(handoff_requests(spark, sf_dir)), path)
+    rows = keyed.read(spark, path, AGENT_HANDOFFS, ["handoff_id"], ["created_at"])
+    made_now = F.col("created_at").between(before, F.current_timestamp())
+    return rows.select("handoff_id", "customer_name", "status", "priority", made_now.alias("made_now"))
+
+
+def handoff_append(spark, sf_dir):
+    """One new handoff per customer; the ids are digests, the same on every run."""
+    requests = handoff_requests(spark, sf_dir)
     rows = handoffs.new_handoffs(requests, F.to_timestamp(F.lit("2024-06-01 10:00:00")))
     return rows.withColumns({"claimed_at": F.date_format("claimed_at", TIME), "created_at": F.date_format("created_at", TIME)})
 
 
 def handoff_queue(spark, sf_dir):
+    """The queue with the place of every handoff within its priority."""
     queue = handoffs.handoff_queue(shop.agent_handoffs(spark, sf_dir))
+    newest_first = F.lit(1 << 40) - F.coalesce(F.unix_timestamp("created_at"), F.lit(0))
+    queue = queue.withColumn("_at", newest_first).withColumn("_one", F.lit(1).cast("bigint"))
+    queue = running_total(queue, ["priority_rank"], "_at", "_one", "position", [F.col("created_at").desc_nulls_last(), F.col("handoff_id")])
     return queue.select(
+        "position",
         "handoff_id", "session_id", "customer_name", "priority", F.col("priority_rank").cast("bigint").alias("priority_rank"),
         "status", "claimed_by", as_time("claimed_at"), as_time("created_at"),
     )
@@ -112,6 +139,7 @@ def workload_by_day(spark, sf_dir):
 
 QUERIES = {
     "handoff_append": handoff_append,
+    "handoff_table": handoff_table,
     "handoff_queue": handoff_queue,
     "handoff_metrics": handoff_metrics,
     "handoff_latest5": handoff_latest5,
@@ -159,8 +187,13 @@ ORACLE = {
              CASE WHEN budget_range = '2000+' THEN 'high' ELSE 'medium' END AS priority, 'new' AS status,
              CAST(NULL AS VARCHAR) AS claimed_by, CAST(NULL AS VARCHAR) AS claimed_at,
              '2024-06-01 10:00:00' AS created_at FROM raw_customers""",
+    "handoff_table": shop.with_sql("raw_customers")
+    + """ SELECT 'H-' || upper(substr(sha256('["handoff","' || customer_id || '"]'), 1, 16)) AS handoff_id, last_name AS customer_name,
+             'new' AS status, CASE WHEN budget_range = '2000+' THEN 'high' ELSE 'medium' END AS priority, true AS made_now FROM raw_customers""",
     "handoff_queue": _QUEUE
-    + f""" SELECT handoff_id, session_id, customer_name, priority,
+    + f""" SELECT row_number() OVER (PARTITION BY CASE priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END
+                                    ORDER BY created_at DESC NULLS LAST, handoff_id) AS position,
+             handoff_id, session_id, customer_name, priority,
              CAST(CASE priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS BIGINT) AS priority_rank, status,
              claimed_by, strftime(claimed_at, {_T}) AS claimed_at, strftime(created_at, {_T}) AS created_at
            FROM agent_handoffs""",

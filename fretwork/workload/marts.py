@@ -90,6 +90,51 @@ def warehouse_build(spark, sf_dir):
     return audit
 
 
+def _built(spark, sf_dir):
+    data, out = scratch_dir(spark, "raw"), scratch_dir(spark, "warehouse")
+    for name in RAW:
+        write_csv(getattr(shop, f"raw_{name}")(spark, sf_dir), f"{data}/{name}.csv", name)
+    warehouse.build(spark, data, out)
+    return data, out
+
+
+def built_products(spark, sf_dir):
+    """The product mart as read back from a build out of CSV files, cell by cell."""
+    _, out = _built(spark, sf_dir)
+    return warehouse.read_mart(spark, out, "dim_products").select(
+        "product_id", "product_name", "brand", "category", "subcategory", as_double("price"), "description", "skill_level",
+        "use_case", "in_stock", "price_tier", F.array_join("skill_levels_array", "|").alias("levels"),
+        F.coalesce("manufacturer_url", F.lit("")).alias("manufacturer_url"),
+    )
+
+
+def built_customers(spark, sf_dir):
+    """The customer mart as read back from a build out of CSV files, cell by cell."""
+    _, out = _built(spark, sf_dir)
+    return _customer_columns(warehouse.read_mart(spark, out, "dim_customers"))
+
+
+def build_once(spark, sf_dir):
+    """A second build that may not replace: it returns the first audit and leaves raw tables and marts as they are."""
+    data, out = _built(spark, sf_dir)
+    write_csv(shop.raw_products(spark, sf_dir).limit(0), f"{data}/products.csv", "products")
+    audit = warehouse.build(spark, data, out, replace=False)
+    for name in ("raw_products", "dim_products"):
+        rows = spark.read.parquet(f"{out}/{name}").agg(F.count(F.lit(1)).alias("row_count"))
+        audit = audit.unionByName(rows.select(F.lit(f"{name} after").alias("table_name"), "row_count"))
+    return audit
+
+
+def staging_views(spark, sf_dir):
+    """The three staging views, read by name."""
+    raw = {name: getattr(shop, f"raw_{name}")(spark, sf_dir) for name in ("products", "customers", "orders")}
+    warehouse.create_staging_views(raw)
+    return spark.sql("""
+        SELECT 'products' AS view, count(*) AS n, cast(sum(price) AS double) AS total FROM stg_products
+        UNION ALL SELECT 'customers', count(*), cast(sum(years_playing) AS double) FROM stg_customers
+        UNION ALL SELECT 'orders', count(*), cast(sum(line_total) AS double) FROM stg_orders""")
+
+
 def price_tiers(spark, sf_dir):
     price = F.col("o_totalprice").cast("decimal(12,2)")
     bounds = [(50000, "budget"), (150000, "entry"), (400000, "mid-range")]
@@ -104,6 +149,10 @@ def dim_customers_mart(spark, sf_dir):
     mart = marts.dim_customers(
         staging.stg_customers(shop.raw_customers(spark, sf_dir)), staging.stg_orders(shop.raw_orders(spark, sf_dir))
     )
+    return _customer_columns(mart)
+
+
+def _customer_columns(mart):
     return mart.select(
         "customer_id", "full_name", "email", "skill_level", "primary_instrument", "years_playing", "use_case",
         "budget_range", as_text("created_at"), "total_orders", "lifetime_value", as_text("last_order_date"),
@@ -193,6 +242,10 @@ QUERIES = {
     "skill_overlap": skill_overlap,
     "csv_round_trip": csv_round_trip,
     "warehouse_build": warehouse_build,
+    "built_products": built_products,
+    "built_customers": built_customers,
+    "build_once": build_once,
+    "staging_views": staging_views,
     "price_tiers": price_tiers,
     "dim_customers_mart": dim_customers_mart,
     "customer_product_pages": customer_product_pages,
@@ -255,6 +308,19 @@ ORACLE = {
              ('raw_se_handoffs', (SELECT count(*) FROM orders)), ('dim_products', (SELECT count(*) FROM dim_products)),
              ('dim_customers', (SELECT count(*) FROM customer)), ('fct_recommendations', (SELECT count(*) FROM orders)),
              ('inventory', (SELECT count(DISTINCT l_partkey) FROM lineitem))) t(table_name, row_count)""",
+    "built_products": shop.with_sql("dim_products")
+    + """ SELECT product_id, product_name, brand, category, subcategory, CAST(price AS DOUBLE) AS price, description, skill_level,
+                 use_case, in_stock, price_tier, array_to_string(skill_levels_array, '|') AS levels, manufacturer_url FROM dim_products""",
+    "build_once": shop.with_sql("dim_products")
+    + """ SELECT * FROM (VALUES ('raw_products', (SELECT count(*) FROM part)), ('raw_customers', (SELECT count(*) FROM customer)),
+             ('raw_orders', (SELECT count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))),
+             ('raw_inventory', (SELECT count(DISTINCT l_partkey) FROM lineitem)),
+             ('raw_se_handoffs', (SELECT count(*) FROM orders)), ('raw_products after', (SELECT count(*) FROM part)),
+             ('dim_products after', (SELECT count(*) FROM dim_products))) t(table_name, row_count)""",
+    "staging_views": shop.with_sql("stg_products", "raw_customers", "stg_orders")
+    + """ SELECT 'products' AS view, count(*) AS n, CAST(sum(price) AS DOUBLE) AS total FROM stg_products
+          UNION ALL SELECT 'customers', count(*), CAST(sum(CAST(years_playing AS INTEGER)) AS DOUBLE) FROM raw_customers
+          UNION ALL SELECT 'orders', count(*), CAST(sum(line_total) AS DOUBLE) FROM stg_orders""",
     "price_tiers": """
       SELECT CASE WHEN p < 50000 THEN 'budget' WHEN p < 150000 THEN 'entry' WHEN p < 400000 THEN 'mid-range'
                   ELSE 'premium' END AS price_tier, count(*) AS n_orders, CAST(sum(p) AS DOUBLE) AS total
@@ -294,3 +360,4 @@ ORACLE = {
              'true' AS in_stock, coalesce(url, '') AS manufacturer_url
       FROM copies LEFT JOIN urls USING (p_brand)""",
 }
+ORACLE["built_customers"] = ORACLE["dim_customers_mart"]

@@ -149,3 +149,17 @@ def test_contains_matches_with_many_like_patterns(spark):
     asked = spark.createDataFrame([("f", p) for p in patterns], "field string, pattern string")
     got = {(r.pattern, r.value) for r in contains_matches(asked, values).collect()}
     assert got == {(p, t) for p in patterns for t in texts if p and p in t.lower()} | {("", "")}
+
+
+def test_only_existing_cells_are_selected(spark):
+    """Filters that match every facet value of 200 products lead to 200 cells, not to the product of the values."""
+    from fretwork.operators import search
+
+    rows = [(f"P{i:04d}", f"cat{i}", f"sub{i}", f"brand{i}", Decimal(i)) for i in range(200)]
+    catalog = spark.createDataFrame(rows, "product_id string, category string, subcategory string, brand string, price decimal(10,2)")
+    catalog = catalog.selectExpr("*", "'beginner' as skill_level", "'live' as use_case", "true as in_stock")
+    asked = spark.createDataFrame([(1, "cat", "brand"), (2, "cat7", ""), (3, "", "")], "request_id bigint, category string, brand string")
+    texts = search.normalize_requests(asked)
+    questions = texts.select("*", search.F.to_json(search.F.array(*search.TEXT_FILTERS)).alias("_filter"), search.filter_mask().alias("_mask"))
+    cells = search.matching_cells(questions, search.first_ids(search.in_stock_facets(catalog), 3)).groupBy("_filter").count().collect()
+    assert sorted(r["count"] for r in cells) == [1, 11, 200]
