@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,7 +63,27 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="fretwork-")
         spark.conf.set(CHECKPOINT_KEY, root)
-    return f"{root.rstrip('/')}/fretwork/{name}-{uuid.uuid4().hex}"
+    base = _scopes[-1] if _scopes else f"{root.rstrip('/')}/fretwork"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+_scopes: list[str] = []
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables that are written inside stand in one folder, which is removed at the end.
+
+    Read or write the results inside: they may depend on those tables.
+    """
+    base = scratch_dir(spark, "scope")
+    _scopes.append(base)
+    try:
+        yield base
+    finally:
+        _scopes.remove(base)
+        path = spark._jvm.org.apache.hadoop.fs.Path(base)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
