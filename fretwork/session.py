@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import contextlib
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,9 +29,30 @@ SETTINGS = {**SQL_SETTINGS, "spark.ui.enabled": "false"}
 
 
 def apply_settings(spark: SparkSession) -> None:
-    """Bring a session that was made elsewhere to the settings above."""
+    """Bring a session that was made elsewhere to the settings above, and the package to its executors."""
     for key, value in SQL_SETTINGS.items():
         spark.conf.set(key, value)
+    ship_package(spark)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to all executors once per application, for those that have no installed copy of it."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    folder = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="fretwork-"), f"fretwork-{application}.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for place, _, names in os.walk(folder):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(place, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(folder)))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(application)
+
+
+_shipped: set[str] = set()
 
 
 def build_session(
@@ -49,7 +72,9 @@ def build_session(
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in {**SETTINGS, **(extra or {})}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
