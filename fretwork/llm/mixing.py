@@ -63,14 +63,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     return leveled.select("source", "number", "weight", "source_size", target.alias("target"))
 
 
-def blocks_after(shares: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """(shard, number, blocks): blocks of each source among the first ``total`` of each prefix (shard, total).
+def blocks_after(shares: DataFrame, total: int, shards: int) -> DataFrame:
+    """(shard, number, blocks): blocks of each source up to the end of each shard, 1 to ``shards``, of ``total`` blocks.
 
     With n sources a quota is never further than 1 + n/2 times its share from proportional, so only those quotients count.
     """
     n, everything = F.count(F.lit(1)).over(Window.partitionBy("shard")), F.sum("target").over(Window.partitionBy("shard"))
-    both = shares.where("target > 0").select("number", "target").withColumn("_all", F.lit(1))
-    both = both.join(prefixes.withColumn("_all", F.lit(1)), "_all")
+    shard = F.explode(F.sequence(F.lit(1), F.lit(shards))).alias("shard")
+    both = shares.where("target > 0").select("number", "target", shard)
+    both = both.withColumn("total", F.expr(f"cast(shard as bigint) * {total} div {shards}"))
     share = both.withColumn("share", F.col("target") / everything).withColumn("slack", F.ceil(n * F.col("share") / 2) + 1)
     share = share.withColumn("mean", F.floor(F.col("total") * F.col("share")))
     share = share.withColumn("sure", F.greatest(F.col("mean") - F.col("slack"), F.lit(0)))
@@ -86,10 +87,7 @@ def blocks_after(shares: DataFrame, prefixes: DataFrame) -> DataFrame:
 
 def quotas(shares: DataFrame, words: int, shards: int = SHARDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(number, shard, first_block, blocks): the blocks of each source in each output shard."""
-    total = (words + block_words // 2) // block_words
-    spark = shares.sparkSession
-    prefixes = spark.range(shards).select((F.col("id") + 1).alias("shard"), F.floor((F.col("id") + 1) * total / shards).alias("total"))
-    upto = blocks_after(shares, prefixes)
+    upto = blocks_after(shares, (words + block_words // 2) // block_words, shards)
     before = F.coalesce(F.lag("blocks").over(Window.partitionBy("number").orderBy("shard")), F.lit(0))
     return upto.select("number", (F.col("shard") - 1).alias("shard"), before.alias("first_block"), (F.col("blocks") - before).alias("blocks"))
 
