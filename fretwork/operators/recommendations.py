@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fretwork.functions.ranking import top_k
+from fretwork.session import materialize
 
 TURN = ["session_id", "turn"]
 
@@ -18,6 +19,7 @@ def recommendation_lists(calls: DataFrame, k: int = 3) -> DataFrame:
     nothing. Ids are reduced to their first mention, then to ``k`` per turn, before any list is built, so
     a turn with very many calls stays cheap.
     """
+    calls = materialize(calls.select(*TURN, "call_no", "op", "ids"), "calls")  # read twice, however the calls are made
     acting = F.col("op").isin("search", "handoff")
     handoff = F.col("op") == "handoff"
     per_turn = calls.groupBy(*TURN).agg(

@@ -65,16 +65,19 @@ RULES = [
 ]
 
 
-def _verdicts(spark, sf_dir):
-    return checks.evaluate(scenario_turns(spark, sf_dir), scenario_rules(spark, sf_dir), _products(spark, sf_dir))
+def _judged(spark, sf_dir):
+    """The turns, written once since they are read several times, and the verdicts on them."""
+    turns = materialize(scenario_turns(spark, sf_dir), "turns")
+    rules = materialize(scenario_rules(spark, sf_dir), "rules")
+    return turns, checks.evaluate(turns, rules, _products(spark, sf_dir))
 
 
 def scenario_checks(spark, sf_dir):
-    return _verdicts(spark, sf_dir)
+    return _judged(spark, sf_dir)[1]
 
 
 def scenario_rollup(spark, sf_dir):
-    return checks.scenario_results(scenario_turns(spark, sf_dir), _verdicts(spark, sf_dir))
+    return checks.scenario_results(*_judged(spark, sf_dir))
 
 
 def run_summary(spark, sf_dir):
