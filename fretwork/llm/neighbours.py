@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fretwork.functions.ranking import top_k
-from fretwork.llm.common import prepare, table
+from fretwork.llm.common import partitions, prepare, table
 from fretwork.session import materialize
 
 TABLES = 8
@@ -200,7 +200,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, n_probes: int = PROB
     shards = -(-total // SHARD_ROWS)
     shared = spark.sparkContext.broadcast(hashes)
     index = materialize(_index(rows, shared, shards), "neighbour-index")
-    questions = valid(queries).where(F.size("embedding") == hashes.directions.shape[1])
+    # Few rows, but thousands of possible probes each: as many tasks as there are partitions.
+    questions = valid(queries).where(F.size("embedding") == hashes.directions.shape[1]).repartition(partitions(spark), "vec_id")
     asked = materialize(_asked(questions, shared, shards, n_probes), "neighbour-queries")
     hits = materialize(_answers(index, asked, k), "neighbour-hits")
 
