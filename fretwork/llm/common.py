@@ -19,7 +19,6 @@ BATCH_BYTES = 8 << 20
 WHITE = " \t\n\x0b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
-WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 
 _SPREAD = 0x9E3779B97F4A7C15
 
@@ -93,12 +92,6 @@ def lower_ascii(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
 
-def words(column: Column) -> Column:
-    """Maximal runs without white space, A-Z lower-cased; NULL and blank texts have none."""
-    parts = F.split(lower_ascii(F.coalesce(column, F.lit(""))), WORD_BREAK)
-    return F.filter(parts, lambda word: word != "")
-
-
 def spread(values: np.ndarray, bits: int) -> np.ndarray:
     """Multiplicative hash of 64-bit values to ``bits`` bits."""
     return ((values * np.uint64(_SPREAD)) >> np.uint64(64 - bits)).astype(np.int64)
@@ -114,10 +107,21 @@ def _powers(base: int, length: int) -> np.ndarray:
 
 
 _POWERS: dict[int, np.ndarray] = {}
-_CODES = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint64) + np.uint64(1)
+_CODES = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _INSIDE = np.array([not (c == 32 or 9 <= c <= 13) for c in range(256)])
 
 
+def byte_hashes(codes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """64-bit hash of each stretch of ``codes`` (small integers): a polynomial, as the difference of two running sums."""
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _powers(_SPREAD, len(codes)), out=sums[1:])
+        hashes = (sums[stops] - sums[starts]) * _powers(pow(_SPREAD, -1, 1 << 64), len(codes))[starts]
+        hashes ^= hashes >> np.uint64(29)
+        hashes *= np.uint64(0xBF58476D1CE4E5B9)
+        return hashes ^ (hashes >> np.uint64(32))
+
+
 def _block_hashes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(b" ".join(data) + b" ", np.uint8)
     inside = _INSIDE[raw]
@@ -125,22 +129,14 @@ def _block_hashes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if inside[0]:
         edges = np.concatenate(([0], edges))
     starts, ends = edges[0::2], edges[1::2]
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_CODES[raw] * _powers(_SPREAD, len(raw)), out=sums[1:])
-        hashes = (sums[ends] - sums[starts]) * _powers(pow(_SPREAD, -1, 1 << 64), len(raw))[starts]
-        hashes ^= hashes >> np.uint64(29)
-        hashes *= np.uint64(0xBF58476D1CE4E5B9)
-        hashes ^= hashes >> np.uint64(32)
     bounds = np.concatenate(([0], np.cumsum([len(d) + 1 for d in data])))
-    return hashes, np.diff(np.searchsorted(starts, bounds))
+    return byte_hashes(_CODES[raw], starts, ends), np.diff(np.searchsorted(starts, bounds))
 
 
 def word_hashes(texts, block: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of ``texts`` in order, and the number of words of each text.
 
-    Words end at ASCII white space; A-Z count as lower case. The hash of a word is a polynomial of its
-    bytes, taken as the difference of two running sums over a block of texts, so no word is touched alone.
+    Words end at ASCII white space; A-Z count as lower case. A block of texts is worked off at once.
     """
     hashes, counts, data, size = [], [], [], 0
     for text in texts:

@@ -23,22 +23,29 @@ table gives a manifest without rows.
 from __future__ import annotations
 
 import io
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fretwork.llm.common import partitions, prepare, row_key, table
+from fretwork.llm.common import byte_hashes, partitions, prepare, row_key, table
 from fretwork.session import scratch_dir
 
 END_ID = 0
-KNOWN_WORDS = 500_000
+# Bounds of what an encoder keeps and works on at once: words, their pieces, characters.
+KNOWN_WORDS = 1_500_000
+KNOWN_PIECES = 400_000
+BLOCK = 1 << 22
+CUT = 1 << 19
 MANIFEST = "part long, first_id long, n_docs long, n_tokens long"
 _CHUNK = 1 << 20
 
@@ -93,21 +100,30 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of texts by a tokenizer file; the ids of words already met are kept.
 
-    A byte-level tokenizer splits in front of every single space between two other characters, so the ids of a text are
-    those of its words, each with its space. Texts in which a space stands beside white space or at an end go to the
-    tokenizer as they are.
+    A byte-level tokenizer splits in front of a space and around a newline between two other characters. So the ids of a text
+    are those of its words, each with the space in front of it, and of its newlines. Words are told apart by 64-bit hashes,
+    taken for a whole block of texts at once; only new words reach the tokenizer's splitter and model. Stretches with
+    other white space, several spaces in a row, or special tokens go through the tokenizer as they are, and so
+    does everything with another kind of tokenizer. Long texts are cut in front of a single space.
     """
 
     _by_path: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
         before = self.tokenizer.pre_tokenizer
-        self.spaced = type(before).__name__ == "ByteLevel" and before.use_regex and not before.add_prefix_space
+        self.by_words = type(before).__name__ == "ByteLevel" and before.use_regex and not before.add_prefix_space
+        special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = [*special, "  ", " \n", "\n ", "\n\n", "\0", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f"]
+        newline = self._whole(["\n"])[0]
+        self.newline = int(newline[0]) if len(newline) else None
+        self.by_words = self.by_words and len(newline) == 1 and self.tokenizer.normalizer is None
+        self.pieces: dict[str, tuple[int, ...]] = {}
+        self._forget()
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -116,30 +132,130 @@ class Encoder:
             cls._by_path[path] = cls(path)
         return cls._by_path[path]
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(f.ids, self.dtype).tobytes() for f in found]
-
-    def encode(self, text: str) -> bytes:
-        words = text.split(" ")
-        if not self.spaced or len(words) < 3:
-            return self._whole([text])[0]
-        known, rest = self.known, words[1:]
-        try:
-            return self._whole(words[:1])[0] + b"".join([known[w] for w in rest]) if self._safe(words[0]) else self._whole([text])[0]
-        except KeyError:
-            new = [w for w in dict.fromkeys(rest) if w not in known]
-            if not all(map(self._safe, new)):
-                return self._whole([text])[0]
-            if len(known) > KNOWN_WORDS:
-                known.clear()
-                new = list(dict.fromkeys(rest))
-            known.update(zip(new, self._whole([f" {w}" for w in new]), strict=True))
-            return self._whole(words[:1])[0] + b"".join([known[w] for w in rest])
-
-    @staticmethod
-    def _safe(word: str) -> bool:
-        return bool(word) and not word[0].isspace() and not word[-1].isspace()
+    def _forget(self) -> None:
+        """Known words: their hashes in order, and where their ids stand."""
+        self.hashes, self.first, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, self.dtype)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(f.ids, self.dtype) for f in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        parts = [_cut(text) for text in texts]
+        flat = [piece for pieces in parts for piece in pieces]
+        if self.by_words:
+            plain = [self._is_plain(piece) for piece in flat]
+        else:
+            plain = [False] * len(flat)
+        found: list = [None] * len(flat)
+        rest = [i for i, yes in enumerate(plain) if not yes]
+        for i, ids in zip(rest, self._whole([flat[i] for i in rest]), strict=True):
+            found[i] = ids
+        block, size = [], 0
+        for i, yes in enumerate(plain):
+            if yes:
+                block.append(i)
+                size += len(flat[i])
+            if block and (size >= BLOCK or i == len(plain) - 1):
+                for j, ids in zip(block, self._from_words([flat[j] for j in block]), strict=True):
+                    found[j] = ids
+                block, size = [], 0
+        out, at = [], 0
+        for pieces in parts:
+            out.append(found[at] if len(pieces) == 1 else np.concatenate(found[at : at + len(pieces)]))
+            at += len(pieces)
+        return out
+
+    def _is_plain(self, piece: str) -> bool:
+        """Words with single spaces and newlines between them; a piece of a longer text begins with its space."""
+        if not piece or piece[-1] in " \n" or piece[0] == "\n" or piece == " " or any(x in piece for x in self.odd):
+            return False
+        return piece.isascii() or not _WIDE_SPACE.search(piece)
+
+    def _from_words(self, pieces: list[str]) -> list[np.ndarray]:
+        raw_bytes = b"\0".join(p.encode() for p in pieces) + b"\0"
+        raw = np.frombuffer(raw_bytes, np.uint8)
+        stops = np.flatnonzero((raw == 0) | (raw == 10) | (raw == 32))
+        starts = np.concatenate(([0], stops[:-1] + 1))
+        filled = stops > starts  # in front of a leading space stands nothing
+        starts, stops = starts[filled], stops[filled]
+        front = np.where(starts > 0, raw[starts - 1], 0)
+        hashes = byte_hashes(raw, starts, stops) + front.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+        for i in np.flatnonzero(stops - starts > 64):
+            hashes[i] = xxhash.xxh64_intdigest(raw_bytes[starts[i] : stops[i]], int(front[i]) + 1)
+        unique, sample, word = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.hashes) + len(unique) > KNOWN_WORDS:
+            self._forget()
+        at = np.minimum(np.searchsorted(self.hashes, unique), max(len(self.hashes) - 1, 0))
+        new = np.ones(len(unique), bool) if not len(self.hashes) else self.hashes[at] != unique
+        if new.any():
+            self._learn(unique[new], [(int(front[i]), raw_bytes[starts[i] : stops[i]]) for i in sample[new]])
+            at = np.searchsorted(self.hashes, unique)
+        first, length = self.first[at][word], self.length[at][word]
+        ends = np.cumsum(length)
+        ids = self.ids[np.repeat((first - (ends - length)).astype(np.int32), length) + np.arange(ends[-1], dtype=np.int32)]
+        last = np.searchsorted(stops, np.flatnonzero(raw == 0))  # the word that ends each piece
+        return np.split(ids, ends[last][:-1])
+
+    def _learn(self, hashes: np.ndarray, words: list[tuple[int, bytes]]) -> None:
+        """Encode new words, given in the order of their hashes with the byte in front of them."""
+        split, tokenize, pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize, self.pieces
+        ids, lengths = [], []
+        for front, word in words:
+            n = len(ids)
+            if front == 10:
+                ids.append(self.newline)
+            text = word.decode()
+            letters = text.rstrip(_ENDS)
+            if letters.isalpha() and (letters.isascii() or max(letters) < _PLAIN_LETTERS):
+                # A run of letters, perhaps with signs behind it: that is how the splitter cuts it, too.
+                begin = _SPACE_SIGN if front == 32 else ""
+                parts = [begin + (letters if letters.isascii() else letters.encode().decode("latin-1").translate(_BYTE_SIGNS))]
+                if len(letters) < len(text):
+                    parts.append(text[len(letters) :])
+            else:
+                parts = [piece for piece, _ in split(f" {text}" if front == 32 else text)]
+            for piece in parts:
+                known = pieces.get(piece)
+                if known is None:
+                    known = pieces[piece] = tuple([token.id for token in tokenize(piece)])
+                ids.extend(known)
+            lengths.append(len(ids) - n)
+        if len(pieces) > KNOWN_PIECES:
+            pieces.clear()
+        at, lengths = np.searchsorted(self.hashes, hashes), np.array(lengths)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.first = np.insert(self.first, at, len(self.ids) + np.cumsum(lengths) - lengths)
+        self.length = np.insert(self.length, at, lengths)
+        self.ids = np.concatenate((self.ids, np.array(ids, self.dtype)))
+
+
+def _byte_signs() -> dict[int, str]:
+    """The sign that stands for each byte in byte-level pieces: itself if it prints, else one from 256 on, in order."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTE_SIGNS = _byte_signs()
+_SPACE_SIGN = _BYTE_SIGNS[32]
+_ENDS = ".,;:!?"
+_PLAIN_LETTERS = "\u0530"  # below are letters of Latin, Greek and Cyrillic, on which all Unicode versions agree
+_WIDE_SPACE = re.compile("[\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+_SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+
+
+def _cut(text: str) -> list[str]:
+    """Pieces of about ``CUT`` characters, each but the first beginning with a single space."""
+    out, at = [], 0
+    while len(text) - at > 2 * CUT:
+        found = _SINGLE_SPACE.search(text, at + CUT)
+        if not found:
+            break
+        out.append(text[at : found.start()])
+        at = found.start()
+    return [*out, text[at:]]
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -231,10 +347,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> D
         ids, present, counts, out = [], [], [], None
         for batch in batches:
             out = out or system.open_output_stream(f"{temporary}.ids")
-            for text in batch.column("text").to_pylist():
-                found = (b"" if text is None else encoder.encode(text)) + end
-                out.write(found)
-                counts.append(len(found) // encoder.dtype.itemsize)
+            for found in encoder.encode([text or "" for text in batch.column("text").to_pylist()]):
+                out.write(found.tobytes() + end)
+                counts.append(len(found) + 1)
             ids.append(batch.column("doc_id").to_numpy())
             present.append(batch.column("present").to_numpy(zero_copy_only=False))
         if not counts:

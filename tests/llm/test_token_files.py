@@ -16,7 +16,7 @@ FILE = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, start string"
 TEXTS = [
     None, "", " ", "a", "a b", "a b c", "  a  b ", "a\nb c d", "x \n y z", "tab\t tab and more", "no break here now", "it's don't we'll 12 34",
-    "<|endoftext|> a b <|endoftext|>x y", "é è ü ß 漢字 です か", "\x1c a \x1d b c", "word " * 20000, "a" * 50000 + " b c", "end space ", " start space x",
+    "<|endoftext|> a b <|endoftext|>x y", "é è ü ß 漢字 です か", "\x1c a \x1d b c", "word " * 20000, "a" * 50000 + " b c", "ab, cd. ef; É! éa? ñ:: Ωμ, Жд. ªº µ. ǅa ա漢字, a.b c,d x'.s y's. ...", "end space ", " start space x",
 ]
 
 
@@ -36,17 +36,21 @@ def expected(rows, tokenizer):
 
 @pytest.mark.parametrize("text", [t for t in TEXTS if t is not None])
 def test_encoder_equals_tokenizer(text, tokenizer):
-    got = tf.Encoder.of(FILE).encode(text)
-    assert np.frombuffer(got, "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    (got,) = tf.Encoder.of(FILE).encode([text])
+    assert got.dtype == "<u2" and got.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_random_texts(name):
+def test_random_texts(name, monkeypatch):
+    for limit, value in [("BLOCK", 90), ("CUT", 40), ("KNOWN_WORDS", 60), ("KNOWN_PIECES", 20)]:
+        monkeypatch.setattr(tf, limit, value)
     rng, path = random.Random(2), public_tokenizers.path(name)
-    plain = Tokenizer.from_file(path)
-    for _ in range(300):
-        text = "".join(rng.choices([" ", "\n", "ab", "Ab", "é", "1", ".", "'s", "  ", " "], k=rng.randrange(30)))
-        assert np.frombuffer(tf.Encoder.of(path).encode(text), "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids
+    plain, odd = Tokenizer.from_file(path), "<|endoftext|>"
+    for pool in (["ab ", "Ab\n", "é ", "1", ". ", "'s ", "c" * 70], [" ", "\n", "ab", "Ab", "é", "1", ".", "'s", "  ", "\xa0", odd, "\0", "\t"]):
+        for _ in range(60):
+            texts = ["".join(rng.choices(pool, k=rng.randrange(60))) + rng.choice(["", "x"]) for _ in range(8)]
+            got = tf.Encoder.of(path).encode(texts)
+            assert [g.tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_perfect_hash():
