@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fretwork.functions.text import contains_ci, found_phrases, missing_phrases, quoted_prices
+from fretwork.functions.text import contains_ci, found_phrases, quoted_prices
 
 TURN = ["scenario", "turn"]
 TEXT_CHECKS = ["price_range", "no_price_range", "contains", "any_contains", "not_contains", "handoff_logged", "no_handoff"]
@@ -20,17 +20,20 @@ def price_in_range(text: Column, low: Column, high: Column) -> Column:
     return F.exists(quoted_prices(F.coalesce(text, F.lit(""))), lambda p: p.between(low, high))
 
 
+def _missing() -> Column:
+    return F.filter("phrases", lambda p: ~F.array_contains("_found", p))
+
+
 def text_verdict() -> Column:
-    """Outcome of a check that needs only the turn itself; NULL for other checks."""
-    check, reply, phrases = F.col("check"), F.col("reply"), F.col("phrases")
-    quoted = price_in_range(reply, F.col("lo"), F.col("hi"))
-    found = F.size(found_phrases(reply, phrases))
+    """Outcome of a check that needs only the turn itself, from the phrases ``_found`` in it; NULL for other checks."""
+    check = F.col("check")
+    quoted = price_in_range(F.col("reply"), F.col("lo"), F.col("hi"))
     return (
         F.when(check == "price_range", quoted)
         .when(check == "no_price_range", ~quoted)
-        .when(check == "contains", F.size(missing_phrases(reply, phrases)) == 0)
-        .when(check == "any_contains", found > 0)
-        .when(check == "not_contains", found == 0)
+        .when(check == "contains", F.size(_missing()) == 0)
+        .when(check == "any_contains", F.size("_found") > 0)
+        .when(check == "not_contains", F.size("_found") == 0)
         .when(check == "handoff_logged", F.coalesce("handoff_logged", F.lit(False)))
         .when(check == "no_handoff", ~F.coalesce("handoff_logged", F.lit(False)))
     )
@@ -39,8 +42,8 @@ def text_verdict() -> Column:
 def text_detail() -> Column:
     """Phrases at fault, for the report."""
     return (
-        F.when(F.col("check") == "contains", F.array_join(missing_phrases(F.col("reply"), F.col("phrases")), ", "))
-        .when(F.col("check") == "not_contains", F.array_join(found_phrases(F.col("reply"), F.col("phrases")), ", "))
+        F.when(F.col("check") == "contains", F.array_join(_missing(), ", "))
+        .when(F.col("check") == "not_contains", F.array_join("_found", ", "))
         .otherwise(F.lit(""))
     )
 
@@ -72,7 +75,8 @@ def evaluate(turns: DataFrame, rules: DataFrame, products: DataFrame) -> DataFra
     phrases, lo, hi, category. A rule for a turn that never took place fails, whatever it asks for.
     """
     there = turns.select(*TURN, "reply", "handoff_logged", F.lit(True).alias("_there"))
-    judged = rules.join(there, TURN, "left").select(
+    both = rules.join(there, TURN, "left").withColumn("_found", found_phrases(F.col("reply"), F.col("phrases")))
+    judged = both.select(
         "rule_id", *TURN, "check", "_there", text_verdict().alias("_text"), text_detail().alias("_detail")
     )
     by_products = product_verdicts(turns, rules, products).withColumnRenamed("passed", "_passed")

@@ -143,12 +143,14 @@ def phrase_checks(spark, sf_dir):
     messages = shop.table(spark, sf_dir, "conversations").select(
         F.concat_ws("-", F.lit("c"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("text_id"), "text"
     )
-    body = F.col("text")
-    return documents.unionAll(messages).select(
+    # One search per text for all phrases; the three lists are then read off its result.
+    found = text.found_phrases(F.col("text"), text.phrase_array([*ALL_OF, *ANY_OF, *NONE_OF]))
+    searched = documents.unionAll(messages).select("text_id", found.alias("found"))
+    return searched.select(
         "text_id",
-        F.array_join(text.missing_phrases(body, text.phrase_array(ALL_OF)), ",").alias("missing"),
-        (F.size(text.found_phrases(body, text.phrase_array(ANY_OF))) > 0).alias("any_found"),
-        F.array_join(text.found_phrases(body, text.phrase_array(NONE_OF)), ",").alias("forbidden"),
+        F.array_join(F.array_except(text.phrase_array(ALL_OF), "found"), ",").alias("missing"),
+        F.arrays_overlap(text.phrase_array(ANY_OF), "found").alias("any_found"),
+        F.array_join(F.array_intersect(text.phrase_array(NONE_OF), "found"), ",").alias("forbidden"),
     )
 
 
