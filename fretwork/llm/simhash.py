@@ -205,7 +205,8 @@ def one_per_group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS)
     size = rows.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("best"), F.count(F.lit(1)).alias("n")
     )
-    keys = rows.join(size.where("n > 1"), "root")
+    # Written out, so that the join has a shuffle of its own on both sides and a large group is split.
+    keys = rows.join(materialize(size.where("n > 1"), "simhash-sizes"), "root")
     best = keys["doc_id"].eqNullSafe(keys["best.doc_id"]) & keys["_row"].eqNullSafe(keys["best._row"])
     same = keys.select("doc_id", "_row", best.alias("stays")).groupBy("doc_id", "_row", "stays").agg(F.count(F.lit(1)).alias("rows"))
     same = materialize(same, "simhash-decisions")
