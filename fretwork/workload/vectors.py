@@ -15,7 +15,7 @@ DIMENSION = 64
 K = 20
 # Hash tables and bits of the approximate searches.
 TABLES, BITS = 16, 6
-TEXT_TABLES, TEXT_BITS = 12, 14
+TEXT_TABLES, TEXT_BITS = 8, 18
 
 
 def index(spark, sf_dir):
