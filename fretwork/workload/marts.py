@@ -326,7 +326,7 @@ ORACLE = {
                   ELSE 'premium' END AS price_tier, count(*) AS n_orders, CAST(sum(p) AS DOUBLE) AS total
       FROM (SELECT CAST(o_totalprice AS DECIMAL(12,2)) AS p FROM orders) GROUP BY 1""",
     "dim_customers_mart": shop.with_sql("raw_customers", "stg_orders")
-    + f" SELECT * EXCLUDE (ids), array_to_string(ids, ',') AS purchased_product_ids, CASE WHEN len(ids) > 0 THEN 1 ELSE 0 END AS n_product_pages FROM ({_CUSTOMER_MART.format(condition='true')})",
+    + f" SELECT * EXCLUDE (ids), array_to_string(ids, ',') AS purchased_product_ids, CAST(len(ids) > 0 AS BIGINT) AS n_product_pages FROM ({_CUSTOMER_MART.format(condition='true')})",
     "customer_product_pages": shop.with_sql("stg_orders")
     + """ SELECT customer_id, CAST(ceil(count(*) / 20) AS BIGINT) AS n_pages, count(*) AS n_products, min(product_id) AS first_id,
                  max(product_id) AS last_id, CAST(sum(CAST(substr(product_id, 2) AS BIGINT)) AS BIGINT) AS id_sum
