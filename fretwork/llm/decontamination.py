@@ -134,7 +134,8 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return marked(docs, table(spark, sf_dir, "benchmark")).drop("_row")
+    rows = marked(docs, table(spark, sf_dir, "benchmark")).drop("_row")
+    return rows.withColumn("first_item", F.coalesce("first_item", F.lit(-1)))
 
 
 # Brute force: every pair of equal words, grouped by document, item and shift, then all windows of the item.
@@ -163,6 +164,6 @@ WITH d AS (
 ), per_doc AS (
   SELECT doc_id, sum(copies)::BIGINT AS n_items, min(item_id) AS first_item, sum(n_windows)::BIGINT AS n_windows FROM good GROUP BY doc_id
 )
-SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, first_item, coalesce(n_windows, 0) AS n_windows
+SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(first_item, -1) AS first_item, coalesce(n_windows, 0) AS n_windows
 FROM documents LEFT JOIN per_doc USING (doc_id)
 """

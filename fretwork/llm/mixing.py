@@ -138,7 +138,7 @@ def mix(docs: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     rows = mixture(docs).select("doc_id", "size", "source_size", "target", "taken", "shard")
-    return rows.withColumn("shard", F.col("shard").cast("long"))
+    return rows.withColumn("shard", F.coalesce(F.col("shard").cast("long"), F.lit(-1)))
 
 
 # Every quotient is listed and ranked, and the seeded order of a source is one window.
@@ -177,6 +177,6 @@ WITH d AS (
 ), k AS (
   SELECT *, (rounds * size + least(greatest(take - rounds * source_size - before, 0), size))::BIGINT AS taken FROM r
 )
-SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN shard::BIGINT END AS shard
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN shard::BIGINT ELSE -1 END AS shard
 FROM k LEFT JOIN won ON k.number = won.number AND won.block = k.before // {BLOCK_WORDS}
 """
