@@ -3,8 +3,9 @@
 A fingerprint has 64 bits, taken by majority over the XXH64 hashes of the word shingles. Documents whose
 fingerprints differ in at most ``radius`` bits are linked, and a component of links is one group.
 
-Search for links: the 64 bits are cut into ``radius + 2`` blocks. Two linked fingerprints agree in at least two
-whole blocks, so they meet in the shard of some pair of blocks. A shard holds distinct fingerprints that agree
+Search for links: the 64 bits are cut into ``BLOCKS`` blocks. Two linked fingerprints agree in all but ``radius`` of them
+at least, so they meet in the shard of some choice of that many blocks: with six blocks and radius 4 each fingerprint is in 15
+shards of about 21 common bits. For billions of fingerprints 8 blocks (70 shards of 32 bits) keep the shards small. A shard holds distinct fingerprints that agree
 there; its BK-tree keys each child by the integer Hamming distance to its parent, and a search follows only the
 edges within the radius of the distance at hand. Shards are dealt out over the tasks. A broadcast of all trees would
 grow with the documents; instead each tree goes where the fingerprints that can match it are. A shard above
@@ -33,6 +34,7 @@ from fretwork.session import materialize
 SEED = 42
 SHINGLE = 4
 RADIUS = 4
+BLOCKS = 6
 PIECE = 4096
 _CHUNK = 1 << 16
 
@@ -68,18 +70,19 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return map_text(rows, "fp long", codes)
 
 
-def block_masks(radius: int) -> list[int]:
-    """Masks over two of ``radius + 2`` blocks of bits, as signed longs."""
-    n = radius + 2
+def block_masks(radius: int, n: int = BLOCKS) -> list[int]:
+    """Masks over every choice of ``n - radius`` of ``n`` blocks of bits, as signed longs."""
+    if n <= radius:
+        raise ValueError(f"a radius of {radius} needs more than {n} blocks")
     cuts = [round(i * 64 / n) for i in range(n + 1)]
     blocks = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
-    both = [x | y for x, y in combinations(blocks, 2)]
-    return [m - (1 << 64) if m >> 63 else m for m in both]
+    masks = [sum(chosen) for chosen in combinations(blocks, n - radius)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def shards(codes: DataFrame, radius: int) -> DataFrame:
+def shards(codes: DataFrame, radius: int, blocks: int = BLOCKS) -> DataFrame:
     """Members of the shards with two or more fingerprints: (t, code, a, b, in_tree, asks, fp)."""
-    tables = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("code")) for t, m in enumerate(block_masks(radius))]
+    tables = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("code")) for t, m in enumerate(block_masks(radius, blocks))]
     keys = codes.select("fp", F.explode(F.array(*tables)).alias("k")).select("k.t", "k.code", "fp")
     shared = keys.groupBy("t", "code").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     pieces = F.ceil(F.col("n") / PIECE).cast("int")
@@ -166,7 +169,7 @@ def _spanning(frame: pd.DataFrame, radius: int) -> pd.DataFrame:
     return pd.DataFrame({"u": codes[moved].view(np.int64), "v": codes[label[moved]].view(np.int64)})
 
 
-def links(codes: DataFrame, radius: int = RADIUS) -> DataFrame:
+def links(codes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """Edges (u, v) that connect all distinct fingerprints of ``codes`` (fp) within the radius of each other."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,7 +185,7 @@ def links(codes: DataFrame, radius: int = RADIUS) -> DataFrame:
             yield _spanning(held.reset_index(drop=True), radius)
 
     key = ["t", "code", "a", "b"]
-    dealt = shards(codes, radius).repartition(partitions(codes.sparkSession), *key).sortWithinPartitions(*key)
+    dealt = shards(codes, radius, blocks).repartition(partitions(codes.sparkSession), *key).sortWithinPartitions(*key)
     return dealt.mapInPandas(run, "u long, v long")
 
 
