@@ -55,14 +55,16 @@ FURNITURE_TAGS = frozenset(
 )
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 FURNITURE_NAMES = frozenset(
-    "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer "
-    "disqus footer gdpr header login menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion "
-    "related replies search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads adbox advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment commentlist comments consent cookie "
+    "cookies copyright disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices "
+    "notification overlay pager pagination popover popup promo promoted promotion recommended recommendations related replies respond "
+    "search share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget".split()
 )
 # Words that may stand beside those in one class name without changing its meaning.
 PLACE_NAMES = frozenset(
-    "area article bar block body bottom box button buttons container form global group icons inner item items left links list main outer "
-    "page panel post primary reader right row secondary section site slot space sticky thread top unit user wrap wrapper".split()
+    "area article bar block body bottom box button buttons card container content form global group icons inner item items left links list "
+    "main message module outer page panel placeholder post primary reader region right row secondary section site slot space sticky text "
+    "thread top unit user wrap wrapper zone".split()
 )
 
 _TAG = re.compile(

@@ -32,6 +32,7 @@ def text_of(page):
         ("</div></p><article>a</span>b</article></article>", "ab"),
         ("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</article>", "deep"),
         ("<article><a title='x > y' href=\"a'b\">in</a>line</article>", "inline"),
+        ("<article>a<div class='sponsored-content'>b</div><ol class='commentlist'>c</ol><p class='lead-text post'>d</p></article>", "a d"),
         ("<title>head only</title><script>never closed", ""),
     ],
 )
