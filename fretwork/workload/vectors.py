@@ -13,7 +13,7 @@ from fretwork.workload import search, shop
 
 DIMENSION = 64
 K = 20
-# Hash tables and bits of the approximate searches; those of the texts stand in SQL alone, see README.
+# Hash tables and bits of ann_recall; otherwise they stand in SQL alone, see README.
 TABLES, BITS = 16, 6
 TEXT_TABLES, TEXT_BITS = 8, 18
 
@@ -44,10 +44,9 @@ def cosine_top20(spark, sf_dir):
 
 
 def similar_products(spark, sf_dir):
-    """The five nearest products of every product, among those that share a hash code."""
+    """The five nearest products of every product, of all products."""
     asked = index(spark, sf_dir).withColumnRenamed("item_id", "query_id")
-    coded = vectors.with_hash_codes(index(spark, sf_dir), DIMENSION, TABLES, BITS)
-    return _rounded(vectors.approximate_top_k(coded, asked, DIMENSION, 5, TABLES, BITS))
+    return _rounded(vectors.cosine_top_k(index(spark, sf_dir), asked, 5))
 
 
 def _dense_texts(spark, sf_dir):
