@@ -46,6 +46,11 @@ def customer_products(orders: DataFrame) -> DataFrame:
     return orders.select("customer_id", "product_id").distinct()
 
 
+def page_counts(bought: DataFrame, page_products: int = PAGE_PRODUCTS) -> DataFrame:
+    """Pages over which a customer's products are dealt: customer_id, n_pages."""
+    return bought.groupBy("customer_id").agg(F.ceil(F.count(F.lit(1)) / page_products).alias("n_pages"))
+
+
 def product_pages(bought: DataFrame, page_products: int = PAGE_PRODUCTS) -> DataFrame:
     """The whole list of bought products per customer, in pages: customer_id, page_no, n_pages, product_ids (sorted).
 
@@ -53,8 +58,7 @@ def product_pages(bought: DataFrame, page_products: int = PAGE_PRODUCTS) -> Data
     (a reseller, a shared account) is dealt out over pages of about that size by a digest of the product id, so
     no row and no task holds it whole. A NULL product id stays a member of the list.
     """
-    sizes = bought.groupBy("customer_id").agg(F.ceil(F.count(F.lit(1)) / page_products).alias("n_pages"))
-    dealt = bought.join(sizes, "customer_id").withColumn("page_no", F.pmod(F.xxhash64("product_id"), F.col("n_pages")))
+    dealt = bought.join(page_counts(bought, page_products), "customer_id").withColumn("page_no", F.pmod(F.xxhash64("product_id"), F.col("n_pages")))
     pages = dealt.groupBy("customer_id", "page_no", "n_pages").agg(
         F.sort_array(F.collect_list(F.struct("product_id"))).alias("_products")
     )
@@ -83,12 +87,14 @@ def dim_customers(customers: DataFrame, orders: DataFrame, page_products: int =
     """Customers with order totals and the sorted list of bought products.
 
     A row holds the first page of ``product_pages`` and the number of pages, one for any ordinary customer; the further pages
-    are rows of that table. Order lines are read once.
+    are rows of that table, which the warehouse build writes as a mart of its own. Order lines are read once.
     """
     items = materialize(order_items(orders), "order-items")
-    pages = product_pages(customer_products(items), page_products).where("page_no = 0")
+    bought = customer_products(items)
+    pages = product_pages(bought, page_products).where("page_no = 0").drop("n_pages")
     return (
         customers.join(customer_stats(items), "customer_id", "left")
+        .join(page_counts(bought, page_products), "customer_id", "left")
         .join(pages, "customer_id", "left")
         .select(
             "customer_id",

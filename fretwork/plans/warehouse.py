@@ -11,20 +11,22 @@ from fretwork.sources.raw_files import good_rows, load_raw, rejected_rows
 
 AUDIT = "table_name string, row_count bigint"
 MARTS = ["dim_products", "dim_customers", "fct_recommendations", "inventory"]
+# Marts that complete another one: all pages of the customers' product lists.
+DETAILS = ["product_pages"]
 
 
 def raw_tables(spark: SparkSession, out_dir: str) -> dict[str, DataFrame]:
     return {name: spark.read.schema(schema).parquet(f"{out_dir}/raw_{name}") for name, schema in RAW.items()}
 
 
-def mart_frames(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def mart_frames(raw: dict[str, DataFrame], page_products: int = marts.PAGE_PRODUCTS) -> dict[str, DataFrame]:
     """The mart plans over raw tables; staging stays a view that each mart recomputes."""
     good = {name: good_rows(df, name) for name, df in raw.items()}
+    orders = staging.stg_orders(good["orders"])
     return {
         "dim_products": marts.dim_products(staging.stg_products(good["products"])),
-        "dim_customers": marts.dim_customers(
-            staging.stg_customers(good["customers"]), staging.stg_orders(good["orders"])
-        ),
+        "dim_customers": marts.dim_customers(staging.stg_customers(good["customers"]), orders, page_products),
+        "product_pages": marts.product_pages(marts.customer_products(orders), page_products),
         "fct_recommendations": marts.fct_recommendations(good["se_handoffs"]),
         "inventory": marts.inventory(good["inventory"]),
     }
@@ -46,7 +48,14 @@ def built(spark: SparkSession, out_dir: str) -> DataFrame | None:
         return None
 
 
-def build(spark: SparkSession, data_dir: str, out_dir: str, replace: bool = True, multi_line: bool = False) -> DataFrame:
+def build(
+    spark: SparkSession,
+    data_dir: str,
+    out_dir: str,
+    replace: bool = True,
+    multi_line: bool = False,
+    page_products: int = marts.PAGE_PRODUCTS,
+) -> DataFrame:
     """Load the raw files and write the marts and the quarantine tables; returns the load audit.
 
     ``replace=False`` touches nothing where a build has been finished before. The audit is written last and marks that.
@@ -56,7 +65,7 @@ def build(spark: SparkSession, data_dir: str, out_dir: str, replace: bool = True
         return done
     audit = load_raw(spark, data_dir, out_dir, multi_line=multi_line)
     raw = raw_tables(spark, out_dir)
-    for name, df in mart_frames(raw).items():
+    for name, df in mart_frames(raw, page_products).items():
         df.write.mode("overwrite").parquet(f"{out_dir}/{name}")
     for name, df in raw.items():
         rejected_rows(df, name).write.mode("overwrite").parquet(f"{out_dir}/rejected_{name}")
@@ -65,6 +74,6 @@ def build(spark: SparkSession, data_dir: str, out_dir: str, replace: bool = True
 
 
 def read_mart(spark: SparkSession, out_dir: str, name: str) -> DataFrame:
-    if name not in MARTS:
+    if name not in MARTS + DETAILS:
         raise ValueError(f"no mart named {name!r}")
     return spark.read.parquet(f"{out_dir}/{name}")
