@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from fretwork.llm import decontamination, html_text, language, lines, mixing, neighbours, quality, sharding, simhash, token_files
+from fretwork.llm import (
+    clusters,
+    decontamination,
+    html_text,
+    language,
+    lines,
+    mixing,
+    neighbours,
+    quality,
+    sharding,
+    simhash,
+    sketches,
+    token_files,
+    trie,
+)
 
 QUERIES = {
     "op1_language_mixture": language.query,
@@ -15,10 +29,16 @@ QUERIES = {
     "op8_benchmark_overlap": decontamination.query,
     "op9_nearest_vectors": neighbours.query,
     "op10_simhash_groups": simhash.query,
+    "op11_scaled_sketch": sketches.query,
+    "op12_pivot_clusters": clusters.query,
+    "op13_prefix_trie": trie.query,
 }
 
 ORACLE = {
     "op2_line_dedup": lines.SQL,
     "op7_source_mixture": mixing.SQL,
     "op8_benchmark_overlap": decontamination.SQL,
+    "op11_scaled_sketch": sketches.SQL,
+    "op12_pivot_clusters": clusters.SQL,
+    "op13_prefix_trie": trie.SQL,
 }
