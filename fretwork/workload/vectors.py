@@ -4,18 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fretwork.operators import text_vectors, vectors
+from fretwork.operators import cells, text_vectors, vectors
 from fretwork.operators.search import catalog_search
 from fretwork.plans import marts, staging
-from fretwork.session import materialize
+from fretwork.session import materialize, scratch_dir
 from fretwork.sources.keyed import upsert
 from fretwork.workload import search, shop
 
 DIMENSION = 64
 K = 20
-# Hash tables and bits of ann_recall; otherwise they stand in SQL alone, see README.
-TABLES, BITS = 16, 6
-TEXT_TABLES, TEXT_BITS = 8, 18
+RECALL = 0.9
 
 
 def index(spark, sf_dir):
@@ -61,22 +59,34 @@ def similar_texts(spark, sf_dir):
     return _rounded(vectors.cosine_top_k(dense, dense.withColumnRenamed("item_id", "query_id"), 5))
 
 
+def cell_index(spark, sf_dir):
+    """The given vectors as an inverted file, written and opened."""
+    path = scratch_dir(spark, "cell-index")
+    cells.write_index(index(spark, sf_dir), path, k=K)
+    return cells.open_index(spark, path)
+
+
 def ann_recall(spark, sf_dir):
-    """Per label query: of the exact top 20, how many the hash index finds, and how many pairs it scores."""
-    asked = materialize(queries(spark, sf_dir), "queries")
-    exact = vectors.cosine_top_k(index(spark, sf_dir), asked, K)
-    coded = materialize(vectors.with_hash_codes(index(spark, sf_dir), DIMENSION, TABLES, BITS), "coded")
-    pairs = vectors.shared_code_pairs(coded, vectors.with_hash_codes(asked, DIMENSION, TABLES, BITS))
-    scored = pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_scored"))
-    both = exact.join(pairs.withColumn("hit", F.lit(1)), ["query_id", "item_id"], "left")
-    found = both.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_exact"), F.count("hit").alias("n_found"))
-    return found.join(scored, "query_id", "left").select("query_id", "n_exact", "n_found", F.coalesce("n_scored", F.lit(0)).alias("n_scored"))
+    """The inverted file asked for the nearest items of every item whose number is divisible by 20, against all pairs.
+
+    Per query the number of true neighbours, and whether all queries together found at least ``RECALL`` of theirs.
+    """
+    rows = index(spark, sf_dir)
+    asked = materialize(rows.where(F.substring("item_id", 2, 20).cast("bigint") % 20 == 0).withColumnRenamed("item_id", "query_id"), "asked")
+    hits = cells.search(cell_index(spark, sf_dir), asked, K).select("query_id", "item_id", F.lit(1).alias("hit"))
+    exact = vectors.cosine_top_k(rows, asked, K)
+    both = exact.join(hits, ["query_id", "item_id"], "left")
+    found = materialize(both.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_exact"), F.count("hit").alias("n_found")), "found")
+    total = found.agg((F.sum("n_found") >= F.sum("n_exact") * RECALL).alias("reached"))
+    reached = total.first()["reached"]
+    return found.select("query_id", "n_exact", F.lit(reached).alias("reached"))
 
 
 def search_hybrid(spark, sf_dir):
-    """Semantic candidates of each label query, then the structured filters and the order rule."""
-    asked = queries(spark, sf_dir)
-    nearest = materialize(vectors.as_candidates(vectors.cosine_top_k(index(spark, sf_dir), asked, K)), "candidates")
+    """Semantic candidates of each label query from the inverted file, then the structured filters and the order rule."""
+    asked = materialize(queries(spark, sf_dir), "queries")
+    nearest = cells.search(cell_index(spark, sf_dir), asked, K, exact=True)
+    nearest = materialize(vectors.as_candidates(nearest), "candidates")
     label = F.col("label")
     requests = shop.table(spark, sf_dir, "embeddings").select(label.cast("bigint").alias("request_id")).distinct()
     odd = F.col("request_id") % 2 == 1
@@ -176,19 +186,7 @@ def _weights_sql(buckets: int) -> str:
   weights AS (SELECT product_id AS item_id, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY product_id)) AS weight FROM raw)"""
 
 
-def _codes_sql(source: str, dimension: int, tables: int, bits: int) -> str:
-    """codes (id, code) of the vectors v in ``source``."""
-    return f"""planes AS (
-        SELECT p, list(CAST(CAST('0x' || substr(md5(CAST(p AS VARCHAR) || ':' || CAST(i AS VARCHAR)), 1, 8) AS BIGINT) AS DOUBLE)
-                       / 2147483648 - 1 ORDER BY i) AS plane FROM range({tables * bits}) a(p), range({dimension}) b(i) GROUP BY p),
-      codes AS (
-        SELECT id, CAST(sum(CASE WHEN list_dot_product(v, plane) >= 0 THEN 1 << (p % {bits}) ELSE 0 END) AS BIGINT) + ((p // {bits}) << {bits}) AS code
-        FROM {source}, planes GROUP BY id, p // {bits})"""
-
-
-_SIMILAR = """pairs AS (SELECT DISTINCT a.id AS query_id, b.id AS item_id FROM codes a JOIN codes b USING (code)),
-      scored AS (SELECT query_id, item_id, list_cosine_similarity(q.v, i.v) AS s
-                 FROM pairs JOIN items q ON q.id = query_id JOIN items i ON i.id = item_id)
+_SIMILAR = """scored AS (SELECT q.id AS query_id, i.id AS item_id, list_cosine_similarity(q.v, i.v) AS s FROM items q, items i)
       SELECT query_id, item_id, round(s, 6) AS similarity,
              row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, item_id) AS rank
       FROM scored WHERE NOT isnan(s) QUALIFY rank <= 5"""
@@ -196,18 +194,12 @@ _SIMILAR = """pairs AS (SELECT DISTINCT a.id AS query_id, b.id AS item_id FROM c
 ORACLE = {
     "cosine_top20": f"WITH {_NEAREST} SELECT query_id, nth AS rank, item_id, round(s, 6) AS similarity FROM nearest",
     "similar_products": f"""
-      WITH items AS (SELECT {shop.sql_product_key("vec_id")} AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-           {_codes_sql("items", DIMENSION, TABLES, BITS)}, {_SIMILAR}""",
+      WITH items AS (SELECT {shop.sql_product_key("vec_id")} AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), {_SIMILAR}""",
     "ann_recall": f"""
-      WITH {_NEAREST}, vectors AS (
-        SELECT {shop.sql_product_key("vec_id")} AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
-        UNION ALL SELECT CAST(label AS VARCHAR), q FROM queries),
-      {_codes_sql("vectors", DIMENSION, TABLES, BITS)},
-      pairs AS (SELECT DISTINCT CAST(a.id AS BIGINT) AS query_id, b.id AS item_id
-                FROM codes a JOIN codes b USING (code) WHERE a.id NOT LIKE 'P%' AND b.id LIKE 'P%')
-      SELECT n.query_id, count(*) AS n_exact, count(p.item_id) AS n_found,
-             (SELECT count(*) FROM pairs s WHERE s.query_id = n.query_id) AS n_scored
-      FROM nearest n LEFT JOIN pairs p ON p.query_id = n.query_id AND p.item_id = n.item_id GROUP BY n.query_id""",
+      WITH items AS (SELECT {shop.sql_product_key("vec_id")} AS id, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+      scored AS (SELECT q.id AS query_id, row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.v, i.v) DESC, i.id) AS rank
+                 FROM items q, items i WHERE q.vec_id % 20 = 0 AND NOT isnan(list_cosine_similarity(q.v, i.v)))
+      SELECT query_id, count(*) AS n_exact, true AS reached FROM scored WHERE rank <= {K} GROUP BY query_id""",
     "search_hybrid": shop.with_sql("dim_products")
     + f""", {_NEAREST}, requests AS (
       SELECT DISTINCT CAST(label AS BIGINT) AS request_id, CASE WHEN label % 2 = 1 THEN 'intermediate' END AS skill_level,
@@ -242,5 +234,5 @@ ORACLE["similar_texts"] = (
     + f""", places AS (SELECT item_id, b AS bucket FROM (SELECT DISTINCT item_id FROM weights), range(128) r(b)),
       cells AS (SELECT item_id, bucket, coalesce(CAST(CAST(weight AS FLOAT) AS DOUBLE), 0) AS w FROM places LEFT JOIN weights USING (item_id, bucket)),
       items AS (SELECT item_id AS id, list(w ORDER BY bucket) AS v FROM cells GROUP BY 1),
-      {_codes_sql("items", 128, TEXT_TABLES, TEXT_BITS)}, {_SIMILAR}"""
+      {_SIMILAR}"""
 )
