@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-import json
+import contextlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from fretwork.operators.transcripts import latest_transcripts
 from fretwork.sources.keyed import latest
 from fretwork.streaming.files import run_available
 
-MOVE = ["event_at", "seq", "se"]
-LIFECYCLE = "handoff_id {kind}, status string, claimed_by string, created_at timestamp, claimed_at timestamp, closed_at timestamp"
+LIFECYCLE = "handoff_id {kind}, status string, claimed_by string, created_at timestamp, claimed_at timestamp, closed_at timestamp, final boolean"
+# What is kept of a handoff: its legal moves that the watermark has passed, and the moves that it has not.
+SETTLED = ", ".join(f"{step}_at long, {step}_seq long, {step}_by string" for step in ("created", "claimed", "closed"))
+MOVES = "event_at long, seq long, se string, event string"
+PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_transcripts(stream: DataFrame, path: str, checkpoint: str) -> None:
@@ -49,38 +53,84 @@ def apply_moves(settled: list, moves: list) -> list:
     return [created, claimed, closed]
 
 
-def _fold_key(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """New state of one handoff. Moves are kept until the watermark has passed them, so their order of arrival is no matter."""
-    settled, moves = json.loads(state.get[0]) if state.exists else ([None, None, None], [])
-    if not state.hasTimedOut:
-        for frame in frames:
+class Lifecycle(StatefulProcessor):
+    """State of the open handoffs. Moves are kept until the watermark has passed them, so their order of arrival is no matter.
+
+    A handoff whose closing the watermark has passed gives one last row, marked final, and leaves the state; one whose moves
+    turn out to be illegal leaves it without a row.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.settled = handle.getValueState("settled", SETTLED)
+        self.moves = handle.getListState("moves", MOVES)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = []
+        for frame in rows:
             times = frame["event_at"].astype("datetime64[us]").astype("int64")
-            moves += [list(m) for m in zip(times.tolist(), frame["seq"].tolist(), frame["se"].tolist(), frame["event"].tolist(), strict=True)]
-    passed = state.getCurrentWatermarkMs() * 1000
-    now = apply_moves(settled, moves)
-    settled = apply_moves(settled, [m for m in moves if m[0] < passed])
-    moves = [] if settled[2] else [m for m in moves if m[0] >= passed]
-    state.update((json.dumps([settled, moves]),))
-    if moves:
-        state.setTimeoutTimestamp(max(passed, max(m[0] for m in moves)) // 1000 + 1)
-    created, claimed, closed = now
-    if created and not state.hasTimedOut:
-        status = "closed" if closed else "claimed" if claimed else "new"
-        times = [pd.to_datetime([m[0] if m else None], unit="us", utc=True) for m in now]
-        yield pd.DataFrame(
-            {
-                "handoff_id": [key[0]], "status": status, "claimed_by": [claimed[2] if claimed else None],
-                "created_at": times[0], "claimed_at": times[1], "closed_at": times[2],
-            }
-        )
+            new += zip(times.tolist(), frame["seq"].tolist(), frame["se"].tolist(), frame["event"].tolist(), strict=True)
+        yield from self._fold(key, new, timerValues.getCurrentWatermarkInMs() * 1000, True)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._fold(key, [], timerValues.getCurrentWatermarkInMs() * 1000, False)
+
+    def close(self) -> None:
+        pass
+
+    def _fold(self, key, new: list, passed: int, changed: bool) -> Iterator[pd.DataFrame]:
+        value = self.settled.get() if self.settled.exists() else (None,) * 9
+        before = [list(value[i : i + 3]) if value[i] is not None else None for i in (0, 3, 6)]
+        waiting = [*(tuple(m) for m in self.moves.get()), *new] if self.moves.exists() else new
+        settled = apply_moves(before, [m for m in waiting if m[0] < passed])
+        final = settled[2] is not None
+        now = settled if final else apply_moves(before, waiting)
+        left = [] if final else [m for m in waiting if m[0] >= passed]
+        if settled[0] and not final:
+            self.settled.update(tuple(x for step in settled for x in (step or [None] * 3)))
+        else:
+            self.settled.clear()
+        if left:
+            self.moves.put(left)
+            if not any(True for _ in self.handle.listTimers()):
+                self.handle.registerTimer(max(passed, max(m[0] for m in left)) // 1000 + 1)
+        else:
+            self.moves.clear()
+        if now[0] and (changed or final):
+            yield _lifecycle_row(key[0], now, final)
+
+
+def _lifecycle_row(handoff_id, steps: list, final: bool) -> pd.DataFrame:
+    created, claimed, closed = steps
+    times = [pd.to_datetime([m[0] if m else None], unit="us", utc=True) for m in steps]
+    return pd.DataFrame(
+        {
+            "handoff_id": [handoff_id], "status": "closed" if closed else "claimed" if claimed else "new",
+            "claimed_by": [claimed[2] if claimed else None], "created_at": times[0], "claimed_at": times[1], "closed_at": times[2], "final": [final],
+        }
+    )
+
+
+@contextlib.contextmanager
+def _state_provider(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB, which typed state needs."""
+    before = spark.conf.get(PROVIDER_KEY, None)
+    spark.conf.set(PROVIDER_KEY, PROVIDER)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER_KEY)
+        else:
+            spark.conf.set(PROVIDER_KEY, before)
 
 
 def stream_lifecycle(stream: DataFrame, path: str, checkpoint: str, delay: str = "1 day") -> None:
     """Fold lifecycle events (handoff_id, event, se, event_at, seq) into a table of changed handoffs per batch.
 
     The moves of a handoff count in event order, in whatever batches they arrive, as long as they are not more than
-    ``delay`` late; older ones are dropped. Moves are held per handoff until the watermark has passed them, then
-    folded away. A batch touches the state of the handoffs it names, and rewrites its own folder when repeated.
+    ``delay`` late; older ones are dropped. Moves are held per handoff until the watermark has passed them, then folded away;
+    closed handoffs leave the state then. A batch touches the state of the handoffs it names, and rewrites its own folder when repeated.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -88,11 +138,12 @@ def stream_lifecycle(stream: DataFrame, path: str, checkpoint: str, delay: str =
 
     kind = stream.schema["handoff_id"].dataType.simpleString()
     moves = stream.where("event in ('create', 'claim', 'close') and handoff_id is not null").withWatermark("event_at", delay)
-    folded = moves.groupBy("handoff_id").applyInPandasWithState(
-        _fold_key, LIFECYCLE.format(kind=kind), "moves string", "update", GroupStateTimeout.EventTimeTimeout
-    )
-    run_available(folded.writeStream.outputMode("update").foreachBatch(write), checkpoint)
+    folded = moves.groupBy("handoff_id").transformWithStateInPandas(Lifecycle(), LIFECYCLE.format(kind=kind), "Update", "EventTime")
+    with _state_provider(stream.sparkSession):
+        run_available(folded.writeStream.outputMode("update").foreachBatch(write), checkpoint)
 
 
 def read_lifecycle(table: DataFrame) -> DataFrame:
-    return latest(table, ["handoff_id"], ["batch_id"]).drop("batch_id")
+    """The newest row of each handoff. The first final row stands for good: what arrives for a handoff that has left the state is illegal."""
+    first_final = F.when(F.col("final"), -F.col("batch_id"))
+    return latest(table.withColumn("_settled", first_final), ["handoff_id"], ["_settled", "batch_id"]).drop("batch_id", "final", "_settled")

@@ -108,6 +108,26 @@ def test_lifecycle_settles_what_the_watermark_has_passed(spark, tmp_path):
     assert got == {1: ("claimed", "A"), 2: ("new", None), 3: ("closed", "B")}
 
 
+def test_closed_handoffs_leave_the_state(spark, tmp_path):
+    """Of 200 handoffs, 190 closed, the open ones are all that stays; what arrives for a closed one later changes nothing."""
+    source, path, checkpoint = str(tmp_path / "in"), str(tmp_path / "table"), str(tmp_path / "checkpoint")
+    at = lambda hour, n: START + dt.timedelta(hours=hour, seconds=n)
+    first = [(k, e, "A", at(h, k), 3 * k + h) for k in range(200) for h, e in enumerate(["create", "claim", "close"]) if e != "close" or k >= 10]
+    first += [(k, "close", "B", at(2, k), 1000 + k) for k in range(5)] + [(900, "close", "A", at(0, 0), 5000)]
+    later = [[(500, "create", "A", at(50, 0), 6000)], [(7, "close", "A", at(60, 0), 6001), (50, "create", "B", at(61, 0), 6002)], [(501, "create", "A", at(90, 0), 6003)]]
+    spark.createDataFrame([], MOVES).write.parquet(source)
+    for rows in [first, *later]:
+        spark.createDataFrame(rows, MOVES).coalesce(1).write.mode("append").parquet(source)
+        state.stream_lifecycle(read_parquet_stream(spark, source), path, checkpoint, "10 hours")
+    read = lambda name: spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+    with state._state_provider(spark):
+        open_ones = {r["key"][0] for r in read("settled").select("key").collect()}
+    assert open_ones - {50} == {*range(10), 500} - {7}
+    table = {r.handoff_id: (r.status, r.claimed_by) for r in state.read_lifecycle(spark.read.parquet(path)).collect()}
+    assert table == walk([*first, *(m for rows in later for m in rows)])
+    assert table[50] == ("closed", "A") and table[7] == ("closed", "A") and 900 not in table
+
+
 def test_transcript_stream_keeps_the_last_write(spark, tmp_path):
     source, path, checkpoint = str(tmp_path / "in"), str(tmp_path / "table"), str(tmp_path / "checkpoint")
     schema = "session_id string, page_no bigint, messages string, updated_at timestamp"
