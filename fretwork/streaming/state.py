@@ -79,22 +79,25 @@ class Lifecycle(StatefulProcessor):
         pass
 
     def _fold(self, key, new: list, passed: int, changed: bool) -> Iterator[pd.DataFrame]:
-        value = self.settled.get() if self.settled.exists() else (None,) * 9
-        before = [list(value[i : i + 3]) if value[i] is not None else None for i in (0, 3, 6)]
-        waiting = [*(tuple(m) for m in self.moves.get()), *new] if self.moves.exists() else new
+        """Every call on the state crosses to the JVM, so nothing is asked twice. A timer stands as long as moves wait."""
+        value, held = self.settled.get(), [tuple(m) for m in self.moves.get()]
+        before = [list(value[i : i + 3]) if value and value[i] is not None else None for i in (0, 3, 6)]
+        waiting = held + new
         settled = apply_moves(before, [m for m in waiting if m[0] < passed])
         final = settled[2] is not None
         now = settled if final else apply_moves(before, waiting)
         left = [] if final else [m for m in waiting if m[0] >= passed]
         if settled[0] and not final:
-            self.settled.update(tuple(x for step in settled for x in (step or [None] * 3)))
-        else:
+            if settled != before:
+                self.settled.update(tuple(x for step in settled for x in (step or [None] * 3)))
+        elif value:
             self.settled.clear()
         if left:
-            self.moves.put(left)
-            if not any(True for _ in self.handle.listTimers()):
+            if left != held:
+                self.moves.put(left)
+            if not (held and changed):
                 self.handle.registerTimer(max(passed, max(m[0] for m in left)) // 1000 + 1)
-        else:
+        elif held:
             self.moves.clear()
         if now[0] and (changed or final):
             yield _lifecycle_row(key[0], now, final)
