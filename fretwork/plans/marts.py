@@ -86,16 +86,24 @@ def customer_stats(items: DataFrame) -> DataFrame:
 def dim_customers(customers: DataFrame, orders: DataFrame, page_products: int = PAGE_PRODUCTS) -> DataFrame:
     """Customers with order totals and the sorted list of bought products.
 
-    A row holds the first page of ``product_pages`` and the number of pages, one for any ordinary customer; the further pages
-    are rows of that table, which the warehouse build writes as a mart of its own. Order lines are read once.
+    Order lines are read once: their sums and the pages made from them are written in between.
     """
     items = materialize(order_items(orders), "order-items")
-    bought = customer_products(items)
-    pages = product_pages(bought, page_products).where("page_no = 0").drop("n_pages")
+    pages = materialize(product_pages(customer_products(items), page_products), "product-pages")
+    return customer_mart(customers, items, pages)
+
+
+def customer_mart(customers: DataFrame, items: DataFrame, pages: DataFrame) -> DataFrame:
+    """Customers with the totals of ``order_items`` and page 0 of ``product_pages``.
+
+    Page 0 is the whole list for any ordinary customer; the further pages are rows of ``product_pages``, which the warehouse build
+    writes as a mart of its own. A row says how many pages there are.
+    """
+    first = pages.where("page_no = 0").select("customer_id", "product_ids")
     return (
         customers.join(customer_stats(items), "customer_id", "left")
-        .join(page_counts(bought, page_products), "customer_id", "left")
-        .join(pages, "customer_id", "left")
+        .join(pages.select("customer_id", "n_pages").distinct(), "customer_id", "left")
+        .join(first, "customer_id", "left")
         .select(
             "customer_id",
             "full_name",

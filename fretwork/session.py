@@ -7,7 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -111,6 +112,12 @@ def scratch_scope(spark: SparkSession) -> Iterator[str]:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def run_together(*jobs: Callable[[], object]) -> list:
+    """Run independent jobs at the same time, each as Spark jobs of its own; their results in order, or the first error after all ended."""
+    with ThreadPoolExecutor(max(1, len(jobs))) as pool:
+        return [future.result() for future in [pool.submit(job) for job in jobs]]
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back as a columnar table.
 

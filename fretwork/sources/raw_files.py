@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from fretwork.functions.jsonio import is_json
 from fretwork.schemas import RAW
+from fretwork.session import run_together
 
 # Columns that staging casts, with the type that each text must be able to take.
 CASTS = {
@@ -59,10 +62,12 @@ def load_raw(
 
     The counts are observed while the rows are written: no second pass over the data.
     """
-    counts = []
-    for name in sorted(names or RAW):
+
+    def load(name: str) -> tuple[str, int]:
         seen = Observation(f"load_{name}")
         rows = read_csv(spark, f"{data_dir}/{name}.csv", name, multi_line).observe(seen, F.count(F.lit(1)).alias("n"))
         rows.write.mode("overwrite").parquet(f"{out_dir}/raw_{name}")
-        counts.append((f"raw_{name}", int(seen.get["n"])))
+        return f"raw_{name}", int(seen.get["n"])
+
+    counts = run_together(*[functools.partial(load, name) for name in sorted(names or RAW)])
     return spark.createDataFrame(counts, "table_name string, row_count bigint")

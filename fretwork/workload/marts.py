@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from fretwork.functions.jsonio import customer_snapshot, id_list
@@ -9,7 +11,7 @@ from fretwork.functions.money import price_tier
 from fretwork.functions.text import levels_overlap
 from fretwork.plans import marts, staging, warehouse
 from fretwork.schemas import RAW
-from fretwork.session import scratch_dir
+from fretwork.session import run_together, scratch_dir
 from fretwork.sources.catalog import generate_catalog
 from fretwork.sources.raw_files import read_csv, write_csv
 from fretwork.workload import shop
@@ -78,11 +80,14 @@ def csv_round_trip(spark, sf_dir):
     return rows.withColumn("manufacturer_url", F.coalesce("manufacturer_url", F.lit("")))
 
 
+def _write_raw(spark, sf_dir, data):
+    run_together(*[partial(write_csv, getattr(shop, f"raw_{name}")(spark, sf_dir), f"{data}/{name}.csv", name) for name in RAW])
+
+
 def warehouse_build(spark, sf_dir):
     """All raw files written as CSV, loaded, staged and built to marts: rows per table."""
     data, out = scratch_dir(spark, "raw"), scratch_dir(spark, "warehouse")
-    for name in RAW:
-        write_csv(getattr(shop, f"raw_{name}")(spark, sf_dir), f"{data}/{name}.csv", name)
+    _write_raw(spark, sf_dir, data)
     audit = warehouse.build(spark, data, out)
     for name in warehouse.MARTS:
         rows = warehouse.read_mart(spark, out, name).agg(F.count(F.lit(1)).alias("row_count"))
@@ -92,8 +97,7 @@ def warehouse_build(spark, sf_dir):
 
 def _built(spark, sf_dir):
     data, out = scratch_dir(spark, "raw"), scratch_dir(spark, "warehouse")
-    for name in RAW:
-        write_csv(getattr(shop, f"raw_{name}")(spark, sf_dir), f"{data}/{name}.csv", name)
+    _write_raw(spark, sf_dir, data)
     warehouse.build(spark, data, out)
     return data, out
 
@@ -120,7 +124,7 @@ def build_once(spark, sf_dir):
     write_csv(shop.raw_products(spark, sf_dir).limit(0), f"{data}/products.csv", "products")
     audit = warehouse.build(spark, data, out, replace=False)
     for name in ("raw_products", "dim_products"):
-        rows = spark.read.parquet(f"{out}/{name}").agg(F.count(F.lit(1)).alias("row_count"))
+        rows = warehouse.read_table(spark, out, name).agg(F.count(F.lit(1)).alias("row_count"))
         audit = audit.unionByName(rows.select(F.lit(f"{name} after").alias("table_name"), "row_count"))
     return audit
 

@@ -76,7 +76,7 @@ def test_customers_with_and_without_orders(spark, built):
 
 def test_bad_rows_go_to_quarantine(spark, built):
     def rejected(name):
-        return [(r[0], r.rejected_column) for r in spark.read.parquet(f"{built[0]}/rejected_{name}").collect()]
+        return [(r[0], r.rejected_column) for r in warehouse.read_table(spark, built[0], f"rejected_{name}").collect()]
 
     assert rejected("customers") == [("C3", "years_playing")]
     assert rejected("products") == [("P0004", "price")]
@@ -96,10 +96,10 @@ def test_second_build_changes_nothing_and_keeps_marts_on_request(spark, built, t
     before = sorted(map(str, warehouse.read_mart(spark, built[0], "dim_products").collect()))
     for name, text in FILES.items():
         (tmp_path / f"{name}.csv").write_text(text if name != "products" else text.splitlines()[0] + "\n")
-    raw = sorted(map(str, spark.read.parquet(f"{built[0]}/raw_products").collect()))
+    raw = sorted(map(str, warehouse.read_table(spark, built[0], "raw_products").collect()))
     audit = warehouse.build(spark, str(tmp_path), built[0], replace=False)
     assert {r.table_name: r.row_count for r in audit.collect()} == built[1]
-    assert sorted(map(str, spark.read.parquet(f"{built[0]}/raw_products").collect())) == raw
+    assert sorted(map(str, warehouse.read_table(spark, built[0], "raw_products").collect())) == raw
     assert sorted(map(str, warehouse.read_mart(spark, built[0], "dim_products").collect())) == before
 
 
