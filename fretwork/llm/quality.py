@@ -1,17 +1,20 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed word 1- and 2-grams, of target text (labelled good and not toxic) and of the raw
-corpus, give each document the mean log ratio of its n-grams, times ``REFERENCE`` n-grams: its weight as a text of that
-length, so that long texts are not preferred as such. Gumbel noise is added and the ``k`` largest keys are the sample,
-which draws without replacement in proportion to the weights. ``k`` is the share of good documents among the labelled
-ones, times the number of documents.
+corpus, give each document the mean log ratio of its n-grams, so that long texts are not preferred as such. n-grams of one
+text are far from independent, so the sum would be much too sure; how many of them the mean is worth is fitted on the labels: the
+slope of a logistic curve from mean ratio to good or bad. Mean times slope is the weight, in natural logarithms of odds.
+Gumbel noise is added and the ``k`` largest keys are the sample, which draws without replacement in proportion to the weights:
+what the models are sure of stays or goes, what lies between is drawn by its odds. ``k`` is the share of good documents
+among the labelled ones, times the number of documents.
 
 Raw counts cover all documents. Target counts come from at most about ``FIT_ROWS`` labelled documents, taken by a hash of
-the id, so their ids may be broadcast. The models have ``2 ** BITS`` entries at any size of input, and each task sends
+the id, so their ids may be broadcast; the curve is fitted on as many. The models have ``2 ** BITS`` entries at any size of input, and each task sends
 one count per entry at most. The k-th key is found by counting in bins.
 
 Nulls and ties: a text that is null or has no words has weight 0. Labels with a null quality count for nothing, a null
-toxic as 0; of several labels of one document the worst counts. Without any good label nothing is rejected. Equal keys
+toxic as 0; of several labels of one document the worst counts. Without any good label nothing is rejected, without any bad
+one the slope is ``REFERENCE``. Equal keys
 stand or fall together (rows that repeat have equal keys). An empty table gives an empty result.
 """
 
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fretwork.llm.common import kth_largest, map_text, prepare, row_key, spread, table, without, word_hashes
@@ -31,6 +34,7 @@ BITS = 18
 FIT_ROWS = 200_000
 REFERENCE = 1000
 SMOOTHING = 1.0
+RIDGE = 0.01
 SEED = 5
 _SCALE = 1 << 20
 
@@ -85,14 +89,37 @@ def _weights(docs: DataFrame, ratios: np.ndarray | None, bits: int) -> DataFrame
         sums = np.concatenate(([0.0], np.cumsum(shared.value[buckets], dtype=np.float64)))
         ends = np.cumsum(counts)
         total = sums[ends] - sums[ends - counts]
-        return [np.round(REFERENCE * total / np.maximum(counts, 1), 6)]
+        return [np.round(total / np.maximum(counts, 1), 9)]
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("_row"), "text")
-    return map_text(rows, "log_weight double", weights)
+    return map_text(rows, "mean_ratio double", weights)
+
+
+def fitted_slope(ratios: np.ndarray, good: np.ndarray) -> float:
+    """Slope of the logistic curve from ``ratios`` to ``good`` (0 or 1), by Newton's method with a small ridge."""
+    if not 0 < good.sum() < len(good):
+        return float(REFERENCE)
+    slope, shift = 1.0, 0.0
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(slope * ratios + shift, -30, 30)))
+        w = p * (1 - p) + 1e-9
+        gradient = np.array([((p - good) * ratios).sum() + RIDGE * slope, (p - good).sum()])
+        curve = np.array([[(w * ratios * ratios).sum() + RIDGE, (w * ratios).sum()], [(w * ratios).sum(), w.sum()]])
+        step = np.linalg.solve(curve, gradient)
+        slope, shift = slope - step[0], shift - step[1]
+        if abs(step).max() < 1e-9:
+            break
+    return round(min(max(slope, 1.0), float(REFERENCE)), 6)
+
+
+def drawn_keys(log_weight: Column, seed: Column) -> Column:
+    """Weight plus Gumbel noise, which is a function of the seed and of doc_id and text."""
+    uniform = (F.shiftrightunsigned(F.xxhash64(seed, "doc_id", "_row"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    return F.round(log_weight - F.log(-F.log(uniform)), 6)
 
 
 def score(docs: DataFrame, labels: DataFrame, seed: int = SEED, bits: int = BITS, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(doc_id, _row, log_weight, key, kept) per row of ``docs``."""
+    """(doc_id, _row, mean_ratio, log_weight, key, kept) per row of ``docs``."""
     spark = docs.sparkSession
     prepare(spark)
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id")
@@ -104,9 +131,12 @@ def score(docs: DataFrame, labels: DataFrame, seed: int = SEED, bits: int = BITS
     good = known.where(drawn & (F.col("quality") == 1) & (F.col("toxic") == 0)).select("doc_id")
     ratios = log_ratios(docs, good, bits)
 
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "_row"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    rows = _weights(docs, ratios, bits).withColumn("key", F.round(F.col("log_weight") - F.log(-F.log(uniform)), 6))
-    rows = materialize(rows.withColumn("_key", F.floor(F.col("key") * _SCALE)), "quality-weights")
+    rows = materialize(_weights(docs, ratios, bits), "quality-ratios")
+    told = rows.join(known.where(drawn), "doc_id").select("mean_ratio", (F.col("quality") == 1).alias("good")).toPandas()
+    slope = fitted_slope(told["mean_ratio"].to_numpy(float), told["good"].to_numpy(float))
+    rows = rows.withColumn("log_weight", F.round(F.col("mean_ratio") * slope, 6))
+    rows = rows.withColumn("key", drawn_keys(F.col("log_weight"), F.lit(seed)))
+    rows = rows.withColumn("_key", F.floor(F.col("key") * _SCALE))
     if ratios is None:
         return rows.withColumn("kept", F.lit(True)).drop("_key")
     k = round(n_good / n * rows.count())

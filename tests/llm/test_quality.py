@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 from oracle import connect
+from pyspark.sql import functions as F
 
 from fretwork.llm import quality
 from fretwork.llm.common import kth_largest, spread, word_hashes
@@ -59,13 +60,36 @@ def test_weights_and_sample_by_hand(spark):
         spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), bits=10,
     ).collect()
     want = plain_weights(docs, good, 10)
-    assert all(abs(r.log_weight - want[r.doc_id]) < 0.01 for r in rows)
+    assert all(abs(1000 * r.mean_ratio - want[r.doc_id]) < 0.01 for r in rows)
+    slope = quality.fitted_slope(*(np.array(x, float) for x in zip(*[(want[i] / 1000, i % 3 > 0) for i in range(60)], strict=True)))
+    assert all(abs(r.log_weight - slope * r.mean_ratio) < 0.01 for r in rows) and 1 < slope < 1000
     k = round(40 / 60 * 120)
     assert {r.doc_id for r in rows if r.kept} == {r.doc_id for r in sorted(rows, key=lambda r: -r.key)[:k]}
     noise = [r.key - r.log_weight for r in rows]
     assert 0.2 < sum(noise) / len(noise) < 1.0 and len(set(noise)) > 100
 
 
+def test_the_draw_follows_the_weights(spark):
+    """Over 300 seeds a document is drawn as often as Gumbel top-k by its weight says."""
+    weights = [x / 4 for x in range(-20, 20)]
+    rows = spark.createDataFrame([(i, 7 * i, w) for i, w in enumerate(weights)], "doc_id long, _row long, w double")
+    rows = rows.crossJoin(spark.range(300).withColumnRenamed("id", "seed"))
+    keys = rows.select("seed", "doc_id", quality.drawn_keys(F.col("w"), F.col("seed")).alias("key")).toPandas()
+    first = keys.sort_values("key", ascending=False).groupby("seed").head(20)
+    share = first.groupby("doc_id").size().reindex(range(40), fill_value=0).to_numpy() / 300
+    draws = np.random.default_rng(1).gumbel(size=(20_000, 40)) + np.array(weights)
+    want = (draws.argsort(axis=1).argsort(axis=1) >= 20).mean(axis=0)
+    assert abs(share - want).max() < 0.12 and ((0.1 < share) & (share < 0.9)).sum() > 10
+
+
+def test_the_slope_is_that_of_the_odds():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=20_000)
+    good = rng.random(20_000) < 1 / (1 + np.exp(-(5 * x + 1)))
+    assert abs(quality.fitted_slope(x, good.astype(float)) - 5) < 0.3
+    assert quality.fitted_slope(np.zeros(3), np.ones(3)) == quality.REFERENCE == quality.fitted_slope(np.zeros(0), np.zeros(0))
+
+
 def test_edges(spark):
     docs = [(1, "a b", 1.0), (1, "a b", 1.0), (None, None, 2.0), (2, "", 2.0), (3, "bad bad", 0.0), (4, "a " * 100000, 0.0)]
     docs = spark.createDataFrame(docs, "doc_id long, text string, log_weight double")
