@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fretwork.session import apply_settings
@@ -60,15 +60,26 @@ def _is_row(docs: DataFrame, keys: DataFrame) -> Column:
     return docs["doc_id"].eqNullSafe(keys["doc_id"]) & (F.xxhash64(docs["text"]) == keys["_row"])
 
 
-def numbered(docs: DataFrame, repeated: DataFrame, number: str) -> DataFrame:
-    """``docs`` with a column that counts the rows of one doc_id and text from 1.
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """(doc, doc_id, _row, ...names): whole rows in one column, beside their identity, so that no other column can clash with a helper's."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["doc_id"], F.xxhash64(docs["text"]).alias("_row"), *[docs[n] for n in names])
 
-    Only the rows named in ``repeated`` (doc_id, _row), those that stand more than once, are gathered for that.
+
+def other_columns() -> Column:
+    """Orders the rows of ``packed`` that have one doc_id and text: by their other columns."""
+    return F.xxhash64(F.to_json("doc"))
+
+
+def one_row_each(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``docs`` with one row for each doc_id and text of ``repeated`` (doc_id, _row), those that stand more than once.
+
+    Each task keeps one row of a group before anything travels, so a group of any size is no task of its own.
     """
-    lone = without(docs, repeated).withColumn(number, F.lit(1))
-    again = docs.join(repeated, _is_row(docs, repeated), "left_semi")
-    order = Window.partitionBy("doc_id", row_key()).orderBy(F.to_json(F.struct(*[F.col(c) for c in docs.columns if c != "text"])))
-    return lone.unionByName(again.withColumn(number, F.row_number().over(order)))
+    lone = without(docs, repeated)
+    rows = packed(docs)
+    again = rows.join(repeated.withColumnRenamed("_row", "_same"), rows["doc_id"].eqNullSafe(repeated["doc_id"]) & (F.col("_row") == F.col("_same")), "left_semi")
+    kept = again.groupBy("doc_id", "_row").agg(F.min_by("doc", other_columns()).alias("doc"))
+    return lone.unionByName(kept.select("doc.*"))
 
 
 def map_text(rows: DataFrame, made: str, compute: Callable[[list], list]) -> DataFrame:

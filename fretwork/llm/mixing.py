@@ -10,6 +10,8 @@ The number of blocks after any prefix is found from the few quotients around the
 
 Selection: the documents of a source stand in seeded order and are read round and round; its n-th block is the n-th
 ``BLOCK_WORDS`` words. So a document is taken whole as often as there are full rounds, and perhaps once more, in part.
+``stretches`` says where all of it goes: (shard, first word in the document, words), in the order of reading, so the words of
+each source in each shard are exactly its quota.
 The running word count of a source is taken in bands of the seeded order, so a hot source is no single task. Only the
 table of sources, one row each, is ever in one task.
 
@@ -20,11 +22,11 @@ gives an empty result. Only DataFrame functions are used.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fretwork.functions.ranking import running_total
-from fretwork.llm.common import numbered, prepare, row_key, table
+from fretwork.llm.common import other_columns, packed, prepare, row_key, same_row, table
 from fretwork.session import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -93,7 +95,7 @@ def quotas(shares: DataFrame, words: int, shards: int = SHARDS, block_words: int
 
 
 def mixture(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, _row, source, size, source_size, target, taken, shard) per row of ``docs``.
+    """(doc_id, _row, source, size, source_size, target, taken, shard, stretches) per row of ``docs``.
 
     ``shard`` is the output shard of the first word that is taken, null where none is.
     """
@@ -117,28 +119,51 @@ def mixture(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARD
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("take") / F.col("source_size"))).otherwise(0)
     rest = F.least(F.greatest(F.col("take") - rounds * F.col("source_size") - F.col("before"), F.lit(0)), F.col("size"))
     run = run.withColumn("taken", (rounds * F.col("size") + rest).cast("long"))
-    block = F.floor(F.col("before") / block_words)
-    holder = F.filter("parts", lambda p: (p["first_block"] <= block) & (p["first_block"] + p["n"] > block))
-    shard = F.when(F.col("taken") > 0, F.get(holder, F.lit(0))["shard"])
-    return run.select("doc_id", "_row", "source", "size", "source_size", "target", "taken", shard.alias("shard"))
+    return run.select(
+        "doc_id", "_row", "source", "size", "source_size", "target", "taken", _stretches(block_words).alias("stretches")
+    ).withColumn("shard", F.get("stretches", F.lit(0))["shard"])
+
+
+def _stretches(block_words: int) -> Column:
+    """What is taken of a document, cut where an output shard ends; a round begins ``source_size`` words after the one before."""
+
+    def piece(a: Column, part: Column) -> Column:
+        first = F.greatest(a, part["first_block"] * block_words)
+        last = F.least(a + F.col("size"), F.col("take"), (part["first_block"] + part["n"]) * block_words)
+        return F.struct(part["shard"].alias("shard"), (first - a).alias("first"), (last - first).alias("words"))
+
+    starts = F.transform(F.sequence(F.lit(0), F.lit(MAX_REPEATS)), lambda r: r * F.col("source_size") + F.col("before"))
+    pieces = F.flatten(F.transform(starts, lambda a: F.transform(F.coalesce("parts", F.array()), lambda p: piece(a, p))))
+    return F.filter(pieces, lambda p: p["words"] > 0)
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as often as the mixture takes them; a document that is taken in part stands whole."""
-    taken = mixture(docs).where("taken > 0").select("doc_id", "_row", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("times"))
-    order = Window.partitionBy("doc_id", "_row").orderBy(F.col("times").desc())
-    taken = materialize(taken.withColumn("copy", F.row_number().over(order)), "mixing-taken")
-    repeated = taken.where("copy = 2").select("doc_id", "_row")
-    rows = numbered(docs, repeated, "__copy")
-    same = rows["doc_id"].eqNullSafe(taken["doc_id"]) & (F.xxhash64(rows["text"]) == taken["_row"]) & (rows["__copy"] == taken["copy"])
-    times = rows.join(taken.withColumnRenamed("times", "__times"), same).select(*[rows[c] for c in docs.columns], "__times")
-    return times.withColumn("__times", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__times")
+    """The rows of ``docs`` as often as the mixture takes them; a document that is taken in part stands whole.
+
+    Rows of one doc_id, text and source stand one after the other in the mixture, so at most one such group of a source is taken unequally; only
+    its rows are told apart, by their other columns.
+    """
+    times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    taken = mixture(docs).groupBy("doc_id", "_row", "source").agg(F.min(times).alias("times"), (F.sum(times) - F.min(times) * F.count(F.lit(1))).alias("more"))
+    taken = materialize(taken, "mixing-taken")
+    rows, key = packed(docs, "source"), ["doc_id", "_row", "source"]
+
+    def with_counts(counts: DataFrame) -> DataFrame:
+        return rows.join(counts, same_row(rows, counts, *key)).select("doc", rows["doc_id"], rows["_row"], rows["source"], "times", "more")
+
+    found = with_counts(taken.where("times > 0")).select("doc", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc")
+    unequal = taken.where("more > 0")
+    if not unequal.isEmpty():
+        number = F.row_number().over(Window.partitionBy(*key).orderBy(other_columns()))
+        found = found.unionByName(with_counts(unequal).withColumn("number", number).where("number <= more").select("doc"))
+    return found.select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    rows = mixture(docs).select("doc_id", "size", "source_size", "target", "taken", "shard")
-    return rows.withColumn("shard", F.coalesce(F.col("shard").cast("long"), F.lit(-1)))
+    rows = mixture(docs).select("doc_id", "size", "source_size", "target", "taken", "shard", "stretches")
+    text = F.transform("stretches", lambda s: F.concat_ws(":", s["shard"].cast("string"), s["first"].cast("string"), s["words"].cast("string")))
+    return rows.withColumns({"shard": F.coalesce(F.col("shard").cast("long"), F.lit(-1)), "stretches": F.array_join(text, ",")})
 
 
 # Every quotient is listed and ranked, and the seeded order of a source is one window.
@@ -176,7 +201,13 @@ WITH d AS (
   SELECT *, CASE WHEN source_size > 0 THEN take // source_size ELSE 0 END AS rounds FROM o
 ), k AS (
   SELECT *, (rounds * size + least(greatest(take - rounds * source_size - before, 0), size))::BIGINT AS taken FROM r
+), parts AS (
+  SELECT number, shard, min(block) * {BLOCK_WORDS} AS lo, (max(block) + 1) * {BLOCK_WORDS} AS hi FROM won GROUP BY number, shard
+), st AS (
+  SELECT doc_id, string_agg(shard || ':' || (greatest(a, lo) - a) || ':' || (least(b, hi) - greatest(a, lo)), ',' ORDER BY a, lo) AS stretches
+  FROM (SELECT doc_id, number, r * source_size + before AS a, least(r * source_size + before + size, take) AS b FROM k, range({MAX_REPEATS + 1}) q(r))
+  JOIN parts USING (number) WHERE greatest(a, lo) < least(b, hi) GROUP BY doc_id
 )
-SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN shard::BIGINT ELSE -1 END AS shard
-FROM k LEFT JOIN won ON k.number = won.number AND won.block = k.before // {BLOCK_WORDS}
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN shard::BIGINT ELSE -1 END AS shard, coalesce(stretches, '') AS stretches
+FROM k LEFT JOIN won ON k.number = won.number AND won.block = k.before // {BLOCK_WORDS} LEFT JOIN st USING (doc_id)
 """

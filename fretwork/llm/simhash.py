@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fretwork.llm.common import map_text, numbered, partitions, prepare, row_key, table, without
+from fretwork.llm.common import map_text, one_row_each, partitions, prepare, row_key, table, without
 from fretwork.llm.components import connected
 from fretwork.session import materialize
 
@@ -215,7 +215,7 @@ def one_per_group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS)
     same = materialize(same, "simhash-decisions")
     kept = without(docs, same.where("not stays").select("doc_id", "_row"))
     repeated = same.where("stays and rows > 1").select("doc_id", "_row")
-    return numbered(kept, repeated, "__copy").where("__copy = 1").drop("__copy")
+    return one_row_each(kept, repeated)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,6 +69,24 @@ def test_mixture(spark):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+def test_stretches_fill_the_quotas(spark):
+    """The words of each source in each shard, summed over all stretches and repeats, are its blocks there."""
+    rng = random.Random(3)
+    rows = [(i, "word " * rng.randrange(0, 200), rng.choice(["a"] * 20 + ["b", "c", "d", None])) for i in range(500)]
+    docs = docs_of(spark, rows)
+    got, words = mixing.mixture(docs, block_words=8, shards=5).collect(), {}
+    for r in got:
+        assert sum(s.words for s in r.stretches) == r.taken and (not r.stretches or r.stretches[0].shard == r.shard)
+        assert all(s.words > 0 and 0 <= s["first"] and s["first"] + s.words <= r.size for s in r.stretches)
+        for s in r.stretches:
+            words[r.source, s.shard] = words.get((r.source, s.shard), 0) + s.words
+    shares = mixing.targets(mixing.sized(docs))
+    names, size = {r.number: r.source for r in shares.collect()}, {r.source: r.source_size for r in got}
+    blocks = mixing.quotas(shares, sum(r.size for r in got), 5, 8).collect()
+    want = {(names[q.number], q.shard): min((q.first_block + q.blocks) * 8, 3 * size[names[q.number]]) - q.first_block * 8 for q in blocks}
+    assert words == {key: n for key, n in want.items() if n > 0} and len(words) > 15
+
+
 def test_copies_follow_the_mixture(spark):
     rows = [(i, "w " * 10, "big") for i in range(60)] + [(100 + i, "v " * 10, "c") for i in range(4)] + [(200, "", "c"), (201, None, None)]
     rows += [(101, "v " * 10, "c")] * 2
