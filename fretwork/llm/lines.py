@@ -77,7 +77,8 @@ def keep_bitmaps(docs: DataFrame, min_length: int = MIN_LENGTH, min_documents: i
 def deduplicated(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) with n_lines, n_dropped and the text that is left."""
     is_row = docs["doc_id"].eqNullSafe(bitmaps["doc_id"]) & (F.xxhash64(docs["text"]) == bitmaps["_row"])
-    both = docs.join(bitmaps, is_row, "left").select(docs["doc_id"], docs["text"], bitmaps["n_dropped"], bitmaps["kept"])
+    # One plan at every size: left to Spark, the bitmaps would be broadcast while they are small, and the cost would jump beyond.
+    both = docs.join(bitmaps.hint("merge"), is_row, "left").select(docs["doc_id"], docs["text"], bitmaps["n_dropped"], bitmaps["kept"])
     both = both.withColumn("lines", split_lines())
     left = F.array_join(F.flatten(F.transform("kept", lambda r: F.slice("lines", r["first"] + 1, r["length"]))), "\n")
     return both.select(

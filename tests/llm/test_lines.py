@@ -78,6 +78,21 @@ def test_plan(spark):
     assert "rangepartitioning" in shared and "Sort [" in shared
 
 
+def test_one_join_at_every_size(spark):
+    """The same join with the broadcast threshold as it is and without any broadcast."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    bitmaps = materialize(lines.keep_bitmaps(docs), "bitmaps")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    try:
+        for threshold in (before, "-1"):
+            spark.conf.set(key, threshold)
+            plan = lines.deduplicated(docs, bitmaps)._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_against_sql(spark):
     sf = "/root/testdata/sf0.001"
     assert difference(lines.query(spark, sf), connect(sf), lines.SQL) is None
