@@ -12,7 +12,7 @@ share of its shingles: 1 for equal texts, about 1/2 for a text whose second half
 ``resemblance`` is their Jaccard similarity. Both are 0 to 1.
 
 ``edited`` puts each document beside the next one, in descending order of doc_id. The keys alone are sorted; the first key of each
-range, one per task, becomes the border of a block, and a document that opens a block goes as a guest to the block
+range becomes the border of a block (a few blocks per task), and a document that opens a block goes as a guest to the block
 before it. So each text travels once, whatever the distribution of the ids, and a block is no larger than a range.
 
 Nulls and ties: a null text is empty. Documents of one doc_id stand in the order of their text's hash, a null doc_id after all
@@ -31,6 +31,7 @@ from fretwork.session import materialize
 SHINGLE = 5
 FRACTION = 8
 DIGITS = 16
+BLOCKS_PER_TASK = 8
 # Shingles that are hashed before those above the threshold go: bounds what a very long text holds at once.
 CHUNK = 4096
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -108,19 +109,21 @@ def single_documents(docs: DataFrame) -> DataFrame:
 
 def borders(keys: DataFrame) -> list:
     """The first place of each range of the sorted keys (doc_id, _row); one per range that holds any."""
-    dealt = keys.select(_place().alias("place")).repartitionByRange(partitions(keys.sparkSession), "place")
+    dealt = keys.select(_place().alias("place")).repartitionByRange(BLOCKS_PER_TASK * partitions(keys.sparkSession), "place")
     firsts = dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.min("place").alias("place"))
     return sorted(r["place"] for r in firsts.collect())
 
 
+def _literal(place) -> Column:
+    return F.struct(F.lit(place["none"]).alias("none"), F.lit(place["turned"]).cast("long").alias("turned"), F.lit(place["_row"]).cast("long").alias("_row"))
+
+
 def _block(place: Column, firsts: list) -> Column:
     """Number of borders up to ``place``, less one. Two steps of about the square root of their number each."""
-    literal = lambda p: F.struct(F.lit(p["none"]).alias("none"), F.lit(p["turned"]).cast("long").alias("turned"), F.lit(p["_row"]).cast("long").alias("_row"))
     step = max(1, int(len(firsts) ** 0.5))
     groups = [firsts[i : i + step] for i in range(0, len(firsts), step)]
-    upto = lambda some: F.size(F.filter(F.array(*map(literal, some)), lambda b: b <= place))
-    inside = F.coalesce(*[F.when(place >= literal(g[0]), F.lit(i * step) + upto(g) - 1) for i, g in reversed(list(enumerate(groups)))], F.lit(0))
-    return inside
+    upto = lambda some: F.size(F.filter(F.array(*map(_literal, some)), lambda b: b <= place))
+    return F.coalesce(*[F.when(place >= _literal(g[0]), F.lit(i * step) + upto(g) - 1) for i, g in reversed(list(enumerate(groups)))], F.lit(0))
 
 
 def beside_next(docs: DataFrame) -> DataFrame:
@@ -131,7 +134,7 @@ def beside_next(docs: DataFrame) -> DataFrame:
     if not firsts:
         return single.select("doc_id", "copies", "text", F.col("text").alias("next_text"), sketch(F.col("text")).alias("own"), sketch(F.col("text")).alias("following"))
     placed = single.withColumn("place", _place()).withColumn("block", _block(F.col("place"), firsts))
-    opens = F.exists(F.array(*[F.struct(F.lit(p["none"]).alias("none"), F.lit(p["turned"]).cast("long").alias("turned"), F.lit(p["_row"]).cast("long").alias("_row")) for p in firsts]), lambda b: b == F.col("place"))
+    opens = F.get(F.array(*map(_literal, firsts)), F.col("block")) == F.col("place")
     home = F.struct(F.col("block").alias("block"), F.lit(False).alias("guest"))
     away = F.struct(F.pmod(F.col("block") - 1, F.lit(len(firsts))).alias("block"), F.lit(True).alias("guest"))
     seats = placed.withColumn("seat", F.explode(F.when(opens, F.array(home, away)).otherwise(F.array(home))))
