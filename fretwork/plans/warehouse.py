@@ -1,7 +1,7 @@
 """Build of the warehouse: raw files to staging to mart tables, written aside, audited, then published.
 
 Every build has a folder of its own below ``<out>/builds``. Readers find the current one through ``<out>/published``, a folder of
-numbered pointers that are never changed: a pointer is an empty file that appears in one step, after the build has been written and has
+numbered pointers that are never changed (``sources.pointers``): a pointer appears in one step, after the build has been written and has
 passed its audit, and the highest number counts. So readers see the old build or the new one, never parts of both; a build
 that fails leaves the old one as it was, and two builds at the same time end up one after the other.
 """
@@ -18,6 +18,7 @@ from fretwork.operators.checks import contract_report, duplicate_keys
 from fretwork.plans import marts, staging
 from fretwork.schemas import RAW
 from fretwork.session import run_together
+from fretwork.sources.pointers import point_to, pointers, remove
 from fretwork.sources.raw_files import good_rows, load_raw, rejected_rows
 
 AUDIT = "table_name string, row_count bigint"
@@ -31,16 +32,9 @@ class AuditError(ValueError):
     """A build that was written but must not be published."""
 
 
-def _files(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 def published(spark: SparkSession, out_dir: str) -> list[tuple[int, str]]:
     """(number, folder of the build) of everything that was published, the current build last."""
-    at, files = _files(spark, f"{out_dir}/published")
-    names = [s.getPath().getName() for s in files.listStatus(at)] if files.exists(at) else []
-    return sorted((int(n.split("-")[0]), f"{out_dir}/builds/{n.split('-')[1]}") for n in names if not n.startswith(("_", ".")))
+    return [(number, f"{out_dir}/builds/{name}") for number, name in pointers(spark, f"{out_dir}/published")]
 
 
 def current(spark: SparkSession, out_dir: str) -> str | None:
@@ -49,22 +43,6 @@ def current(spark: SparkSession, out_dir: str) -> str | None:
     return builds[-1][1] if builds else None
 
 
-def publish(spark: SparkSession, out_dir: str, build: str) -> int:
-    """Make ``build`` (the name of its folder) the current one; returns the number of its pointer.
-
-    The pointer is an empty file whose name says everything, so no reader can see one half written. Two builds that are published
-    at the same moment may get one number; all readers then take the one whose name comes last.
-    """
-    folder, files = _files(spark, f"{out_dir}/published")
-    files.mkdirs(folder)
-    taken = published(spark, out_dir)
-    number = taken[-1][0] + 1 if taken else 1
-    pointer, _ = _files(spark, f"{out_dir}/published/{number:08d}-{build}")
-    if not files.createNewFile(pointer):
-        raise FileExistsError(str(pointer))
-    return number
-
-
 def table_path(spark: SparkSession, out_dir: str, name: str) -> str:
     """Where a table of the current build lies."""
     folder = current(spark, out_dir)
@@ -162,7 +140,7 @@ def build(
     broken = [r for r in spark.read.parquet(f"{folder}/build_audit").collect() if r["n_violations"] and (strict or r["contract"] == "raw_rows")]
     if broken:
         raise AuditError(f"build {name} is not published: " + ", ".join(f"{r['contract']} {r['n_violations']}" for r in broken))
-    publish(spark, out_dir, name)
+    point_to(spark, f"{out_dir}/published", name)
     return spark.read.schema(AUDIT).parquet(f"{folder}/load_audit")
 
 
@@ -173,9 +151,8 @@ def drop_old_builds(spark: SparkSession, out_dir: str, keep: int = 2) -> list[st
     """
     gone = []
     for number, folder in published(spark, out_dir)[: -max(1, keep)]:
-        pointer, files = _files(spark, f"{out_dir}/published/{number:08d}-{folder.rsplit('/', 1)[1]}")
-        files.delete(pointer, False)
-        files.delete(_files(spark, folder)[0], True)
+        remove(spark, f"{out_dir}/published/{number:08d}-{folder.rsplit('/', 1)[1]}")
+        remove(spark, folder)
         gone.append(folder)
     return gone
 

@@ -8,6 +8,7 @@ from fretwork.operators import cells, text_vectors, vectors
 from fretwork.operators.search import catalog_search
 from fretwork.plans import marts, staging
 from fretwork.session import materialize, scratch_dir
+from fretwork.sources.buckets import BucketTable
 from fretwork.sources.keyed import upsert
 from fretwork.workload import search, shop
 
@@ -113,6 +114,26 @@ def vector_upsert(spark, sf_dir):
     return index.select("item_id", "version", F.round(first, 6).alias("first"), F.size("embedding").cast("bigint").alias("n"))
 
 
+def vector_table(spark, sf_dir):
+    """The index as a table in buckets: written and compacted, then half of the labels embedded anew, one update too late, read by key.
+
+    The new vectors of label 9 are compacted as well, the others still stand in the log.
+    """
+    rows = shop.table(spark, sf_dir, "embeddings").select(shop.product_key(F.col("vec_id")).alias("item_id"), "embedding", F.lit(1).alias("version"), "label")
+    names = ["item_id", "embedding", "version"]
+    table = BucketTable(spark, scratch_dir(spark, "vector-table"), rows.select(*names).schema, ["item_id"], ["version"], buckets=16)
+    turned = rows.withColumns({"embedding": F.transform("embedding", lambda x: -x), "version": F.lit(2)})
+    table.append(rows.select(*names))
+    table.compact()
+    table.append(turned.where("label = 9").select(*names))
+    table.compact()
+    table.append(turned.where("label between 5 and 8").select(*names))
+    table.append(rows.where("label < 3").withColumn("version", F.lit(0)).select(*names))
+    asked = rows.where("label <> 4").select("item_id")
+    first = F.element_at("embedding", 1).cast("double")
+    return table.read(among=asked).select("item_id", "version", F.round(first, 6).alias("first"), F.size("embedding").cast("bigint").alias("n"))
+
+
 def embedding_text(spark, sf_dir):
     products = marts.dim_products(staging.stg_products(shop.raw_products(spark, sf_dir)))
     meta = vectors.vector_metadata()
@@ -154,6 +175,7 @@ QUERIES = {
     "ann_recall": ann_recall,
     "search_hybrid": search_hybrid,
     "vector_upsert": vector_upsert,
+    "vector_table": vector_table,
     "embedding_text": embedding_text,
     "text_vectors_tfidf": text_vectors_tfidf,
     "text_search": text_search,
@@ -229,6 +251,7 @@ ORACLE = {
              row_number() OVER (PARTITION BY brand ORDER BY round(d / (a.n * i.n), 12) DESC, item_id) AS rank
       FROM dots JOIN asked_norm a USING (brand) JOIN item_norm i USING (item_id) QUALIFY rank <= {K}""",
 }
+ORACLE["vector_table"] = f"{ORACLE['vector_upsert']} WHERE label <> 4"
 ORACLE["similar_texts"] = (
     _weights_sql(128)
     + f""", places AS (SELECT item_id, b AS bucket FROM (SELECT DISTINCT item_id FROM weights), range(128) r(b)),
