@@ -2,7 +2,8 @@
 
 Every element of a page gets a hash of its subtree (names, classes, texts). Spark counts per host in how many pages each
 subtree occurs; pages with the same text count once, so that copies of an article make no template of it. A subtree found
-in at least ``TEMPLATE_SHARE`` of the host's pages, and in ``TEMPLATE_PAGES`` at least, is deleted wherever it stands.
+in at least ``TEMPLATE_SHARE`` of the host's pages, and in ``TEMPLATE_PAGES`` at least, is deleted wherever it stands; on a host of fewer
+pages, ``FEWEST_PAGES`` at least, it must stand on all of them.
 
 Whatever is furniture by its name goes as well: menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments, told by tag, role, class or id. If articles remain, the text is theirs; else that of the main
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,6 +35,7 @@ from fretwork.session import materialize
 
 TEMPLATE_SHARE = 0.6
 TEMPLATE_PAGES = 10
+FEWEST_PAGES = 3
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp".split())
@@ -71,6 +74,7 @@ _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
     re.DOTALL,
 )
+_UNCLOSED = re.compile(r"<[!?]")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAME = re.compile(r"[A-Za-z0-9]+")
 
@@ -86,42 +90,57 @@ def parse(page: str | None) -> list[Element]:
     """All elements of a page in the order of their start tags; the first is the page itself."""
     page = page or ""
     root = Element("#page")
-    elements, stack, at = [root], [root], 0
+    elements, stack, opened, at, look = [root], [root], Counter(), 0, 0
+    last = page.rfind(">")
     while at < len(page):
-        found = _TAG.search(page, at)
-        if not found:
-            stack[-1].children.append(page[at:])
+        start = page.find("<", look)
+        if start < 0 or start > last:
+            # No tag can end from here on; an unclosed comment or declaration swallows the rest.
+            cut = _UNCLOSED.search(page, look)
+            stack[-1].children.append(page[at : cut.start() if cut else len(page)])
             break
-        if found.start() > at:
-            stack[-1].children.append(page[at : found.start()])
-        at = found.end()
+        found = _TAG.match(page, start)
+        if not found:
+            look = start + 1
+            continue
+        if start > at:
+            stack[-1].children.append(page[at:start])
+        at = look = found.end()
         tag = found[2] or found[5]
         if tag is None:
             continue
         tag = tag.lower()
         if found[1] or found[4]:
-            _close(stack, (tag,), frozenset())
+            _close(stack, opened, (tag,), frozenset())
             continue
         if tag in CLOSES_P:
-            _close(stack, ("p",), SCOPES)
+            _close(stack, opened, ("p",), SCOPES)
         if tag in SIBLINGS:
-            _close(stack, SIBLINGS[tag], SCOPES)
+            _close(stack, opened, SIBLINGS[tag], SCOPES)
         element = Element(tag, found[3] or found[6] or "")
         elements.append(element)
         stack[-1].children.append(element)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.IGNORECASE).search(page, at)
             element.children.append(page[at : end.start() if end else len(page)])
-            at = end.end() if end else len(page)
+            at = look = end.end() if end else len(page)
         elif tag not in VOID:
             stack.append(element)
+            opened[tag] += 1
     return elements
 
 
-def _close(stack: list[Element], tags: tuple[str, ...], bounds: frozenset) -> None:
-    """Close the innermost open element of ``tags`` and all inside it, unless one of ``bounds`` is met first."""
+def _close(stack: list[Element], opened: Counter, tags: tuple[str, ...], bounds: frozenset) -> None:
+    """Close the innermost open element of ``tags`` and all inside it, unless one of ``bounds`` is met first.
+
+    ``opened`` counts the open elements by tag, so that an end tag without a start costs nothing.
+    """
+    if not any(opened[t] for t in tags):
+        return
     for depth in range(len(stack) - 1, 0, -1):
         if stack[depth].tag in tags:
+            for element in stack[depth:]:
+                opened[element.tag] -= 1
             del stack[depth:]
             return
         if stack[depth].tag in bounds:
@@ -214,10 +233,11 @@ def templates(pages: DataFrame, share: float = TEMPLATE_SHARE, least: int = TEMP
 
     rows = pages.select(host_of().alias("host"), "html").where("host <> ''")
     seen = rows.mapInPandas(run, "host string, mark long, page long").distinct()
-    counts = seen.groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    counts = seen.groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FEWEST_PAGES)
     counts = materialize(counts, "page-subtrees")
     sizes = counts.where("mark = 0").select("host", F.col("n").alias("pages"))
-    found = counts.where("mark <> 0").join(sizes, "host").where(F.col("n") >= share * F.col("pages"))
+    needed = F.greatest(F.least(F.lit(least), F.col("pages")), share * F.col("pages"))
+    found = counts.where("mark <> 0").join(sizes, "host").where(F.col("n") >= needed)
     return found.groupBy("host").agg(F.collect_list("mark").alias("marks"))
 
 

@@ -45,6 +45,23 @@ def test_long_and_odd_pages_end():
     assert text_of("<" * 50_000 + "a " + "\"'" * 50_000)
 
 
+def test_odd_pages_take_linear_time():
+    """Stray end tags below many open elements, and quotes and tags that never close: eight times the page is not 64 times the work."""
+    import time
+
+    for made in (lambda k: "<div>" * k + "</b>" * k, lambda k: '<a b="' * k, lambda k: "<p><span>" * k + "</i>" * k, lambda k: "<li><b>" * k, lambda k: "< " * k + "<!x"):
+        times = []
+        for k in (4000, 32000):
+            started = time.process_time()
+            ht.parse(made(k))
+            times.append(time.process_time() - started)
+        assert times[1] < 24 * max(times[0], 0.02)
+
+
+def test_what_never_closes():
+    assert text_of("a<b c=d") == "a<b c=d" and text_of("a > b < c <!-- x") == "a > b < c" and text_of('t<a b="<i>x</i>" c') == 'tx" c'
+
+
 def pages_of(spark, rows):
     return spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
 
@@ -68,6 +85,15 @@ def test_site_templates(spark):
     assert kept.text == "p0" and kept.url == "http://c.example"
 
 
+def test_templates_of_small_hosts(spark):
+    """With three to nine pages a subtree must stand on all of them; with fewer there are no templates."""
+    box = "<div class=x17>Best site</div>"
+    rows = [(10 * n + i, f"http://h{n}.example/", f"<body>{box}{'<i>most</i>' if i else ''}<p>own {i}</p></body>") for n in (2, 3, 9) for i in range(n)]
+    got = result(spark, rows)
+    assert got[20] == "Best site own 0"
+    assert [got[30 + i] for i in range(3)] == ["own 0", "most own 1", "most own 2"] and got[98] == "most own 8"
+
+
 def test_counts_equal_brute_force(spark):
     rows = [(i, f"http://h{i % 3}.example/", f"<div>{i % 4}</div><p>t{i % 11}</p><i>all</i>") for i in range(90)]
     seen, pages = {}, {}
