@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fretwork.functions import text
 from fretwork.operators import recommendations, transcripts
+from fretwork.operators.phrases import phrase_hits
 from fretwork.workload import shop
 
 # Phrases that the checks look for.
@@ -167,7 +168,21 @@ def display_text(spark, sf_dir):
     )
 
 
+def phrase_scan(spark, sf_dir):
+    """Every longer word of the benchmark items as a phrase: in how many chat turns it stands, and in how many conversations."""
+    words = F.explode(F.split(F.lower("text"), "[^\\p{L}]+")).alias("phrase")
+    phrases = shop.table(spark, sf_dir, "benchmark").select(words).where("length(phrase) >= 4").distinct()
+    turns = shop.table(spark, sf_dir, "conversations")
+    texts = turns.select(F.struct("conv_id", "turn").alias("at"), "text")
+    texts = texts.select(F.concat_ws(":", F.col("at.conv_id").cast("string"), F.col("at.turn").cast("string")).alias("text_id"), "text")
+    hits = phrase_hits(texts, phrases.select(F.col("phrase").alias("phrase_id"), "phrase"))
+    per_conv = hits.groupBy("phrase_id", F.substring_index("text_id", ":", 1).alias("conv")).agg(F.count(F.lit(1)).alias("n"))
+    found = per_conv.groupBy(F.col("phrase_id").alias("phrase"))
+    return found.agg(F.sum("n").alias("n_turns"), F.count(F.lit(1)).alias("n_conversations"))
+
+
 QUERIES = {
+    "phrase_scan": phrase_scan,
     "transcript_pack": transcript_pack,
     "transcript_rows": transcript_rows,
     "transcript_upsert": transcript_upsert,
@@ -251,6 +266,10 @@ ORACLE = {
       SELECT o_orderkey, len(p) AS n_prices, list_sum(p) AS total,
              len(list_filter(p, lambda x: x BETWEEN 20000 AND 40000)) > 0 AS price_range_ok,
              len(list_filter(p, lambda x: x BETWEEN 20000 AND 40000)) = 0 AS no_price_range_ok FROM quoted""",
+    "phrase_scan": """
+      WITH phrases AS (SELECT DISTINCT phrase FROM (SELECT unnest(string_split_regex(lower(text), '[^\\p{L}]+')) AS phrase FROM benchmark) WHERE length(phrase) >= 4)
+      SELECT phrase, count(*) AS n_turns, count(DISTINCT conv_id) AS n_conversations
+      FROM phrases JOIN conversations ON contains(lower(text), phrase) GROUP BY phrase""",
     "phrase_checks": f"""
       SELECT text_id, {_sql_found(ALL_OF, "NOT")} AS missing, {_sql_found(ANY_OF)} <> '' AS any_found,
              {_sql_found(NONE_OF)} AS forbidden
