@@ -12,6 +12,7 @@ from fretwork.functions.ranking import top_k
 SHIFT = 10**10
 LEVELS = 35
 
+# The output columns that callers of the browse functions rely on.
 CARD_COLUMNS = [
     "product_id", "product_name", "brand", "category", "price", "description", "skill_level", "use_case",
     "price_tier", "manufacturer_url", "in_stock", "quantity",
