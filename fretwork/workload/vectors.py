@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fretwork.operators import cells, text_vectors, vectors
+from fretwork.operators import cells, term_lists, text_vectors, vectors
 from fretwork.operators.search import catalog_search
 from fretwork.plans import marts, staging
 from fretwork.session import materialize, scratch_dir
@@ -15,6 +15,7 @@ from fretwork.workload import search, shop
 DIMENSION = 64
 K = 20
 RECALL = 0.9
+TEXT_BUCKETS = 128
 
 
 def index(spark, sf_dir):
@@ -48,16 +49,15 @@ def similar_products(spark, sf_dir):
     return _rounded(vectors.cosine_top_k(index(spark, sf_dir), asked, 5))
 
 
-def _dense_texts(spark, sf_dir):
+def _text_weights(spark, sf_dir):
     products = staging.stg_products(shop.raw_products(spark, sf_dir))
     texts = products.select(F.col("product_id").alias("item_id"), text_vectors.embedding_text().alias("text"))
-    return materialize(text_vectors.dense_vectors(text_vectors.term_weights(texts, 128), 128), "text-vectors")
+    return text_vectors.term_weights(texts, TEXT_BUCKETS)
 
 
 def similar_texts(spark, sf_dir):
-    """The five products with the most similar texts, of all products."""
-    dense = _dense_texts(spark, sf_dir)
-    return _rounded(vectors.cosine_top_k(dense, dense.withColumnRenamed("item_id", "query_id"), 5))
+    """The five products with the most similar texts, of all products; the inverted lists skip most pairs."""
+    return _rounded(term_lists.nearest_by_terms(_text_weights(spark, sf_dir), 5, TEXT_BUCKETS)[0])
 
 
 def cell_index(spark, sf_dir):
