@@ -38,11 +38,14 @@ class _Lists:
         weights = np.concatenate([_unit(w) for w in items["weights"]])
         self.ids = items["item_id"].to_numpy(dtype=object)
         self.used, column = np.unique(np.concatenate(items["terms"].to_list()), return_inverse=True)
-        self.weights = np.zeros((len(items), len(self.used)))
-        self.weights[rows, column] = weights
-        self.largest = self.weights.max(axis=0)
+        # A row per item: its terms and weights, filled up with weights of zero.
+        place = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.columns, self.weights = np.zeros((len(items), sizes.max()), np.int32), np.zeros((len(items), sizes.max()))
+        self.columns[rows, place], self.weights[rows, place] = column, weights
         order = np.argsort(column, kind="stable")
-        self.lists = np.split(rows[order], np.cumsum(np.bincount(column, minlength=len(self.used)))[:-1])
+        ends = np.cumsum(np.bincount(column, minlength=len(self.used)))
+        self.lists = np.split(rows[order], ends[:-1])
+        self.largest = np.maximum.reduceat(weights[order], np.concatenate(([0], ends[:-1])))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, int]:
         """Numbers and similarities of the best ``k`` items that reach ``least``, and how many items were scored."""
@@ -51,6 +54,8 @@ class _Lists:
         columns, share = at[known], weights[known]
         adds = share * self.largest[columns]
         order = np.argsort(-adds, kind="stable")
+        query = np.zeros(len(self.used))
+        query[columns] = share
         unmet = np.ones(len(self.ids), bool)
         found, sims, floor = [], [], least
         best = np.empty(0)
@@ -61,7 +66,8 @@ class _Lists:
             new = self.lists[columns[i]]
             new = new[unmet[new]]
             unmet[new] = False
-            values = np.round(self.weights[np.ix_(new, columns)] @ share, DIGITS)
+            pairs = query.take(self.columns.take(new, axis=0)), self.weights.take(new, axis=0)
+            values = np.round(np.einsum("ij,ij->i", *pairs), DIGITS)
             near = values >= floor
             found.append(new[near])
             sims.append(values[near])
