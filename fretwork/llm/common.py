@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +100,15 @@ def map_text(rows: DataFrame, made: str, compute: Callable[[list], list]) -> Dat
     return rows.mapInArrow(run, ddl)
 
 
+def move_into_place(system: fs.FileSystem, temporary: str, final: str) -> None:
+    """Give a whole file its name; a repeated task replaces what an earlier attempt left."""
+    try:
+        system.move(temporary, final)
+    except OSError:
+        system.delete_file(final)
+        system.move(temporary, final)
+
+
 def lower_ascii(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 

@@ -9,8 +9,12 @@ raises the likelihood by more than half the logarithm of the number of words (BI
 proportion is the prediction, its proportion the score.
 
 A word is a run of letters, lower-cased. Long texts are worked off in pieces cut between words; per word only one number
-per language is held. Model counts are added up per task before they are shuffled, and the model's size depends on the
-languages alone, at most ``MAX_LANGUAGES``.
+per language is held. Model counts are added up per task before they are shuffled.
+
+Any number of languages: the model stands in shared files of about ``GROUP`` languages each. Where there are several, a text goes
+through them in turn; the languages of its mixture so far compete with those of the next file, and those that the rule
+above accepts go on. So a task holds few files and the word scores of one text in ``GROUP`` languages, besides those of the
+accepted ones. With one file all languages compete at once.
 
 Nulls and ties: a text that is null or has no letters is `und` with score 0, and so is every text where nothing could be
 learned. Ties go to the language name that sorts first. Rows without text or lang teach nothing. Rows that repeat get
@@ -19,18 +23,29 @@ equal results. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
+import io
+import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fretwork.llm.common import map_text, prepare, spread, table
+from fretwork.llm.common import map_text, move_into_place, prepare, spread, table
+from fretwork.session import scratch_dir
 
 BITS = 16
 GRAM = 3
-MAX_LANGUAGES = 500
+# Languages of one file of the model, about, and files that a task keeps in memory.
+GROUP = 32
+OPEN_GROUPS = 4
+# Characters times languages that are scored at once.
+SCORED = 1 << 24
 SMOOTHING = 0.5
 STEPS = 12
 UNKNOWN = "und"
@@ -111,17 +126,98 @@ def gram_counts(rows: DataFrame, bits: int = BITS) -> DataFrame:
     return counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def learn(rows: DataFrame, bits: int = BITS) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and the log frequencies as an array (bucket, language)."""
-    counts = gram_counts(rows, bits)
-    langs = sorted(r.lang for r in rows.where("lang is not null").select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    found = counts.toPandas()
-    table = np.full((1 << bits, len(langs)), SMOOTHING)
-    number = {lang: i for i, lang in enumerate(langs)}
-    table[found["bucket"], found["lang"].map(number)] += found["n"]
-    return langs, np.log(table / table.sum(axis=0)).astype(np.float32)
+def _group_file(path: str, number: int) -> str:
+    return f"{path}/group-{number:05d}.npz"
+
+
+def learn(rows: DataFrame, bits: int = BITS, group: int = GROUP) -> tuple[list[int], str]:
+    """Write the model of all languages below a new shared folder; the numbers of its files, and the folder.
+
+    A file holds the names of about ``group`` languages in order and their log frequencies as an array (bucket, language).
+    """
+    spark = rows.sparkSession
+    path = scratch_dir(spark, "languages")
+    langs = rows.where("lang is not null").select("lang").distinct()
+    n_groups = -(-langs.count() // group)
+    if not n_groups:
+        return [], path
+
+    def pack(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
+        found = found.dropna()
+        total = np.full(1 << bits, SMOOTHING)
+        total[found["bucket"].astype(np.int64)] += found["n"].astype(np.float64)
+        return pd.DataFrame({"lang": [key[0]], "model": [np.log(total / total.sum()).astype(np.float32).tobytes()]})
+
+    def place(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
+        found = found.sort_values("lang")
+        out = io.BytesIO()
+        model = np.stack([np.frombuffer(m, np.float32) for m in found["model"]], axis=1)
+        np.savez(out, names=np.frombuffer(json.dumps(found["lang"].to_list()).encode(), np.uint8), model=model)
+        system, final = fs.FileSystem.from_uri(_group_file(path, key[0]))
+        temporary = f"{final}.{TaskContext.get().taskAttemptId()}"
+        system.create_dir(os.path.dirname(final), recursive=True)
+        with system.open_output_stream(temporary) as stream:
+            stream.write(out.getvalue())
+        move_into_place(system, temporary, final)
+        return pd.DataFrame({"number": [key[0]], "langs": [len(found)]})
+
+    # A language without a word stands in the model too.
+    counts = gram_counts(rows, bits).unionByName(langs.selectExpr("lang", "cast(null as long) as bucket", "cast(null as long) as n"))
+    packed = counts.groupBy("lang").applyInPandas(pack, "lang string, model binary")
+    dealt = packed.withColumn("number", F.pmod(F.xxhash64("lang"), F.lit(n_groups)))
+    placed = dealt.groupBy("number").applyInPandas(place, "number long, langs long")
+    placed.write.parquet(f"{path}/manifest")
+    # One number for each ``group`` languages, about.
+    return sorted(r.number for r in spark.read.parquet(f"{path}/manifest").collect()), path
+
+
+class Model:
+    """The files of a model, opened in a task; of many, the last few stay in memory."""
+
+    def __init__(self, groups: list[int], path: str):
+        self.groups, self.path = groups, path
+        self.load = functools.lru_cache(OPEN_GROUPS)(self._load)
+
+    def _load(self, number: int) -> tuple[list[str], np.ndarray]:
+        system, name = fs.FileSystem.from_uri(_group_file(self.path, number))
+        with system.open_input_stream(name) as stream:
+            arrays = np.load(io.BytesIO(stream.read()))
+        return json.loads(arrays["names"].tobytes()), arrays["model"]
+
+    def mixtures(self, texts: list, bits: int) -> list[tuple[list[str], np.ndarray]]:
+        """Languages, in order, and proportions of each text."""
+        if len(self.groups) == 1:
+            names, model = self.load(self.groups[0])
+            return [(names, row) for part in _slices(texts, len(names)) for row in mixtures(*_word_scores(part, model, bits))]
+        best = [([], np.zeros(0))] * len(texts)
+        scores: list = [None] * len(texts)
+        for number in self.groups:
+            found = self.load(number)
+            for i, text in enumerate(texts):
+                known, counts = _word_scores([text], found[1], bits)
+                if not counts[0]:
+                    continue
+                names = best[i][0] + found[0]
+                known = known if scores[i] is None else np.concatenate([scores[i], known], axis=1)
+                order = sorted(range(len(names)), key=names.__getitem__)
+                share = mixtures(known[:, order], counts)[0]
+                kept = np.flatnonzero(share)
+                best[i] = [names[order[j]] for j in kept], share[kept]
+                scores[i] = known[:, [order[j] for j in kept]]
+        return best
+
+
+def _slices(texts: list, n_langs: int) -> Iterator[list]:
+    """The texts in lists whose words take bounded memory, a single long one excepted."""
+    part, size = [], 0
+    for text in texts:
+        if part and (size + len(text or "")) * n_langs > SCORED:
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += len(text or "")
+    if part:
+        yield part
 
 
 def _word_scores(texts: list, model: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -213,20 +309,24 @@ def mixtures(scores: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def predict(docs: DataFrame, langs: list[str], model: np.ndarray, bits: int = BITS) -> DataFrame:
-    """The columns of ``docs`` without text, and lang_pred, score, langs (all languages of the mixture, largest first)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def predict(docs: DataFrame, groups: list[int], path: str, bits: int = BITS) -> DataFrame:
+    """The columns of ``docs`` without text, and lang_pred, score, langs (all languages of the mixture, largest first).
+
+    ``groups``, ``path``: a model that ``learn`` wrote.
+    """
+    opened = []
 
     def compute(texts: list) -> list:
-        share = np.round(mixtures(*_word_scores(texts, shared.value, bits)), 6)
-        order = np.argsort(-share, axis=1, kind="stable")
-        names, values, lists = [], [], []
-        for row, ranked in zip(share, order, strict=True):
-            found = [(langs[i], float(row[i])) for i in ranked if row[i] > 0]
-            names.append(found[0][0] if found else UNKNOWN)
-            values.append(min(found[0][1], 1.0) if found else 0.0)
-            lists.append([f"{lang}:{part:.4f}" for lang, part in found])
-        return [names, values, lists]
+        if not opened:
+            opened.append(Model(groups, path))
+        columns = [], [], []
+        for names, share in opened[0].mixtures(texts, bits):
+            share = np.round(share, 6)
+            found = [(names[i], float(share[i])) for i in np.argsort(-share, kind="stable") if share[i] > 0]
+            columns[0].append(found[0][0] if found else UNKNOWN)
+            columns[1].append(min(found[0][1], 1.0) if found else 0.0)
+            columns[2].append([f"{lang}:{part:.4f}" for lang, part in found])
+        return list(columns)
 
     return map_text(docs, "lang_pred string, score double, langs array<string>", compute)
 
@@ -238,6 +338,5 @@ def held_out(key: str = "doc_id", folds: int = 5) -> Column:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    langs, model = learn(docs.where(~held_out()))
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
-    return predict(rows, langs, model)
+    return predict(rows, *learn(docs.where(~held_out())))

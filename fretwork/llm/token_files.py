@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fretwork.llm.common import byte_hashes, partitions, prepare, row_key, table
+from fretwork.llm.common import byte_hashes, move_into_place, partitions, prepare, row_key, table
 from fretwork.session import scratch_dir
 
 END_ID = 0
@@ -262,14 +262,6 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
-def _place(system: fs.FileSystem, temporary: str, final: str) -> None:
-    try:
-        system.move(temporary, final)
-    except OSError:
-        system.delete_file(final)
-        system.move(temporary, final)
-
-
 def _index(ids: np.ndarray, present: np.ndarray, counts: np.ndarray) -> bytes:
     keys, first = np.unique(ids[present], return_index=True)
     first = np.flatnonzero(present)[first]
@@ -358,8 +350,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> D
         ids, present, counts = np.concatenate(ids), np.concatenate(present), np.array(counts, np.int64)
         with system.open_output_stream(f"{temporary}.index") as stream:
             stream.write(_index(ids, present, counts))
-        _place(system, f"{temporary}.ids", f"{name}.ids")
-        _place(system, f"{temporary}.index", f"{name}.index")
+        move_into_place(system, f"{temporary}.ids", f"{name}.ids")
+        move_into_place(system, f"{temporary}.index", f"{name}.index")
         first = int(ids[0]) if present[0] else None
         row = {"part": number, "first_id": first, "n_docs": len(ids), "n_tokens": int(counts.sum())}
         yield pa.RecordBatch.from_pylist([row], pa.schema([(name, pa.int64()) for name in row]))

@@ -113,3 +113,33 @@ def test_held_out_accuracy(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in got)
     held = [r for r in got if r.held_out]
     assert sum(r.lang_pred == docs[r.doc_id].lang for r in held) / len(held) > 0.97
+
+
+def test_many_languages_in_groups(spark):
+    """Seventy languages of their own letters in several files: the mixtures are those of one file."""
+    rng = random.Random(5)
+    letters = [chr(0x4E00 + i) for i in range(210)]
+    words = {f"l{i:02d}": ["".join(rng.choices(letters[3 * i : 3 * i + 3], k=4)) for _ in range(6)] for i in range(70)}
+
+    def text(langs, n):
+        return " ".join(rng.choice(words[rng.choice(langs)]) for _ in range(n))
+
+    rows = [(text([lang], 60), lang) for lang in words] + [(None, "none"), ("", "none")]
+    docs = [(i, text([lang], 30)) for i, lang in enumerate(words)]
+    docs += [(100, text(["l00", "l37", "l69", "l69"], 400)), (101, None), (102, "1 2"), (103, text(["l11"], 90_000))]
+    learned, asked = spark.createDataFrame(rows, "text string, lang string"), spark.createDataFrame(docs, "doc_id long, text string")
+
+    def run(group):
+        model = language.learn(learned, group=group)
+        return len(model[0]), {r.doc_id: (r.lang_pred, round(r.score, 3), len(r.langs)) for r in language.predict(asked, *model).collect()}
+
+    n_one, one = run(100)
+    n_many, many = run(9)
+    assert (n_one, n_many) == (1, 8) and one == many
+    assert all(many[i][0] == lang for i, lang in enumerate(words))
+    assert many[100][0] == "l69" and many[100][2] == 3 and many[101][0] == many[102][0] == "und" and many[103][0] == "l11"
+
+
+def test_slices_keep_all_texts():
+    texts = ["a" * n for n in (5, 0, 30, 1, 1)] + [None]
+    assert [t for part in language._slices(texts, language.SCORED // 8) for t in part] == texts
