@@ -1,6 +1,7 @@
 """Token ids of documents in binary files, with constant-time access by document key.
 
-A corpus is a folder. The documents, in ascending doc_id order (null last), are cut into parts by range, one task each:
+A corpus is a folder. The documents, in ascending doc_id order (null last), are cut into parts by range of doc_id and text hash,
+one task each:
 
     part-00007.ids    the ids of its documents one after the other, raw little-endian, 2 bytes each where the
                       vocabulary fits and 4 otherwise; each document ends with ``end_id``
@@ -34,7 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fretwork.llm.common import byte_hashes, move_into_place, partitions, prepare, row_key, table
@@ -357,9 +358,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> D
         yield pa.RecordBatch.from_pylist([row], pa.schema([(name, pa.int64()) for name in row]))
 
     known = F.col("doc_id").cast("long")
-    rows = docs.select(F.coalesce(known, F.lit(0)).alias("doc_id"), known.isNotNull().alias("present"), "text")
-    order = [F.col("present").desc(), F.col("doc_id")]
-    rows = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order, row_key())
+    rows = docs.select(F.coalesce(known, F.lit(0)).alias("doc_id"), known.isNotNull().alias("present"), "text", row_key().alias("row"))
+    # The text decides too, so that many documents of one key, or of none, are more than one part.
+    order = [F.col("present").desc(), F.col("doc_id"), F.col("row")]
+    rows = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).drop("row")
     rows.mapInArrow(run, MANIFEST).write.parquet(f"{path}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
 
@@ -368,83 +370,120 @@ def _dtype(tokenizer: str) -> str:
     return Encoder.of(tokenizer).dtype.str
 
 
-def read(spark: SparkSession, path: str, tokenizer: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, found) of every stored document, from the files.
+FOUND = "doc_id long, start long, n_tokens long, ids_crc32 long, found boolean"
 
-    ``start`` counts the ids of all documents before; ``found`` tells that the index leads from the key to the document.
+
+def _rows(part: Part, docs: np.ndarray, before: int, found: bool) -> Iterator[pd.DataFrame]:
+    """Rows of ``FOUND`` of the documents with the numbers ``docs``, read from the payload."""
+    for at in range(0, len(docs), 10_000):
+        some = docs[at : at + 10_000]
+        starts = np.where(some > 0, part.end[some - 1], 0)
+        yield pd.DataFrame(
+            {
+                "doc_id": pd.array(part.doc_id[some], "Int64") if found else pd.array([None] * len(some), "Int64"),
+                "start": before + starts,
+                "n_tokens": part.end[some] - starts,
+                "ids_crc32": [part.checksum(d) for d in some],
+                "found": found,
+            }
+        )
+
+
+def _parts(spark: SparkSession, path: str) -> list:
+    """The manifest in order, each part with the number of ids before it; a row per part."""
+    rows = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").orderBy("part").collect()
+    before = np.cumsum([0, *(r.n_tokens for r in rows)])
+    return [(r.part, r.first_id, int(n)) for r, n in zip(rows, before[:-1], strict=True)]
+
+
+def _dealt(keys: DataFrame, parts: list) -> DataFrame:
+    """Distinct keys (doc_id) beside each part that may hold them, one task a part, in the order of the payload."""
+    spark = keys.sparkSession
+    keyed = [(part, first) for part, first, _ in parts if first is not None]
+    numbers, bounds = np.array([p for p, _ in keyed], np.int64), np.array([f for _, f in keyed], np.int64)
+
+    @F.pandas_udf("array<long>")
+    def parts_of(ids: pd.Series) -> pd.Series:
+        known = ids.to_numpy(np.int64)
+        # Documents of one key may begin at the end of a part and go on in those after it.
+        low, high = np.maximum(np.searchsorted(bounds, known, "left") - 1, 0), np.searchsorted(bounds, known, "right")
+        return pd.Series([numbers[a:b] for a, b in zip(low, high, strict=True)])
+
+    asked = keys.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    dealt = asked.select("doc_id", F.explode(parts_of("doc_id")).alias("part"))
+    return dealt.repartition(partitions(spark), "part").sortWithinPartitions("part", "doc_id")
+
+
+def _opened(frames: Iterator[pd.DataFrame], path: str, dtype: str) -> Iterator[tuple[Part, int, np.ndarray]]:
+    """(part, its number, numbers of the documents that the asked keys lead to), part by part."""
+    part, number = None, None
+    for frame in frames:
+        for asked, group in frame.groupby("part"):
+            if asked != number:
+                if part:
+                    part.close()
+                part, number = Part(path, asked, dtype), asked
+            keys = group["doc_id"].to_numpy(np.int64)
+            first = part.first(keys)
+            keys, first = keys[first >= 0], first[first >= 0]
+            counts = np.searchsorted(part.doc_id[: part.present.sum()], keys, "right") - first
+            within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            yield part, number, np.repeat(first, counts) + within
+    if part:
+        part.close()
+
+
+def fetch(keys: DataFrame, path: str, tokenizer: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, found) of the documents with the asked keys (doc_id), through the index.
+
+    ``start`` counts the ids of all documents before. The first key of each part, one number per part, goes to every task.
     """
-    dtype = _dtype(tokenizer)
+    prepare(keys.sparkSession)
+    dtype, parts = _dtype(tokenizer), _parts(keys.sparkSession, path)
+    before = {part: n for part, _, n in parts}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, number, docs in _opened(frames, path, dtype):
+            yield from _rows(part, docs, before[number], True)
+
+    return _dealt(keys, parts).mapInPandas(run, FOUND)
+
+
+def without_key(spark: SparkSession, path: str, tokenizer: str) -> DataFrame:
+    """The columns of ``fetch`` of the documents without doc_id, which no key leads to; ``found`` is false."""
+    dtype, parts = _dtype(tokenizer), _parts(spark, path)
+    # They come after all others: in the last part that begins with a key, and in those after it.
+    last = max((i for i, (_, first, _) in enumerate(parts) if first is not None), default=0)
+    rows = spark.createDataFrame([(part, n) for part, _, n in parts[last:]], "part long, before long").repartition(partitions(spark), "part")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for number, before in zip(frame["part"], frame["before"], strict=True):
                 part = Part(path, number, dtype)
-                first = part.first(part.doc_id)
-                for at in range(0, len(part.end), 10_000):
-                    docs = np.arange(at, min(at + 10_000, len(part.end)))
-                    starts = np.where(docs > 0, part.end[docs - 1], 0)
-                    hit = (first[docs] >= 0) & (part.doc_id[first[docs]] == part.doc_id[docs])
-                    yield pd.DataFrame(
-                        {
-                            "doc_id": part.doc_id[docs],
-                            "start": before + starts,
-                            "n_tokens": part.end[docs] - starts,
-                            "ids_crc32": [part.checksum(d) for d in docs],
-                            "found": hit & part.present[docs],
-                            "_present": part.present[docs],
-                        }
-                    )
+                yield from _rows(part, np.flatnonzero(~part.present), before, False)
                 part.close()
 
-    manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
-    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = manifest.select("part", before.alias("before")).repartition(partitions(spark), "part")
-    rows = parts.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long, found boolean, _present boolean")
-    return rows.withColumn("doc_id", F.when(F.col("_present"), F.col("doc_id"))).drop("_present")
+    return rows.mapInPandas(run, FOUND)
 
 
 def lookup(keys: DataFrame, path: str, tokenizer: str) -> DataFrame:
-    """(doc_id, ids) of the documents with the asked keys (doc_id), each key at the cost of its own ids.
-
-    The first key of each part, one number per part, goes to every task.
-    """
-    spark = keys.sparkSession
-    prepare(spark)
+    """(doc_id, ids) of the documents with the asked keys (doc_id), each key at the cost of its own ids."""
+    prepare(keys.sparkSession)
     dtype = _dtype(tokenizer)
-    manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").where("first_id is not null").orderBy("part").collect()
-    parts, bounds = np.array([r.part for r in manifest], np.int64), np.array([r.first_id for r in manifest], np.int64)
-
-    @F.pandas_udf("long")
-    def part_of(ids: pd.Series) -> pd.Series:
-        at = np.searchsorted(bounds, ids.to_numpy(np.int64), "right") - 1
-        return pd.Series(np.where(at < 0, -1, parts[np.maximum(at, 0)]) if len(parts) else np.full(len(ids), -1))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, number = None, None
-        for frame in frames:
-            for asked, group in frame.groupby("part"):
-                if asked != number:
-                    if part:
-                        part.close()
-                    part, number = Part(path, asked, dtype), asked
-                wanted = group["doc_id"].to_numpy(np.int64)
-                for key, entry in zip(wanted, part.first(wanted), strict=True):
-                    while 0 <= entry < len(part.end) and part.present[entry] and part.doc_id[entry] == key:
-                        yield pd.DataFrame({"doc_id": [key], "ids": [part.ids(entry).astype(np.int64)]})
-                        entry += 1
-        if part:
-            part.close()
+        for part, _, docs in _opened(frames, path, dtype):
+            for number in docs:
+                yield pd.DataFrame({"doc_id": [part.doc_id[number]], "ids": [part.ids(number).astype(np.int64)]})
 
-    asked = keys.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    dealt = asked.withColumn("part", part_of("doc_id")).where("part >= 0").repartition(partitions(spark), "part")
-    return dealt.sortWithinPartitions("part").mapInPandas(run, "doc_id long, ids array<int>")
+    return _dealt(keys, _parts(keys.sparkSession, path)).mapInPandas(run, "doc_id long, ids array<int>")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """Write all documents to a new folder and read them back."""
+    """Write all documents to a new folder and read them back, each by its key; those without one are read part by part."""
     path = scratch_dir(docs.sparkSession, "token-files")
     write(docs, path, tokenizer, end_id)
-    return read(docs.sparkSession, path, tokenizer)
+    return fetch(docs.select("doc_id"), path, tokenizer).unionByName(without_key(docs.sparkSession, path, tokenizer))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,3 +92,17 @@ def test_repeats_nulls_and_empty(spark, tokenizer):
     assert sorted(r.ids_crc32 for r in got) == sorted(r[3] for r in expected(rows, tokenizer))
     assert [r.found for r in got] == [True] * 4 + [False] * 2
     assert tf.round_trip(docs_of(spark, []), FILE).count() == 0
+
+
+def test_many_documents_of_one_key_and_of_none(spark, tokenizer, tmp_path):
+    """They stand in several parts; each is found through its key, or without one."""
+    rows = [(7, f"copy {i}") for i in range(300)] + [(i, f"text {i}") for i in range(100)] + [(None, f"nameless {i}") for i in range(300)]
+    path = str(tmp_path / "corpus")
+    manifest = tf.write(docs_of(spark, rows), path, FILE).orderBy("part").collect()
+    assert len(manifest) > 2 and sum(r.first_id is None for r in manifest) > 0 and max(r.n_docs for r in manifest) < 350
+    got = tf.round_trip(docs_of(spark, rows), FILE).orderBy("start").collect()
+    assert [(r.doc_id, r.found) for r in got] == [(i, True) for i in range(7)] + [(7, True)] * 301 + [(i, True) for i in range(8, 100)] + [(None, False)] * 300
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:i]) for i in range(len(got))]
+    assert sorted(r.ids_crc32 for r in got) == sorted(r[3] for r in expected(rows, tokenizer))
+    asked = spark.createDataFrame([(7,), (99,)], "doc_id long")
+    assert [r.doc_id for r in tf.fetch(asked, path, FILE).orderBy("doc_id").collect()] == [7] * 301 + [99]
