@@ -10,8 +10,9 @@ from fretwork.functions.jsonio import customer_snapshot, id_list
 from fretwork.functions.money import price_tier
 from fretwork.functions.text import levels_overlap
 from fretwork.plans import marts, staging, warehouse
+from fretwork.plans.increments import CustomerTotals
 from fretwork.schemas import RAW
-from fretwork.session import run_together, scratch_dir
+from fretwork.session import materialize, run_together, scratch_dir
 from fretwork.sources.catalog import generate_catalog
 from fretwork.sources.raw_files import read_csv, write_csv
 from fretwork.workload import shop
@@ -188,6 +189,23 @@ def returned_order_stats(spark, sf_dir):
     )
 
 
+def incremental_customers(spark, sf_dir):
+    """All order lines in three deliveries (half, three tenths, a fifth); lines of one order come in several, so many are late.
+
+    The totals after each delivery are made from that delivery and the rows it touches.
+    """
+    lines = materialize(staging.stg_orders(shop.raw_orders(spark, sf_dir)), "order-lines")
+    tenth = F.pmod(F.xxhash64("order_id", "product_id"), F.lit(10))
+    totals = CustomerTotals(spark, scratch_dir(spark, "customer-totals"), buckets=16)
+    for delta, (low, high) in enumerate([(0, 5), (5, 8), (8, 10)], start=1):
+        totals.apply(lines.where((tenth >= low) & (tenth < high)), delta)
+        if delta == 1:
+            totals.compact()
+    return totals.totals().select(
+        "customer_id", "total_orders", "n_products", as_double("lifetime_value"), as_text("last_order_date"), as_text("first_order_date")
+    )
+
+
 def inventory_mart(spark, sf_dir):
     return marts.inventory(shop.raw_inventory(spark, sf_dir))
 
@@ -254,6 +272,7 @@ QUERIES = {
     "dim_customers_mart": dim_customers_mart,
     "customer_product_pages": customer_product_pages,
     "returned_order_stats": returned_order_stats,
+    "incremental_customers": incremental_customers,
     "inventory_mart": inventory_mart,
     "fct_recommendations": fct_recommendations,
     "json_snapshot": json_snapshot,
@@ -338,6 +357,10 @@ ORACLE = {
     "returned_order_stats": shop.with_sql("raw_customers", "stg_orders")
     + f""" SELECT customer_id, total_orders, lifetime_value, last_order_date, len(ids) AS n_products
            FROM ({_CUSTOMER_MART.format(condition="status = 'returned' AND quantity >= 45")})""",
+    "incremental_customers": shop.with_sql("stg_orders")
+    + """ SELECT customer_id, count(DISTINCT order_id) AS total_orders, count(DISTINCT product_id) AS n_products,
+                 CAST(sum(line_total) AS DOUBLE) AS lifetime_value, CAST(max(order_date) AS VARCHAR) AS last_order_date,
+                 CAST(min(order_date) AS VARCHAR) AS first_order_date FROM stg_orders GROUP BY customer_id""",
     "inventory_mart": shop.with_sql("inventory") + " SELECT * FROM inventory",
     "fct_recommendations": _FACTS + " SELECT * FROM facts",
     "json_snapshot": _FACTS
