@@ -200,7 +200,7 @@ _TURNS = f"""{shop.with_sql("dim_products")}, turns AS (
   FROM (SELECT conv_id, count(*) AS n_turns, bool_or(error) AS had_error FROM turns GROUP BY 1) t
   FULL JOIN (SELECT conv_id, count(*) FILTER (NOT passed) AS n_failed FROM every GROUP BY 1) v ON t.conv_id = v.conv_id)"""
 
-_RECS = f""", recs AS (
+RECS_SQL = f""", recs AS (
   SELECT DISTINCT {shop.sql_customer_key("o_custkey")} AS customer_id,
          {shop.sql_product_key("CASE WHEN o_orderstatus = 'O' THEN l_partkey ELSE l_partkey + 1 END")} AS product_id,
          o_orderdate + INTERVAL 1 HOUR AS created_at
@@ -251,11 +251,11 @@ ORACLE = {
       UNION ALL SELECT 'line order', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
       UNION ALL SELECT 'label document', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""",
     "not_owned": shop.with_sql("stg_orders")
-    + _RECS
+    + RECS_SQL
     + """ SELECT DISTINCT customer_id, product_id FROM recs
           WHERE (customer_id, product_id) NOT IN (SELECT customer_id, product_id FROM stg_orders)""",
     "rec_conversion": shop.with_sql("stg_orders")
-    + _RECS
+    + RECS_SQL
     + """ SELECT r.customer_id, r.product_id, strftime(r.created_at, '%Y-%m-%d') AS created_on,
              CAST(min(s.order_date) AS VARCHAR) AS converted_on
           FROM recs r LEFT JOIN stg_orders s ON s.customer_id = r.customer_id AND s.product_id = r.product_id

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fretwork.session import scratch_dir
+from fretwork.plans import staging
+from fretwork.session import materialize, scratch_dir
+from fretwork.sources.raw_files import write_csv
+from fretwork.streaming import conversion, state
 from fretwork.streaming import events as live
-from fretwork.streaming import state
+from fretwork.streaming.arrivals import file_audit, load_arrivals, read_arrivals
 from fretwork.streaming.files import read_parquet_stream
-from fretwork.workload import chat, handoffs, shop
+from fretwork.workload import chat, checks, handoffs, shop
 
 TIME = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
@@ -93,6 +96,51 @@ def stream_transcripts(spark, sf_dir):
     return chat.transcript_totals(state.read_transcripts(spark.read.parquet(path)))
 
 
+def stream_conversion(spark, sf_dir):
+    """Recommendations and orders as two streams in two deliveries, rows up to 20 hours late; those whose 90 days have passed.
+
+    The split is by time of arrival, so a day's delay passes all rows.
+    """
+    path, checkpoint = _dirs(spark, "conversion")
+    asked = materialize(checks.recommendations(spark, sf_dir), "recommendations")
+    bought = materialize(staging.stg_orders(shop.raw_orders(spark, sf_dir)).select("order_id", *conversion.PAIR, "order_date"), "bought")
+    border = asked.agg(F.percentile_approx(F.unix_micros("created_at"), 0.6).alias("b")).first()["b"]
+    late = F.pmod(F.xxhash64(*conversion.PAIR), F.lit(20 * 3600)) * 1_000_000
+    arrivals = {}
+    for name, rows, at in [("asked", asked, F.col("created_at")), ("bought", bought, F.col("order_date").cast("timestamp"))]:
+        arrivals[name] = scratch_dir(spark, f"{name}-arriving")
+        second = F.coalesce(F.unix_micros(at) + late > F.lit(border), F.lit(False))
+        arrivals[f"{name}-rows"] = [rows.where(~second), rows.where(second)]
+    for i in range(2):
+        for name in ("asked", "bought"):
+            arrivals[f"{name}-rows"][i].write.mode("append").parquet(arrivals[name])
+        streams = [read_parquet_stream(spark, arrivals[name]) for name in ("asked", "bought")]
+        conversion.stream_conversions(*streams, "90 days", "1 day", path, checkpoint)
+    settled = conversion.settled_before(asked, bought, "90 days", "1 day").first()["settled"]
+    found = conversion.first_conversions(spark.read.parquet(path)).where(F.col("created_at") < F.lit(settled))
+    return found.select(
+        "customer_id", "product_id", F.date_format("created_at", "yyyy-MM-dd").alias("created_on"), F.col("converted_on").cast("string").alias("converted_on")
+    )
+
+
+def arriving_files(spark, sf_dir):
+    """Order lines as CSV files in three deliveries by date; two runs of the load, the second after the third delivery has come."""
+    arriving, out, checkpoint = (scratch_dir(spark, n) for n in ("csv-arriving", "arrived", "arrivals-checkpoint"))
+    lines = shop.raw_orders(spark, sf_dir)
+    parts = ["order_date < '1994-01-01'", "order_date >= '1994-01-01' and order_date < '1996-01-01'", "order_date >= '1996-01-01'"]
+    for i, part in enumerate(parts, start=1):
+        write_csv(lines.where(part), f"{arriving}/d{i}", "orders")
+        if i > 1:
+            load_arrivals(spark, f"{arriving}/*", "orders", out, checkpoint)
+    delivery = F.regexp_extract("source_file", "/(d\\d)/[^/]+$", 1).alias("delivery")
+    rows = staging.stg_orders(read_arrivals(spark, out, "orders").where("order_id is not null"))
+    audited = file_audit(spark, out, "orders").groupBy(delivery).agg(F.sum("row_count").alias("n_audited"))
+    loaded = read_arrivals(spark, out, "orders").groupBy(delivery).agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("quantity").cast("bigint")).alias("pieces"))
+    total = rows.groupBy(F.year("order_date").alias("year")).agg(F.sum("line_total").cast("double").alias("total"))
+    by_year = total.select(F.concat(F.lit("y"), F.col("year").cast("string")).alias("part"), F.lit(0).cast("bigint").alias("n_audited"), F.lit(0).cast("bigint").alias("n_lines"), F.lit(0).cast("bigint").alias("pieces"), "total")
+    return loaded.join(audited, "delivery").select(F.col("delivery").alias("part"), "n_audited", "n_lines", "pieces", F.lit(0.0).alias("total")).unionByName(by_year)
+
+
 QUERIES = {
     "stream_events_dedup": stream_events_dedup,
     "stream_queue_metrics": stream_queue_metrics,
@@ -100,6 +148,8 @@ QUERIES = {
     "stream_sessions": stream_sessions,
     "sessions_batch": sessions_batch,
     "stream_transcripts": stream_transcripts,
+    "stream_conversion": stream_conversion,
+    "arriving_files": arriving_files,
 }
 
 _T = "'%Y-%m-%d %H:%M:%S.%f'"
@@ -124,4 +174,19 @@ ORACLE = {
     + " WHERE z + INTERVAL 2 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)",
     "sessions_batch": _SESSIONS,
     "stream_transcripts": chat.TRANSCRIPTS_SQL,
+    "stream_conversion": shop.with_sql("stg_orders")
+    + checks.RECS_SQL
+    + """, ends AS (SELECT least((SELECT max(created_at) FROM recs), (SELECT max(CAST(order_date AS TIMESTAMP)) FROM stg_orders))
+                           - INTERVAL 1 DAY - INTERVAL 90 DAY AS settled)
+          SELECT r.customer_id, r.product_id, strftime(r.created_at, '%Y-%m-%d') AS created_on,
+                 CAST(min(s.order_date) AS VARCHAR) AS converted_on
+          FROM recs r JOIN ends ON r.created_at < settled
+          LEFT JOIN stg_orders s ON s.customer_id = r.customer_id AND s.product_id = r.product_id
+           AND s.order_date >= r.created_at AND s.order_date <= r.created_at + INTERVAL 90 DAY
+          GROUP BY r.customer_id, r.product_id, r.created_at""",
+    "arriving_files": shop.with_sql("stg_orders")
+    + """ SELECT CASE WHEN order_date < DATE '1994-01-01' THEN 'd1' WHEN order_date < DATE '1996-01-01' THEN 'd2' ELSE 'd3' END AS part,
+                 count(*) AS n_audited, count(*) AS n_lines, CAST(sum(quantity) AS BIGINT) AS pieces, CAST(0 AS DOUBLE) AS total
+          FROM stg_orders GROUP BY 1
+          UNION ALL SELECT 'y' || CAST(year(order_date) AS VARCHAR), 0, 0, 0, CAST(sum(line_total) AS DOUBLE) FROM stg_orders GROUP BY 1""",
 }
