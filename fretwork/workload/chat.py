@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from fretwork.functions import text
 from fretwork.operators import recommendations, transcripts
 from fretwork.operators.phrases import phrase_hits
+from fretwork.session import scratch_dir
+from fretwork.sources import variants
 from fretwork.workload import shop
 
 # Phrases that the checks look for.
@@ -38,6 +40,16 @@ def transcript_rows(spark, sf_dir):
     )
 
 
+def variant_messages(spark, sf_dir):
+    """Transcript pages loaded with their messages parsed once; read by path, only what customer and advisor said."""
+    pages = transcripts.pack_messages(turns(spark, sf_dir), page_turns=4)
+    rows = variants.message_rows(variants.load_json(pages, ["messages"], scratch_dir(spark, "transcript-json")))
+    return rows.where(F.col("role").isin(transcripts.SHOWN_ROLES)).select(
+        "session_id", "page_no", F.col("position").cast("bigint").alias("position"), "role", "content",
+        F.array_join("product_ids", ",").alias("product_ids"),
+    )
+
+
 def transcript_versions(spark, sf_dir):
     """Two versions of the transcripts, in pages of four turns: all turns, then the first three of every other session."""
     every = turns(spark, sf_dir)
@@ -185,6 +197,7 @@ QUERIES = {
     "phrase_scan": phrase_scan,
     "transcript_pack": transcript_pack,
     "transcript_rows": transcript_rows,
+    "variant_messages": variant_messages,
     "transcript_upsert": transcript_upsert,
     "escalation_flag": escalation_flag,
     "escalation_state": escalation_state,
@@ -280,3 +293,4 @@ ORACLE = {
              CASE WHEN length(text) > 120 THEN substr(text, 1, 120) || '...' ELSE text END AS short,
              substr(text, 1, 30) AS head, role || ': x' AS joined FROM conversations""",
 }
+ORACLE["variant_messages"] = ORACLE["transcript_rows"]

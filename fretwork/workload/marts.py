@@ -13,6 +13,7 @@ from fretwork.plans import marts, staging, warehouse
 from fretwork.plans.increments import CustomerTotals
 from fretwork.schemas import RAW
 from fretwork.session import materialize, run_together, scratch_dir
+from fretwork.sources import variants
 from fretwork.sources.catalog import generate_catalog
 from fretwork.sources.raw_files import read_csv, write_csv
 from fretwork.workload import shop
@@ -226,6 +227,16 @@ def json_snapshot(spark, sf_dir):
     )
 
 
+def variant_snapshots(spark, sf_dir):
+    """Handoffs loaded with both JSON cells parsed once; the typed snapshot and the ids read by path."""
+    loaded = variants.load_json(shop.raw_se_handoffs(spark, sf_dir), ["customer_snapshot", "recommended_products"], scratch_dir(spark, "handoff-json"))
+    rows = variants.snapshots(loaded)
+    return rows.select(
+        "handoff_id", "name", "skill", "instrument", "budget",
+        F.size("ids").cast("bigint").alias("n_ids"), F.try_element_at("ids", F.lit(1)).alias("first_id"),
+    )
+
+
 def load_audit(spark, sf_dir):
     """Rows per loaded table; every count is one pass that needs no column."""
     audit = None
@@ -276,6 +287,7 @@ QUERIES = {
     "inventory_mart": inventory_mart,
     "fct_recommendations": fct_recommendations,
     "json_snapshot": json_snapshot,
+    "variant_snapshots": variant_snapshots,
     "load_audit": load_audit,
     "catalog_generator": catalog_generator,
 }
@@ -388,3 +400,4 @@ ORACLE = {
       FROM copies LEFT JOIN urls USING (p_brand)""",
 }
 ORACLE["built_customers"] = ORACLE["dim_customers_mart"]
+ORACLE["variant_snapshots"] = ORACLE["json_snapshot"]
