@@ -57,7 +57,7 @@ RULES = [
     ("no_price_range", [], 400, 500, None),
     ("contains", ["la", "er"], None, None, None),
     ("any_contains", ["ment", "heit", "person"], None, None, None),
-    ("not_contains", ["search tool", "zu"], None, None, None),
+    ("not_contains", ["the the", "zu"], None, None, None),
     ("handoff_logged", [], None, None, None),
     ("no_handoff", [], None, None, None),
     ("recommended_category", [], None, None, "promo"),
@@ -177,7 +177,7 @@ _TURNS = f"""{shop.with_sql("dim_products")}, turns AS (
           GROUP BY ALL),
  one AS (SELECT t.*, coalesce(cat_ok, false) AS cat_ok, coalesce(price_ok, false) AS price_ok,
                 contains(lower(reply), 'la') AS a, contains(lower(reply), 'er') AS b,
-                contains(lower(reply), 'search tool') AS c, contains(lower(reply), 'zu') AS d
+                contains(lower(reply), 'the the') AS c, contains(lower(reply), 'zu') AS d
          FROM prices t LEFT JOIN recs USING (conv_id, turn)),
  verdicts AS (
   SELECT conv_id, turn, unnest(range(9)) AS n,
@@ -187,7 +187,7 @@ _TURNS = f"""{shop.with_sql("dim_products")}, turns AS (
                  a AND b, contains(lower(reply), 'ment') OR contains(lower(reply), 'heit') OR contains(lower(reply), 'person'),
                  NOT c AND NOT d, logged, NOT logged, cat_ok, price_ok]) AS passed,
          unnest(['', '', concat_ws(', ', CASE WHEN NOT a THEN 'la' END, CASE WHEN NOT b THEN 'er' END), '',
-                 concat_ws(', ', CASE WHEN c THEN 'search tool' END, CASE WHEN d THEN 'zu' END), '', '', '', '']) AS detail
+                 concat_ws(', ', CASE WHEN c THEN 'the the' END, CASE WHEN d THEN 'zu' END), '', '', '', '']) AS detail
   FROM one),
  absent AS (
   SELECT conv_id, turn, n, check_name, false AS passed, 'no such turn' AS detail FROM (
