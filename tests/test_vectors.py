@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+import re
+
 import numpy as np
 import pytest
 
@@ -123,3 +127,25 @@ def test_text_vectors_rank_by_shared_words(spark):
     assert norms == pytest.approx([1, 1, 1], abs=1e-5)
     asked = dense.where("item_id = 'a'").withColumnRenamed("item_id", "query_id")
     assert lists(vectors.cosine_top_k(dense, asked, 2))["a"] == ["a", "c"]
+
+
+def test_texts_are_dealt_out_before_their_words_are_counted(spark):
+    rows = [(f"P{i % 30}", f"word{i % 7} word{i % 5} Same same") for i in range(100)] + [(None, "same"), (None, "word1"), ("x", None), ("y", " - ")]
+    texts = spark.createDataFrame(rows, "item_id string, text string").coalesce(1)
+    counts = text_vectors.term_counts(texts, 1 << 20, task_chars=300)
+    chars = sum(len(text or "") for _, text in rows)
+    assert counts.rdd.getNumPartitions() == -(-chars // 300) > 5
+    n_entries, tf, df = 0, {}, {}
+    for item, text in rows:
+        for word in re.findall(r"\w+", (text or "").lower()):
+            tf[item, word] = tf.get((item, word), 0) + 1
+    for _, word in tf:
+        df[word] = df.get(word, 0) + 1
+    raw = {(i, w): n * (math.log((len(rows) + 1) / (df[w] + 1)) + 1) for (i, w), n in tf.items()}
+    want = {}
+    for (item, word), value in raw.items():
+        bucket = int(hashlib.md5(word.encode()).hexdigest()[:7], 16) % (1 << 12)
+        want[item, bucket] = value / math.sqrt(sum(v * v for (i, _), v in raw.items() if i == item))
+        n_entries += 1
+    got = {(r.item_id, r.bucket): r.weight for r in text_vectors.term_weights(texts, 1 << 12).collect()}
+    assert len(got) == n_entries and got == pytest.approx(want)
