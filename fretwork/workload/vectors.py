@@ -157,14 +157,13 @@ def text_search(spark, sf_dir):
     """Top products for the mean text vector of each brand's products: text to vector to ranking."""
     products = staging.stg_products(shop.raw_products(spark, sf_dir))
     texts = products.select(F.col("product_id").alias("item_id"), text_vectors.embedding_text().alias("text"))
-    weights = materialize(text_vectors.term_weights(texts, 128), "weights")
+    weights = materialize(text_vectors.term_vectors(texts, 128), "weights")
     brands = products.select(F.col("product_id").alias("item_id"), "brand")
-    per_brand = weights.join(brands, "item_id").groupBy("brand", "bucket").agg(F.avg("weight").alias("weight"))
+    branded = weights.join(brands, "item_id").select("brand", F.inline("entries"))
+    per_brand = branded.groupBy("brand", "bucket").agg(F.avg("weight").alias("weight"))
     asked = text_vectors.dense_vectors(per_brand.withColumnRenamed("brand", "item_id"), 128)
     return _rounded(
-        vectors.cosine_top_k(
-            text_vectors.dense_vectors(weights, 128), asked.withColumnRenamed("item_id", "query_id"), K
-        )
+        vectors.cosine_top_k(text_vectors.dense(weights, 128), asked.withColumnRenamed("item_id", "query_id"), K)
     )
 
 
