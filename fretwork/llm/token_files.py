@@ -43,9 +43,9 @@ from fretwork.session import scratch_dir
 
 END_ID = 0
 # Bounds of what an encoder keeps and works on at once: words, their pieces, characters.
-KNOWN_WORDS = 1_500_000
-KNOWN_PIECES = 400_000
-BLOCK = 1 << 22
+KNOWN_WORDS = 1_000_000
+KNOWN_PIECES = 200_000
+BLOCK = 1 << 20
 CUT = 1 << 19
 MANIFEST = "part long, first_id long, n_docs long, n_tokens long"
 _CHUNK = 1 << 20
@@ -150,18 +150,10 @@ class Encoder:
         else:
             plain = [False] * len(flat)
         found: list = [None] * len(flat)
-        rest = [i for i, yes in enumerate(plain) if not yes]
-        for i, ids in zip(rest, self._whole([flat[i] for i in rest]), strict=True):
-            found[i] = ids
-        block, size = [], 0
-        for i, yes in enumerate(plain):
-            if yes:
-                block.append(i)
-                size += len(flat[i])
-            if block and (size >= BLOCK or i == len(plain) - 1):
-                for j, ids in zip(block, self._from_words([flat[j] for j in block]), strict=True):
-                    found[j] = ids
-                block, size = [], 0
+        for yes, work in ((False, self._whole), (True, self._from_words)):
+            for block in _blocks([(i, len(flat[i])) for i, is_plain in enumerate(plain) if is_plain == yes]):
+                for i, ids in zip(block, work([flat[i] for i in block]), strict=True):
+                    found[i] = ids
         out, at = [], 0
         for pieces in parts:
             out.append(found[at] if len(pieces) == 1 else np.concatenate(found[at : at + len(pieces)]))
@@ -259,6 +251,19 @@ def _cut(text: str) -> list[str]:
     return [*out, text[at:]]
 
 
+def _blocks(sizes: list[tuple[int, int]]) -> Iterator[list[int]]:
+    """Numbers from (number, characters), in order, in blocks that end once they hold ``BLOCK`` characters."""
+    block, size = [], 0
+    for number, n in sizes:
+        block.append(number)
+        size += n
+        if size >= BLOCK:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
 def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 

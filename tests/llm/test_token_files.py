@@ -53,6 +53,17 @@ def test_random_texts(name, monkeypatch):
             assert [g.tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_a_block_of_texts_is_worked_on_at_once(monkeypatch):
+    """Texts that the tokenizer takes as they are come to it in blocks, not a whole batch of them."""
+    monkeypatch.setattr(tf, "BLOCK", 100)
+    encoder, sizes = tf.Encoder(FILE), []
+    whole = encoder._whole
+    monkeypatch.setattr(encoder, "_whole", lambda texts: sizes.append(sum(map(len, texts))) or whole(texts))
+    texts = [f"odd  text number {i}\n\n" for i in range(50)]
+    assert [ids.tolist() for ids in encoder.encode(texts)] == [ids.tolist() for ids in whole(texts)]
+    assert len(sizes) > 5 and max(sizes) < 100 + max(map(len, texts))
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 1000, 50000):
