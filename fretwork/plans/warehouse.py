@@ -77,7 +77,7 @@ def write_marts(raw: dict[str, DataFrame], folder: str, page_products: int = mar
     good = {name: good_rows(df, name) for name, df in raw.items()}
 
     def written(name: str, df: DataFrame) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
+        df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
     def customers() -> None:

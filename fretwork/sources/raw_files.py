@@ -20,6 +20,9 @@ CASTS = {
     "se_handoffs": {"created_at": "timestamp"},
 }
 
+# Rows of a packed CSV file.
+PACKED_ROWS = 500_000
+
 # Columns that must hold JSON text where they are filled.
 JSON_COLUMNS = {"se_handoffs": ["customer_snapshot", "recommended_products"]}
 
@@ -32,10 +35,15 @@ def read_csv(spark: SparkSession, path: str, name: str, multi_line: bool = False
     return spark.read.schema(RAW[name]).csv(path, header=True, quote='"', escape='"', multiLine=multi_line)
 
 
-def write_csv(df: DataFrame, path: str, name: str) -> None:
-    """Write a raw table in its declared column order with a header row."""
-    columns = RAW[name].fieldNames()
-    df.select(*columns).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="")
+def write_csv(df: DataFrame, path: str, name: str, packed: bool = False) -> None:
+    """Write a raw table in its declared column order with a header row.
+
+    ``packed=True`` writes gzip files. A task reads each of those whole, so they end after ``PACKED_ROWS`` rows.
+    """
+    writer = df.select(*RAW[name].fieldNames()).write.mode("overwrite")
+    if packed:
+        writer = writer.option("compression", "gzip").option("maxRecordsPerFile", str(PACKED_ROWS))
+    writer.csv(path, header=True, quote='"', escape='"', emptyValue="")
 
 
 def reject_reason(name: str) -> Column:
@@ -66,7 +74,7 @@ def load_raw(
     def load(name: str) -> tuple[str, int]:
         seen = Observation(f"load_{name}")
         rows = read_csv(spark, f"{data_dir}/{name}.csv", name, multi_line).observe(seen, F.count(F.lit(1)).alias("n"))
-        rows.write.mode("overwrite").parquet(f"{out_dir}/raw_{name}")
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{out_dir}/raw_{name}")
         return f"raw_{name}", int(seen.get["n"])
 
     counts = run_together(*[functools.partial(load, name) for name in sorted(names or RAW)])

@@ -83,7 +83,7 @@ def csv_round_trip(spark, sf_dir):
 
 
 def _write_raw(spark, sf_dir, data):
-    run_together(*[partial(write_csv, getattr(shop, f"raw_{name}")(spark, sf_dir), f"{data}/{name}.csv", name) for name in RAW])
+    run_together(*[partial(write_csv, getattr(shop, f"raw_{name}")(spark, sf_dir), f"{data}/{name}.csv", name, packed=True) for name in RAW])
 
 
 def warehouse_build(spark, sf_dir):

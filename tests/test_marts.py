@@ -191,3 +191,12 @@ def test_generator_numbers_a_base_in_bands(spark, monkeypatch):
     monkeypatch.setattr(catalog, "BAND_ROWS", 9)
     rows = generate_catalog(base_items(spark, 100).repartition(5), 150).orderBy(F.length("product_id"), "product_id").collect()
     assert [int(r.name.split()[1][1:]) for r in rows] == [i % 100 for i in range(150)]
+
+
+def test_packed_files_are_short_and_hold_every_row(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(raw_files, "PACKED_ROWS", 10)
+    rows = [(f"P{i}", None if i == 3 else f'{i} "x", y') for i in range(45)]
+    path = str(tmp_path / "inventory.csv")
+    raw_files.write_csv(spark.createDataFrame(rows, "product_id string, quantity string").coalesce(1), path, "inventory", packed=True)
+    assert len(list((tmp_path / "inventory.csv").glob("*.csv.gz"))) == 5
+    assert sorted(map(tuple, raw_files.read_csv(spark, path, "inventory").collect())) == sorted(rows)
