@@ -82,14 +82,12 @@ class CustomerTotals:
             raise ValueError(f"delta {last + 1} comes before delta {delta}")
         with scratch_scope(self.spark):
             items = materialize(order_items(lines), "delta-items")
-            orders, products = run_together(
-                lambda: materialize(self._new_orders(items, delta), "delta-orders"),
-                lambda: materialize(self._new_products(items, delta), "delta-products"),
+            # Each row is written once: the customers are made from what the other two logs have just taken in.
+            run_together(
+                lambda: self.orders.append(self._new_orders(items, delta)),
+                lambda: self.products.append(self._new_products(items, delta).where("before is null")),
             )
-            customers = materialize(self._new_customers(orders, products, delta), "delta-customers")
-            self.orders.append(orders)
-            self.products.append(products.where("before is null"))
-            self.customers.append(customers)
+            self.customers.append(self._new_customers(self.orders.last_appended(), self.products.last_appended(), delta))
         point_to(self.spark, f"{self.path}/applied", str(delta))
         return True
 
@@ -131,7 +129,8 @@ class CustomerTotals:
             F.min("now.first").alias("first"),
         )
         from_products = products.groupBy(F.col("customer_id").alias("_id")).agg(F.count_if(F.col("before").isNull()).alias("n_new"))
-        news = from_orders.join(from_products, F.col("customer_id").eqNullSafe(F.col("_id"))).drop("_id")
+        news = from_orders.join(from_products, F.col("customer_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+        news = news.withColumn("n_new", F.coalesce("n_new", F.lit(0)))
         now = F.struct(
             plus(F.col("n_orders"), F.col("before.total_orders")).alias("total_orders"),
             plus(F.col("n_new"), F.col("before.n_products")).alias("n_products"),

@@ -56,11 +56,15 @@ class BucketTable:
         earlier = names_in(self.spark, f"{self.path}/log")
         number = int(earlier[-1].split("-")[0]) + 1 if earlier else 1
         name = f"{number:08d}-{uuid.uuid4().hex}"
-        rows.select(*self.schema.names).write.parquet(f"{self.path}/log/_{name}")
+        rows.select(*self.schema.names).write.option("compression", "zstd").parquet(f"{self.path}/log/_{name}")
         draft, files = files_of(self.spark, f"{self.path}/log/_{name}")
         if not files.rename(draft, files_of(self.spark, f"{self.path}/log/{name}")[0]):
             raise OSError(f"could not add {name} to the log of {self.path}")
 
+    def last_appended(self) -> DataFrame:
+        """The rows of the last ``append``, as they stand in the log."""
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/log/{names_in(self.spark, f'{self.path}/log')[-1]}")
+
     def _base(self, folders: dict[int, str]) -> DataFrame:
         paths = [f"{self.path}/base/{folder}/bucket={b}" for b, folder in sorted(folders.items())]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
@@ -115,7 +119,7 @@ class BucketTable:
         base = self._base({b: folders[b] for b in touched if b in folders}).withColumn("_side", F.lit(0))
         name = uuid.uuid4().hex
         rows = latest(base.unionByName(log), self.keys, [*self.version, "_side"]).drop("_side").withColumn("bucket", self.bucket())
-        rows.repartition(max(1, len(touched)), "bucket").sortWithinPartitions("bucket", *self.keys).write.partitionBy("bucket").parquet(f"{self.path}/base/{name}")
+        rows.repartition(max(1, len(touched)), "bucket").sortWithinPartitions("bucket", *self.keys).write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/base/{name}")
         self._publish({**folders, **dict.fromkeys(touched, name)}, merged | {*parts})
         return touched
 

@@ -195,7 +195,8 @@ def incremental_customers(spark, sf_dir):
 
     The totals after each delivery are made from that delivery and the rows it touches.
     """
-    lines = materialize(staging.stg_orders(shop.raw_orders(spark, sf_dir)), "order-lines")
+    lines = staging.stg_orders(shop.raw_orders(spark, sf_dir))
+    lines = materialize(lines.select("customer_id", "order_id", "product_id", "line_total", "order_date"), "order-lines")
     tenth = F.pmod(F.xxhash64("order_id", "product_id"), F.lit(10))
     totals = CustomerTotals(spark, scratch_dir(spark, "customer-totals"), buckets=16)
     for delta, (low, high) in enumerate([(0, 5), (5, 8), (8, 10)], start=1):

@@ -7,8 +7,9 @@ import random
 
 import pytest
 
-from fretwork.plans import marts
+from fretwork.plans import increments, marts
 from fretwork.plans.increments import CustomerTotals
+from fretwork.session import materialize
 from fretwork.sources.buckets import BucketTable
 
 LINES = "customer_id string, order_id string, product_id string, line_total decimal(18,2), order_date date"
@@ -109,3 +110,15 @@ def test_old_lines_and_other_buckets_are_not_read(spark, tmp_path):
     row = totals.totals().where("customer_id = 'C7'").first()
     assert (row.total_orders, row.n_products, float(row.lifetime_value), str(row.first_order_date)) == (1, 2, 7.5, "2024-01-02")
     assert totals.totals().count() == 200
+
+
+def test_each_row_of_a_delta_is_written_once(spark, tmp_path, monkeypatch):
+    """Only the summed lines stand aside; the three tables take their rows directly, also where a customer buys nothing new."""
+    aside = []
+    monkeypatch.setattr(increments, "materialize", lambda df, name: aside.append(name) or materialize(df, name))
+    rng, totals = random.Random(5), CustomerTotals(spark, str(tmp_path / "t"), 4)
+    lines = some_lines(rng, 30)
+    for delta in (1, 2):
+        totals.apply(frame(spark, lines), delta)
+    assert aside == ["delta-items"] * 2
+    assert got(totals) == rebuilt(spark, lines * 2)
