@@ -45,7 +45,7 @@ def term_vectors(texts: DataFrame, buckets: int = 1024) -> DataFrame:
     """Unit-length tf-idf vectors, a row per item: item_id, entries (bucket, weight).
 
     ``texts``: item_id, text. Words are hashed into ``buckets`` positions, so an item has at most that many entries. The document
-    counts join as one row of at most ``buckets`` numbers, and each item is weighted in its own row.
+    counts, at most ``buckets`` numbers, go to every task, and each item is weighted in its own row.
     """
     counts = materialize(term_counts(texts, buckets), "term_counts")
     n_items = texts.count()
@@ -53,14 +53,14 @@ def term_vectors(texts: DataFrame, buckets: int = 1024) -> DataFrame:
     idf = F.log(F.lit(n_items + 1.0) / (F.col("df") + 1.0)) + 1.0
     by_bucket = per_bucket.agg(F.map_from_entries(F.collect_list(F.struct("bucket", idf.alias("idf")))).alias("_df"))
     slots = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.try_element_at("_df", b.cast("bigint")))
-    raw = counts.crossJoin(F.broadcast(by_bucket.select(slots.alias("_idf"))))
-    weighted = F.transform("terms", lambda t: F.struct(t["bucket"], (t["tf"] * F.get("_idf", t["bucket"].cast("int"))).alias("w")))
+    known = F.array(*[F.lit(x) for x in by_bucket.select(slots.alias("i")).first()["i"]]).cast("array<double>")
+    weighted = F.transform("terms", lambda t: F.struct(t["bucket"], (t["tf"] * F.get(known, t["bucket"].cast("int"))).alias("w")))
 
     def unit(terms: Column) -> Column:
         norm = F.sqrt(F.aggregate(terms, F.lit(0.0), lambda total, t: total + t["w"] * t["w"]))
         return _once(norm, lambda n: F.transform(terms, lambda t: F.struct(t["bucket"], (t["w"] / n).alias("weight"))))
 
-    return raw.select("item_id", _once(weighted, unit).alias("entries"))
+    return counts.select("item_id", _once(weighted, unit).alias("entries"))
 
 
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
