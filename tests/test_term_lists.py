@@ -82,3 +82,22 @@ def test_rarely_shared_terms_skip_nearly_all(spark):
     nearest, scored = found(spark, rows, 102, 6)
     assert nearest == expected(rows, 102, 6)
     assert sum(scored.values()) < 0.02 * 600 * 600
+
+
+@pytest.mark.parametrize("limits", [{}, {"max_bytes": 9 * 40 * 8, "block_queries": 7}])
+def test_equal_texts_are_compared_once(spark, limits):
+    """Thirty texts, twenty items of each but for the last ones, which stand alone."""
+    kinds = sorted({r[0] for r in texts(30, 40, 2)})
+    rows = [(f"{(i * 7919) % 600:03d}", b, w) for i in range(600) for t, b, w in texts(30, 40, 2) if t == kinds[i % 30] and (i % 30 < 25 or i < 30)]
+    nearest, scored = found(spark, rows, 40, 4, **limits)
+    assert nearest == expected(rows, 40, 4)
+    assert len(scored) == len({r[0] for r in rows}) and max(scored.values()) <= 30
+
+
+def test_the_length_of_what_is_left_ends_a_search(spark):
+    """Pairs of equal length in a term of their own; the largest weights of the frequent terms come from items that have little else."""
+    rows = [(f"p{i:03d}", b, w) for i in range(400) for b, w in ((20 + i // 2, 3.0), *(((i + j) % 16, 0.6) for j in range(8)))]
+    rows += [(f"z{j:03d}", j, 1.0) for j in range(16)]
+    nearest, scored = found(spark, rows, 220, 2)
+    assert nearest == expected(rows, 220, 2)
+    assert sum(n for item, n in scored.items() if item < "z") < 0.02 * 400 * 416
