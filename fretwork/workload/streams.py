@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from fretwork.plans import staging
-from fretwork.session import materialize, scratch_dir
+from fretwork.session import materialize, run_together, scratch_dir
 from fretwork.sources.raw_files import write_csv
 from fretwork.streaming import conversion, state
 from fretwork.streaming import events as live
@@ -14,6 +17,10 @@ from fretwork.streaming.files import read_parquet_stream
 from fretwork.workload import chat, checks, handoffs, shop
 
 TIME = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+# Rows of both conversion streams in one batch, about: they all stand in its state, at some 700 bytes each.
+PART_ROWS = 4_000_000
+# Size of a row group in the files of a part, so that several tasks read one file.
+BLOCK_BYTES = 4 * 1024 * 1024
 
 
 def event_stream(spark, sf_dir):
@@ -96,25 +103,47 @@ def stream_transcripts(spark, sf_dir):
     return chat.transcript_totals(state.read_transcripts(spark.read.parquet(path)))
 
 
+def arrival_cuts(arrivals, border):
+    """Times of arrival (``_at``) that end parts of about ``PART_ROWS`` rows each, in order; ``border`` is one of them unless it is None."""
+    sides = [F.col("_at") <= border, F.col("_at") > border] if border is not None else [F.col("_at").isNotNull()]
+    counts = arrivals.agg(*[F.count_if(side).alias(f"n{i}") for i, side in enumerate(sides)]).first()
+    parts = [max(1, -(-n // PART_ROWS)) for n in counts]
+    shares = [[i / n for i in range(1, n)] for n in parts]
+    inner = [F.percentile_approx(F.when(side, F.col("_at")), share).alias(f"c{i}") for i, (side, share) in enumerate(zip(sides, shares, strict=True)) if share]
+    cuts = [cut for found in arrivals.agg(*inner).first() for cut in found] if inner else []
+    return sorted({*cuts, *([] if border is None else [border])})
+
+
+def _arrive(spark, parted, schema, part, path):
+    """One part as one file, also where it has no rows, so that the parts of both streams come in step."""
+    rows = spark.read.schema(StructType([*schema, StructField("_part", IntegerType())])).parquet(parted)
+    rows.where(F.col("_part") == part).drop("_part").coalesce(1).write.option("parquet.block.size", BLOCK_BYTES).mode("append").parquet(path)
+
+
 def stream_conversion(spark, sf_dir):
     """Recommendations and orders as two streams in two deliveries, rows up to 20 hours late; those whose 90 days have passed.
 
-    The split is by time of arrival, so a day's delay passes all rows.
+    The split is by time of arrival, so a day's delay passes all rows. A large delivery comes as several files of either stream in that
+    order, a file of each per batch, so that the state never holds a whole delivery.
     """
     path, checkpoint = _dirs(spark, "conversion")
     asked = materialize(checks.recommendations(spark, sf_dir), "recommendations")
     bought = materialize(staging.stg_orders(shop.raw_orders(spark, sf_dir)).select("order_id", *conversion.PAIR, "order_date"), "bought")
     border = asked.agg(F.percentile_approx(F.unix_micros("created_at"), 0.6).alias("b")).first()["b"]
     late = F.pmod(F.xxhash64(*conversion.PAIR), F.lit(20 * 3600)) * 1_000_000
-    arrivals = {}
-    for name, rows, at in [("asked", asked, F.col("created_at")), ("bought", bought, F.col("order_date").cast("timestamp"))]:
-        arrivals[name] = scratch_dir(spark, f"{name}-arriving")
-        second = F.coalesce(F.unix_micros(at) + late > F.lit(border), F.lit(False))
-        arrivals[f"{name}-rows"] = [rows.where(~second), rows.where(second)]
-    for i in range(2):
-        for name in ("asked", "bought"):
-            arrivals[f"{name}-rows"][i].write.mode("append").parquet(arrivals[name])
-        streams = [read_parquet_stream(spark, arrivals[name]) for name in ("asked", "bought")]
+    times = {"asked": F.unix_micros("created_at"), "bought": F.unix_micros(F.col("order_date").cast("timestamp"))}
+    rows = {name: frame.withColumn("_at", times[name] + late) for name, frame in [("asked", asked), ("bought", bought)]}
+    cuts = arrival_cuts(rows["asked"].select("_at").unionByName(rows["bought"].select("_at")), border)
+    part = sum((F.coalesce(F.col("_at") > cut, F.lit(False)).cast("int") for cut in cuts), F.lit(0))
+    parted, arrivals = {}, {}
+    for name in rows:
+        parted[name], arrivals[name] = scratch_dir(spark, f"{name}-parts"), scratch_dir(spark, f"{name}-arriving")
+        rows[name].withColumn("_part", part).drop("_at").repartition("_part").write.partitionBy("_part").parquet(parted[name])
+    first = 0 if border is None else cuts.index(border)
+    for delivery in (range(first + 1), range(first + 1, max(len(cuts), first + 1) + 1)):
+        for i in delivery:
+            run_together(*[functools.partial(_arrive, spark, parted[n], f.schema, i, arrivals[n]) for n, f in [("asked", asked), ("bought", bought)]])
+        streams = [read_parquet_stream(spark, arrivals[name], max_files=1) for name in ("asked", "bought")]
         conversion.stream_conversions(*streams, "90 days", "1 day", path, checkpoint)
     settled = conversion.settled_before(asked, bought, "90 days", "1 day").first()["settled"]
     found = conversion.first_conversions(spark.read.parquet(path)).where(F.col("created_at") < F.lit(settled))

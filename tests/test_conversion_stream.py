@@ -5,9 +5,10 @@ from __future__ import annotations
 import datetime as dt
 import os
 
-from fretwork.plans import analytics
-from fretwork.streaming import conversion
+from fretwork.plans import analytics, staging
+from fretwork.streaming import conversion, files
 from fretwork.streaming.files import read_parquet_stream
+from fretwork.workload import checks, shop, streams
 
 ASKS = "customer_id string, product_id string, created_at timestamp"
 BUYS = "customer_id string, product_id string, order_date date"
@@ -87,3 +88,40 @@ def test_state_shrinks(spark, tmp_path):
     )
     assert 0 < held <= 200
     assert sum(v is not None for v in got.values()) == 200
+
+
+def test_large_deliveries_come_in_parts(spark, tmp_path, monkeypatch):
+    """No batch takes in much more than ``PART_ROWS`` rows, whatever the size of a delivery, and the result is that of the whole tables."""
+    orders = [(i, i % 40, "OF"[i % 2], 10.0, day(i % 600, 0), "2-HIGH") for i in range(1200)] + [(1200, 3, "F", 1.0, None, "2-HIGH")]
+    lines = [(o, (o * 7 + n) % 4, 1, n, 1.0, 5.0, 0.0, 0.0, "N", "O", day(0)) for o in range(1201) for n in range(2)]
+    names = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
+    spark.createDataFrame(orders, names).coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double"
+    names += ", l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    spark.createDataFrame(lines, names).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    batches = []
+
+    def run(writer, checkpoint):
+        query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+        batches.extend(p.numInputRows for p in query.recentProgress)
+
+    monkeypatch.setattr(files, "run_available", run)
+    monkeypatch.setattr(streams, "PART_ROWS", 1000, raising=False)
+    got = streams.stream_conversion(spark, str(tmp_path)).collect()
+    assert sum(batches) > 3500 and max(batches) < 1300
+    asked, bought = checks.recommendations(spark, str(tmp_path)), staging.stg_orders(shop.raw_orders(spark, str(tmp_path)))
+    settled = conversion.settled_before(asked, bought, "90 days", "1 day").first()["settled"]
+    want = {}
+    for r in analytics.conversion(asked.where("created_at is not null"), bought).collect():
+        if r.created_at < settled:
+            late = r.converted_on is None or dt.datetime.combine(r.converted_on, dt.time()) > r.created_at + dt.timedelta(days=90)
+            want[r.customer_id, r.product_id, str(r.created_at.date())] = None if late else str(r.converted_on)
+    assert {(r.customer_id, r.product_id, r.created_on): r.converted_on for r in got} == want and len(got) == len(want) > 1000
+    assert sum(v is not None for v in want.values()) > 10
+
+
+def test_parts_without_rows_or_times(spark):
+    times = "_at long"
+    assert streams.arrival_cuts(spark.createDataFrame([], times), None) == []
+    assert streams.arrival_cuts(spark.createDataFrame([(None,), (5,)], times), 5) == [5]
