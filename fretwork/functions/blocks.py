@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Similarities held in memory at one time.
 MAX_CELLS = 4_000_000
+# Queries whose hits leave a task as one frame.
+FRAME_QUERIES = 10_000
 # Copies of a vector must tie exactly, so that the id decides, whatever block they are multiplied in.
 DIGITS = 12
 
@@ -54,16 +57,21 @@ class Best:
             order = np.lexsort((ids, -values))[: self.k]
             self.ids[q], self.sims[q] = ids[order], values[order]
 
-    def frame(self) -> pd.DataFrame:
-        none = np.empty(0)
+    def frame(self, start: int = 0, stop: int | None = None) -> pd.DataFrame:
+        none, part = np.empty(0), slice(start, stop)
         return pd.DataFrame(
             {
-                "query_id": pd.Series(np.repeat(self.query_ids, [len(s) for s in self.sims]), dtype=object),
-                "item_id": pd.Series(np.concatenate([none, *self.ids]), dtype=object),
-                "similarity": np.concatenate([none, *self.sims]),
+                "query_id": pd.Series(np.repeat(self.query_ids[part], [len(s) for s in self.sims[part]]), dtype=object),
+                "item_id": pd.Series(np.concatenate([none, *self.ids[part]]), dtype=object),
+                "similarity": np.concatenate([none, *self.sims[part]]),
             }
         )
 
+    def frames(self) -> Iterator[pd.DataFrame]:
+        """``frame`` in slices of the queries."""
+        for start in range(0, len(self.query_ids), FRAME_QUERIES):
+            yield self.frame(start, start + FRAME_QUERIES)
+
 
 def pair_similarities(one, two) -> np.ndarray:
     """Cosine of each pair of vectors."""

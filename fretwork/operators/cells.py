@@ -36,6 +36,10 @@ ROUNDS = 8
 PIECE_ROWS = 16_384
 QUERY_ROWS = 4096
 RERANK = 4
+# Similarities that a task holds at one time.
+PAIRS = 4_000_000
+# The first cells of a query, which bound what may leave the others, hold about so many times the items that are kept.
+NEAR = 4
 # Vectors of the index that are asked for while it is written, to find the number of cells to visit.
 TUNING_QUERIES = 100
 RECALL = 0.95
@@ -198,18 +202,37 @@ def _hits(query_ids, cells, item_ids, similarities) -> pd.DataFrame:
     return pd.DataFrame({**ids, "similarity": np.asarray(similarities, np.float64)})
 
 
-def _best(query_ids, sims: np.ndarray, item_ids: np.ndarray, cell: int, keep: int, least: np.ndarray) -> pd.DataFrame:
-    """The ``keep`` best items of each row of ``sims``, none below ``least``."""
-    names, ids, values = [], [np.empty(0, dtype=object)], [np.empty(0)]
-    for query_id, row, floor in zip(query_ids, np.round(sims, DIGITS), least, strict=True):
-        at = np.flatnonzero(row >= floor)
-        if len(at) > keep:
-            at = at[row[at] >= np.partition(row[at], len(at) - keep)[len(at) - keep]]
-            at = at[np.lexsort((item_ids[at], -row[at]))[:keep]]
-        names += [query_id] * len(at)
-        ids.append(item_ids[at])
-        values.append(row[at])
-    return _hits(names, np.full(len(names), cell), np.concatenate(ids), np.concatenate(values))
+def _best(query_ids: np.ndarray, asked: np.ndarray, items: np.ndarray, item_ids: np.ndarray, cell: int, keep: int, least: np.ndarray) -> Iterator[pd.DataFrame]:
+    """The ``keep`` best items of each row of ``asked``, none below ``least``, a slice of the rows at a time."""
+    step = max(1, PAIRS // max(1, len(items), 10 * keep))
+    for start in range(0, len(query_ids), step):
+        names, ids, values = [], [np.empty(0, dtype=object)], [np.empty(0)]
+        sims = np.round(asked[start : start + step] @ items.T, DIGITS)
+        for query_id, row, floor in zip(query_ids[start : start + step], sims, least[start : start + step], strict=True):
+            at = np.flatnonzero(row >= floor)
+            if len(at) > keep:
+                at = at[row[at] >= np.partition(row[at], len(at) - keep)[len(at) - keep]]
+                at = at[np.lexsort((item_ids[at], -row[at]))[:keep]]
+            names += [query_id] * len(at)
+            ids.append(item_ids[at])
+            values.append(row[at])
+        yield _hits(names, np.full(len(names), cell), np.concatenate(ids), np.concatenate(values))
+
+
+def _visit_masks(visited: DataFrame, n_cells: int) -> pd.DataFrame:
+    """(query_id, mask, least): a bit per cell, so that a block of queries with all its visits stays small."""
+
+    @F.pandas_udf("binary")
+    def mask(cells: pd.Series) -> pd.Series:
+        def packed(one) -> bytes:
+            bits = np.zeros(n_cells, np.uint8)
+            bits[np.asarray(one, np.int64)] = 1
+            return np.packbits(bits).tobytes()
+
+        return cells.map(packed)
+
+    per_query = visited.groupBy("query_id").agg(F.collect_set("cell").alias("cells"), F.max("least").alias("least"))
+    return per_query.select("query_id", mask("cells").alias("mask"), "least").toPandas()
 
 
 def _scored(index: CellIndex, queries: DataFrame, visited: DataFrame, keep: int, coded: bool, max_bytes: int) -> DataFrame:
@@ -225,21 +248,25 @@ def _scored(index: CellIndex, queries: DataFrame, visited: DataFrame, keep: int,
     asked = _usable(queries, "query_id")
 
     if fits_in_block(asked, max_bytes):
-        rows, plan = asked.toPandas(), visited.toPandas()
-        place = {q: i for i, q in enumerate(rows["query_id"])}
+        rows, n_cells = asked.toPandas(), len(index.centres)
         unit = unit_rows(rows["embedding"]) if len(rows) else np.zeros((0, 1))
-        wanted = {int(c): (np.array([place[q] for q in g["query_id"]]), g["least"].to_numpy()) for c, g in plan.groupby("cell")}
-        block = spark.sparkContext.broadcast((rows["query_id"].to_numpy(dtype=object), unit, wanted))
+        plan = rows[["query_id"]].merge(_visit_masks(visited, n_cells), on="query_id", how="left")
+        none = bytes(-(-n_cells // 8))
+        masks = np.frombuffer(b"".join(m if isinstance(m, bytes) else none for m in plan["mask"]), np.uint8).reshape(len(rows), -1)
+        wanted = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(masks, axis=0, initial=0))).tolist() if len(rows) else []
+        block = spark.sparkContext.broadcast((rows["query_id"].to_numpy(dtype=object), unit, masks, plan["least"].to_numpy(np.float64)))
 
         def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            query_ids, matrix, by_cell = block.value
+            query_ids, matrix, masks, least = block.value
             for batch in batches:
                 for cell, part in batch.groupby("cell"):
-                    at, least = by_cell[int(cell)]
-                    items = _rows_of(part, coded)
-                    yield _best(query_ids[at], matrix[at] @ items.T, part["item_id"].to_numpy(dtype=object), cell, keep, least)
+                    items, item_ids = _rows_of(part, coded), part["item_id"].to_numpy(dtype=object)
+                    visitors = np.flatnonzero(masks[:, int(cell) >> 3] & (128 >> (int(cell) & 7)))
+                    for start in range(0, len(visitors), QUERY_ROWS):
+                        at = visitors[start : start + QUERY_ROWS]
+                        yield from _best(query_ids[at], matrix[at], items, item_ids, cell, keep, least[at])
 
-        return stored.where(F.col("cell").isin(sorted(wanted))).mapInPandas(stream, schema)
+        return stored.where(F.col("cell").isin(wanted)).mapInPandas(stream, schema)
 
     visited = materialize(visited, "cell-visits")
     blocks = visited.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).alias("blocks"))
@@ -253,20 +280,36 @@ def _scored(index: CellIndex, queries: DataFrame, visited: DataFrame, keep: int,
     def pair(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         if not len(one) or not len(two):
             return _hits([], [], [], [])
-        sims = unit_rows(two["asked"]) @ _rows_of(one, coded).T
-        return _best(two["query_id"].to_numpy(dtype=object), sims, one["item_id"].to_numpy(dtype=object), one["cell"].iloc[0], keep, two["least"].to_numpy())
+        query_ids, item_ids = two["query_id"].to_numpy(dtype=object), one["item_id"].to_numpy(dtype=object)
+        asked = unit_rows(two["asked"])
+        return pd.concat(_best(query_ids, asked, _rows_of(one, coded), item_ids, one["cell"].iloc[0], keep, two["least"].to_numpy()), ignore_index=True)
 
     key = ["cell", "piece", "block"]
     return items.drop("blocks", "pieces").groupBy(*key).cogroup(posed.groupBy(*key)).applyInPandas(pair, schema)
 
 
+def _coded_bounds(index: CellIndex, queries: DataFrame, keep: int, probes: int, max_bytes: int) -> DataFrame | None:
+    """(query_id, least): what the ``keep``-th item of a query reaches at least by code, from the few cells nearest to it; None where those are many."""
+    near = max(1, int(np.ceil(NEAR * keep * len(index.centres) / max(1, index.counts.sum()))))
+    if 2 * near >= probes:
+        return None
+    hits = _scored(index, queries, visits(index, queries, near).withColumn("least", F.lit(-2.0)), keep, True, max_bytes)
+    found = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("least"))
+    return materialize(found.where(F.col("n") >= keep).select("query_id", (F.col("least") - SLACK).alias("least")), "cell-bounds")
+
+
 def search(index: CellIndex, queries: DataFrame, k: int = 20, probes: int | None = None, exact: bool = False, max_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
     """Nearest items of each query (query_id, embedding) in the cells it visits: query_id, rank, item_id, similarity."""
     spark = queries.sparkSession
     if not len(index.centres):
         kinds = (queries.schema["query_id"].dataType.simpleString(), index.vectors.schema["item_id"].dataType.simpleString())
         return spark.createDataFrame([], "query_id {}, rank int, item_id {}, similarity double".format(*kinds))
-    first = visits(index, queries, probes).withColumn("least", F.lit(-2.0))
+    first = visits(index, queries, probes)
+    bounds = _coded_bounds(index, queries, RERANK * k, min(probes or index.probes, len(index.centres)), max_bytes)
+    if bounds is None:
+        first = first.withColumn("least", F.lit(-2.0))
+    else:
+        first = first.join(bounds, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(-2.0)))
     coded = _scored(index, queries, first, RERANK * k, True, max_bytes)
     best = top_k(coded, ["query_id"], [F.col("similarity").desc(), F.col("item_id")], RERANK * k).select("query_id", "cell", "item_id")
 

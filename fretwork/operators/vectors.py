@@ -76,9 +76,9 @@ def cosine_top_k(index: DataFrame, queries: DataFrame, k: int = 20, max_bytes: i
             for batch in batches:
                 if len(batch):
                     best.add(matrix, batch["item_id"].to_numpy(dtype=object), unit_rows(batch["embedding"]))
-            found = best.frame()
-            bounds = found["query_id"].map(least.value if least else {}).astype("float64").fillna(-2.0)
-            yield found[found["similarity"] >= bounds]
+            for found in best.frames():
+                bounds = found["query_id"].map(least.value if least else {}).astype("float64").fillna(-2.0)
+                yield found[found["similarity"] >= bounds]
 
         return run
 

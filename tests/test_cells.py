@@ -9,8 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 from test_vectors import INDEX, QUERIES, brute, data, frames, lists
 
+from fretwork.functions import blocks
 from fretwork.functions.blocks import unit_rows
 from fretwork.operators import cells
+from fretwork.operators.vectors import cosine_top_k
 from fretwork.workload import vectors
 
 SF_DIRS = ["/root/testdata/sf0.01", "/root/testdata/sf0.1"]
@@ -98,3 +100,46 @@ def test_empty_index_and_odd_rows(spark, tmp_path):
     opened = cells.open_index(spark, str(tmp_path / "few"))
     for max_bytes in (1 << 20, 4):
         assert lists(cells.search(opened, asked, 3, exact=True, max_bytes=max_bytes)) == {1: ["a", "d"]}
+
+
+@pytest.mark.parametrize("max_bytes", [1 << 20, 500])
+def test_a_task_holds_few_similarities_and_hits(spark, tmp_path, monkeypatch, max_bytes):
+    """All queries visit all cells: the pairs come in slices, with the result of comparing them at once."""
+    items = clustered(n=1500, centres=5)
+    index, asked = frames(spark, items, items[::5])
+    cells.write_index(index, str(tmp_path / "i"), cells=6, k=10)
+    opened = cells.open_index(spark, str(tmp_path / "i"))
+    whole = lists(cells.search(opened, asked, 10, probes=6))
+    monkeypatch.setattr(cells, "PAIRS", 900)
+    monkeypatch.setattr(blocks, "FRAME_QUERIES", 7)
+    assert lists(cells.search(opened, asked, 10, probes=6, max_bytes=max_bytes)) == whole
+    assert lists(cells.search(opened, asked, 10, exact=True, max_bytes=max_bytes)) == lists(cosine_top_k(index, asked, 10))
+    ids, unit = np.array([f"i{n}" for n in range(300)], dtype=object), unit_rows(items[:300])
+    parts = list(cells._best(ids[:60], unit[:60], unit, ids, 0, 10, np.full(60, -2.0)))
+    assert len(parts) == 20 and sum(map(len, parts)) == 600
+
+
+def test_visits_travel_as_a_bit_per_cell(spark):
+    visited = spark.createDataFrame([("a", 0, -2.0), ("a", 9, -2.0), ("a", 9, -2.0), ("b", 3, 0.5)], "query_id string, cell int, least double")
+    masks = {r.query_id: (r.mask, r.least) for r in cells._visit_masks(visited, 10).itertuples()}
+    assert masks == {"a": (b"\x80\x40", -2.0), "b": (b"\x10\x00", 0.5)}
+
+
+@pytest.mark.parametrize("max_bytes", [1 << 20, 500])
+def test_bounds_from_the_nearest_cells_keep_hits_few(spark, tmp_path, monkeypatch, max_bytes):
+    items = clustered(n=3000, centres=10)
+    index, asked = frames(spark, items, items[::20])
+    cells.write_index(index, str(tmp_path / "i"), cells=10, k=3)
+    opened = cells.open_index(spark, str(tmp_path / "i"))
+    scored, n_hits = cells._scored, []
+
+    def counted(*args):
+        hits = scored(*args)
+        n_hits.append(hits.count())
+        return hits
+
+    monkeypatch.setattr(cells, "_scored", counted)
+    bounded = lists(cells.search(opened, asked, 3, probes=10, max_bytes=max_bytes))
+    monkeypatch.setattr(cells, "NEAR", 1000, raising=False)
+    assert bounded == lists(cells.search(opened, asked, 3, probes=10, max_bytes=max_bytes))
+    assert n_hits[-2] < n_hits[-1] / 4 and len(n_hits) == 3
