@@ -37,6 +37,8 @@ SMOOTHING = 1.0
 RIDGE = 0.01
 SEED = 5
 _SCALE = 1 << 20
+# Characters of text whose n-grams a task makes at once.
+SLICE = 1 << 18
 
 
 def grams(texts, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -52,16 +54,46 @@ def grams(texts, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     return two[keep], np.where(counts > 0, 2 * counts - 1, 0)
 
 
+def _slices(texts) -> Iterator[slice]:
+    """Stretches of ``texts`` of about ``SLICE`` characters: the n-grams of a whole batch take many times its bytes."""
+    start = size = 0
+    for at, text in enumerate(texts):
+        size += 0 if text is None else len(text)
+        if size >= SLICE:
+            yield slice(start, at + 1)
+            start, size = at + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
+def count_grams(frames: Iterator[pd.DataFrame], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Raw and target counts per bucket of frames (text, target)."""
+    raw, target = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+    for frame in frames:
+        texts, of_target = frame["text"].tolist(), frame["target"].to_numpy(bool)
+        for part in _slices(texts):
+            buckets, counts = grams(texts[part], bits)
+            raw += np.bincount(buckets, minlength=1 << bits)
+            target += np.bincount(buckets[np.repeat(of_target[part], counts)], minlength=1 << bits)
+    return raw, target
+
+
+def mean_ratios(texts: list, ratios: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Mean of ``ratios`` over the n-grams of each text; 0 without n-grams."""
+    means, sums = [np.zeros(0)], np.zeros(1)
+    for part in _slices(texts):
+        buckets, counts = grams(texts[part], bits)
+        sums = np.cumsum(np.concatenate((sums[-1:], ratios[buckets])))  # goes on from the slice before, so slices change no digit
+        ends = np.cumsum(counts)
+        means.append(np.round((sums[ends] - sums[ends - counts]) / np.maximum(counts, 1), 9))
+    return np.concatenate(means)
+
+
 def _gram_counts(docs: DataFrame, bits: int) -> DataFrame:
     """(bucket, raw, target) counts over all rows of ``docs`` (text, target)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        raw, target = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
-        for frame in frames:
-            buckets, counts = grams(frame["text"], bits)
-            raw += np.bincount(buckets, minlength=1 << bits)
-            of_target = np.repeat(frame["target"].to_numpy(bool), counts)
-            target += np.bincount(buckets[of_target], minlength=1 << bits)
+        raw, target = count_grams(frames, bits)
         used = np.flatnonzero(raw)
         yield pd.DataFrame({"bucket": used, "raw": raw[used], "target": target[used]})
 
@@ -85,11 +117,7 @@ def _weights(docs: DataFrame, ratios: np.ndarray | None, bits: int) -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(np.zeros(1 << bits, np.float32) if ratios is None else ratios)
 
     def weights(texts: list) -> list:
-        buckets, counts = grams(texts, bits)
-        sums = np.concatenate(([0.0], np.cumsum(shared.value[buckets], dtype=np.float64)))
-        ends = np.cumsum(counts)
-        total = sums[ends] - sums[ends - counts]
-        return [np.round(total / np.maximum(counts, 1), 9)]
+        return [mean_ratios(texts, shared.value, bits)]
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("_row"), "text")
     return map_text(rows, "mean_ratio double", weights)

@@ -3,8 +3,10 @@ from __future__ import annotations
 import math
 import os
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from oracle import connect
 from pyspark.sql import functions as F
@@ -69,6 +71,31 @@ def test_weights_and_sample_by_hand(spark):
     assert 0.2 < sum(noise) / len(noise) < 1.0 and len(set(noise)) > 100
 
 
+def test_a_batch_is_worked_off_in_slices(monkeypatch):
+    """The n-grams of a batch of 8 MB do not stand in memory at once, and slices give the same numbers."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices("abcdefghij", k=2000)) for _ in range(2000)] + [None, "", "x", "a b " * 100_000]
+    frame = pd.DataFrame({"text": texts, "target": [i % 3 == 0 for i in range(len(texts))]})
+    ratios = np.random.default_rng(3).normal(size=1 << 10).astype(np.float32)
+
+    def traced(work):
+        work()
+        tracemalloc.start()
+        result = work()
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        return result, peak
+
+    (raw, target), counting = traced(lambda: quality.count_grams(iter([frame]), 10))
+    means, weighing = traced(lambda: quality.mean_ratios(texts, ratios, 10))
+    monkeypatch.setattr(quality, "SLICE", 1 << 40)
+    (whole, whole_target), counting_whole = traced(lambda: quality.count_grams(iter([frame]), 10))
+    whole_means, weighing_whole = traced(lambda: quality.mean_ratios(texts, ratios, 10))
+    assert (raw == whole).all() and (target == whole_target).all() and (means == whole_means).all()
+    assert raw.sum() == sum(2 * len(words_of(t)) - 1 for t in texts if words_of(t)) and list(means[-4:-2]) == [0, 0]
+    assert 4 * counting < counting_whole and 4 * weighing < weighing_whole
+
+
 def test_the_draw_follows_the_weights(spark):
     """Over 300 seeds a document is drawn as often as Gumbel top-k by its weight says."""
     weights = [x / 4 for x in range(-20, 20)]
