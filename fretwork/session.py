@@ -108,13 +108,31 @@ def scratch_scope(spark: SparkSession) -> Iterator[str]:
         yield base
     finally:
         _scopes.remove(base)
-        path = spark._jvm.org.apache.hadoop.fs.Path(base)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove_folder(spark, base)
 
 
-def run_together(*jobs: Callable[[], object]) -> list:
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a scratch folder with all that is in it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def conf_scope(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Settings of the session that hold inside only."""
+    before = {key: spark.conf.get(key, None) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def run_together(*jobs: Callable[[], object], at_once: int | None = None) -> list:
     """Run independent jobs at the same time, each as Spark jobs of its own; their results in order, or the first error after all ended."""
-    with ThreadPoolExecutor(max(1, len(jobs))) as pool:
+    with ThreadPoolExecutor(max(1, at_once or len(jobs))) as pool:
         return [future.result() for future in [pool.submit(job) for job in jobs]]
 
 

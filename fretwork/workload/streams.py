@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import functools
+import math
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from fretwork.plans import staging
-from fretwork.session import materialize, run_together, scratch_dir
+from fretwork.session import conf_scope, materialize, remove_folder, run_together, scratch_dir
 from fretwork.sources.raw_files import write_csv
 from fretwork.streaming import conversion, state
 from fretwork.streaming import events as live
@@ -18,7 +20,12 @@ from fretwork.workload import chat, checks, handoffs, shop
 
 TIME = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 # Rows of both conversion streams in one batch, about: they all stand in its state, at some 700 bytes each.
-PART_ROWS = 4_000_000
+PART_ROWS = 500_000
+# Rows of both conversion streams that one slice of the pairs may get within the horizon and the delay, about: a stream holds up to so many beside its batches.
+HELD_ROWS = 500_000
+# Cores for each slice that runs at the same time, and tasks of its state.
+SLICE_CORES, SLICE_TASKS = 3, 6
+DAY = 24 * 3600 * 1_000_000
 # Size of a row group in the files of a part, so that several tasks read one file.
 BLOCK_BYTES = 4 * 1024 * 1024
 
@@ -103,28 +110,77 @@ def stream_transcripts(spark, sf_dir):
     return chat.transcript_totals(state.read_transcripts(spark.read.parquet(path)))
 
 
+def _per_day(arrivals, border, *keys):
+    """Rows a day of arrival (``_at``) up to the border (``_side`` 0) and after it (1), for each of the keys."""
+    side = F.lit(0) if border is None else (F.col("_at") > border).cast("int")
+    groups = [*keys, side.alias("_side"), F.floor(F.col("_at") / DAY).alias("_day")]
+    return materialize(arrivals.where("_at is not null").groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")), "days")
+
+
+def slices_needed(per_day, days):
+    """Slices of the pairs, so that none gets more than about ``HELD_ROWS`` rows within so many days."""
+    totals = per_day.groupBy("_day").agg(F.sum("_n").alias("_n"))
+    within = F.sum("_n").over(Window.orderBy("_day").rangeBetween(-days, Window.currentRow))
+    return -(-(totals.select(within.alias("_n")).agg(F.max("_n").alias("m")).first()["m"] or 1) // HELD_ROWS)
+
+
+def day_cuts(per_day, border):
+    """Times of arrival that end parts of about ``PART_ROWS`` rows each, in order; ``border`` is one of them unless it is None."""
+    counts = {r["_side"]: r["n"] for r in per_day.groupBy("_side").agg(F.sum("_n").alias("n")).collect()}
+    parts = {side: -(-n // PART_ROWS) for side, n in counts.items()}
+    shares = {side: [i / n for i in range(1, n)] for side, n in parts.items() if n > 1}
+    inner = [F.percentile(F.when(F.col("_side") == side, F.col("_day")), share, F.col("_n")).alias(f"c{side}") for side, share in shares.items()]
+    found = per_day.agg(*inner).first() if inner else []
+    cuts = {(math.floor(day) + 1) * DAY - 1 for share in found for day in share}
+    if border is None:
+        return sorted(cuts)
+    # The border may stand within a day, whose end is then no cut before it.
+    return sorted({border, *[min(c, border) for c in cuts if c - DAY < border], *[c for c in cuts if c > border]})
+
+
 def arrival_cuts(arrivals, border):
-    """Times of arrival (``_at``) that end parts of about ``PART_ROWS`` rows each, in order; ``border`` is one of them unless it is None."""
-    sides = [F.col("_at") <= border, F.col("_at") > border] if border is not None else [F.col("_at").isNotNull()]
-    counts = arrivals.agg(*[F.count_if(side).alias(f"n{i}") for i, side in enumerate(sides)]).first()
-    parts = [max(1, -(-n // PART_ROWS)) for n in counts]
-    shares = [[i / n for i in range(1, n)] for n in parts]
-    inner = [F.percentile_approx(F.when(side, F.col("_at")), share).alias(f"c{i}") for i, (side, share) in enumerate(zip(sides, shares, strict=True)) if share]
-    cuts = [cut for found in arrivals.agg(*inner).first() for cut in found] if inner else []
-    return sorted({*cuts, *([] if border is None else [border])})
+    """Cuts of ``day_cuts`` for rows that all belong to one slice."""
+    return day_cuts(_per_day(arrivals, border), border)
+
 
+def in_slices(rows, time, slices):
+    """The rows with the slice of their pair and, in each slice, the last of all rows, so that the watermark of every slice comes as far as the whole stream.
 
-def _arrive(spark, parted, schema, part, path):
+    A pair's rows are all in its own slice; the one that is repeated in another finds there what it finds here or nothing.
+    """
+    own = rows.withColumn("_slice", F.pmod(F.xxhash64(F.lit("slice"), *conversion.PAIR), F.lit(slices)).cast("int"))
+    end = rows.agg(F.max(time).alias("end")).first()["end"] if slices > 1 else None
+    if end is None:
+        return own
+    last = materialize(rows.where(time == end).limit(1), "last")
+    return own.unionByName(last.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))))
+
+
+def _arrive(rows, part, path):
     """One part as one file, also where it has no rows, so that the parts of both streams come in step."""
-    rows = spark.read.schema(StructType([*schema, StructField("_part", IntegerType())])).parquet(parted)
-    rows.where(F.col("_part") == part).drop("_part").coalesce(1).write.option("parquet.block.size", BLOCK_BYTES).mode("append").parquet(path)
+    rows = rows.where(F.col("_part") == part).drop("_slice", "_part")
+    rows.coalesce(1).write.option("parquet.block.size", BLOCK_BYTES).mode("append").parquet(path)
+
+
+def _convert(spark, parted, deliveries, path, checkpoint):
+    """Both streams of one slice, run to their end after each delivery; its files and its state are not kept longer."""
+    arrivals = [scratch_dir(spark, "arriving") for _ in parted]
+    for delivery in deliveries:
+        for part in delivery:
+            run_together(*[functools.partial(_arrive, rows, part, folder) for rows, folder in zip(parted, arrivals, strict=True)])
+        streams = [read_parquet_stream(spark, folder, max_files=1) for folder in arrivals]
+        conversion.stream_conversions(*streams, "90 days", "1 day", path, checkpoint)
+    for folder in (*arrivals, checkpoint):
+        remove_folder(spark, folder)
+    return spark.read.parquet(path)
 
 
 def stream_conversion(spark, sf_dir):
     """Recommendations and orders as two streams in two deliveries, rows up to 20 hours late; those whose 90 days have passed.
 
     The split is by time of arrival, so a day's delay passes all rows. A large delivery comes as several files of either stream in that
-    order, a file of each per batch, so that the state never holds a whole delivery.
+    order, a file of each per batch, so that the state never holds a whole delivery. Where the rows of 90 days are too many to hold, the
+    pairs are dealt out into slices, each a pair of streams with a state of its own; a few of them run at the same time.
     """
     path, checkpoint = _dirs(spark, "conversion")
     asked = materialize(checks.recommendations(spark, sf_dir), "recommendations")
@@ -133,20 +189,32 @@ def stream_conversion(spark, sf_dir):
     late = F.pmod(F.xxhash64(*conversion.PAIR), F.lit(20 * 3600)) * 1_000_000
     times = {"asked": F.unix_micros("created_at"), "bought": F.unix_micros(F.col("order_date").cast("timestamp"))}
     rows = {name: frame.withColumn("_at", times[name] + late) for name, frame in [("asked", asked), ("bought", bought)]}
-    cuts = arrival_cuts(rows["asked"].select("_at").unionByName(rows["bought"].select("_at")), border)
+    per_day = _per_day(rows["asked"].select("_at").unionByName(rows["bought"].select("_at")), border)
+    slices = slices_needed(per_day, 91)
+    rows = {name: in_slices(frame, times[name], slices) for name, frame in rows.items()}
+    if slices > 1:
+        of_slices = _per_day(rows["asked"].select("_slice", "_at").unionByName(rows["bought"].select("_slice", "_at")), border, "_slice")
+        # The largest count of any slice on a day, so that no slice has a part much larger than the others.
+        per_day = materialize(of_slices.groupBy("_side", "_day").agg(F.max("_n").alias("_n")), "days")
+    cuts = day_cuts(per_day, border)
     part = sum((F.coalesce(F.col("_at") > cut, F.lit(False)).cast("int") for cut in cuts), F.lit(0))
-    parted, arrivals = {}, {}
-    for name in rows:
-        parted[name], arrivals[name] = scratch_dir(spark, f"{name}-parts"), scratch_dir(spark, f"{name}-arriving")
-        rows[name].withColumn("_part", part).drop("_at").repartition("_part").write.partitionBy("_part").parquet(parted[name])
+    parted = []
+    for name, frame in [("asked", asked), ("bought", bought)]:
+        folder = scratch_dir(spark, f"{name}-parts")
+        rows[name].withColumn("_part", part).drop("_at").repartition("_slice", "_part").write.partitionBy("_slice", "_part").parquet(folder)
+        places = [StructField(n, IntegerType()) for n in ("_slice", "_part")]
+        parted.append(spark.read.schema(StructType([*frame.schema, *places])).parquet(folder))
     first = 0 if border is None else cuts.index(border)
-    for delivery in (range(first + 1), range(first + 1, max(len(cuts), first + 1) + 1)):
-        for i in delivery:
-            run_together(*[functools.partial(_arrive, spark, parted[n], f.schema, i, arrivals[n]) for n, f in [("asked", asked), ("bought", bought)]])
-        streams = [read_parquet_stream(spark, arrivals[name], max_files=1) for name in ("asked", "bought")]
-        conversion.stream_conversions(*streams, "90 days", "1 day", path, checkpoint)
+    deliveries = [range(first + 1), range(first + 1, max(len(cuts), first + 1) + 1)]
+    jobs = [
+        functools.partial(_convert, spark, [p.where(F.col("_slice") == i) for p in parted], deliveries, f"{path}/{i}", f"{checkpoint}/{i}") for i in range(slices)
+    ]
+    # Few tasks for the small state of a slice, which is kept in memory once only.
+    tasks = min(SLICE_TASKS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    with conf_scope(spark, {"spark.sql.shuffle.partitions": str(tasks), "spark.sql.streaming.maxBatchesToRetainInMemory": "1"}):
+        tables = run_together(*jobs, at_once=max(1, spark.sparkContext.defaultParallelism // SLICE_CORES))
     settled = conversion.settled_before(asked, bought, "90 days", "1 day").first()["settled"]
-    found = conversion.first_conversions(spark.read.parquet(path)).where(F.col("created_at") < F.lit(settled))
+    found = conversion.first_conversions(functools.reduce(DataFrame.unionByName, tables)).where(F.col("created_at") < F.lit(settled))
     return found.select(
         "customer_id", "product_id", F.date_format("created_at", "yyyy-MM-dd").alias("created_on"), F.col("converted_on").cast("string").alias("converted_on")
     )

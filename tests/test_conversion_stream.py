@@ -125,3 +125,46 @@ def test_parts_without_rows_or_times(spark):
     times = "_at long"
     assert streams.arrival_cuts(spark.createDataFrame([], times), None) == []
     assert streams.arrival_cuts(spark.createDataFrame([(None,), (5,)], times), 5) == [5]
+
+
+def test_rows_of_the_horizon_are_dealt_out(spark, tmp_path, monkeypatch):
+    """Where the rows of 91 days are too many for one state, no stream's join keeps more than those of a slice, and the result is that of one stream."""
+    orders = [(i, i % 40, "OF"[i % 2], 10.0, day(i % 600, 0), "2-HIGH") for i in range(1200)] + [(1200, None, "F", 1.0, day(9, 0), "2-HIGH"), (1201, 3, "F", 1.0, None, "2-HIGH")]
+    lines = [(o, (o * 7 + n) % 4 if n else None, 1, n, 1.0, 5.0, 0.0, 0.0, "N", "O", day(0)) for o in range(1202) for n in range(2)]
+    names = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
+    spark.createDataFrame(orders, names).coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double"
+    names += ", l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    spark.createDataFrame(lines, names).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    whole = {tuple(r) for r in streams.stream_conversion(spark, str(tmp_path)).collect()}
+    held, runs = [], []
+
+    def run(writer, checkpoint):
+        query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+        runs.append(checkpoint)
+        held.append(query.recentProgress[-1].stateOperators[0].numRowsTotal)
+
+    monkeypatch.setattr(files, "run_available", run)
+    monkeypatch.setattr(streams, "PART_ROWS", 600)
+    monkeypatch.setattr(streams, "HELD_ROWS", 250, raising=False)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    got = [tuple(r) for r in streams.stream_conversion(spark, str(tmp_path)).collect()]
+    assert len(got) == len(whole) > 1000 and set(got) == whole
+    # At the end of a delivery one stream keeps 186 rows, those of the last 91 days.
+    assert len(set(runs)) == 3 and len(runs) == 6 and 0 < max(held) < 120, held
+    assert not any(os.path.exists(checkpoint) for checkpoint in runs)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_every_slice_sees_the_end_of_a_stream(spark):
+    """A pair alone in its slice is as final as it is in one stream, also where the last rows belong to other pairs."""
+    rows = [(f"c{i}", f"P{i % 3}", i) for i in range(50)]
+    frame = spark.createDataFrame(rows, "customer_id string, product_id string, _at long")
+    by_slice = {}
+    for r in streams.in_slices(frame, frame["_at"], 4).collect():
+        by_slice.setdefault(r["_slice"], []).append((r["customer_id"], r["product_id"], r["_at"]))
+    assert sorted(by_slice) == [0, 1, 2, 3] and all(rows[-1] in found for found in by_slice.values())
+    assert sorted({r for found in by_slice.values() for r in found}) == sorted(rows) and sum(map(len, by_slice.values())) == 54
+    nothing = streams.in_slices(frame.where("_at < 0"), frame["_at"], 4)
+    assert nothing.count() == 0 and "_slice" in nothing.columns
