@@ -23,8 +23,10 @@ TIME = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 PART_ROWS = 500_000
 # Rows of both conversion streams that one slice of the pairs may get within the horizon and the delay, about: a stream holds up to so many beside its batches.
 HELD_ROWS = 500_000
-# Cores for each slice that runs at the same time, and tasks of its state.
-SLICE_CORES, SLICE_TASKS = 3, 6
+# Cores for each slice that runs at the same time: the slices fill the gaps between each other's stages.
+SLICE_CORES = 2
+# Tasks of a slice's state, each with six stores to commit in a batch, however few rows they got.
+SLICE_TASKS = 3
 DAY = 24 * 3600 * 1_000_000
 # Size of a row group in the files of a part, so that several tasks read one file.
 BLOCK_BYTES = 4 * 1024 * 1024
