@@ -211,10 +211,11 @@ def stream_conversion(spark, sf_dir):
     jobs = [
         functools.partial(_convert, spark, [p.where(F.col("_slice") == i) for p in parted], deliveries, f"{path}/{i}", f"{checkpoint}/{i}") for i in range(slices)
     ]
-    # Few tasks for the small state of a slice, which is kept in memory once only.
-    tasks = min(SLICE_TASKS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Few tasks for the small state of a slice, which is kept in memory once only; a single slice has all cores of a small cluster.
+    cores = spark.sparkContext.defaultParallelism
+    tasks = min(max(SLICE_TASKS, min(cores // slices, 2 * SLICE_TASKS)), int(spark.conf.get("spark.sql.shuffle.partitions")))
     with conf_scope(spark, {"spark.sql.shuffle.partitions": str(tasks), "spark.sql.streaming.maxBatchesToRetainInMemory": "1"}):
-        tables = run_together(*jobs, at_once=max(1, spark.sparkContext.defaultParallelism // SLICE_CORES))
+        tables = run_together(*jobs, at_once=max(1, cores // SLICE_CORES))
     settled = conversion.settled_before(asked, bought, "90 days", "1 day").first()["settled"]
     found = conversion.first_conversions(functools.reduce(DataFrame.unionByName, tables)).where(F.col("created_at") < F.lit(settled))
     return found.select(
